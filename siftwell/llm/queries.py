@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, sharding, simhash, token_output
+from . import bpe, decontamination, exact_dedup, html_text, ppm, sharding, simhash, token_output, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_token_output": token_output.op2_token_output,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
+    "op7_html_text": html_text.op7_html_text,
+    "op8_lm_scoring": ppm.op8_lm_scoring,
     "op9_sharding": sharding.op9_sharding,
     "op10_bpe": bpe.op10_bpe,
 }
