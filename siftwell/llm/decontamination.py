@@ -169,6 +169,22 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, bl
     return joined.select("row_key", "doc_id", "n_words", "runs", "items").mapInArrow(tidy, FOUND)
 
 
+def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, in which no benchmark window occurs; block by block, without a shuffle."""
+    arrow_limits(docs.sparkSession)
+    for block in blocks(benchmark, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(Patterns(block, window)))
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            patterns = pickle.loads(sent.value)
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                yield batch.filter(pa.array([not patterns.search(words(t or ""))[0] for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def report(found: DataFrame) -> DataFrame:
     """Digest columns of search()."""
     spans = F.col("spans")
