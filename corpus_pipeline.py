@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import bpe, common, decontamination, exact_dedup, simhash
+from siftwell.llm import bpe, common, decontamination, exact_dedup, simhash, toxicity
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -17,6 +17,11 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return keyed.join(kept.select(F.col("row_key").alias("__row_key")), "__row_key", "left_semi").select(*docs.columns)
 
 
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine, fitted on the labelled ones, scores at its threshold or more go."""
+    return toxicity.without_toxic(docs, toxicity.train(docs, common.read(spark, sf_dir, "labels")))
+
+
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z, the row with the largest doc_id stays."""
     return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
@@ -30,8 +35,7 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an occurrence of a benchmark window go."""
-    found = decontamination.search(docs, common.read(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where(F.size("spans") == 0))
+    return decontamination.without_hits(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 NEAR_WORDS, NEAR_RADIUS = 5, 3
 
 STAGES = [
+    ("toxicity", remove_toxic),
     ("exact_dedup", remove_copies),
     ("near_dedup", remove_near_copies),
     ("decontamination", remove_contaminated),
