@@ -28,7 +28,9 @@ from .common import arrow_limits, buffers, crc_mod, read, scratch, with_key
 
 ORDER = 5
 #: A run of bytes is kept in the trie where it makes up one in so many of all runs, at least.
-RESOLUTION = 1 << 17
+RESOLUTION = 1 << 20
+#: Bytes of a model's tables, at most; runs count at a coarser resolution where they would need more.
+TABLE_BYTES = 192 << 20
 #: Tokens looked up in each task's memory; all others are joined. Longer tokens aren't among these.
 FREQUENT, FREQUENT_BYTES = 1 << 16, 64
 
@@ -204,7 +206,7 @@ class Model:
         return np.add.reduceat(self.code(stream).astype(np.float64), np.cumsum(sizes) - sizes)
 
 
-def kept_edges(counts: DataFrame, resolution: int = RESOLUTION) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int]:
+def kept_edges(counts: DataFrame, resolution: int = RESOLUTION, table_bytes: int = TABLE_BYTES) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int]:
     """The trie's edges by length, and the number of all bytes. At most resolution edges a length are collected."""
     table = scratch(counts.where("n >= 2 OR size = 1"), "runs")
     total = table.where("size = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -217,9 +219,16 @@ def kept_edges(counts: DataFrame, resolution: int = RESOLUTION) -> tuple[dict[in
         keys = run[mine].view(np.uint64)
         order = np.argsort(keys)
         edges[length] = keys[order], n[mine][order].astype(np.int64)
+    while states(edges) * (len(edges.get(1, ((),))[0]) + 2) * 8 > table_bytes:
+        least *= 2
+        edges = {k: (run[n >= least], n[n >= least]) for k, (run, n) in edges.items()}
     return edges, int(total)
 
 
+def states(edges: dict[int, tuple[np.ndarray, np.ndarray]]) -> int:
+    return 1 + sum(len(np.unique(run >> np.uint64(8))) for size, (run, _) in edges.items() if size > 1)
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """token and n, over all documents; each has one end token."""
 
