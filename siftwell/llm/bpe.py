@@ -10,6 +10,7 @@ is pre-tokenised again. Decoding concatenates the bytes of the ids.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ def rank_coder(path: str) -> tuple[PieceIds, list[bytes]]:
         for k, v in ranks.items():
             table[v] = k
         one = enc._core_bpe.encode_single_piece
-        _ranks[path] = PieceIds(lambda pieces: map(one, pieces)), table
+        _ranks[path] = PieceIds(lambda pieces: [array("I", one(p)).tobytes() for p in pieces]), table
     return _ranks[path]
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 #: Rows of one Arrow batch, and bytes of text that one numpy step works on.
 BATCH_ROWS = 1000
 SLICE_BYTES = 4 << 20
@@ -38,27 +40,6 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, as the driver has it; once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    import tempfile
-    import zipfile
-    from pathlib import Path
-
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="siftwell-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(path))
-
-
 def arrow_limits(spark: SparkSession) -> None:
     """Bound what one Arrow batch may hold, since single texts can be very long; ready the executors' Python."""
     ship_package(spark)

@@ -89,9 +89,12 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class PieceIds:
-    """Ids of pre-tokens by a library's encoder; what was seen is kept, up to a bound of entries."""
+    """Ids of pre-tokens by a library's encoder; what was seen is kept, up to a bound of entries.
 
-    def __init__(self, encode, most: int = 400_000):
+    encode takes pre-tokens (bytes) and gives the ids of each as little-endian unsigned 32-bit numbers.
+    """
+
+    def __init__(self, encode, most: int = 300_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def __call__(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +110,7 @@ class PieceIds:
         known = self.known
         new = [p for p in pieces if p not in known]
         if new:
-            for p, ids in zip(new, self.encode(new), strict=True):
-                known[p] = np.asarray(ids, "<u4").tobytes()
+            known.update(zip(new, self.encode(new), strict=True))
         found = [known[p] for p in pieces]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")

@@ -40,23 +40,33 @@ def pack(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.nda
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
-    width = np.concatenate([widths(values), np.zeros(60, np.int64)]).astype(np.int8)
-    most = int(COUNTS[np.flatnonzero(int(np.partition(width[:n], n // 20)[n // 20]) <= BITS)[0]]) if n > 20 else 60
+    width = widths(values).astype(np.int8)
+    low = int(np.partition(width, n // 20)[n // 20])  # few runs are of smaller values than a twentieth is
+    most = int(COUNTS[np.flatnonzero(low <= BITS)[0]]) if low <= 60 else 1
     begin = np.arange(0, n, block)
     end = np.minimum(begin + block, n)
     at, open_ = begin.copy(), np.arange(len(begin))
     found = []  # (block, position, selector), a word of each open block at a time
-    look = np.arange(most)
+    # each block's widths, then zeros: what is beyond the end fits any word
+    rows = np.zeros((len(begin), block + most), np.int8)
+    full = n // block
+    rows[:full, :block] = width[: full * block].reshape(full, block)
+    if full < len(begin):
+        rows[full, : n - full * block] = width[full * block :]
+    rows, shift, look = rows.ravel(), np.arange(len(begin)) * most, np.arange(most)
     use = np.flatnonzero(COUNTS <= most)
+    bits, last = BITS[use].astype(np.int8), COUNTS[use] - 1
+    step = np.append(COUNTS[use], 1)
+    use = np.append(use, ESCAPE)
     while len(open_):
         here = at[open_]
-        ahead = here[:, None] + look
-        run = np.maximum.accumulate(np.where(ahead < end[open_, None], width[ahead], 0), axis=1)
-        fits = run[:, COUNTS[use] - 1] <= BITS[use]
-        chosen = np.where(fits.any(1), use[np.argmax(fits, axis=1)], ESCAPE)
-        found.append((open_, here, chosen))
-        at[open_] += np.where(chosen == ESCAPE, 1, COUNTS[np.minimum(chosen, len(COUNTS) - 1)])
-        open_ = open_[at[open_] < end[open_]]
+        run = np.maximum.accumulate(rows[(here + shift[open_])[:, None] + look], axis=1)
+        fits = np.ones((len(here), len(use)), bool)  # the escape always does
+        np.less_equal(run[:, last], bits, out=fits[:, :-1])
+        pick = np.argmax(fits, axis=1)
+        found.append((open_, here, use[pick]))
+        at[open_] = here = here + step[pick]
+        open_ = open_[here < end[open_]]
     which, where, chosen = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(where, kind="stable")
     which, where, chosen = which[order], where[order], chosen[order]

@@ -18,19 +18,48 @@ SEGMENTS = "part int, segment int, start_in_part long, n_docs long, n_ids long,
 DOCS = "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long"
 END_ID = 0
 #: A segment closes once it has so many ids; a longer document makes a longer segment.
-SEGMENT_IDS = 1 << 18
+SEGMENT_IDS = 1 << 20
 
 _coders: dict[str, PieceIds] = {}
 
 
+#: Pre-tokens that one call of the library encodes at a time, joined.
+JOINED = 256
+
+
 def library_coder(path: str) -> PieceIds:
-    """The tokenizers library's encoder for pre-tokens; special tokens' strings in a text are ordinary text."""
+    """The tokenizers library's encoder for pre-tokens; special tokens' strings in a text are ordinary text.
+
+    A call costs more than a word. Pre-tokens that begin with a space keep their limits when put one after another, so
+    the library gets many at once; as ids never cross the limits, the bytes of each id tell where a pre-token ends.
+    """
     if path not in _coders:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _coders[path] = PieceIds(lambda pieces: [e.ids for e in t.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
+        sizes = np.zeros(t.get_vocab_size(), np.int64)
+        for token, k in t.get_vocab().items():
+            sizes[k] = len(token)  # a character of a byte-level token stands for a byte
+
+        def encode(pieces: list[bytes]) -> list[bytes]:
+            words = [p.decode() for p in pieces]
+            out: list[bytes] = [b""] * len(pieces)
+            led = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+            groups = [led[i : i + JOINED] for i in range(0, len(led), JOINED)]
+            for group, e in zip(groups, t.encode_batch_fast(["".join(words[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.cumsum([len(pieces[i]) for i in group])
+                after = np.searchsorted(np.cumsum(sizes[ids]), ends) + 1
+                raw, last = ids.tobytes(), 0
+                for i, k in zip(group, (4 * after).tolist(), strict=True):
+                    out[i], last = raw[last:k], k
+            rest = sorted(set(range(len(pieces))).difference(led))
+            for i, e in zip(rest, t.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+            return out
+
+        _coders[path] = PieceIds(encode)
     return _coders[path]
 
 
