@@ -1,6 +1,330 @@
-"""The registered queries of the retrieval and ranking operators."""
+"""The registered queries of the retrieval and ranking operators over the given tables, and their DuckDB SQL.
+
+documents is the text corpus and benchmark its queries; embeddings is the vector corpus, whose rows with an id divisible
+by 20 are the queries; labels gives grades 0 to 2; user turns of conversations with the answer after them are questions
+and answers.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.risk import with_parsed_risk
+from ..functions.vectors import norm
+from ..operators import bm25, dense, evaluation, expansion, feedback, fusion, ranking
+from . import pipelines
+
+K_BM25, K_DENSE = 100, 50
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("doc_index"), "text")
+
+
+def queries(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_index"), F.col("embedding").alias("vector"))
+
+
+def vector_queries(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def qa(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = _read(spark, d, "conversations").withColumn("next_role", F.lead("role").over(w)).withColumn("answer", F.lead("text").over(w))
+    return turns.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+
+
+def grades(spark: SparkSession, d: str) -> DataFrame:
+    grade = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).when(F.col("quality") == 1, 1).otherwise(0)
+    return _read(spark, d, "labels").select(F.col("doc_id"), grade.alias("relevance"))
+
+
+def _r(c: str, n: int = 6):
+    return F.round(c, n).alias(c)
+
+
+def normalize_text(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.sha2(T.normalize_text("text"), 256).alias("normal_sha256"), F.length(T.normalize_text("text")).cast("bigint").alias("n"))
+
+
+def tokenize_terms(spark, d):
+    return bm25.tokenized(docs(spark, d)).select("doc_index", F.size("tokens").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"))
+
+
+def term_df_idf(spark, d):
+    return bm25.build_index(docs(spark, d)).terms.select("term", "df", _r("idf"))
+
+
+def term_df_idf_classic(spark, d):
+    return bm25.build_index(docs(spark, d), idf="robertson").terms.select("term", "df", _r("idf"))
+
+
+def doc_length_stats(spark, d):
+    return bm25.build_index(docs(spark, d)).corpus.select("n", _r("avgdl"))
+
+
+def bm25_topk(spark, d):
+    q, x = queries(spark, d), docs(spark, d)
+    return bm25.bm25_top_k(q, x, bm25.build_index(x), K_BM25, pad=False).select("query_id", "doc_index", _r("bm25_score"), "bm25_rank")
+
+
+def bm25_topk_padded(spark, d):
+    q, x = queries(spark, d), docs(spark, d)
+    return bm25.bm25_top_k(q, x, bm25.build_index(x), K_BM25).select("query_id", "doc_index", _r("bm25_score"), "bm25_rank")
+
+
+def qa_pairs(spark, d):
+    return qa(spark, d).select("conv_id", "turn", F.sha2(T.document_text(F.col("question"), F.col("answer")), 256).alias("text_sha256"), F.length(T.document_text(F.col("question"), F.col("answer"), "question_answer")).cast("bigint").alias("labelled_length"))
+
+
+def dense_topk(spark, d):
+    return dense.dense_top_k(vector_queries(spark, d), vectors(spark, d), K_DENSE).select("query_id", "doc_index", _r("dense_score"), "dense_rank")
+
+
+def vector_norms(spark, d):
+    return vectors(spark, d).select("doc_index", F.round(norm(F.col("vector")), 6).alias("norm"))
+
+
+def _two_lists(spark, d):
+    """BM25's list, and the list by term coverage in the place of a dense one, whose corpus has no texts here."""
+    q, x = queries(spark, d), docs(spark, d)
+    index = bm25.build_index(x)
+    lexical = bm25.bm25_top_k(q, x, index, K_BM25, pad=False)
+    hits = bm25.query_terms(q).join(index.postings, "term").groupBy("query_id", "doc_index").agg(F.count("*").cast("double").alias("dense_score"))
+    return lexical, bm25.top_k(hits, "dense_score", K_BM25, "dense_rank")
+
+
+_FUSED = ["query_id", "doc_index", "bm25_rank", "dense_rank"]
+
+
+def fuse_union(spark, d):
+    return fusion.fuse_union(*_two_lists(spark, d)).select(*_FUSED, F.array_join("candidate_sources", ",").alias("sources"), "fusion_rank")
+
+
+def fuse_rrf(spark, d):
+    return fusion.fuse_rrf(*_two_lists(spark, d)).select(*_FUSED, _r("rrf_score", 9), "fusion_rank")
+
+
+def fuse_legacy_merge(spark, d):
+    return fusion.legacy_merge(*_two_lists(spark, d)).select(*_FUSED, "merge_rank")
+
+
+def _reranked(spark, d, k=50):
+    fused = fusion.fuse_rrf(*_two_lists(spark, d))
+    return ranking.rerank(pipelines.with_texts(fused, queries(spark, d), docs(spark, d)), ranking.coverage_scorer, k)
+
+
+def rerank_topk(spark, d):
+    return _reranked(spark, d).select("query_id", "doc_index", _r("rerank_score"), "rerank_rank", "rerank_position")
+
+
+def risk_penalty_rank(spark, d):
+    """A deterministic risk output stands in for the model: its topic risk falls with the share of terms covered."""
+    best = _reranked(spark, d).withColumn("sub_queries", F.array("query_text")).withColumn("risk_raw", F.concat(F.lit('<think>a {draft}</think>{"topic_mismatch_risk": "'), F.round(1 - F.col("rerank_score"), 4).cast("string"), F.lit('", "shallow_answer_risk": '), (F.col("fusion_rank") % 7).cast("string"), F.lit("}")))
+    return ranking.final_order(ranking.apply_risk(best), 30).select("query_id", "doc_index", _r("risk"), "risk_parse_ok", _r("final_score"), "final_rank")
+
+
+def risk_parse(spark, d):
+    """Texts that are no JSON fail to parse, and count as no risk."""
+    return with_parsed_risk(_read(spark, d, "documents"), "text").select("doc_id", "risk", "risk_parse_ok")
+
+
+def minmax_softmax(spark, d):
+    near = dense.dense_top_k(vector_queries(spark, d), vectors(spark, d), K_DENSE)
+    return dense.min_max_softmax(near, "dense_score", "p", 2.0).select("query_id", "doc_index", _r("p", 9))
+
+
+def refit_results(spark, d):
+    q, x = vector_queries(spark, d), vectors(spark, d)
+    first = dense.dense_top_k(q, x, K_DENSE).withColumn("score", 1.0 / F.col("dense_rank"))
+    return pipelines.feedback_retrieval(q, x, first.select("query_id", "doc_index", "score"), K_DENSE, 30).select("query_id", "doc_index", _r("refit_score"), "refit_rank", "first_dense_rank")
+
+
+def refit_debug(spark, d):
+    q, x = vector_queries(spark, d), vectors(spark, d)
+    first = dense.dense_top_k(q, x, K_DENSE).withColumn("score", 1.0 / F.col("dense_rank"))
+    return feedback.vector_debug(q, feedback.refit(q, first, x)).select("query_id", _r("norm_before"), _r("norm_after"), _r("shift_l2"))
+
+
+def _lists(spark, d):
+    lexical, other = _two_lists(spark, d)
+    a = lexical.select("query_id", F.lit("original").alias("list_label"), "doc_index", F.col("bm25_rank").alias("rank"))
+    return a.unionByName(other.select("query_id", F.lit("terms").alias("list_label"), "doc_index", F.col("dense_rank").alias("rank")))
+
+
+def gff_fuse(spark, d):
+    return fusion.gff_fuse(_lists(spark, d)).select("query_id", "doc_index", _r("gff_score", 9), "gff_rank")
+
+
+def gff_contributions(spark, d):
+    return fusion.gff_contributions(_lists(spark, d)).select("query_id", "list_label", "doc_index", "rank", _r("weight", 9), _r("contribution", 9))
+
+
+def _keywords(spark, d):
+    """Each conversation is a query (its first turn), each assistant turn a passage, and its words are the keywords."""
+    turns = _read(spark, d, "conversations").where("role = 'assistant'")
+    words = turns.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("passage"), F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("w", "keyword"))
+    return words.select("query_id", "passage", (F.col("passage") * 1_000_000 + F.col("w")).alias("pos"), "keyword")
+
+
+def _conversation_queries(spark, d):
+    return _read(spark, d, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("text"))
+
+
+def keyword_frequency(spark, d):
+    return expansion.keyword_frequency(_keywords(spark, d)).select("query_id", "canon", "frequency", "keyword")
+
+
+def keyword_select(spark, d):
+    return expansion.select_keywords(expansion.keyword_frequency(_keywords(spark, d)), _conversation_queries(spark, d)).select("query_id", "keyword", "frequency", "keyword_rank")
+
+
+def expand_queries(spark, d):
+    q = _conversation_queries(spark, d)
+    chosen = expansion.select_keywords(expansion.keyword_frequency(_keywords(spark, d)), q)
+    return expansion.expand_queries(q, chosen).select("query_id", "keyword_rank", F.sha2("expanded_query", 256).alias("expanded_sha256"))
+
+
+def _judged(spark, d):
+    q = queries(spark, d)
+    results = bm25_topk(spark, d).select("query_id", F.col("doc_index").alias("doc_id"), F.col("bm25_rank").alias("rank"))
+    return results, q.select("query_id").crossJoin(F.broadcast(grades(spark, d)))
+
+
+def eval_masked_ranks(spark, d):
+    return evaluation.masked(*_judged(spark, d)).select("query_id", "doc_id", "rank", "scored_rank", "relevance")
+
+
+def eval_per_query(spark, d):
+    e = evaluation.evaluate(*_judged(spark, d))
+    return e.select(*(_r(c, 9) if c == "mrr" or c.startswith(("map_", "ndcg_")) else c for c in e.columns))
+
+
+def eval_aggregate(spark, d):
+    e = evaluation.aggregate(evaluation.evaluate(*_judged(spark, d)))
+    return e.select(*(_r(c, 9) for c in e.columns))
+
+
+def output_envelope(spark, d):
+    best = _reranked(spark, d, 30)
+    nested = pipelines.envelope(best, queries(spark, d), ["doc_index"], "rerank_position", rrf_k=60)
+    return nested.select("query_id", "result_count", "rrf_k", F.array_join(F.transform("results", lambda r: r["doc_index"].cast("string")), ",").alias("doc_indexes"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid candidates by reciprocal ranks, reranked, with their texts' lengths."""
+    return _reranked(spark, d, 30).select("query_id", "doc_index", "rerank_position", _r("rerank_score"), _r("rrf_score", 9), F.length("doc_text").alias("n_chars"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        normalize_text, tokenize_terms, term_df_idf, term_df_idf_classic, doc_length_stats, bm25_topk, bm25_topk_padded, qa_pairs, dense_topk, vector_norms, fuse_union, fuse_rrf, fuse_legacy_merge, rerank_topk,
+        risk_parse, risk_penalty_rank, minmax_softmax, refit_results, refit_debug, gff_fuse, gff_contributions, keyword_frequency, keyword_select, expand_queries, eval_masked_ranks, eval_per_query, eval_aggregate, output_envelope,
+    )
+}
+
+_NORMAL = r"trim(regexp_replace({0}, '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+
+
+def _normal(c: str) -> str:
+    return _NORMAL.format(c)
+
+
+def _tokens(c: str) -> str:
+    return rf"regexp_extract_all(lower({_normal(f'''coalesce({c}, '')''')}), '[a-z0-9]+|[\x{{4e00}}-\x{{9fff}}]+|[\p{{L}}\p{{N}}]')"
+
+
+_INDEX = f"""
+tok AS MATERIALIZED (SELECT doc_id AS doc_index, {_tokens('text')} AS w FROM documents),
+corpus AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
+post AS MATERIALIZED (SELECT doc_index, dl, term, count(*) AS tf FROM (SELECT doc_index, len(w) AS dl, unnest(w) AS term FROM tok) GROUP BY ALL),
+terms AS (SELECT term, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS classic FROM post, corpus GROUP BY term),
+qt AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('text')}) AS term FROM benchmark)"""
+
+_BM25 = f"""{_INDEX},
+sc AS (SELECT query_id, doc_index, sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS s FROM qt JOIN terms USING (term) JOIN post USING (term), corpus GROUP BY ALL),
+lex AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_index, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 8) DESC, doc_index) AS bm25_rank FROM sc) WHERE bm25_rank <= {K_BM25})"""
+
+_PAIR = f"""{_BM25},
+hits AS (SELECT query_id, doc_index, count(*) AS s FROM qt JOIN post USING (term) GROUP BY ALL),
+oth AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_index, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_index) AS dense_rank FROM hits) WHERE dense_rank <= {K_BM25}),
+two AS (SELECT query_id, doc_index, bm25_rank, dense_rank, least(coalesce(bm25_rank, 1000000000), coalesce(dense_rank, 1000000000)) AS seed FROM lex FULL JOIN oth USING (query_id, doc_index)),
+fused AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, seed, coalesce(dense_rank, 1000000000), coalesce(bm25_rank, 1000000000), doc_index) AS fusion_rank
+  FROM (SELECT *, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + dense_rank), 0) AS rrf FROM two))"""
+
+_RERANK = f"""{_PAIR},
+qset AS (SELECT query_id, list(term) AS q FROM qt GROUP BY query_id),
+cov AS (SELECT f.*, len(list_intersect(q, list_distinct(w)))::DOUBLE / len(q) AS cover FROM fused f JOIN qset USING (query_id) JOIN tok USING (doc_index)),
+best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cover, 8) DESC, fusion_rank) AS pos FROM cov) WHERE pos <= 50)"""
+
+_DENSE = f"""
+near AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_index, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 8) DESC, doc_index) AS dense_rank
+  FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_index, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE dense_rank <= {K_DENSE})"""
+
+_GFF = f"""{_PAIR},
+lists AS (SELECT query_id, 'original' AS list_label, doc_index, bm25_rank AS rank FROM lex UNION ALL SELECT query_id, 'terms', doc_index, dense_rank FROM oth),
+wt AS (SELECT o.query_id, 'terms' AS list_label, 1.0::DOUBLE / (60 + o.dense_rank) AS weight FROM oth o JOIN lex l ON o.query_id = l.query_id AND o.doc_index = l.doc_index WHERE l.bm25_rank = 1
+  UNION ALL SELECT DISTINCT query_id, 'original', 0.3::DOUBLE FROM lists),
+con AS (SELECT query_id, list_label, doc_index, rank, weight, weight / (60 + rank) AS c FROM lists JOIN wt USING (query_id, list_label))"""
+
+_KEYWORDS = f"""
+kw AS (SELECT conv_id AS query_id, turn AS passage, turn * 1000000 + i - 1 AS pos, w[i] AS keyword FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]{{4,}}') AS w FROM conversations WHERE role = 'assistant'), unnest(range(1, len(w) + 1)) AS t(i)),
+freq AS (SELECT query_id, lower(keyword) AS canon, count(DISTINCT passage) AS frequency, arg_min(keyword, pos) AS keyword FROM kw GROUP BY ALL),
+cq AS (SELECT conv_id AS query_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id),
+chosen AS (SELECT * FROM (SELECT f.*, cq.text, row_number() OVER (PARTITION BY f.query_id ORDER BY frequency DESC, keyword) AS keyword_rank FROM freq f JOIN cq USING (query_id)
+  WHERE NOT contains(regexp_replace(lower(regexp_replace({_normal('cq.text')}, '^[.,!?;:]+', '')), '[.,!?;:]+$', ''), canon)) WHERE keyword_rank <= 3)"""
+_KEYWORDS = _KEYWORDS.replace("lower(keyword) AS canon, count(DISTINCT passage) AS frequency, arg_min(keyword, pos) AS keyword FROM kw GROUP BY ALL", "lower(k.keyword) AS canon, count(DISTINCT passage) AS frequency, arg_min(k.keyword, pos) AS keyword FROM kw k GROUP BY query_id, lower(k.keyword)")
+
+_EVAL = f"""{_BM25},
+grade AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 2 WHEN quality = 1 THEN 1 ELSE 0 END AS relevance FROM labels),
+mask AS (SELECT query_id, doc_id, bm25_rank AS rank, relevance, row_number() OVER (PARTITION BY query_id ORDER BY bm25_rank) AS scored_rank FROM lex JOIN grade ON doc_index = doc_id),
+run AS (SELECT *, (relevance >= 2)::INT AS hit, sum((relevance >= 2)::INT) OVER (PARTITION BY query_id ORDER BY scored_rank) AS hits, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, scored_rank) AS ideal_rank FROM mask),
+tot AS (SELECT count(*) AS known, count(*) FILTER (relevance >= 2) AS rel FROM grade),
+per AS (SELECT l.query_id, any_value(known) AS annotated_doc_count, any_value(rel) AS annotated_relevant_doc_count, any_value(l.n) AS retrieved_doc_count, count(r.rank) AS scored_doc_count, min(r.rank) AS first_scored_doc_original_rank,
+  coalesce(1.0::DOUBLE / min(r.scored_rank) FILTER (hit = 1), 0) AS mrr, {', '.join(f'''
+  coalesce(sum(hit * hits::DOUBLE / scored_rank) FILTER (scored_rank <= {k}), 0) / greatest(least(any_value(rel), {k}), 1) AS map_{k},
+  coalesce(sum((2 ** relevance - 1) / log2(scored_rank + 1)) FILTER (scored_rank <= {k}) / nullif(sum((2 ** relevance - 1) / log2(ideal_rank + 1)) FILTER (ideal_rank <= {k}), 0), 0) AS ndcg_{k},
+  count(*) FILTER (hit = 1 AND scored_rank <= {k}) AS scored_hits_{k}, count(*) FILTER (scored_rank <= {k}) AS scored_docs_{k}''' for k in (10, 30))}
+  FROM (SELECT query_id, count(*) AS n FROM lex GROUP BY query_id) l LEFT JOIN run r USING (query_id), tot GROUP BY l.query_id)"""
+_METRICS = ["mrr", "map_10", "ndcg_10", "map_30", "ndcg_30"]
+
+ORACLE_SQL = {
+    "normalize_text": f"SELECT doc_id, sha256({_normal('text')}) AS normal_sha256, length({_normal('text')}) AS n FROM documents",
+    "tokenize_terms": f"WITH {_INDEX} SELECT doc_index, len(w) AS n_tokens, sha256(array_to_string(w, ' ')) AS tokens_sha256 FROM tok",
+    "term_df_idf": f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms",
+    "term_df_idf_classic": f"WITH {_INDEX} SELECT term, df, round(classic, 6) AS idf FROM terms",
+    "doc_length_stats": f"WITH {_INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM corpus",
+    "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_index, round(s, 6) AS bm25_score, bm25_rank FROM lex",
+    "bm25_topk_padded": f"WITH {_BM25}, every AS (SELECT b.item_id AS query_id, d.doc_id AS doc_index, coalesce(sc.s, 0) AS s FROM benchmark b CROSS JOIN documents d LEFT JOIN sc ON sc.query_id = b.item_id AND sc.doc_index = d.doc_id) SELECT query_id, doc_index, round(s, 6) AS bm25_score, bm25_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 8) DESC, doc_index) AS bm25_rank FROM every) WHERE bm25_rank <= {K_BM25}",
+    "qa_pairs": f"SELECT conv_id, turn, sha256({_normal(f'''concat({_normal('text')}, ' ', {_normal('answer')})''')}) AS text_sha256, length(concat('Question: ', {_normal('text')}, chr(10), 'Answer: ', {_normal('answer')})) AS labelled_length FROM (SELECT *, lead(role) OVER w AS next_role, coalesce(lead(text) OVER w, '') AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'",
+    "dense_topk": f"WITH {_DENSE} SELECT query_id, doc_index, round(s, 6) AS dense_score, dense_rank FROM near",
+    "vector_norms": "SELECT vec_id AS doc_index, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
+    "fuse_union": f"WITH {_PAIR} SELECT query_id, doc_index, bm25_rank, dense_rank, concat_ws(',', CASE WHEN bm25_rank IS NOT NULL THEN 'bm25' END, CASE WHEN dense_rank IS NOT NULL THEN 'dense' END) AS sources, row_number() OVER (PARTITION BY query_id ORDER BY seed, coalesce(dense_rank, 1000000000), coalesce(bm25_rank, 1000000000), doc_index) AS fusion_rank FROM two",
+    "fuse_rrf": f"WITH {_PAIR} SELECT query_id, doc_index, bm25_rank, dense_rank, round(rrf, 9) AS rrf_score, fusion_rank FROM fused",
+    "fuse_legacy_merge": f"WITH {_PAIR} SELECT query_id, doc_index, bm25_rank, dense_rank, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(bm25_rank, 1000000000), dense_rank) AS merge_rank FROM two",
+    "rerank_topk": f"WITH {_RERANK} SELECT query_id, doc_index, round(cover, 6) AS rerank_score, fusion_rank AS rerank_rank, pos AS rerank_position FROM best",
+    "risk_parse": "SELECT doc_id, 0.0::DOUBLE AS risk, false AS risk_parse_ok FROM documents",
+    "risk_penalty_rank": f"WITH {_RERANK}, risked AS (SELECT *, 0.3::DOUBLE * round(1 - cover, 4) + 0.15::DOUBLE * least(1, fusion_rank % 7) AS risk FROM best), fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cover - 0.1::DOUBLE * risk, 8) DESC, round(cover, 8) DESC, fusion_rank, doc_index) AS final_rank FROM risked) SELECT query_id, doc_index, round(risk, 6) AS risk, true AS risk_parse_ok, round(cover - 0.1::DOUBLE * risk, 6) AS final_score, final_rank FROM fin WHERE final_rank <= 30",
+    "minmax_softmax": f"WITH {_DENSE}, z AS (SELECT *, exp((s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) / 2.0) AS e FROM near WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_index, round(e / sum(e) OVER (PARTITION BY query_id), 9) AS p FROM z",
+    "gff_fuse": f"WITH {_GFF}, s AS (SELECT query_id, doc_index, sum(c) AS g, min(CASE WHEN list_label = 'original' THEN rank END) AS o FROM con GROUP BY ALL) SELECT query_id, doc_index, round(g, 9) AS gff_score, row_number() OVER (PARTITION BY query_id ORDER BY round(g, 12) DESC, coalesce(o, 1000000000), doc_index) AS gff_rank FROM s",
+    "gff_contributions": f"WITH {_GFF} SELECT query_id, list_label, doc_index, rank, round(weight, 9) AS weight, round(c, 9) AS contribution FROM con",
+    "keyword_frequency": f"WITH {_KEYWORDS} SELECT query_id, canon, frequency, keyword FROM freq",
+    "keyword_select": f"WITH {_KEYWORDS} SELECT query_id, keyword, frequency, keyword_rank FROM chosen",
+    "expand_queries": f"WITH {_KEYWORDS} SELECT query_id, keyword_rank, sha256({_normal('''concat(text, ' ', keyword)''')}) AS expanded_sha256 FROM chosen WHERE length(keyword) < 80",
+    "eval_masked_ranks": f"WITH {_EVAL} SELECT query_id, doc_id, rank, scored_rank, relevance FROM mask",
+    "eval_per_query": f"WITH {_EVAL} SELECT query_id, annotated_doc_count, annotated_relevant_doc_count, retrieved_doc_count, scored_doc_count, first_scored_doc_original_rank, {', '.join(f'round({m}, 9) AS {m}' for m in _METRICS)}, {', '.join(f'scored_{x}_{k}' for k in (10, 30) for x in ('hits', 'docs'))} FROM per",
+    "eval_aggregate": f"WITH {_EVAL} SELECT {', '.join(f'round(avg({m}), 9) AS {m}' for m in _METRICS)} FROM per",
+    "output_envelope": f"WITH {_RERANK} SELECT query_id, count(*) AS result_count, 60 AS rrf_k, string_agg(doc_index::VARCHAR, ',' ORDER BY pos) AS doc_indexes FROM best WHERE pos <= 30 GROUP BY query_id",
+}
