@@ -158,7 +158,9 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, bl
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    joined = every.groupBy("row_key", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("a"), F.get("spans", i + 1).alias("b")))).alias("x"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("spans") - 2, F.lit(0)), F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("a"), F.get("spans", i + 1).alias("b")))
+    pairs = F.filter(pairs, lambda x: x["a"].isNotNull())
+    joined = every.groupBy("row_key", "doc_id", "n_words").agg(F.flatten(F.collect_list(pairs)).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     # runs of different blocks may touch
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -150,7 +150,8 @@ class Model:
                 seen[row, of(runs_)] = n
                 kept, kinds = seen.sum(1), (seen > 0).sum(1)
                 if j:
-                    whole = edges[j][1][np.searchsorted(edges[j][0], context)]
+                    upper, upper_n = edges.get(j, none)
+                    whole = upper_n[np.searchsorted(upper, context)]
                     suffix = np.searchsorted(contexts[j - 1], context & np.uint64((1 << 8 * (j - 1)) - 1)) if j > 1 else np.zeros(len(context), np.int64)
                 else:
                     whole = np.array([total])
