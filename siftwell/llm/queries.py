@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, html_text, ppm, sharding, simhash, token_output, toxicity
+from . import bpe, decontamination, exact_dedup, html_text, ppm, sharding, simhash, token_output, tool_calls, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
+    "op6_tool_calls": tool_calls.op6_tool_calls,
     "op7_html_text": html_text.op7_html_text,
     "op8_lm_scoring": ppm.op8_lm_scoring,
     "op9_sharding": sharding.op9_sharding,
