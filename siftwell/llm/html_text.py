@@ -194,10 +194,10 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_part: float
                 whole = int.from_bytes(whole, "big", signed=True)
                 rows.append((key, host, whole, 0, whole))
                 rows += [(key, host, whole, n, int.from_bytes(h, "big", signed=True)) for n, h in rest]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["row_key", "host", "page", "node", "hash"])
 
-    found = scratch(keyed.select("row_key", host_of(F.col("url")).alias("host"), "html").mapInArrow(hashes, "row_key long, host string, page long, node int, hash long"), "subtrees")
+    found = scratch(keyed.select("row_key", F.xxhash64(host_of(F.col("url"))).alias("host"), "html").mapInArrow(hashes, "row_key long, host long, page long, node int, hash long"), "subtrees")
     hosts = found.where("node = 0").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counts = found.where("node > 0").select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     template = counts.join(hosts, "host").where(F.col("n") >= F.col("pages") * least_part).select("host", "hash")
