@@ -40,9 +40,19 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fix_splits(spark: SparkSession) -> None:
+    """Make every scan of a table be split alike, whatever executors come and go.
+
+    A row's place in the scan serves as its key across jobs; unless told, Spark splits by the cores it has just now.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Bound what one Arrow batch may hold, since single texts can be very long; ready the executors' Python."""
     ship_package(spark)
+    fix_splits(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
