@@ -26,26 +26,38 @@ CHUNK, OVERLAP = 32_768, 1_024
 #: Boundaries so near to a window's end aren't sure: what follows could still change them.
 GUARD = 16
 
-_ranks: dict[str, tuple[PieceIds, list[bytes]]] = {}
+_coders: dict[str, PieceIds] = {}
+_tables: dict[str, tuple[list[bytes], np.ndarray]] = {}
 
 
-def rank_coder(path: str) -> tuple[PieceIds, list[bytes]]:
-    """Encoder of pre-tokens by a rank file, and the bytes of each id."""
-    if path not in _ranks:
-        import base64
+def read_ranks(path: str) -> dict[bytes, int]:
+    import base64
 
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def rank_coder(path: str) -> PieceIds:
+    """Encoder of pre-tokens by a rank file."""
+    if path not in _coders:
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        table = [b""] * (max(ranks.values()) + 1)
-        for k, v in ranks.items():
-            table[v] = k
+        enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
         one = enc._core_bpe.encode_single_piece
-        _ranks[path] = PieceIds(lambda pieces: [array("I", one(p)).tobytes() for p in pieces]), table
-    return _ranks[path]
+        _coders[path] = PieceIds(lambda pieces: [array("I", one(p)).tobytes() for p in pieces])
+    return _coders[path]
+
+
+def id_tables(path: str) -> tuple[list[bytes], np.ndarray]:
+    """The bytes of each id, and its decimal name. Decoding needs no encoder, which would hold memory."""
+    if path not in _tables:
+        ranks = read_ranks(path)
+        raw = [b""] * (max(ranks.values()) + 1)
+        for k, v in ranks.items():
+            raw[v] = k
+        _tables[path] = raw, np.array([str(i) for i in range(len(raw))], object)
+    return _tables[path]
 
 
 def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
@@ -98,9 +110,8 @@ def stitch(parts: list[Window], coder: PieceIds) -> np.ndarray:
     return np.concatenate(out)
 
 
-def digests(ids: np.ndarray, counts: np.ndarray, table: list[bytes]) -> tuple[list[str], list[str]]:
+def digests(ids: np.ndarray, counts: np.ndarray, table: list[bytes], decimal: np.ndarray) -> tuple[list[str], list[str]]:
     """Per text: sha256 of the decimal ids joined by a space, and of the decoded bytes."""
-    decimal = np.array([str(i) for i in range(len(table))], object)
     names, ends, coded, raw = decimal[ids].tolist(), np.cumsum(counts).tolist(), [], []
     lo = 0
     for hi in ends:
@@ -126,7 +137,7 @@ def bpe_encode(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = O
     long = F.octet_length("text") > chunk
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, _ = rank_coder(ranks)
+        coder = rank_coder(ranks)
         for batch in batches:
             for lo, hi, off, data in slices(batch.column("text")):
                 begins, first = boundaries(data, off)
@@ -152,7 +163,7 @@ def bpe_encode(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = O
                 yield pa.RecordBatch.from_arrays([pa.array([key] * k), pa.array([doc] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([a for a, _ in cuts]), pa.array([b == len(text) for _, b in cuts]), pa.array([text[a:b].tobytes() for a, b in cuts], pa.binary())], ["row_key", "doc_id", "chunk", "begin", "final", "data"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, _ = rank_coder(ranks)
+        coder = rank_coder(ranks)
         for batch in batches:
             begins, ids, counts = [], [], []
             for data in batch.column("data"):
@@ -163,7 +174,7 @@ def bpe_encode(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = O
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.binary()) for x in (begins, ids, counts))], [*batch.schema.names, "begins", "ids", "counts"])
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        coder, _ = rank_coder(ranks)
+        coder = rank_coder(ranks)
         rows = rows.sort_values("chunk")
         parts = [Window(int(r.begin), np.frombuffer(r.data, np.uint8), bool(r.final), np.frombuffer(r.begins, "<i8"), np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<i8")) for r in rows.itertuples()]
         ids = stitch(parts, coder)
@@ -178,10 +189,10 @@ def bpe_digests(encoded: DataFrame, ranks: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded texts."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = rank_coder(ranks)
+        table, decimal = id_tables(ranks)
         for batch in batches:
             for lo, hi, off, data in slices(batch.column("ids")):
-                coded, raw = digests(np.frombuffer(data.tobytes(), "<u4"), np.diff(off) // 4, table)
+                coded, raw = digests(np.frombuffer(data.tobytes(), "<u4"), np.diff(off) // 4, table, decimal)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("n_tokens").slice(lo, hi - lo), pa.array(coded), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -191,7 +202,7 @@ def bpe_decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """row_key, doc_id and the decoded bytes."""
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = rank_coder(ranks)
+        table, _ = id_tables(ranks)
         for batch in batches:
             raw = [decode(np.frombuffer(x.as_py() or b"", "<u4"), table) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(raw, pa.binary())], ["row_key", "doc_id", "data"])

@@ -14,7 +14,7 @@ from ..shipping import ship_package
 
 #: Rows of one Arrow batch, and bytes of text that one numpy step works on.
 BATCH_ROWS = 1000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
