@@ -69,17 +69,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: floa
     if not 0 < positive < len(labels):
         share = float(labels.mean()) if len(labels) else 0.0
         return Machine(np.zeros(0, np.int64), 30.0 if share == 1 else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    which = np.repeat(labels, sizes)
-    n1 = np.bincount(flat[which == 1], minlength=BUCKETS).astype(np.float64)
-    n0 = np.bincount(flat[which == 0], minlength=BUCKETS).astype(np.float64)
+    n0, n1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r, label in zip(rows, labels, strict=True):  # a row has no bucket twice
+        (n1 if label else n0)[r] += 1
     negative = len(labels) - positive
     odds = np.log((n1 + 0.5) / (positive - n1 + 0.5)) - np.log((n0 + 0.5) / (negative - n0 + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
     z[n1 + n0 == 0] = 0
     used = np.argsort(-z, kind="stable")[:USED]
     used = np.sort(used[z[used] > 2])
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
     inputs = [p[p >= 0] for p in (place[r] for r in rows)]
     rng = np.random.default_rng(seed)
@@ -126,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, rows: int = SAMPLE_R
 
     picked = with_key(docs).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
     got = picked.mapInArrow(terms, "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.max(F.struct("toxic", "buckets")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
-    return fit([np.frombuffer(b, np.int32) for b in got.column("buckets").to_pylist()], got.column("toxic").to_numpy())
+    rows = [np.frombuffer(b.as_buffer(), np.int32) for b in got.column("buckets")]  # views, no copies
+    return fit(rows, got.column("toxic").to_numpy())
 
 
 def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -157,8 +157,6 @@ def without_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
     return docs.mapInArrow(clean, docs.schema)
 
 
-
-
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     machine = train(docs, read(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
