@@ -28,9 +28,11 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the least doc_id stays."""
-    near = simhash.near_duplicates(docs, shingle=NEAR_WORDS, radius=NEAR_RADIUS)
-    return _only(docs, near.where("row_key = keep_row"))
+    """Of near copies, a Jaccard similarity of five-word shingles of 0.8 or more, the row with the least doc_id stays."""
+    near = simhash.near_duplicates(docs, shingle=CANDIDATE_WORDS, radius=CANDIDATE_RADIUS)
+    gone = simhash.confirmed_copies(docs, near).select(F.col("row_key").alias("__row_key"))
+    keyed = docs.withColumn("__row_key", F.monotonically_increasing_id())
+    return keyed.join(gone, "__row_key", "left_anti").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(bpe.bpe_encode(docs, ranks), ranks)
 
 
-NEAR_WORDS, NEAR_RADIUS = 5, 3
+#: Candidates by SimHash of two-word shingles: an edit changes fewer of them, so copies differ in fewer bits.
+CANDIDATE_WORDS, CANDIDATE_RADIUS = 2, 6
 
 STAGES = [
     ("toxicity", remove_toxic),

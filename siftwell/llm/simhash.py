@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, buffers, read, scratch, with_key
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
+#: Two texts are copies if their shingles of so many words have this Jaccard similarity; rounds of comparing.
+CONFIRM_WORDS, CONFIRM_LEAST, CONFIRM_ROUNDS = 5, 0.8, 4
 #: A bucket of more fingerprints is dealt out again by a second covering of the bits that its key leaves out.
 BUCKET = 8192
 
@@ -150,8 +152,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     """
     spark = distinct.sparkSession
     masks = covering(radius, list(range(64)))
-    table = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks))))
-    dealt = distinct.select("fp", table.alias("x")).select("x.t", "x.key", "fp")
+    tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("m")) for t, m in enumerate(masks))))  # a constant
+    dealt = distinct.select("fp", tables.alias("x")).select("x.t", F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
     sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     large = [r["n"] for r in sizes.where(F.col("n") > bucket).limit(1).collect()]
     if not large:
@@ -206,6 +208,53 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int =
     return rows.join(label, "fp").select("row_key", "doc_id", "fp", "component_id", "keep_row")
 
 
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles; a text of fewer words has one, of all of them, and an empty one none."""
+    from xxhash import xxh64_intdigest
+
+    w = text.lower().split()
+    n = max(1, len(w) - shingle + 1) if w else 0
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(w[k : k + shingle]), SEED) for k in range(n)), np.uint64, n)).view(np.int64)
+
+
+def confirmed_copies(docs: DataFrame, near: DataFrame, shingle: int = CONFIRM_WORDS, least: float = CONFIRM_LEAST, rounds: int = CONFIRM_ROUNDS) -> DataFrame:
+    """row_key of the rows to drop: those whose word shingles have a Jaccard similarity of least or more with a kept row.
+
+    near is near_duplicates(docs); its components are the candidates. Each round the row of a component that has the
+    least doc_id (a null one last) stays, those like it go, and the others go on to the next round; what no round's
+    row is like stays. Two texts without words are alike. Only texts of components of several rows are compared. The
+    joins are with written tables, so Spark broadcasts one side where its size on disk is below its threshold.
+    """
+    arrow_limits(docs.sparkSession)
+    near = scratch(near.select("row_key", F.col("keep_row").alias("part")), "near-rows")
+    several = near.where("row_key <> part").select("part").distinct()
+    members = scratch(near.join(several, "part", "left_semi").select("row_key", "part"), "near-members")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, data = buffers(batch.column("text"))
+            raw, off = data.tobytes(), off.tolist()
+            found = [shingle_hashes(raw[a:b], shingle) for a, b in zip(off, off[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "row_key")), pa.array(found, pa.list_(pa.int64()))], ["part", "doc_id", "row_key", "hashes"])
+
+    left = scratch(with_key(docs).join(members, "row_key").select("part", "doc_id", "row_key", "text").mapInArrow(hashes, "part long, doc_id long, row_key long, hashes array<long>"), "near-shingles")
+    gone = []
+    for _ in range(rounds):
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "hashes"))
+        stays = left.groupBy("part").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("part", F.col("first.row_key").alias("stays"), F.col("first.hashes").alias("other"))
+        both = F.size(F.array_intersect("hashes", "other"))
+        alike = both >= (F.size("hashes") + F.size("other") - both) * least
+        judged = scratch(left.join(stays, "part").where("row_key <> stays").select("part", "doc_id", "row_key", "hashes", alike.alias("alike")), "near-judged")
+        gone.append(judged.where("alike").select("row_key"))
+        if gone[-1].isEmpty():
+            break
+        left = judged.where("NOT alike").drop("alike")
+    every = gone[0]
+    for g in gone[1:]:
+        every = every.unionByName(g)
+    return scratch(every, "near-copies")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

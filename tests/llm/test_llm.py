@@ -183,6 +183,30 @@ def test_near_duplicates(spark):
     assert {r.component_id for r in tied} == {5} and len({r.keep_row for r in tied}) == 1
 
 
+def test_confirmed_copies(spark):
+    base = [f"w{i}" for i in range(300)]
+    half = [*base[:270], *(f"v{i}" for i in range(30))]
+    some = [*base[:150], "new", *base[151:]]
+    rows = [" ".join(base), " ".join(some), " ".join(half), None, "", "few words", "Few words", " ".join(half).upper()]
+    docs = table(spark, rows)
+    near = simhash.with_key(docs).select("row_key", "doc_id")
+    first = near.groupBy().agg({"row_key": "min"}).first()[0]
+    near = near.selectExpr("row_key", "doc_id", f"{first}L AS keep_row")  # all are candidates of one component
+    got = {r.row_key for r in simhash.confirmed_copies(docs, near).collect()}
+    left = {r.doc_id for r in simhash.with_key(docs).collect() if r.row_key not in got}
+
+    def jaccard(i, k):
+        a, b = (set(simhash.shingle_hashes((rows[x] or "").encode(), 5).tolist()) for x in (i, k))
+        return len(a & b) / len(a | b) if a | b else 1
+
+    want = []
+    for i in range(len(rows)):
+        if all(jaccard(i, k) < 0.8 for k in want):
+            want.append(i)
+    assert left == set(want) == {0, 3, 5} | ({2} if jaccard(0, 2) < 0.8 else set())
+    assert simhash.confirmed_copies(empty(spark), simhash.near_duplicates(empty(spark))).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body class="x"><nav><ul><li><a>Home</a></ul></nav>
 <div>Shared line</div><div class="cookie-banner">We use</div>%s<div id=comments>nice!</div><footer>&copy; me</footer></body></html>"""
 
