@@ -8,6 +8,7 @@ so in its table the key leaves these bits out and the two meet: no pair within t
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,10 +66,23 @@ def signed(x: int) -> int:
 
 
 def covering(radius: int, bits: list[int]) -> list[int]:
-    """Masks over the given bit positions: any radius of them are all left out by some mask."""
+    """Masks over the given bit positions: any radius of them are all left out by some mask.
+
+    That holds for any nonzero vectors. Where there are fewer bits than vectors, those are taken whose least mask is
+    largest, as a mask of few bits would make few, large buckets.
+    """
     size = (1 << (radius + 1)) - 1
-    vector = {b: k % size + 1 for k, b in enumerate(bits)}
-    return [sum(1 << b for b, u in vector.items() if (u & v).bit_count() % 2) for v in range(1, size + 1)]
+
+    def masks(vectors: list[int]) -> list[int]:
+        return [sum(1 << b for b, u in zip(bits, vectors, strict=True) if (u & v).bit_count() % 2) for v in range(1, size + 1)]
+
+    choices = [[k % size + 1 for k in range(len(bits))]]
+    if len(bits) < size:
+        rng = random.Random(SEED)
+        choices += [rng.sample(range(1, size + 1), len(bits)) for _ in range(8)]
+        if len(bits) == 1 << radius:  # all with the first bit set: each mask but one has half of the bits
+            choices.append([len(bits) + k for k in range(len(bits))])
+    return max(map(masks, choices), key=lambda ms: min(m.bit_count() for m in ms))
 
 
 def links_in(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

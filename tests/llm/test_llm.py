@@ -150,7 +150,7 @@ def brute_components(fps, radius):
 
 def test_covering_misses_no_pair():
     rng = random.Random(6)
-    for radius in (1, 2, 3):
+    for radius in (1, 2, 3, 6):
         masks = simhash.covering(radius, list(range(64)))
         for _ in range(500):
             bits = rng.sample(range(64), radius)
