@@ -40,9 +40,9 @@ def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
     last = ends[min(shingle, len(w)) - 1 :]
     votes = np.zeros(64, np.int64)
     step = 65_536
-    begins, last = begins[:n].tolist(), last[:n].tolist()
+    del w
     for k in range(0, n, step):
-        h = np.fromiter((xxh64_intdigest(whole[a:b], SEED) for a, b in zip(begins[k : k + step], last[k : k + step], strict=True)), np.uint64)
+        h = np.fromiter((xxh64_intdigest(whole[a:b], SEED) for a, b in zip(begins[k : min(k + step, n)].tolist(), last[k : k + step].tolist(), strict=True)), np.uint64)
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
