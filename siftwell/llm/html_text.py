@@ -191,17 +191,18 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_part: float
             rows = []
             for key, host, page in zip(*(batch.column(c).to_pylist() for c in ("row_key", "host", "html")), strict=True):
                 (_, whole), *rest = subtrees(parse(page))
-                whole = int.from_bytes(whole, "big", signed=True)
-                rows.append((key, host, whole, 0, whole))
-                rows += [(key, host, whole, n, int.from_bytes(h, "big", signed=True)) for n, h in rest]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["row_key", "host", "page", "node", "hash"])
-
-    found = scratch(keyed.select("row_key", F.xxhash64(host_of(F.col("url"))).alias("host"), "html").mapInArrow(hashes, "row_key long, host long, page long, node int, hash long"), "subtrees")
-    hosts = found.where("node = 0").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = found.where("node > 0").select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    template = counts.join(hosts, "host").where(F.col("n") >= F.col("pages") * least_part).select("host", "hash")
-    nodes = found.where("node > 0").join(template, ["host", "hash"], "left_semi").groupBy("row_key").agg(F.collect_set("node").alias("nodes"))
+                rows.append((key, host, int.from_bytes(whole, "big", signed=True) ^ host, [n for n, _ in rest], [int.from_bytes(h, "big", signed=True) ^ host for _, h in rest]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["row_key", "host", "page", "nodes", "keys"])
+
+    # page and keys are hashes of the host and the whole page or subtree
+    found = scratch(keyed.select("row_key", F.xxhash64(host_of(F.col("url"))).alias("host"), "html").mapInArrow(hashes, "row_key long, host long, page long, nodes array<int>, keys array<long>"), "subtrees")
+    different = found.groupBy("page").agg(F.first("host").alias("host"), F.first(F.array_distinct("keys")).alias("keys"))
+    hosts = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    counts = different.select("host", F.explode("keys").alias("key")).groupBy("key").agg(F.first("host").alias("host"), F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    template = counts.join(hosts, "host").where(F.col("n") >= F.col("pages") * least_part).select("key")
+    each = found.select("row_key", F.explode(F.arrays_zip("nodes", "keys")).alias("x")).select("row_key", F.col("x.nodes").alias("node"), F.col("x.keys").alias("key"))
+    nodes = each.join(template, "key", "left_semi").groupBy("row_key").agg(F.collect_set("node").alias("nodes"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
