@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Candidates by SimHash of two-word shingles: an edit changes fewer of them, so copies differ in fewer bits.
-CANDIDATE_WORDS, CANDIDATE_RADIUS = 2, 6
+CANDIDATE_WORDS, CANDIDATE_RADIUS = 2, 8
 
 STAGES = [
     ("toxicity", remove_toxic),

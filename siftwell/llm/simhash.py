@@ -8,6 +8,7 @@ so in its table the key leaves these bits out and the two meet: no pair within t
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Iterator
 
@@ -21,9 +22,9 @@ from .common import arrow_limits, buffers, read, scratch, with_key
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
 #: Two texts are copies if their shingles of so many words have this Jaccard similarity; rounds of comparing.
-CONFIRM_WORDS, CONFIRM_LEAST, CONFIRM_ROUNDS = 5, 0.8, 4
+CONFIRM_WORDS, CONFIRM_LEAST, CONFIRM_ROUNDS = 5, 0.8, 8
 #: A bucket of more fingerprints is dealt out again by a second covering of the bits that its key leaves out.
-BUCKET = 8192
+BUCKET = 32768
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
@@ -65,6 +66,27 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def field_norms() -> list[int]:
+    """The norm of each element of the field of 64 (modulus x^6 + x + 1) in its subfield of 8, as three coordinates."""
+
+    def times(a: int, b: int) -> int:
+        out = 0
+        for k in range(6):
+            out ^= (a << k) * (b >> k & 1)
+        for k in range(10, 5, -1):
+            out ^= (0b1000011 << k - 6) * (out >> k & 1)
+        return out
+
+    norms = []
+    for x in range(64):
+        y = x
+        for _ in range(3):
+            y = times(y, y)
+        norms.append(times(x, y))
+    pick = next(c for c in itertools.combinations(range(6), 3) if len({tuple(n >> k & 1 for k in c) for n in norms}) == 8)
+    return [sum((n >> k & 1) << i for i, k in enumerate(pick)) for n in norms]
+
+
 def covering(radius: int, bits: list[int]) -> list[int]:
     """Masks over the given bit positions: any radius of them are all left out by some mask.
 
@@ -82,6 +104,9 @@ def covering(radius: int, bits: list[int]) -> list[int]:
         choices += [rng.sample(range(1, size + 1), len(bits)) for _ in range(8)]
         if len(bits) == 1 << radius:  # all with the first bit set: each mask but one has half of the bits
             choices.append([len(bits) + k for k in range(len(bits))])
+        if len(bits) == 64 and 7 <= radius <= 9:  # besides, bits of the norm: each mask has 28 bits or more
+            norms = field_norms()
+            choices.append([1 << radius | k << radius - 6 | norms[k] >> 9 - radius for k in range(64)])
     return max(map(masks, choices), key=lambda ms: min(m.bit_count() for m in ms))
 
 
@@ -116,67 +141,81 @@ def link_groups(dealt: DataFrame, radius: int, keys: list[str]) -> DataFrame:
     return dealt.groupBy(*keys).applyInPandas(link, "a long, b long")
 
 
-def link_sorted(dealt: DataFrame, radius: int) -> DataFrame:
-    """As link_groups by (t, key), for many small groups: rows come sorted, and a task takes group after group."""
+def link_sorted(dealt: DataFrame, key, radius: int, bucket: int) -> DataFrame:
+    """As link_groups by t and key (a column of t and fp), for many small groups: a task takes group after group.
+
+    Rows come sorted. A group of more than bucket fingerprints isn't linked, but gives one row with large set, t in a
+    and the key in b; no more than that many fingerprints are held.
+    """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        def out(a: list[np.ndarray], b: list[np.ndarray], large: bool) -> pa.RecordBatch:
+            a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), large))], ["a", "b", "large"])
 
-        def close(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def close(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
             begins = np.concatenate([[0], edge, [len(t)]])
             sizes = np.diff(begins)
-            a, b = [], []
             two = begins[:-1][sizes == 2]  # pairs, all at once
-            if len(two):
-                near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-                a.append(fp[near])
-                b.append(fp[near + 1])
-            for k in np.flatnonzero(sizes > 2).tolist():
+            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+            a, b = [fp[near]], [fp[near + 1]]
+            for k in np.flatnonzero((sizes > 2) & (sizes <= bucket)).tolist():
                 x, y = links_in(fp[begins[k] : begins[k + 1]], radius)
                 a.append(x)
                 b.append(y)
-            a, b = (np.concatenate(v) if v else np.zeros(0, np.uint64) for v in (a, b))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            yield out(a, b, False)
+            many = begins[:-1][sizes > bucket]
+            if len(many):
+                yield out([t[many].astype(np.int64)], [key[many]], True)
 
+        held: tuple[np.ndarray, ...] = ()
+        over = None  # the group that goes on, too large to hold
         for batch in batches:
-            t, key, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "fp"))
-            if not len(t):
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "fp")]
+            if over:
+                skip = int(np.count_nonzero((now[0] == over[0]) & (now[1] == over[1])))
+                now = [x[skip:] for x in now]
+            if not len(now[0]):
                 continue
-            held.append((t.copy(), key.copy(), fp.view(np.uint64).copy()))
-            t, key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            if t[0] == t[-1] and key[0] == key[-1]:  # the group may go on
-                held = [(t, key, fp)]
-                continue
-            cut = int(np.flatnonzero((t != t[-1]) | (key != key[-1]))[-1]) + 1
-            held = [(t[cut:], key[cut:], fp[cut:])]
-            yield close(t[:cut], key[:cut], fp[:cut])
+            over = None
+            now[2] = now[2].view(np.uint64)
+            t, key, fp = (np.concatenate(x) for x in zip(held, now, strict=True)) if held else (x.copy() for x in now)
+            other = np.flatnonzero((t != t[-1]) | (key != key[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from close(t[:cut], key[:cut], fp[:cut])
+            held = (t[cut:], key[cut:], fp[cut:])
+            if len(t) - cut > bucket:
+                over = (t[-1], key[-1])
+                yield from close(*held)
+                held = ()
         if held:
-            yield close(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from close(*held)
 
-    return dealt.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "key", "fp").mapInArrow(link, "a long, b long")
+    return dealt.repartition("t", key).withColumn("key", key).sortWithinPartitions("t", "key").select("t", "key", "fp").mapInArrow(link, "a long, b long, large boolean")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between distinct fingerprints within the radius; every pair within it is connected by them.
 
     distinct has the column fp, without repeats, and stands in a table. Buckets that aren't too large are linked in one
-    task. A larger one is dealt out by a second covering, of the bits that its table's key leaves out; as some 14 bits
-    are left then, no group of it has more than 2 ** 14 fingerprints or so, whatever the corpus.
+    task, all by one shuffle of a table's number and a fingerprint. A larger one is dealt out by a second covering, of
+    the bits that its table's key leaves out; as some 14 bits are left then, no group of it has more than 2 ** 14
+    fingerprints or so, whatever the corpus.
     """
     spark = distinct.sparkSession
     masks = covering(radius, list(range(64)))
-    tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("m")) for t, m in enumerate(masks))))  # a constant
-    dealt = distinct.select("fp", tables.alias("x")).select("x.t", F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
-    sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    large = [r["n"] for r in sizes.where(F.col("n") > bucket).limit(1).collect()]
-    if not large:
-        return link_sorted(dealt, radius)
-    sizes = scratch(sizes, "bucket-sizes")
-    small = link_sorted(dealt.join(sizes.where(F.col("n") <= bucket).select("t", "key"), ["t", "key"], "left_semi"), radius)
+    constants = F.array(*(F.lit(signed(m)) for m in masks))
+    dealt = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"), "fp")
+    key = F.col("fp").bitwiseAND(F.get(constants, F.col("t")))
+    found = scratch(link_sorted(dealt, key, radius, bucket), "bucket-links")
+    small, large = found.where("NOT large").select("a", "b"), found.where("large").select(F.col("a").cast("int").alias("t"), F.col("b").alias("key"))
+    if large.isEmpty():
+        return small
     second = [(t, s, m2) for t, m in enumerate(masks) for s, m2 in enumerate(covering(radius, [b for b in range(64) if not m >> b & 1]))]
     again = spark.createDataFrame([(t, s, signed(m2)) for t, s, m2 in second], "t int, s int, m long")
-    hot = dealt.join(sizes.where(F.col("n") > bucket).select("t", "key"), ["t", "key"], "left_semi")
+    hot = dealt.withColumn("key", key).join(large, ["t", "key"], "left_semi")
     hot = hot.join(F.broadcast(again), "t").select("t", "key", "s", F.col("fp").bitwiseAND(F.col("m")).alias("key2"), "fp")
     return small.unionByName(link_groups(hot, radius, ["t", "key", "s", "key2"]))
 
@@ -231,13 +270,24 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(b" ".join(w[k : k + shingle]), SEED) for k in range(n)), np.uint64, n)).view(np.int64)
 
 
-def confirmed_copies(docs: DataFrame, near: DataFrame, shingle: int = CONFIRM_WORDS, least: float = CONFIRM_LEAST, rounds: int = CONFIRM_ROUNDS) -> DataFrame:
-    """row_key of the rows to drop: those whose word shingles have a Jaccard similarity of least or more with a kept row.
+def least_hash(hashes: np.ndarray, number: int) -> int:
+    """The least of the hashes, 0 for none, as the number-th mixing of their bits orders them."""
+    x = hashes.view(np.uint64) * np.uint64((2 * number + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return int(x.min(initial=np.uint64((1 << 64) - 1))) >> 1
+
 
-    near is near_duplicates(docs); its components are the candidates. Each round the row of a component that has the
-    least doc_id (a null one last) stays, those like it go, and the others go on to the next round; what no round's
-    row is like stays. Two texts without words are alike. Only texts of components of several rows are compared. The
-    joins are with written tables, so Spark broadcasts one side where its size on disk is below its threshold.
+def confirmed_copies(docs: DataFrame, near: DataFrame, shingle: int = CONFIRM_WORDS, least: float = CONFIRM_LEAST, rounds: int = CONFIRM_ROUNDS) -> DataFrame:
+    """row_key of the rows to drop: those whose word shingles have a Jaccard similarity of least or more with a row
+    that has a smaller doc_id (or a first place in the table, for equal ones; a null one is largest).
+
+    near is near_duplicates(docs); its components are the candidates. Each round groups the rows left of a component
+    and drops those that are like their group's first row: in the first round all of the component, then those with
+    the same least shingle, by another order of the shingles each round. Rows that are alike share it with a
+    probability of their similarity, so that a round misses one in five at 0.8, and seven rounds one in 78,000. A
+    dropped row is like one before it, so of a group of copies the first row always stays. Two texts without words are
+    alike. Only texts of components of several rows are compared. The joins are with written tables, so Spark
+    broadcasts one side where its size on disk is below its threshold.
     """
     arrow_limits(docs.sparkSession)
     near = scratch(near.select("row_key", F.col("keep_row").alias("part")), "near-rows")
@@ -249,24 +299,24 @@ def confirmed_copies(docs: DataFrame, near: DataFrame, shingle: int = CONFIRM_WO
             off, data = buffers(batch.column("text"))
             raw, off = data.tobytes(), off.tolist()
             found = [shingle_hashes(raw[a:b], shingle) for a, b in zip(off, off[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "row_key")), pa.array(found, pa.list_(pa.int64()))], ["part", "doc_id", "row_key", "hashes"])
-
-    left = scratch(with_key(docs).join(members, "row_key").select("part", "doc_id", "row_key", "text").mapInArrow(hashes, "part long, doc_id long, row_key long, hashes array<long>"), "near-shingles")
-    gone = []
-    for _ in range(rounds):
+            sigs = [[0] + [least_hash(h, k) for k in range(1, rounds)] for h in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "row_key")), pa.array(sigs, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["part", "doc_id", "row_key", "sigs", "hashes"])
+
+    kind = "part long, doc_id long, row_key long, sigs array<long>, hashes array<long>"
+    left = scratch(with_key(docs).join(members, "row_key").select("part", "doc_id", "row_key", "text").mapInArrow(hashes, kind), "near-shingles")
+    gone = members.select("row_key").where("false")
+    for k in range(rounds):
+        now = left.withColumn("sig", F.get("sigs", F.lit(k)))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "hashes"))
-        stays = left.groupBy("part").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("part", F.col("first.row_key").alias("stays"), F.col("first.hashes").alias("other"))
+        stays = now.groupBy("part", "sig").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("part", "sig", F.col("first.row_key").alias("first"), F.col("first.hashes").alias("other"))
         both = F.size(F.array_intersect("hashes", "other"))
         alike = both >= (F.size("hashes") + F.size("other") - both) * least
-        judged = scratch(left.join(stays, "part").where("row_key <> stays").select("part", "doc_id", "row_key", "hashes", alike.alias("alike")), "near-judged")
-        gone.append(judged.where("alike").select("row_key"))
-        if gone[-1].isEmpty():
-            break
-        left = judged.where("NOT alike").drop("alike")
-    every = gone[0]
-    for g in gone[1:]:
-        every = every.unionByName(g)
-    return scratch(every, "near-copies")
+        judged = now.join(stays, ["part", "sig"]).where("row_key <> first").where(alike).select("row_key")
+        judged = scratch(judged, "near-judged")
+        gone = gone.unionByName(judged)
+        if not k:  # most go here; later rounds may find a row again
+            left = scratch(left.join(judged, "row_key", "left_anti"), "near-left")
+    return scratch(gone.distinct(), "near-copies")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
