@@ -111,7 +111,10 @@ def covering(radius: int, bits: list[int]) -> list[int]:
 
 
 def links_in(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all of a bucket's fingerprints that chains of links within it connect: a spanning forest."""
+    """Of a bucket's sorted fingerprints, each but the least of those that chains of links connect, with that least one.
+
+    Buckets that hold the same fingerprints so give the same pairs, whatever links there are within them.
+    """
     rest = np.ones(len(fps), bool)
     left, right = [], []
     for seed in range(len(fps)):
@@ -124,7 +127,7 @@ def links_in(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             others = np.flatnonzero(rest[seed:]) + seed
             near = others[np.bitwise_count(fps[others] ^ fps[k]) <= radius]
             rest[near] = False
-            left += [k] * len(near)
+            left += [seed] * len(near)
             right += near.tolist()
             front += near.tolist()
     return fps[np.array(left, np.int64)], fps[np.array(right, np.int64)]
@@ -197,7 +200,7 @@ def link_sorted(dealt: DataFrame, key, radius: int, bucket: int) -> DataFrame:
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between distinct fingerprints within the radius; every pair within it is connected by them.
+    """Pairs (a, b) of distinct fingerprints that chains of links within the radius connect; all such chains are covered.
 
     distinct has the column fp, without repeats, and stands in a table. Buckets that aren't too large are linked in one
     task, all by one shuffle of a table's number and a fingerprint. A larger one is dealt out by a second covering, of
