@@ -28,7 +28,7 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, a Jaccard similarity of five-word shingles of 0.8 or more, the row with the least doc_id stays."""
+    """Of near copies, linked by a Jaccard similarity of five-word shingles of 0.8 or more, the row with the least doc_id stays."""
     near = simhash.near_duplicates(docs, shingle=CANDIDATE_WORDS, radius=CANDIDATE_RADIUS)
     gone = simhash.confirmed_copies(docs, near).select(F.col("row_key").alias("__row_key"))
     keyed = docs.withColumn("__row_key", F.monotonically_increasing_id())

@@ -280,17 +280,22 @@ def least_hash(hashes: np.ndarray, number: int) -> int:
     return int(x.min(initial=np.uint64((1 << 64) - 1))) >> 1
 
 
+def alike(a: str, b: str, least: float):
+    """Whether two columns of distinct hashes have a Jaccard similarity of least or more."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= (F.size(a) + F.size(b) - both) * least
+
+
 def confirmed_copies(docs: DataFrame, near: DataFrame, shingle: int = CONFIRM_WORDS, least: float = CONFIRM_LEAST, rounds: int = CONFIRM_ROUNDS) -> DataFrame:
-    """row_key of the rows to drop: those whose word shingles have a Jaccard similarity of least or more with a row
-    that has a smaller doc_id (or a first place in the table, for equal ones; a null one is largest).
-
-    near is near_duplicates(docs); its components are the candidates. Each round groups the rows left of a component
-    and drops those that are like their group's first row: in the first round all of the component, then those with
-    the same least shingle, by another order of the shingles each round. Rows that are alike share it with a
-    probability of their similarity, so that a round misses one in five at 0.8, and seven rounds one in 78,000. A
-    dropped row is like one before it, so of a group of copies the first row always stays. Two texts without words are
-    alike. Only texts of components of several rows are compared. The joins are with written tables, so Spark
-    broadcasts one side where its size on disk is below its threshold.
+    """row_key of the rows to drop: all but one of each group that chains of links connect, where a link is a Jaccard
+    similarity of word shingles of least or more. The row with the least doc_id stays (the first place in the table,
+    for equal ones; a null one is largest).
+
+    near is near_duplicates(docs); its components are the candidates. Each round groups the rows of a component and
+    compares them with their group's first row: in the first round all of the component, then those with the same
+    least shingle, by another order of the shingles each round. A row that is linked stays a partner for the others.
+    Two texts without words are alike. Only texts of components of several rows are compared. The joins are with
+    written tables, so Spark broadcasts one side where its size on disk is below its threshold.
     """
     arrow_limits(docs.sparkSession)
     near = scratch(near.select("row_key", F.col("keep_row").alias("part")), "near-rows")
@@ -306,20 +311,20 @@ def confirmed_copies(docs: DataFrame, near: DataFrame, shingle: int = CONFIRM_WO
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "row_key")), pa.array(sigs, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["part", "doc_id", "row_key", "sigs", "hashes"])
 
     kind = "part long, doc_id long, row_key long, sigs array<long>, hashes array<long>"
-    left = scratch(with_key(docs).join(members, "row_key").select("part", "doc_id", "row_key", "text").mapInArrow(hashes, kind), "near-shingles")
-    gone = members.select("row_key").where("false")
+    rows = scratch(with_key(docs).join(members, "row_key").select("part", "doc_id", "row_key", "text").mapInArrow(hashes, kind), "near-shingles")
+    found = members.select(F.col("row_key").alias("a"), F.col("row_key").alias("b")).where("false")
     for k in range(rounds):
-        now = left.withColumn("sig", F.get("sigs", F.lit(k)))
+        now = rows.withColumn("sig", F.get("sigs", F.lit(k)))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "hashes"))
         stays = now.groupBy("part", "sig").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("part", "sig", F.col("first.row_key").alias("first"), F.col("first.hashes").alias("other"))
-        both = F.size(F.array_intersect("hashes", "other"))
-        alike = both >= (F.size("hashes") + F.size("other") - both) * least
-        judged = now.join(stays, ["part", "sig"]).where("row_key <> first").where(alike).select("row_key")
-        judged = scratch(judged, "near-judged")
-        gone = gone.unionByName(judged)
-        if not k:  # most go here; later rounds may find a row again
-            left = scratch(left.join(judged, "row_key", "left_anti"), "near-left")
-    return scratch(gone.distinct(), "near-copies")
+        judged = now.join(stays, ["part", "sig"]).where("row_key <> first").where(alike("hashes", "other", least)).select(F.col("row_key").alias("a"), F.col("first").alias("b"))
+        found = found.unionByName(scratch(judged, "near-judged"))
+    roots = components(found)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    nodes = scratch(rows.select("row_key", "doc_id").join(roots, F.col("row_key") == F.col("node")).select("root", "doc_id", "row_key"), "near-groups")
+    kept = nodes.groupBy("root").agg(best.alias("best")).select(F.col("best.row_key").alias("row_key"))
+    return scratch(nodes.join(kept, "row_key", "left_anti").select("row_key"), "near-copies")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,6 +207,22 @@ def test_confirmed_copies(spark):
     assert simhash.confirmed_copies(empty(spark), simhash.near_duplicates(empty(spark))).count() == 0
 
 
+def one_component(docs):
+    near = simhash.with_key(docs).select("row_key", "doc_id")
+    first = near.groupBy().agg({"row_key": "min"}).first()[0]
+    return near.selectExpr("row_key", "doc_id", f"{first}L AS keep_row")
+
+
+def test_confirmed_copies_follow_chains(spark):
+    base = [f"w{i}" for i in range(300)]
+    chain = [[*(f"x{i}" for i in range(k)), *base[k:]] for k in range(0, 126, 25)]  # each like the next one only
+    docs = table(spark, [" ".join(t) for t in chain])
+    hashes = [set(simhash.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in chain]
+    for i, a in enumerate(hashes):
+        assert all((len(a & b) >= 0.8 * len(a | b)) == (k == 0) for k, b in enumerate(hashes[i + 1 :]))
+    assert simhash.confirmed_copies(docs, one_component(docs), rounds=60).count() == len(chain) - 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body class="x"><nav><ul><li><a>Home</a></ul></nav>
 <div>Shared line</div><div class="cookie-banner">We use</div>%s<div id=comments>nice!</div><footer>&copy; me</footer></body></html>"""
 
