@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from .common import arrow_limits, buffers, read, scratch, with_key
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
 #: Two texts are copies if their shingles of so many words have this Jaccard similarity; rounds of comparing.
 CONFIRM_WORDS, CONFIRM_LEAST, CONFIRM_ROUNDS = 5, 0.8, 8
+#: Rows, about, in which shingles are counted to put common ones last, and from how many rows on one is common.
+COMMON_ROWS, COMMON_LEAST = 20_000, 8
 #: A bucket of more fingerprints is dealt out again by a second covering of the bits that its key leaves out.
 BUCKET = 32768
 
@@ -286,6 +289,63 @@ def alike(a: str, b: str, least: float):
     return both >= (F.size(a) + F.size(b) - both) * least
 
 
+def exact_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between rows (part, row_key, hashes) of one part, but for those that roots (node, root) connects.
+
+    An exact join by prefixes. With the hashes of all rows in one order, two rows that are alike have a hash in common
+    among the first n - ceil(least * n) + 1 of the larger one's n and the first n - ceil(2 * least / (1 + least) * n) + 1
+    of the smaller one's. Hashes that are common in a part of the rows come last in the order, so what many texts share
+    makes no block of candidates, unless it is most of each. A block whose rows are all connected is left out, and in
+    others the rows outside of the block's largest cluster are paired with the rest, so that a large group of copies
+    isn't paired with itself.
+    """
+    spark = rows.sparkSession
+    part = max(1, rows.count() // COMMON_ROWS)
+    sample = rows.where(F.pmod(F.xxhash64("row_key"), F.lit(part)) == 0).select(F.explode("hashes").alias("h"))
+    common = np.sort(sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST).select("h").toArrow().column("h").to_numpy())
+    sent = spark.sparkContext.broadcast(common)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value
+        for batch in batches:
+            keys: list[np.ndarray] = []
+            places: list[np.ndarray] = []
+            early: list[np.ndarray] = []
+            sizes, lengths = [], []
+            off = batch.column("hashes").offsets.to_numpy()
+            flat = batch.column("hashes").values.to_numpy()
+            for p, a, b in zip(batch.column("part").to_numpy(), off, off[1:], strict=False):
+                h, n = flat[a:b], int(b - a)
+                take = n - ceil(least * n - 1e-9) + 1 if n else 0
+                last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(n, bool)
+                h = h[np.argsort(last, kind="stable")][:take]  # hashes are sorted
+                keys.append(h ^ (np.array([p]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+                places.append(np.arange(take, dtype=np.int32))
+                early.append(np.arange(take) <= n - ceil(2 * least / (1 + least) * n - 1e-9))
+                sizes.append(n)
+                lengths.append(take)
+            if sizes:
+                each = [np.repeat(batch.column(c).to_numpy(), lengths) for c in ("row_key", "cluster")]
+                out = [np.concatenate(keys), *each, np.repeat(np.array(sizes, np.int32), lengths), np.concatenate(places), np.concatenate(early)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "row", "cluster", "n", "place", "early"])
+
+    clustered = rows.join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").select("part", "row_key", F.coalesce("root", "row_key").alias("cluster"), "hashes")
+    starts = scratch(clustered.mapInArrow(prefix, "key long, row long, cluster long, n int, place int, early boolean"), "near-prefixes")
+    mixed = starts.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.bool_or("early").alias("any")).where("lo <> hi AND any").select("key")
+    starts = scratch(starts.join(mixed, "key", "left_semi"), "near-blocks")
+    most = starts.groupBy("key", "cluster").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("cluster", F.struct("k", "cluster")).alias("most"))
+    few = starts.join(most, "key").where("cluster <> most").drop("most")
+    a, b = few.alias("a"), starts.alias("b")
+    needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(least / (1 + least)) - 1e-9)
+    smaller_early = F.when(F.struct("a.n", "a.row") > F.struct("b.n", "b.row"), F.col("b.early")).otherwise(F.col("a.early"))
+    reach = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.cluster") != F.col("b.cluster")) & smaller_early & (reach >= needed)
+    pairs = scratch(a.join(b, near).select(F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b")).distinct(), "near-pairs")
+    one = rows.select(F.col("row_key").alias("a"), F.col("part").alias("part_a"), F.col("hashes").alias("own"))
+    two = rows.select(F.col("row_key").alias("b"), F.col("part").alias("part_b"), F.col("hashes").alias("other"))
+    return scratch(pairs.join(one, "a").join(two, "b").where((F.col("part_a") == F.col("part_b")) & alike("own", "other", least)).select("a", "b"), "near-exact")
+
+
 def confirmed_copies(docs: DataFrame, near: DataFrame, shingle: int = CONFIRM_WORDS, least: float = CONFIRM_LEAST, rounds: int = CONFIRM_ROUNDS) -> DataFrame:
     """row_key of the rows to drop: all but one of each group that chains of links connect, where a link is a Jaccard
     similarity of word shingles of least or more. The row with the least doc_id stays (the first place in the table,
@@ -293,8 +353,8 @@ def confirmed_copies(docs: DataFrame, near: DataFrame, shingle: int = CONFIRM_WO
 
     near is near_duplicates(docs); its components are the candidates. Each round groups the rows of a component and
     compares them with their group's first row: in the first round all of the component, then those with the same
-    least shingle, by another order of the shingles each round. A row that is linked stays a partner for the others.
-    Two texts without words are alike. Only texts of components of several rows are compared. The joins are with
+    least shingle, by another order of the shingles each round. That only connects most rows cheaply; then exact_pairs
+    compares all rows of a component that aren't connected yet. Two texts without words are alike. Only texts of components of several rows are compared. The joins are with
     written tables, so Spark broadcasts one side where its size on disk is below its threshold.
     """
     arrow_limits(docs.sparkSession)
@@ -320,6 +380,9 @@ def confirmed_copies(docs: DataFrame, near: DataFrame, shingle: int = CONFIRM_WO
         judged = now.join(stays, ["part", "sig"]).where("row_key <> first").where(alike("hashes", "other", least)).select(F.col("row_key").alias("a"), F.col("first").alias("b"))
         found = found.unionByName(scratch(judged, "near-judged"))
     roots = components(found)
+    more = exact_pairs(rows.select("part", "row_key", "hashes"), roots, least)
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     nodes = scratch(rows.select("row_key", "doc_id").join(roots, F.col("row_key") == F.col("node")).select("root", "doc_id", "row_key"), "near-groups")

@@ -220,7 +220,27 @@ def test_confirmed_copies_follow_chains(spark):
     hashes = [set(simhash.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in chain]
     for i, a in enumerate(hashes):
         assert all((len(a & b) >= 0.8 * len(a | b)) == (k == 0) for k, b in enumerate(hashes[i + 1 :]))
-    assert simhash.confirmed_copies(docs, one_component(docs), rounds=60).count() == len(chain) - 1
+    assert simhash.confirmed_copies(docs, one_component(docs), rounds=1).count() == len(chain) - 1
+
+
+def test_exact_pairs_miss_none(spark):
+    rng = random.Random(3)
+    shared = [f"s{i}" for i in range(120)]
+    texts = [[*shared, *(f"t{k}.{i}" for i in range(rng.randint(25, 45)))] for k in range(60)]  # a passage in all of them
+    texts += [[*t[:k], "new", *t[k + 1 :]] for t in texts[:25] for k in (rng.randrange(len(t)), rng.randrange(len(t)))]
+    texts += [[*t, *(f"u{k}.{i}" for i in range(rng.randint(20, 45)))] for k, t in enumerate(texts[30:60])]
+    rng.shuffle(texts)
+    docs = table(spark, [" ".join(t) for t in texts])
+    hashes = [set(simhash.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for k in range(i):
+            if len(hashes[i] & hashes[k]) >= 0.8 * len(hashes[i] | hashes[k]):
+                a, b = label[i], label[k]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    gone = {r.row_key for r in simhash.confirmed_copies(docs, one_component(docs), rounds=1).collect()}
+    left = {r.doc_id for r in simhash.with_key(docs).collect() if r.row_key not in gone}
+    assert left == set(label) and 1 < len(left) < len(texts)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body class="x"><nav><ul><li><a>Home</a></ul></nav>
