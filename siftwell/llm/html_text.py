@@ -2,7 +2,8 @@
 
 Every element's subtree (tags and text) is hashed. Spark counts on how many different pages of a host each hash occurs;
 subtrees that recur across many pages of the host are its template and go. Pages that are copies of each other count
-once. An article (or main) element, what it holds and what holds it are never template. Of what is left, elements whose
+once. Within an article (or main) element subtrees are counted among the host's pages that have one, apart from those
+outside; the element itself and what holds it are never template. Of what is left, elements whose
 tag, class, id or role marks them as menu, header, footer, sidebar, notice, advert, form or comments go as well; where
 the page has an article, the text is taken from it, else from the body.
 """
@@ -97,12 +98,14 @@ def _close(stack: list[Node], tags: tuple[str, ...], barrier: frozenset[str]) ->
 
 
 def subtrees(root: Node) -> list[tuple[int, bytes]]:
-    """Number and hash of each element that could be template; and, first, 0 and the whole page's hash."""
+    """Number and hash of each element that could be template; and, first, 0 and the whole page's hash.
+
+    The last bit of an element's hash tells whether it is in an article.
+    """
     out: list[tuple[int, bytes]] = []
 
     def hashed(node: Node, inside: bool) -> tuple[bytes, bool]:
         """The hash, and whether the subtree has an article."""
-        inside = inside or node.tag in ARTICLE
         h = hashlib.blake2b(node.tag.encode(), digest_size=8)
         has = node.tag in ARTICLE
         for p in node.parts:
@@ -111,12 +114,12 @@ def subtrees(root: Node) -> list[tuple[int, bytes]]:
                 if words:
                     h.update(b"\x01" + words.encode())
             else:
-                own, article = hashed(p, inside)
+                own, article = hashed(p, inside or node.tag in ARTICLE)
                 h.update(b"\x02" + own)
                 has = has or article
         digest = h.digest()
-        if not (inside or has or node.tag in ("#root", "html", "body") or node.tag in VOID):
-            out.append((node.number, digest))
+        if not (has or node.tag in ("#root", "html", "body") or node.tag in VOID):
+            out.append((node.number, digest[:-1] + bytes([digest[-1] & 0xFE | inside])))
         return digest, has
 
     whole, _ = hashed(root, False)
@@ -191,16 +194,17 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_part: float
             rows = []
             for key, host, page in zip(*(batch.column(c).to_pylist() for c in ("row_key", "host", "html")), strict=True):
                 (_, whole), *rest = subtrees(parse(page))
-                rows.append((key, host, int.from_bytes(whole, "big", signed=True) ^ host, [n for n, _ in rest], [int.from_bytes(h, "big", signed=True) ^ host for _, h in rest]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["row_key", "host", "page", "nodes", "keys"])
+                keys = [int.from_bytes(h, "big", signed=True) ^ host & ~1 for _, h in rest]
+                rows.append((key, host, int.from_bytes(whole, "big", signed=True) ^ host, any(k & 1 for k in keys), [n for n, _ in rest], keys))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["row_key", "host", "page", "article", "nodes", "keys"])
 
-    # page and keys are hashes of the host and the whole page or subtree
-    found = scratch(keyed.select("row_key", F.xxhash64(host_of(F.col("url"))).alias("host"), "html").mapInArrow(hashes, "row_key long, host long, page long, nodes array<int>, keys array<long>"), "subtrees")
+    # page and keys are hashes of the host and the whole page or subtree; article: whether any key is of one in an article
+    found = scratch(keyed.select("row_key", F.xxhash64(host_of(F.col("url"))).alias("host"), "html").mapInArrow(hashes, "row_key long, host long, page long, article boolean, nodes array<int>, keys array<long>"), "subtrees")
     different = found.groupBy("page").agg(F.first("host").alias("host"), F.first(F.array_distinct("keys")).alias("keys"))
-    hosts = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = found.select("host", "page", "article").distinct().groupBy("host").agg(F.count("*").alias("pages"), F.count_if("article").alias("articles"))
     counts = different.select("host", F.explode("keys").alias("key")).groupBy("key").agg(F.first("host").alias("host"), F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    template = counts.join(hosts, "host").where(F.col("n") >= F.col("pages") * least_part).select("key")
+    template = counts.join(hosts, "host").where(F.col("n") >= F.when(F.col("key").bitwiseAND(1) == 1, F.col("articles")).otherwise(F.col("pages")) * least_part).select("key")
     each = found.select("row_key", F.explode(F.arrays_zip("nodes", "keys")).alias("x")).select("row_key", F.col("x.nodes").alias("node"), F.col("x.keys").alias("key"))
     nodes = each.join(template, "key", "left_semi").groupBy("row_key").agg(F.collect_set("node").alias("nodes"))
 

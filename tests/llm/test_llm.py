@@ -262,6 +262,14 @@ def test_html(spark):
     assert html_text.extract(df.where("page_id < 0")).count() == 0
 
 
+def test_html_template_within_articles(spark):
+    page = "<body><article><p>Own %d</p><div class=x>About the author</div><section><h2>More</h2><p>Read on</p></section></article></body>"
+    pages = [(i, f"http://a.example/{i}", page % i) for i in range(8)] + [(9, "http://b.example/", page % 9)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"Own {i}" for i in range(8)]
+    assert got[9] == "Own 9\nAbout the author\nMore\nRead on"
+
+
 def ppm_by_hand(counts, order, history, symbol, total):
     """-> probability, walking contexts from the longest known, with escapes and exclusion."""
     p, shut = 1.0, set()
