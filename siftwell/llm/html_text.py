@@ -1,7 +1,7 @@
 """Operator 7: main text of web pages by site template removal.
 
 Every element's subtree (tags and text) is hashed. Spark counts on how many different pages of a host each hash occurs;
-subtrees that recur across many pages of the host are its template and go. Pages that are copies of each other count
+block-level subtrees that recur across a good part of the host's pages are its template and go. Pages that are copies of each other count
 once. Within an article (or main) element subtrees are counted among the host's pages that have one, apart from those
 outside; the element itself and what holds it are never template. Of what is left, elements whose
 tag, class, id or role marks them as menu, header, footer, sidebar, notice, advert, form or comments go as well; where
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, read, scratch
 
 #: A subtree is template from so many different pages of a host on, and from such a part of them.
-LEAST_PAGES, LEAST_PART = 5, 0.001
+LEAST_PAGES, LEAST_PART = 5, 0.3
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -30,6 +30,8 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+#: Only these can be template: not inline elements, headings, or pieces of lists and tables, whose container may go.
+UNITS = (BLOCK | frozenset(("script", "style", "noscript", "iframe", "template"))) - frozenset("h1 h2 h3 h4 h5 h6 li dt dd caption figcaption summary tbody thead tfoot tr html body".split())
 CLOSES_P = BLOCK - {"html", "body", "caption", "tbody", "thead", "tfoot", "tr"}
 DROP = frozenset("head nav footer aside form script style noscript template iframe svg canvas button select textarea object embed dialog menu".split())
 ARTICLE = frozenset(("article", "main"))
@@ -118,7 +120,7 @@ def subtrees(root: Node) -> list[tuple[int, bytes]]:
                 h.update(b"\x02" + own)
                 has = has or article
         digest = h.digest()
-        if not (has or node.tag in ("#root", "html", "body") or node.tag in VOID):
+        if node.tag in UNITS and not has:
             out.append((node.number, digest[:-1] + bytes([digest[-1] & 0xFE | inside])))
         return digest, has
 

@@ -270,6 +270,15 @@ def test_html_template_within_articles(spark):
     assert got[9] == "Own 9\nAbout the author\nMore\nRead on"
 
 
+def test_html_keeps_what_few_pages_share(spark):
+    few = "<h2>Introduction</h2><p>To be quoted</p><table><tr><td>0</td></tr></table>"
+    page = "<body><div>Menu</div><p>Own %d <b>Note</b></p>%s</body>"
+    pages = [(i, f"http://a.example/{i}", page % (i, few * (i < 6))) for i in range(40)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = "Own %d Note" + "\nIntroduction\nTo be quoted\n0"
+    assert [got[i] for i in range(6)] == [want % i for i in range(6)] and got[39] == "Own 39 Note"
+
+
 def ppm_by_hand(counts, order, history, symbol, total):
     """-> probability, walking contexts from the longest known, with escapes and exclusion."""
     p, shut = 1.0, set()
