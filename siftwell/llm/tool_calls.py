@@ -15,6 +15,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from fractions import Fraction
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,16 +75,68 @@ def parse_message(text: str) -> tuple[str, list[dict], list[dict], list[dict], i
 
 
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+#: Keywords that can't be judged here; what has one and breaks nothing else is unchecked.
+UNCHECKED = frozenset("format contentEncoding contentMediaType contentSchema unevaluatedItems unevaluatedProperties $dynamicRef $recursiveRef".split())
 
 
-def valid(value, schema) -> bool:
-    """JSON Schema's type, enum, const, properties, required, additionalProperties, items and numeric and length limits."""
+def every(answers) -> bool | None:
+    """False where one is, else None (unchecked) where one is, else True."""
+    answers = list(answers)
+    return False if False in answers else None if None in answers else True
+
+
+def some(answers) -> bool | None:
+    answers = list(answers)
+    return True if True in answers else None if None in answers else False
+
+
+def opposite(answer: bool | None) -> bool | None:
+    return None if answer is None else not answer
+
+
+def matches(pattern: str, text: str) -> bool | None:
+    """Whether the pattern is found in text; None for one that Python can't read."""
+    try:
+        return re.search(pattern, text) is not None
+    except (re.error, TypeError, RecursionError):
+        return None
+
+
+def target(root, ref) -> tuple[bool, object]:
+    """Whether a $ref is to a place in root, and what is there."""
+    if not isinstance(ref, str) or not (ref == "#" or ref.startswith("#/")):
+        return False, None
+    for step in ref.split("/")[1:]:
+        step = unquote(step).replace("~1", "/").replace("~0", "~")
+        if isinstance(root, dict) and step in root:
+            root = root[step]
+        elif isinstance(root, list) and step.isdigit() and int(step) < len(root):
+            root = root[int(step)]
+        else:
+            return False, None
+    return True, root
+
+
+def valid(value, schema) -> bool | None:
+    """Whether value keeps to a JSON Schema; None (unchecked) where that hangs on a keyword of UNCHECKED, a $ref to
+    elsewhere or without end, a pattern that Python can't read, or a malformed keyword."""
+    try:
+        return judge(value, schema, schema)
+    except (RecursionError, TypeError, ValueError, AttributeError, ArithmeticError):
+        return None
+
+
+def judge(value, schema, root) -> bool | None:
     if isinstance(schema, bool):
         return schema
     if not isinstance(schema, dict):
         return False
     if isinstance(value, dict) and set(value) == {"$ref"}:
         return True  # another call's result, known only when it ran
+
+    def at(v, part) -> bool | None:
+        return judge(v, part, root)
+
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     kinds = schema.get("type")
     if kinds is not None:
@@ -93,16 +147,76 @@ def valid(value, schema) -> bool:
             return False
     if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]) or "const" in schema and canonical(value) != canonical(schema["const"]):
         return False
-    if number and not (schema.get("minimum", value) <= value <= schema.get("maximum", value)):
-        return False
-    if isinstance(value, str) and not (schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value))):
-        return False
+    out: list[bool | None] = [None] if UNCHECKED.intersection(schema) else []
+    if "$ref" in schema:
+        found, there = target(root, schema["$ref"])
+        out.append(at(value, there) if found else None)
+    if "allOf" in schema:
+        out.append(every(at(value, x) for x in schema["allOf"]))
+    if "anyOf" in schema:
+        out.append(some(at(value, x) for x in schema["anyOf"]))
+    if "oneOf" in schema:
+        each = [at(value, x) for x in schema["oneOf"]]
+        out.append(False if each.count(True) > 1 else None if None in each else True in each)
+    if "not" in schema:
+        out.append(opposite(at(value, schema["not"])))
+    if "if" in schema:
+        holds, yes, no = at(value, schema["if"]), at(value, schema.get("then", True)), at(value, schema.get("else", True))
+        out.append(yes if holds else no if holds is False else yes if yes == no else None)
+    if number:
+        out.append(schema.get("minimum", value) <= value <= schema.get("maximum", value))
+        for name, ordered in (("exclusiveMinimum", lambda x: x < value), ("exclusiveMaximum", lambda x: value < x)):
+            x = schema.get(name, False)
+            if x is True:  # draft 4: the limit itself is out
+                x = schema.get(name.replace("exclusiveM", "m"), False)
+            out.append(x is False or ordered(x))
+        if "multipleOf" in schema:
+            out.append(Fraction(str(value)) % Fraction(str(schema["multipleOf"])) == 0)
+    if isinstance(value, str):
+        out.append(schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)))
+        if "pattern" in schema:
+            out.append(matches(schema["pattern"], value))
     if isinstance(value, list):
-        return schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)) and all(valid(v, schema.get("items", True)) for v in value)
+        out.append(schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)))
+        items = schema.get("items", True)
+        first, others = (items, schema.get("additionalItems", True)) if isinstance(items, list) else (schema.get("prefixItems", []), items)
+        out += [at(v, x) for v, x in zip(value, first, strict=False)] + [at(v, others) for v in value[len(first) :]]
+        if schema.get("uniqueItems"):
+            out.append(len(set(map(same, value))) == len(value))
+        if "contains" in schema:
+            each = [at(v, schema["contains"]) for v in value]
+            sure, most = each.count(True), len(each) - each.count(False)
+            low, high = schema.get("minContains", 1), schema.get("maxContains", len(value))
+            out.append(False if most < low or sure > high else True if sure >= low and most <= high else None)
     if isinstance(value, dict):
-        known = schema.get("properties", {})
-        return all(k in value for k in schema.get("required", [])) and all(valid(v, known[k] if k in known else schema.get("additionalProperties", True)) for k, v in value.items())
-    return True
+        known, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
+        out.append(schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)))
+        required = schema.get("required", [])
+        out += [k in value for k in (required if isinstance(required, list) else [])]
+        for k, v in value.items():
+            hits = {p: matches(p, k) for p in patterns}
+            out += [at(v, known[k])] if k in known else []
+            out += [at(v, patterns[p]) if hit else None for p, hit in hits.items() if hit is not False]
+            if k not in known and all(hit is False for hit in hits.values()):
+                out.append(at(v, schema.get("additionalProperties", True)))
+        if "propertyNames" in schema:
+            out += [at(k, schema["propertyNames"]) for k in value]
+        for name in ("dependentRequired", "dependentSchemas", "dependencies"):
+            for k, x in schema.get(name, {}).items():
+                if k in value:
+                    out += [y in value for y in x] if isinstance(x, list) else [at(value, x)]
+    return every(out)
+
+
+def same(value) -> str:
+    """As canonical, but 1.0 is 1."""
+
+    def plain(v):
+        if isinstance(v, dict):
+            return {k: plain(x) for k, x in v.items()}
+        return [plain(x) for x in v] if isinstance(v, list) else int(v) if isinstance(v, float) and v == int(v) else v
+
+    return canonical(plain(value))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -144,7 +258,8 @@ def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, n_calls, n_linked, n_valid, n_orphans, n_bad and json of every message.
 
     Within a conversation the first call of an identifier holds it, by turn, row and place; later ones are duplicates,
-    linked to nothing. Of several results the first holds. A call without a schema counts as valid. A call's status in
+    linked to nothing. Of several results the first holds. A call without a schema counts as valid; one whose
+    schema can't be judged in full doesn't, and is null under valid in the JSON. A call's status in
     the JSON is linked, pending (no result), duplicate or cycle. Null texts and roles are empty; messages with a null
     conv_id form a conversation of their own each, so nothing in them is linked. Rows that repeat are all kept.
     """
@@ -171,7 +286,7 @@ def link(messages: DataFrame) -> DataFrame:
                 for c in linked or []:
                     arguments = load(c["arguments"])
                     ok = c["schema"] is None or valid(arguments, load(c["schema"]))
-                    good += ok
+                    good += ok is True
                     entry = {"id": c["id"], "name": c["name"], "arguments": arguments, "depends_on": c["deps"], "status": c["status"], "valid": ok}
                     if c["result"] is not None:
                         entry["result"] = load(c["result"])

@@ -44,3 +44,26 @@ def test_valid():
     assert valid(1.0, {"type": "integer"}) and not valid(True, {"type": "number"}) and valid(None, {"type": ["null", "string"]})
     assert not valid("x", {"enum": ["y"]}) and valid([1, 2], {"type": "array", "items": {"minimum": 1}}) and not valid([0], {"items": {"minimum": 1}})
     assert not valid({}, {"required": ["a"]}) and not valid("abc", {"maxLength": 2}) and not valid({"b": 1}, {"additionalProperties": False})
+
+
+def test_valid_knows_the_other_keywords():
+    bad = [
+        ("ab", {"pattern": "^a$"}), (1, {"anyOf": [{"type": "string"}, {"minimum": 2}]}), (1, {"oneOf": [{"minimum": 0}, {"maximum": 2}]}), (1, {"allOf": [{"minimum": 2}]}), (1, {"not": {"type": "integer"}}),
+        (1, {"exclusiveMinimum": 1}), (1, {"minimum": 1, "exclusiveMinimum": True}), (1, {"exclusiveMaximum": 1}), (0.35, {"multipleOf": 0.1}), ([1, 1.0], {"uniqueItems": True}), ({}, {"minProperties": 1}), ({"a": 1}, {"maxProperties": 0}),
+        ({"a": {"a": 1}}, {"$defs": {"n": {"type": "object"}}, "properties": {"a": {"properties": {"a": {"$ref": "#/$defs/n"}}}}}), ({"x1": "s"}, {"patternProperties": {"^x": {"type": "integer"}}}), ([1], {"contains": {"type": "string"}}),
+        ({"a": 1}, {"dependentRequired": {"a": ["b"]}}), ({"a": 1}, {"if": {"required": ["a"]}, "then": {"required": ["b"]}}), ([1, "x"], {"prefixItems": [{}, {"type": "integer"}]}), ({"ab": 1}, {"propertyNames": {"maxLength": 1}}),
+    ]
+    for value, schema in bad:
+        assert valid(value, schema) is False, (value, schema)
+        assert "$defs" in schema or valid(value, {"not": schema}) is True, (value, schema)
+    assert valid(0.3, {"multipleOf": 0.1}) is True and valid({"x1": 2}, {"patternProperties": {"^x": {}}, "additionalProperties": False}) is True
+    for schema in ({"format": "email"}, {"$ref": "http://x.example/s"}, {"$ref": "#"}, {"pattern": "("}, {"not": {"format": "email"}}):
+        assert valid("x", schema) is None, schema
+    assert valid("x", {"format": "email", "maxLength": 0}) is False
+
+
+def test_unchecked_calls_are_not_valid(spark):
+    tools = '<tools>[{"name": "sum", "parameters": {"properties": {"a": {"format": "date"}}}}]</tools>'
+    df = spark.createDataFrame([(1, 0, "system", tools), (1, 1, "assistant", call("c", arguments={"a": "x"}))], "conv_id long, turn long, role string, text string")
+    r = tool_calls.link(df).where("turn = 1").first()
+    assert r.n_calls == 1 and r.n_valid == 0 and json.loads(r.json)["tool_calls"][0]["valid"] is None
