@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +26,88 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder under /tmp only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the cluster: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    On one machine, as in tests, a folder under /tmp does where neither is set; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "/tmp/checkpoints/siftwell"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root
 
 
 def scratch(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later jobs don't depend on lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/siftwell/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/siftwell/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables. Only results that are written, and read from there, hold after this."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows as a table in which each keeps its place, job after job: a plain scan as it is, all else written."""
+    fix_splits(df.sparkSession)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    return df if plan.nodeName().startswith(("LogicalRelation", "Relation")) else scratch(df, "settled")
+
+
+#: What workers keep from task to task, by owner.
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    _caches.append({})
+    return _caches[-1]
+
+
+def lean(work: Callable, *caches: dict) -> Callable:
+    """A function of batches that first drops what a worker keeps for others than caches, and frees its memory at the end.
+
+    Workers live on after a task; without this they would hold what the C library and Arrow keep for later.
+    """
+
+    def run(batches):
+        forget(caches)
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def forget(keep: tuple[dict, ...]) -> None:
+    for cache in _caches:
+        if not any(cache is k for k in keep):
+            cache.clear()
+
+
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fix_splits(spark: SparkSession) -> None:
     """Make every scan of a table be split alike, whatever executors come and go.
 
@@ -70,6 +138,25 @@ def with_key(docs: DataFrame) -> DataFrame:
     return texts(docs).select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text")
 
 
+def place_column(docs: DataFrame) -> str:
+    """A name for a row's place that no column of docs has."""
+    name = "row_place"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def only_rows(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs, with its columns, whose place is among keys (row_key). docs is settled(), keys without repeats."""
+    place = place_column(docs)
+    keyed = docs.withColumn(place, F.monotonically_increasing_id())
+    return keyed.join(keys.select(F.col("row_key").alias(place)), place, how).select(*docs.columns)
+
+
+def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return only_rows(docs, keys, "left_anti")
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64, first one 0) and bytes of a string or binary column; nulls are empty."""
     if column.null_count:

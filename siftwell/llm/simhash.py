@@ -8,10 +8,8 @@ so in its table the key leaves these bits out and the two meet: no pair within t
 
 from __future__ import annotations
 
-import itertools
 import random
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -19,13 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, buffers, read, scratch, with_key
+from .common import arrow_limits, buffers, lean, read, scratch, settled, with_key
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
-#: Two texts are copies if their shingles of so many words have this Jaccard similarity; rounds of comparing.
-CONFIRM_WORDS, CONFIRM_LEAST, CONFIRM_ROUNDS = 5, 0.8, 8
-#: Rows, about, in which shingles are counted to put common ones last, and from how many rows on one is common.
-COMMON_ROWS, COMMON_LEAST = 20_000, 8
 #: A bucket of more fingerprints is dealt out again by a second covering of the bits that its key leaves out.
 BUCKET = 32768
 
@@ -62,34 +56,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
             fps = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(off, off[1:], strict=False)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(fps.view(np.int64))], ["row_key", "doc_id", "fp"])
 
-    return with_key(docs).mapInArrow(sign, "row_key long, doc_id long, fp long")
+    return with_key(docs).mapInArrow(lean(sign), "row_key long, doc_id long, fp long")
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def field_norms() -> list[int]:
-    """The norm of each element of the field of 64 (modulus x^6 + x + 1) in its subfield of 8, as three coordinates."""
-
-    def times(a: int, b: int) -> int:
-        out = 0
-        for k in range(6):
-            out ^= (a << k) * (b >> k & 1)
-        for k in range(10, 5, -1):
-            out ^= (0b1000011 << k - 6) * (out >> k & 1)
-        return out
-
-    norms = []
-    for x in range(64):
-        y = x
-        for _ in range(3):
-            y = times(y, y)
-        norms.append(times(x, y))
-    pick = next(c for c in itertools.combinations(range(6), 3) if len({tuple(n >> k & 1 for k in c) for n in norms}) == 8)
-    return [sum((n >> k & 1) << i for i, k in enumerate(pick)) for n in norms]
-
-
 def covering(radius: int, bits: list[int]) -> list[int]:
     """Masks over the given bit positions: any radius of them are all left out by some mask.
 
@@ -107,42 +80,45 @@ def covering(radius: int, bits: list[int]) -> list[int]:
         choices += [rng.sample(range(1, size + 1), len(bits)) for _ in range(8)]
         if len(bits) == 1 << radius:  # all with the first bit set: each mask but one has half of the bits
             choices.append([len(bits) + k for k in range(len(bits))])
-        if len(bits) == 64 and 7 <= radius <= 9:  # besides, bits of the norm: each mask has 28 bits or more
-            norms = field_norms()
-            choices.append([1 << radius | k << radius - 6 | norms[k] >> 9 - radius for k in range(64)])
     return max(map(masks, choices), key=lambda ms: min(m.bit_count() for m in ms))
 
 
-def links_in(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a bucket's sorted fingerprints, each but the least of those that chains of links connect, with that least one.
+def links_in(fps: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of roots that chains of links between a bucket's fingerprints connect: each but a chain's least, with it.
 
-    Buckets that hold the same fingerprints so give the same pairs, whatever links there are within them.
+    Fingerprints with one root are connected already. Buckets that hold the same rows give the same pairs.
     """
+    names, own = np.unique(roots, return_inverse=True)
+    if len(names) == 1:
+        return names[:0], names[:0]
+    rows = np.split(np.argsort(own, kind="stable"), np.cumsum(np.bincount(own))[:-1])
     rest = np.ones(len(fps), bool)
     left, right = [], []
-    for seed in range(len(fps)):
-        if not rest[seed]:
+    for seed in range(len(names)):
+        if not rest[rows[seed][0]]:
             continue
-        rest[seed] = False
-        front = [seed]
-        while front:
+        rest[rows[seed]] = False
+        front = rows[seed].tolist()
+        others = np.flatnonzero(rest)
+        while front and len(others):
             k = front.pop()
-            others = np.flatnonzero(rest[seed:]) + seed
-            near = others[np.bitwise_count(fps[others] ^ fps[k]) <= radius]
-            rest[near] = False
-            left += [seed] * len(near)
-            right += near.tolist()
-            front += near.tolist()
-    return fps[np.array(left, np.int64)], fps[np.array(right, np.int64)]
+            near = np.unique(own[others[np.bitwise_count(fps[others] ^ fps[k]) <= radius]])
+            if len(near):
+                for m in near.tolist():
+                    rest[rows[m]] = False
+                    front += rows[m].tolist()
+                left += [seed] * len(near)
+                right += near.tolist()
+                others = others[rest[others]]
+    return names[np.array(left, np.int64)], names[np.array(right, np.int64)]
 
 
 def link_groups(dealt: DataFrame, radius: int, keys: list[str]) -> DataFrame:
-    """Links (a, b) within each group of fingerprints that agree in keys."""
+    """Links (a, b) of roots within each group of rows (fp, root) that agree in keys."""
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        fps = np.sort(rows["fp"].to_numpy().view(np.uint64))
-        a, b = links_in(fps, radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        a, b = links_in(rows["fp"].to_numpy().view(np.uint64), rows["root"].to_numpy(), radius)
+        return pd.DataFrame({"a": a, "b": b})
 
     return dealt.groupBy(*keys).applyInPandas(link, "a long, b long")
 
@@ -157,20 +133,23 @@ def link_sorted(dealt: DataFrame, key, radius: int, bucket: int) -> DataFrame:
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(a: list[np.ndarray], b: list[np.ndarray], large: bool) -> pa.RecordBatch:
             a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), large))], ["a", "b", "large"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), large))], ["a", "b", "large"])
 
-        def close(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def close(t: np.ndarray, key: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
             begins = np.concatenate([[0], edge, [len(t)]])
             sizes = np.diff(begins)
             two = begins[:-1][sizes == 2]  # pairs, all at once
-            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-            a, b = [fp[near]], [fp[near + 1]]
+            near = two[(np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius) & (root[two] != root[two + 1])]
+            a, b = [np.minimum(root[near], root[near + 1])], [np.maximum(root[near], root[near + 1])]
             for k in np.flatnonzero((sizes > 2) & (sizes <= bucket)).tolist():
-                x, y = links_in(fp[begins[k] : begins[k + 1]], radius)
+                x, y = links_in(fp[begins[k] : begins[k + 1]], root[begins[k] : begins[k + 1]], radius)
                 a.append(x)
                 b.append(y)
-            yield out(a, b, False)
+            a, b = np.concatenate(a), np.concatenate(b)
+            if len(a):  # what repeats within the task goes once
+                a, b = np.unique(np.stack([a, b]), axis=1)
+            yield out([a], [b], False)
             many = begins[:-1][sizes > bucket]
             if len(many):
                 yield out([t[many].astype(np.int64)], [key[many]], True)
@@ -178,7 +157,7 @@ def link_sorted(dealt: DataFrame, key, radius: int, bucket: int) -> DataFrame:
         held: tuple[np.ndarray, ...] = ()
         over = None  # the group that goes on, too large to hold
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "fp")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "fp", "root")]
             if over:
                 skip = int(np.count_nonzero((now[0] == over[0]) & (now[1] == over[1])))
                 now = [x[skip:] for x in now]
@@ -186,12 +165,12 @@ def link_sorted(dealt: DataFrame, key, radius: int, bucket: int) -> DataFrame:
                 continue
             over = None
             now[2] = now[2].view(np.uint64)
-            t, key, fp = (np.concatenate(x) for x in zip(held, now, strict=True)) if held else (x.copy() for x in now)
+            t, key, fp, root = (np.concatenate(x) for x in zip(held, now, strict=True)) if held else (x.copy() for x in now)
             other = np.flatnonzero((t != t[-1]) | (key != key[-1]))
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield from close(t[:cut], key[:cut], fp[:cut])
-            held = (t[cut:], key[cut:], fp[cut:])
+                yield from close(t[:cut], key[:cut], fp[:cut], root[:cut])
+            held = (t[cut:], key[cut:], fp[cut:], root[cut:])
             if len(t) - cut > bucket:
                 over = (t[-1], key[-1])
                 yield from close(*held)
@@ -199,33 +178,39 @@ def link_sorted(dealt: DataFrame, key, radius: int, bucket: int) -> DataFrame:
         if held:
             yield from close(*held)
 
-    return dealt.repartition("t", key).withColumn("key", key).sortWithinPartitions("t", "key").select("t", "key", "fp").mapInArrow(link, "a long, b long, large boolean")
+    return dealt.repartition("t", key).withColumn("key", key).sortWithinPartitions("t", "key").select("t", "key", "fp", "root").mapInArrow(lean(link), "a long, b long, large boolean")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints that chains of links within the radius connect; all such chains are covered.
+def bucket_links(prints: DataFrame, tables: list[tuple[int, int]], radius: int, bucket: int = BUCKET) -> DataFrame:
+    """Pairs (a, b) of roots that chains of links connect, of prints (j, fp, root) in some tables (j, mask).
 
-    distinct has the column fp, without repeats, and stands in a table. Buckets that aren't too large are linked in one
-    task, all by one shuffle of a table's number and a fingerprint. A larger one is dealt out by a second covering, of
-    the bits that its table's key leaves out; as some 14 bits are left then, no group of it has more than 2 ** 14
-    fingerprints or so, whatever the corpus.
+    j tells apart kinds of fingerprints; of one kind, each occurs once. Buckets that aren't too large are linked in one
+    task, all by one shuffle of a table's number, a fingerprint and its root. A larger one is dealt out by a second
+    covering, of the bits that its table's key leaves out, whose groups hold 2 ** 16 fingerprints at most or so.
     """
-    spark = distinct.sparkSession
-    masks = covering(radius, list(range(64)))
-    constants = F.array(*(F.lit(signed(m)) for m in masks))
-    dealt = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"), "fp")
+    spark = prints.sparkSession
+    constants = F.array(*(F.lit(signed(m)) for _, m in tables))
+    kinds = sorted({j for j, _ in tables})
+    of_kind = F.create_map(*(x for j in kinds for x in (F.lit(j), F.array(*(F.lit(t) for t, (i, _) in enumerate(tables) if i == j)))))
+    dealt = prints.select(F.explode(F.element_at(of_kind, F.col("j"))).alias("t"), "fp", "root")
     key = F.col("fp").bitwiseAND(F.get(constants, F.col("t")))
     found = scratch(link_sorted(dealt, key, radius, bucket), "bucket-links")
     small, large = found.where("NOT large").select("a", "b"), found.where("large").select(F.col("a").cast("int").alias("t"), F.col("b").alias("key"))
     if large.isEmpty():
         return small
-    second = [(t, s, m2) for t, m in enumerate(masks) for s, m2 in enumerate(covering(radius, [b for b in range(64) if not m >> b & 1]))]
-    again = spark.createDataFrame([(t, s, signed(m2)) for t, s, m2 in second], "t int, s int, m long")
+    second = [(t, s, signed(m2)) for t, (_, m) in enumerate(tables) for s, m2 in enumerate(covering(radius, [b for b in range(64) if not m >> b & 1]))]
+    again = spark.createDataFrame(second, "t int, s int, m long")
     hot = dealt.withColumn("key", key).join(large, ["t", "key"], "left_semi")
-    hot = hot.join(F.broadcast(again), "t").select("t", "key", "s", F.col("fp").bitwiseAND(F.col("m")).alias("key2"), "fp")
+    hot = hot.join(F.broadcast(again), "t").select("t", "key", "s", F.col("fp").bitwiseAND(F.col("m")).alias("key2"), "fp", "root")
     return small.unionByName(link_groups(hot, radius, ["t", "key", "s", "key2"]))
 
 
+def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints (column fp) that chains of links within the radius connect; none is missed."""
+    prints = distinct.select(F.lit(0).alias("j"), "fp", F.col("fp").alias("root"))
+    return bucket_links(prints, [(0, m) for m in covering(radius, list(range(64)))], radius, bucket)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (least node of its component) of every node of the edges (a, b), by alternating stars.
 
@@ -257,7 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int =
     Texts with one fingerprint are linked, so the empty ones are, too; beyond that only distinct fingerprints are
     compared. The kept row is the one with the least doc_id (a null one comes last), or the first of the table of those.
     """
-    rows = scratch(fingerprints(docs, shingle), "fingerprints")
+    rows = scratch(fingerprints(settled(docs), shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     distinct = scratch(rows.groupBy("fp").agg(first.alias("first")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), radius))
@@ -267,129 +252,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int =
     return rows.join(label, "fp").select("row_key", "doc_id", "fp", "component_id", "keep_row")
 
 
-def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
-    """Hashes of a text's distinct shingles; a text of fewer words has one, of all of them, and an empty one none."""
-    from xxhash import xxh64_intdigest
-
-    w = text.lower().split()
-    n = max(1, len(w) - shingle + 1) if w else 0
-    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(w[k : k + shingle]), SEED) for k in range(n)), np.uint64, n)).view(np.int64)
-
-
-def least_hash(hashes: np.ndarray, number: int) -> int:
-    """The least of the hashes, 0 for none, as the number-th mixing of their bits orders them."""
-    x = hashes.view(np.uint64) * np.uint64((2 * number + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return int(x.min(initial=np.uint64((1 << 64) - 1))) >> 1
-
-
-def alike(a: str, b: str, least: float):
-    """Whether two columns of distinct hashes have a Jaccard similarity of least or more."""
-    both = F.size(F.array_intersect(a, b))
-    return both >= (F.size(a) + F.size(b) - both) * least
-
-
-def exact_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between rows (part, row_key, hashes) of one part, but for those that roots (node, root) connects.
-
-    An exact join by prefixes. With the hashes of all rows in one order, two rows that are alike have a hash in common
-    among the first n - ceil(least * n) + 1 of the larger one's n and the first n - ceil(2 * least / (1 + least) * n) + 1
-    of the smaller one's. Hashes that are common in a part of the rows come last in the order, so what many texts share
-    makes no block of candidates, unless it is most of each. A block whose rows are all connected is left out, and in
-    others the rows outside of the block's largest cluster are paired with the rest, so that a large group of copies
-    isn't paired with itself.
-    """
-    spark = rows.sparkSession
-    part = max(1, rows.count() // COMMON_ROWS)
-    sample = rows.where(F.pmod(F.xxhash64("row_key"), F.lit(part)) == 0).select(F.explode("hashes").alias("h"))
-    common = np.sort(sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST).select("h").toArrow().column("h").to_numpy())
-    sent = spark.sparkContext.broadcast(common)
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
-        for batch in batches:
-            keys: list[np.ndarray] = []
-            places: list[np.ndarray] = []
-            early: list[np.ndarray] = []
-            sizes, lengths = [], []
-            off = batch.column("hashes").offsets.to_numpy()
-            flat = batch.column("hashes").values.to_numpy()
-            for p, a, b in zip(batch.column("part").to_numpy(), off, off[1:], strict=False):
-                h, n = flat[a:b], int(b - a)
-                take = n - ceil(least * n - 1e-9) + 1 if n else 0
-                last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(n, bool)
-                h = h[np.argsort(last, kind="stable")][:take]  # hashes are sorted
-                keys.append(h ^ (np.array([p]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-                places.append(np.arange(take, dtype=np.int32))
-                early.append(np.arange(take) <= n - ceil(2 * least / (1 + least) * n - 1e-9))
-                sizes.append(n)
-                lengths.append(take)
-            if sizes:
-                each = [np.repeat(batch.column(c).to_numpy(), lengths) for c in ("row_key", "cluster")]
-                out = [np.concatenate(keys), *each, np.repeat(np.array(sizes, np.int32), lengths), np.concatenate(places), np.concatenate(early)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "row", "cluster", "n", "place", "early"])
-
-    clustered = rows.join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").select("part", "row_key", F.coalesce("root", "row_key").alias("cluster"), "hashes")
-    starts = scratch(clustered.mapInArrow(prefix, "key long, row long, cluster long, n int, place int, early boolean"), "near-prefixes")
-    mixed = starts.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.bool_or("early").alias("any")).where("lo <> hi AND any").select("key")
-    starts = scratch(starts.join(mixed, "key", "left_semi"), "near-blocks")
-    most = starts.groupBy("key", "cluster").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("cluster", F.struct("k", "cluster")).alias("most"))
-    few = starts.join(most, "key").where("cluster <> most").drop("most")
-    a, b = few.alias("a"), starts.alias("b")
-    needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(least / (1 + least)) - 1e-9)
-    smaller_early = F.when(F.struct("a.n", "a.row") > F.struct("b.n", "b.row"), F.col("b.early")).otherwise(F.col("a.early"))
-    reach = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.cluster") != F.col("b.cluster")) & smaller_early & (reach >= needed)
-    pairs = scratch(a.join(b, near).select(F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b")).distinct(), "near-pairs")
-    one = rows.select(F.col("row_key").alias("a"), F.col("part").alias("part_a"), F.col("hashes").alias("own"))
-    two = rows.select(F.col("row_key").alias("b"), F.col("part").alias("part_b"), F.col("hashes").alias("other"))
-    return scratch(pairs.join(one, "a").join(two, "b").where((F.col("part_a") == F.col("part_b")) & alike("own", "other", least)).select("a", "b"), "near-exact")
-
-
-def confirmed_copies(docs: DataFrame, near: DataFrame, shingle: int = CONFIRM_WORDS, least: float = CONFIRM_LEAST, rounds: int = CONFIRM_ROUNDS) -> DataFrame:
-    """row_key of the rows to drop: all but one of each group that chains of links connect, where a link is a Jaccard
-    similarity of word shingles of least or more. The row with the least doc_id stays (the first place in the table,
-    for equal ones; a null one is largest).
-
-    near is near_duplicates(docs); its components are the candidates. Each round groups the rows of a component and
-    compares them with their group's first row: in the first round all of the component, then those with the same
-    least shingle, by another order of the shingles each round. That only connects most rows cheaply; then exact_pairs
-    compares all rows of a component that aren't connected yet. Two texts without words are alike. Only texts of components of several rows are compared. The joins are with
-    written tables, so Spark broadcasts one side where its size on disk is below its threshold.
-    """
-    arrow_limits(docs.sparkSession)
-    near = scratch(near.select("row_key", F.col("keep_row").alias("part")), "near-rows")
-    several = near.where("row_key <> part").select("part").distinct()
-    members = scratch(near.join(several, "part", "left_semi").select("row_key", "part"), "near-members")
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            off, data = buffers(batch.column("text"))
-            raw, off = data.tobytes(), off.tolist()
-            found = [shingle_hashes(raw[a:b], shingle) for a, b in zip(off, off[1:], strict=False)]
-            sigs = [[0] + [least_hash(h, k) for k in range(1, rounds)] for h in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "row_key")), pa.array(sigs, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["part", "doc_id", "row_key", "sigs", "hashes"])
-
-    kind = "part long, doc_id long, row_key long, sigs array<long>, hashes array<long>"
-    rows = scratch(with_key(docs).join(members, "row_key").select("part", "doc_id", "row_key", "text").mapInArrow(hashes, kind), "near-shingles")
-    found = members.select(F.col("row_key").alias("a"), F.col("row_key").alias("b")).where("false")
-    for k in range(rounds):
-        now = rows.withColumn("sig", F.get("sigs", F.lit(k)))
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "hashes"))
-        stays = now.groupBy("part", "sig").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("part", "sig", F.col("first.row_key").alias("first"), F.col("first.hashes").alias("other"))
-        judged = now.join(stays, ["part", "sig"]).where("row_key <> first").where(alike("hashes", "other", least)).select(F.col("row_key").alias("a"), F.col("first").alias("b"))
-        found = found.unionByName(scratch(judged, "near-judged"))
-    roots = components(found)
-    more = exact_pairs(rows.select("part", "row_key", "hashes"), roots, least)
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    nodes = scratch(rows.select("row_key", "doc_id").join(roots, F.col("row_key") == F.col("node")).select("root", "doc_id", "row_key"), "near-groups")
-    kept = nodes.groupBy("root").agg(best.alias("best")).select(F.col("best.row_key").alias("row_key"))
-    return scratch(nodes.join(kept, "row_key", "left_anti").select("row_key"), "near-copies")
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from siftwell.llm import bpe, decontamination, exact_dedup, html_text, ppm, sharding, simhash, simple8b, token_output, toxicity
+from siftwell.llm import bpe, decontamination, exact_dedup, html_text, near_copies, ppm, sharding, simhash, simple8b, token_output, toxicity
 from siftwell.llm.common import crc_mod, texts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -189,14 +189,11 @@ def test_confirmed_copies(spark):
     some = [*base[:150], "new", *base[151:]]
     rows = [" ".join(base), " ".join(some), " ".join(half), None, "", "few words", "Few words", " ".join(half).upper()]
     docs = table(spark, rows)
-    near = simhash.with_key(docs).select("row_key", "doc_id")
-    first = near.groupBy().agg({"row_key": "min"}).first()[0]
-    near = near.selectExpr("row_key", "doc_id", f"{first}L AS keep_row")  # all are candidates of one component
-    got = {r.row_key for r in simhash.confirmed_copies(docs, near).collect()}
+    got = {r.row_key for r in near_copies.confirmed_copies(docs, one_component(docs)).collect()}
     left = {r.doc_id for r in simhash.with_key(docs).collect() if r.row_key not in got}
 
     def jaccard(i, k):
-        a, b = (set(simhash.shingle_hashes((rows[x] or "").encode(), 5).tolist()) for x in (i, k))
+        a, b = (set(near_copies.shingle_hashes((rows[x] or "").encode(), 5).tolist()) for x in (i, k))
         return len(a & b) / len(a | b) if a | b else 1
 
     want = []
@@ -204,23 +201,22 @@ def test_confirmed_copies(spark):
         if all(jaccard(i, k) < 0.8 for k in want):
             want.append(i)
     assert left == set(want) == {0, 3, 5} | ({2} if jaccard(0, 2) < 0.8 else set())
-    assert simhash.confirmed_copies(empty(spark), simhash.near_duplicates(empty(spark))).count() == 0
 
 
 def one_component(docs):
     near = simhash.with_key(docs).select("row_key", "doc_id")
     first = near.groupBy().agg({"row_key": "min"}).first()[0]
-    return near.selectExpr("row_key", "doc_id", f"{first}L AS keep_row")
+    return near.selectExpr("row_key", f"{first}L AS part")
 
 
 def test_confirmed_copies_follow_chains(spark):
     base = [f"w{i}" for i in range(300)]
     chain = [[*(f"x{i}" for i in range(k)), *base[k:]] for k in range(0, 126, 25)]  # each like the next one only
     docs = table(spark, [" ".join(t) for t in chain])
-    hashes = [set(simhash.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in chain]
+    hashes = [set(near_copies.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in chain]
     for i, a in enumerate(hashes):
         assert all((len(a & b) >= 0.8 * len(a | b)) == (k == 0) for k, b in enumerate(hashes[i + 1 :]))
-    assert simhash.confirmed_copies(docs, one_component(docs), rounds=1).count() == len(chain) - 1
+    assert near_copies.confirmed_copies(docs, one_component(docs), rounds=1).count() == len(chain) - 1
 
 
 def test_exact_pairs_miss_none(spark):
@@ -231,18 +227,65 @@ def test_exact_pairs_miss_none(spark):
     texts += [[*t, *(f"u{k}.{i}" for i in range(rng.randint(20, 45)))] for k, t in enumerate(texts[30:60])]
     rng.shuffle(texts)
     docs = table(spark, [" ".join(t) for t in texts])
-    hashes = [set(simhash.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in texts]
+    hashes = [set(near_copies.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in texts]
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for k in range(i):
             if len(hashes[i] & hashes[k]) >= 0.8 * len(hashes[i] | hashes[k]):
                 a, b = label[i], label[k]
                 label = [min(a, b) if x in (a, b) else x for x in label]
-    gone = {r.row_key for r in simhash.confirmed_copies(docs, one_component(docs), rounds=1).collect()}
+    gone = {r.row_key for r in near_copies.confirmed_copies(docs, one_component(docs), rounds=1).collect()}
     left = {r.doc_id for r in simhash.with_key(docs).collect() if r.row_key not in gone}
     assert left == set(label) and 1 < len(left) < len(texts)
 
 
+def test_fingerprint_by_votes():
+    import xxhash
+
+    for text in ("", "one", "Two Words", "a b c", "the cat and the dog and the cat and the dog \t again", " ".join(f"w{i % 7}" for i in range(300))):
+        for shingle in (3, 5):
+            words = text.lower().split()
+            n = max(1, len(words) - shingle + 1)
+            hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + shingle]).encode(), 42) for k in range(n)]
+            want = sum(1 << b for b in range(64) if words and 2 * sum(h >> b & 1 for h in hashes) > n)
+            assert simhash.fingerprint(text.encode(), shingle) == want
+
+
+def test_prints_by_votes():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 1, 2, 700, 0, 35, 90)]
+    for step in (64, 1 << 20):
+        got = near_copies.prints_of(texts, 2, step)
+        for j in range(2):
+            for k, t in enumerate(texts):
+                h = near_copies.mixed(t * (near_copies._ODD + np.uint64(2 * j))).tolist()
+                assert int(got[j, k]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    known = near_copies.WordHashes()
+    text = ("Ab cd\t" * 50 + "x" * 200 + " end").encode()
+    assert (near_copies.word_hashes(text, known, 16) == near_copies.word_hashes(text.lower(), known)).all()
+
+
+def test_near_copies(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(500)}" for _ in range(rng.randint(40, 400))] for _ in range(40)]
+    near = [[*t[:k], "new", *t[k + 1 :]] for t in base for k in [rng.randrange(len(t))] if len(t) > 120]
+    hot = [[*base[0][:k], f"h{k}", *base[0][k + 1 :]] for k in range(0, len(base[0]), 3)] if len(base[0]) > 120 else []
+    texts = [" ".join(t) for t in base + near + hot] + [None, "", "few words", "Few words", "x " * 40_000]
+    docs = table(spark, texts).withColumnRenamed("row_key", "row_place")
+    hashes = [set(near_copies.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for k in range(i):
+            if len(hashes[i] & hashes[k]) >= 0.8 * len(hashes[i] | hashes[k]):
+                a, b = label[i], label[k]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    out = near_copies.near_copies(docs)
+    assert {r.doc_id for r in out.collect()} == set(label) and out.columns == docs.columns
+    assert near_copies.near_copies(empty(spark)).count() == 0
+    tied = near_copies.near_copies(table(spark, ["q r", "q r", "Q r"], [None, 5, 5])).collect()
+    assert [(r.doc_id, r.row_key) for r in tied] == [(5, 1)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body class="x"><nav><ul><li><a>Home</a></ul></nav>
 <div>Shared line</div><div class="cookie-banner">We use</div>%s<div id=comments>nice!</div><footer>&copy; me</footer></body></html>"""
 
