@@ -6,15 +6,8 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from siftwell.llm import bpe, common, decontamination, exact_dedup, simhash, toxicity
-
-
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose row_key is in kept, with the columns of docs. Keys are places in the scan of docs."""
-    keyed = docs.withColumn("__row_key", F.monotonically_increasing_id())
-    return keyed.join(kept.select(F.col("row_key").alias("__row_key")), "__row_key", "left_semi").select(*docs.columns)
+from siftwell.llm import bpe, common, decontamination, exact_dedup, near_copies, toxicity
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,15 +17,12 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z, the row with the largest doc_id stays."""
-    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    return exact_dedup.without_copies(docs)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies, linked by a Jaccard similarity of five-word shingles of 0.8 or more, the row with the least doc_id stays."""
-    near = simhash.near_duplicates(docs, shingle=CANDIDATE_WORDS, radius=CANDIDATE_RADIUS)
-    gone = simhash.confirmed_copies(docs, near).select(F.col("row_key").alias("__row_key"))
-    keyed = docs.withColumn("__row_key", F.monotonically_increasing_id())
-    return keyed.join(gone, "__row_key", "left_anti").select(*docs.columns)
+    return near_copies.near_copies(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +36,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(bpe.bpe_encode(docs, ranks), ranks)
 
 
-#: Candidates by SimHash of two-word shingles: an edit changes fewer of them, so copies differ in fewer bits.
-CANDIDATE_WORDS, CANDIDATE_RADIUS = 2, 8
-
 STAGES = [
     ("toxicity", remove_toxic),
     ("exact_dedup", remove_copies),
