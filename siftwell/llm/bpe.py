@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, buffers, ragged, read, slices, with_key
+from .common import arrow_limits, buffers, lean, ragged, read, slices, with_key, worker_cache
 from .pretokens import PieceIds, boundaries
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Boundaries so near to a window's end aren't sure: what follows could still change them.
 GUARD = 16
 
-_coders: dict[str, PieceIds] = {}
-_tables: dict[str, tuple[list[bytes], np.ndarray]] = {}
+_coders: dict[str, PieceIds] = worker_cache("bpe coders")
+_tables: dict[str, tuple[list[bytes], np.ndarray]] = worker_cache("bpe tables")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -180,8 +180,8 @@ def bpe_encode(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = O
         ids = stitch(parts, coder)
         return pd.DataFrame({"row_key": rows["row_key"].iloc[:1], "doc_id": rows["doc_id"].iloc[:1], "n_tokens": [len(ids)], "ids": [ids.astype("<u4").tobytes()]})
 
-    one = keyed.where(~long).mapInArrow(short, RESULT)
-    parts = keyed.where(long).mapInArrow(cut, PARTS).repartition("row_key", "chunk").mapInArrow(encode, CODED)
+    one = keyed.where(~long).mapInArrow(lean(short, "bpe coders"), RESULT)
+    parts = keyed.where(long).mapInArrow(lean(cut), PARTS).repartition("row_key", "chunk").mapInArrow(lean(encode, "bpe coders"), CODED)
     return one.unionByName(parts.groupBy("row_key").applyInPandas(join, RESULT))
 
 
@@ -195,7 +195,7 @@ def bpe_digests(encoded: DataFrame, ranks: str) -> DataFrame:
                 coded, raw = digests(np.frombuffer(data.tobytes(), "<u4"), np.diff(off) // 4, table, decimal)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("n_tokens").slice(lo, hi - lo), pa.array(coded), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(lean(digest, "bpe tables"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_decode(encoded: DataFrame, ranks: str) -> DataFrame:
@@ -207,7 +207,7 @@ def bpe_decode(encoded: DataFrame, ranks: str) -> DataFrame:
             raw = [decode(np.frombuffer(x.as_py() or b"", "<u4"), table) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(raw, pa.binary())], ["row_key", "doc_id", "data"])
 
-    return encoded.select("row_key", "doc_id", "ids").mapInArrow(back, "row_key long, doc_id long, data binary")
+    return encoded.select("row_key", "doc_id", "ids").mapInArrow(lean(back, "bpe tables"), "row_key long, doc_id long, data binary")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,23 +68,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df if plan.nodeName().startswith(("LogicalRelation", "Relation")) else scratch(df, "settled")
 
 
-#: What workers keep from task to task, by owner.
-_caches: list[dict] = []
+#: What workers keep from task to task, by name.
+_caches: dict[str, dict] = {}
 
 
-def worker_cache() -> dict:
-    _caches.append({})
-    return _caches[-1]
+def worker_cache(name: str) -> dict:
+    return _caches.setdefault(name, {})
 
 
-def lean(work: Callable, *caches: dict) -> Callable:
-    """A function of batches that first drops what a worker keeps for others than caches, and frees its memory at the end.
+def lean(work: Callable, *keep: str) -> Callable:
+    """A function of batches that first drops the worker's caches but those to keep, and frees its memory at the end.
 
     Workers live on after a task; without this they would hold what the C library and Arrow keep for later.
     """
 
     def run(batches):
-        forget(caches)
+        forget(keep)
         try:
             yield from work(batches)
         finally:
@@ -93,9 +92,9 @@ def lean(work: Callable, *caches: dict) -> Callable:
     return run
 
 
-def forget(keep: tuple[dict, ...]) -> None:
-    for cache in _caches:
-        if not any(cache is k for k in keep):
+def forget(keep: tuple[str, ...]) -> None:
+    for name, cache in _caches.items():
+        if name not in keep:
             cache.clear()
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, arrow_limits, read, with_key
+from .common import UPPER, arrow_limits, lean, read, with_key
 
 WINDOW_WORDS = 10
 #: Search tables are built, and sent to the tasks, for so many bytes of benchmark words at a time.
@@ -150,7 +150,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, bl
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["row_key", "doc_id", "n_words", "spans", "items"])
 
-        return keyed.mapInArrow(find, FOUND)
+        return keyed.mapInArrow(lean(find), FOUND)
 
     parts = [scan(k, b) for k, b in enumerate(blocks(benchmark, block_bytes))] or [scan(0, [])]
     if len(parts) == 1:
@@ -168,7 +168,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, bl
             spans = [merge((r["a"], r["b"]) for r in runs) for runs in batch.column("runs").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_key", "doc_id", "n_words")), pa.array(spans, pa.list_(pa.int32())), batch.column("items")], ["row_key", "doc_id", "n_words", "spans", "items"])
 
-    return joined.select("row_key", "doc_id", "n_words", "runs", "items").mapInArrow(tidy, FOUND)
+    return joined.select("row_key", "doc_id", "n_words", "runs", "items").mapInArrow(lean(tidy), FOUND)
 
 
 def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -183,7 +183,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WOR
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array([not patterns.search(words(t or ""))[0] for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(lean(clean), docs.schema)
     return docs
 
 

@@ -2,8 +2,10 @@
 
 Texts equal but for the case of A-Z are copies. Each distinct text has an entry in a bucket, found by the first bits of
 its key (a hash). A directory maps the first d bits of a key to a bucket; an overfull bucket is split on its next bit,
-and when it already uses all d bits the directory doubles first. Owner tasks each hold a range of the directory: they
-chain the texts of a key, compare their bytes, and write the bucket's entries to shared files.
+and when it already uses all d bits the directory doubles first. Owner tasks each hold a range of buckets of about the
+same size: they chain the texts of a key, compare their bytes, and write their buckets' entries to a shared file, sorted
+by bucket. Rows are then looked up by bucket, key and digest. A bucket that is overfull at the directory's full depth is
+an overflow chain: entries are streamed in the order of their keys, so only one key's chain is ever held.
 """
 
 from __future__ import annotations
@@ -16,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, arrow_limits, buffers, read, scratch, with_key
+from .common import UPPER, arrow_limits, buffers, lean, only_rows, read, scratch, settled, with_key
 
-#: A bucket splits beyond so many bytes of texts; keys have so many bits; texts one task combines before sending.
-BUCKET_BYTES, KEY_BITS, COMBINE_BYTES = 8 << 20, 62, 16 << 20
-#: The directory doubles up to so many bits; beyond, an overfull bucket has an overflow chain.
-MOST_DEPTH = 20
+#: A bucket splits beyond so many bytes of texts, or more where the directory would have more than so many buckets.
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
+#: Keys have so many bits; the directory doubles up to so many; texts one task combines before sending.
+KEY_BITS, MOST_DEPTH, COMBINE_BYTES = 62, 30, 16 << 20
+#: Groups of one in so many rows or more (so no more groups than that) are looked up apart from the others.
+HOT_PART = 1000
 
-ENTRY = "key long, sha binary, norm binary, last_doc long, last_row long, copies long"
-INDEX = "bucket long, key long, chain int, sha binary, n_bytes long, keep_id long, keep_row long, group_size long"
+ENTRY = "owner int, bucket int, key long, sha binary, norm binary, last_doc long, last_row long, copies long"
+INDEX = "bucket int, key long, chain int, sha binary, n_bytes long, keep_id long, keep_row long, group_size long"
 
 
 def normal(text: bytes) -> bytes:
@@ -36,63 +40,102 @@ def key_of(sha: bytes, bits: int) -> int:
 
 
 class Directory:
-    """Buckets by their first bits. depth: bits that the directory uses; slots: a bucket for each value of them."""
+    """Buckets by their first bits. depth: bits that the directory uses; a bucket with the prefix p of its own (local)
+    depth l has the 2 ** (depth - l) slots that begin with p, so a doubling needs no copy of the slots."""
 
-    def __init__(self):
-        self.depth, self.slots, self.local = 0, np.zeros(1, np.int64), [0]
+    def __init__(self, bits: int = KEY_BITS):
+        self.bits, self.depth, self.prefix, self.local, self.size = bits, 0, [0], [0], [0]
 
-    def split(self, bucket: int) -> tuple[int, int]:
-        """Split a bucket on its next bit, doubling the directory where it has none left; the halves' numbers."""
+    def split(self, bucket: int) -> int:
+        """Split a bucket on its next bit, doubling the directory where it has none left; the new half's number."""
         if self.local[bucket] == self.depth:
-            self.slots, self.depth = np.repeat(self.slots, 2), self.depth + 1
-        own = np.flatnonzero(self.slots == bucket)
+            self.depth += 1
         self.local[bucket] += 1
+        self.prefix[bucket] *= 2
         self.local.append(self.local[bucket])
-        self.slots[own[len(own) // 2 :]] = len(self.local) - 1
-        return bucket, len(self.local) - 1
-
-
-def grow_directory(weights: DataFrame, bits: int, bucket_bytes: int, step: int = 8) -> Directory:
-    """Split buckets until none holds more than bucket_bytes, or the directory has all its bits.
-
-    weights has key and bytes. The keys of overfull buckets are counted by the next bits only, step bits a round, so
-    what reaches the driver is bounded by the number of buckets, that is by the corpus over bucket_bytes.
+        self.prefix.append(self.prefix[bucket] + 1)
+        self.size.append(0)
+        return len(self.local) - 1
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first key of each bucket, sorted, and the buckets' numbers in that order."""
+        first = np.array([p << (self.bits - n) for p, n in zip(self.prefix, self.local, strict=True)], np.int64)
+        order = np.argsort(first)
+        return first[order], order.astype(np.int32)
+
+    def owners(self, tasks: int) -> np.ndarray:
+        """The owner task of each bucket: ranges of the directory of about the same size in bytes."""
+        _, order = self.table()
+        size = np.array(self.size, np.float64)[order] + 1
+        out = np.empty(len(order), np.int32)
+        out[order] = np.minimum((np.cumsum(size) - size) / size.sum() * tasks, tasks - 1)
+        return out
+
+
+def grow_directory(weights: DataFrame, bits: int, bucket_bytes: int, most: int = MOST_BUCKETS) -> Directory:
+    """Split buckets until none holds more than bucket_bytes (or a most-th of all, if that is more), or all bits are used.
+
+    weights has key and bytes. Bytes are summed by the first bits of the keys, some bits more than an even spread needs;
+    what is overfull then is summed by further bits alone. The driver gets a few times as many sums as buckets.
     """
-    directory, full = Directory(), {0: ""}
-    used, most = 0, min(bits, MOST_DEPTH)
-    while full and used < most:
-        older, used = used, min(most, used + step)
-        picked = weights.withColumn("head", F.shiftright("key", bits - used))
-        if older:
-            picked = picked.where(F.shiftright("key", bits - older).isin([int(x, 2) for x in full.values()]))
-        counted = {r["head"]: r["n"] for r in picked.groupBy("head").agg(F.sum("bytes").alias("n")).collect()}
-        stack, full = list(full.items()), {}
+    directory = Directory(bits)
+    total = weights.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    bucket_bytes = max(bucket_bytes, total // most)
+    deepest = min(bits, MOST_DEPTH)
+    used = min(deepest, max(0, total // bucket_bytes).bit_length() + 2)
+    heads, full = weights.withColumn("head", F.shiftright("key", bits - used)), {0: 0}
+    while True:
+        sums = {r["head"]: r["n"] for r in heads.groupBy("head").agg(F.sum("bytes").alias("n")).collect()}
+        levels = [sums]  # sums by ever fewer bits
+        while len(levels) <= used:
+            upper: dict[int, int] = {}
+            for head, n in levels[-1].items():
+                upper[head >> 1] = upper.get(head >> 1, 0) + n
+            levels.append(upper)
+        stack, full = list(full), {}
         while stack:
-            bucket, prefix = stack.pop()
-            rest = used - len(prefix)
-            low = int(prefix or "0", 2) << rest
-            if sum(counted.get(h, 0) for h in range(low, low + (1 << rest))) <= bucket_bytes:
+            bucket = stack.pop()
+            n = directory.size[bucket] = levels[used - directory.local[bucket]].get(directory.prefix[bucket], 0)
+            if n <= bucket_bytes:
                 continue
-            if not rest:
-                full[bucket] = prefix
+            if directory.local[bucket] == used:
+                full[bucket] = directory.prefix[bucket]
                 continue
-            a, b = directory.split(bucket)
-            stack += [(a, prefix + "0"), (b, prefix + "1")]
-    return directory
+            stack += [bucket, directory.split(bucket)]
+        if not full or used == deepest:
+            return directory
+        older, used = used, min(deepest, used + 6)
+        over = weights.sparkSession.createDataFrame([(p,) for p in full.values()], "older long")  # few, as keys are hashes
+        heads = weights.withColumn("older", F.shiftright("key", bits - older)).join(F.broadcast(over), "older").withColumn("head", F.shiftright("key", bits - used))
+
 
+def finder(directory: Directory, tasks: int):
+    """A function from keys to their buckets and owner tasks."""
+    (first, order), owners = directory.table(), directory.owners(tasks)
 
-def combined(docs: DataFrame, bits: int = KEY_BITS) -> DataFrame:
-    """Each task's distinct texts with their copies and last row: a hot text is one row a task and flush."""
+    def find(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        buckets = order[np.searchsorted(first, keys, "right") - 1]
+        return buckets, owners[buckets]
+
+    return find
+
+
+def combined(docs: DataFrame, directory: Directory, tasks: int) -> DataFrame:
+    """Each task's distinct texts with their copies, last row, bucket and owner: a hot text is one row a task and flush."""
+    bits, find = directory.bits, docs.sparkSession.sparkContext.broadcast((directory, tasks))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}  # by the text itself, so bytes decide
+        place = finder(*find.value)
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size
             shas = [hashlib.sha256(t).digest() for t in held]
             rows = list(held.values())
-            out = pa.RecordBatch.from_arrays([pa.array([key_of(s, bits) for s in shas], pa.int64()), pa.array(shas, pa.binary()), pa.array(list(held), pa.binary()), pa.array([r[0][0] for r in rows], pa.int64()), pa.array([r[0][1] for r in rows]), pa.array([r[1] for r in rows])], ["key", "sha", "norm", "last_doc", "last_row", "copies"])
+            keys = np.array([key_of(s, bits) for s in shas], np.int64)
+            buckets, owners = place(keys)
+            out = pa.RecordBatch.from_arrays([pa.array(owners), pa.array(buckets), pa.array(keys), pa.array(shas, pa.binary()), pa.array(list(held), pa.binary()), pa.array([r[0][0] for r in rows], pa.int64()), pa.array([r[0][1] for r in rows]), pa.array([r[1] for r in rows])], ["owner", "bucket", "key", "sha", "norm", "last_doc", "last_row", "copies"])
             held, size = {}, 0
             return out
 
@@ -113,7 +156,7 @@ def combined(docs: DataFrame, bits: int = KEY_BITS) -> DataFrame:
             yield flush()
 
     arrow_limits(docs.sparkSession)
-    return with_key(docs).mapInArrow(combine, ENTRY)
+    return with_key(docs).mapInArrow(lean(combine), ENTRY)
 
 
 def later(a: tuple, b: tuple) -> tuple:
@@ -132,17 +175,15 @@ def keyed(docs: DataFrame, bits: int = KEY_BITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array([key_of(s, bits) for s in shas], pa.int64()), pa.array(shas, pa.binary()), pa.array(np.diff(off), pa.int64())], ["row_key", "doc_id", "key", "sha", "bytes"])
 
     arrow_limits(docs.sparkSession)
-    return with_key(docs).mapInArrow(sums, "row_key long, doc_id long, key long, sha binary, bytes long")
+    return with_key(docs).mapInArrow(lean(sums), "row_key long, doc_id long, key long, sha binary, bytes long")
 
 
-def build_index(docs: DataFrame, rows: DataFrame, bits: int = KEY_BITS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The index: a row per distinct text. rows is keyed(docs), whose sizes the directory grows by."""
-    distinct = rows.groupBy("key", "sha").agg(F.first("bytes").alias("bytes"))
-    directory = grow_directory(distinct.select("key", "bytes"), bits, bucket_bytes)
-    slots, depth = directory.slots, directory.depth
+def build_index(docs: DataFrame, directory: Directory) -> DataFrame:
+    """The index: a row per distinct text, each owner task's buckets in a file of their own."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; one key's chain is held at a time."""
+        """Rows come sorted by bucket and key; one key's chain is held at a time."""
         now, chain = None, []
 
         def close() -> list[tuple]:
@@ -151,16 +192,15 @@ def build_index(docs: DataFrame, rows: DataFrame, bits: int = KEY_BITS, bucket_b
                 if (e[0], len(e[1])) in seen:
                     raise ValueError("two texts of one length have the same sha256")
                 seen.add((e[0], len(e[1])))
-            bucket = int(slots[now >> (bits - depth)]) if depth else 0
-            return [(bucket, now, k, e[0], len(e[1]), *e[2], e[3]) for k, e in enumerate(chain)]
+            return [(*now, k, e[0], len(e[1]), *e[2], e[3]) for k, e in enumerate(chain)]
 
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if row["key"] != now:
+                if (row["bucket"], row["key"]) != now:
                     if now is not None:
                         out += close()
-                    now, chain = row["key"], []
+                    now, chain = (row["bucket"], row["key"]), []
                 last = row["last_doc"], row["last_row"]
                 for e in chain:
                     if e[1] == row["norm"]:
@@ -172,15 +212,24 @@ def build_index(docs: DataFrame, rows: DataFrame, bits: int = KEY_BITS, bucket_b
         if now is not None:
             yield _index_batch(close())
 
-    # each owner task has a range of keys; keys are hashes, so equal ranges hold about as many texts
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.least(F.floor(F.col("key") / F.lit(float(1 << bits)) * F.lit(tasks)).cast("int"), F.lit(tasks - 1))
-    dealt = combined(docs, bits).repartitionById(tasks, part).sortWithinPartitions("key", "sha")
-    return scratch(dealt.select("key", "sha", "norm", "last_doc", "last_row", "copies").mapInArrow(own, INDEX), "dedup-index")
+    dealt = combined(docs, directory, tasks).repartitionById(tasks, "owner").sortWithinPartitions("bucket", "key", "sha")
+    return scratch(dealt.select("bucket", "key", "sha", "norm", "last_doc", "last_row", "copies").mapInArrow(lean(own), INDEX), "dedup-index")
+
+
+def bucketed(rows: DataFrame, directory: Directory) -> DataFrame:
+    """rows with the bucket of their key, as the directory has it."""
+    sent = rows.sparkSession.sparkContext.broadcast((directory, 1))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = finder(*sent.value)
+        for batch in batches:
+            yield batch.append_column("bucket", pa.array(find(batch.column("key").to_numpy())[0]))
+
+    return rows.mapInArrow(lean(place), "row_key long, doc_id long, key long, sha binary, bytes long, bucket int")
 
 
 def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     names = ["bucket", "key", "chain", "sha", "n_bytes", "keep_id", "keep_row", "group_size"]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -192,12 +241,24 @@ def exact_dedup(docs: DataFrame, bits: int = KEY_BITS, bucket_bytes: int = BUCKE
     A null text is an empty one. Of equal texts the row with the largest doc_id stays; a null doc_id is less than any
     other. Where rows repeat a doc_id with one text, the last of them in the table stays. An empty table gives no row.
     """
+    docs = settled(docs)
     rows = scratch(keyed(docs, bits), "dedup-keys")
-    index = build_index(docs, rows, bits, bucket_bytes)
-    found = rows.join(index.select("key", "sha", F.col("n_bytes").alias("bytes"), "keep_id", "keep_row", "group_size"), ["key", "sha", "bytes"], "left")
+    directory = grow_directory(rows.groupBy("key", "sha").agg(F.first("bytes").alias("bytes")), bits, bucket_bytes)
+    index = build_index(docs, directory).select("bucket", "key", "sha", F.col("n_bytes").alias("bytes"), "keep_id", "keep_row", "group_size")
+    by = ["bucket", "key", "sha", "bytes"]
+    hot = F.col("group_size") * HOT_PART >= max(rows.count(), HOT_PART * 100)
+    few = F.broadcast(index.where(hot))  # HOT_PART entries at most
+    placed = bucketed(rows, directory)
+    found = placed.join(few, by).unionByName(placed.join(few.select(by), by, "left_anti").join(index.where(~hot), by))
     return found.select("row_key", "doc_id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that exact_dedup() keeps."""
+    docs = settled(docs)
+    return only_rows(docs, exact_dedup(docs).where("kept"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).drop("row_key")
 

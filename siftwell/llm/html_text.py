@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, read, scratch
+from .common import arrow_limits, lean, read, scratch
 
 #: A subtree is template from so many different pages of a host on, and from such a part of them.
 LEAST_PAGES, LEAST_PART = 5, 0.3
@@ -202,7 +202,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_part: float
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["row_key", "host", "page", "article", "nodes", "keys"])
 
     # page and keys are hashes of the host and the whole page or subtree; article: whether any key is of one in an article
-    found = scratch(keyed.select("row_key", F.xxhash64(host_of(F.col("url"))).alias("host"), "html").mapInArrow(hashes, "row_key long, host long, page long, article boolean, nodes array<int>, keys array<long>"), "subtrees")
+    found = scratch(keyed.select("row_key", F.xxhash64(host_of(F.col("url"))).alias("host"), "html").mapInArrow(lean(hashes), "row_key long, host long, page long, article boolean, nodes array<int>, keys array<long>"), "subtrees")
     different = found.groupBy("page").agg(F.first("host").alias("host"), F.first(F.array_distinct("keys")).alias("keys"))
     hosts = found.select("host", "page", "article").distinct().groupBy("host").agg(F.count("*").alias("pages"), F.count_if("article").alias("articles"))
     counts = different.select("host", F.explode("keys").alias("key")).groupBy("key").agg(F.first("host").alias("host"), F.count("*").alias("n")).where(F.col("n") >= least_pages)
@@ -216,7 +216,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_part: float
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return keyed.join(nodes, "row_key", "left").select("page_id", "url", "html", "nodes").mapInArrow(clean, f"page_id {kind}, url string, text string")
+    return keyed.join(nodes, "row_key", "left").select("page_id", "url", "html", "nodes").mapInArrow(lean(clean), f"page_id {kind}, url string, text string")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

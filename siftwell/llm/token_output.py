@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, read, scratch, slices, texts
+from .common import arrow_limits, lean, read, scratch, slices, texts, worker_cache
 from .pretokens import PieceIds, boundaries
 from .simple8b import read_segment, write_segment
 
@@ -23,7 +23,7 @@ SEGMENT_IDS = 1 << 20
 #: Bytes of text pre-tokenised at a time: the more, the fewer look-ups of repeated pre-tokens.
 STEP_BYTES = 4 << 20
 
-_coders: dict[str, PieceIds] = {}
+_coders: dict[str, PieceIds] = worker_cache("token coders")
 
 
 #: Pre-tokens that one call of the library encodes at a time, joined.
@@ -122,7 +122,7 @@ def encode_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segme
 
     ordered = texts(docs).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    return scratch(ordered.mapInArrow(encode, SEGMENTS), "segments")
+    return scratch(ordered.mapInArrow(lean(encode, "token coders"), SEGMENTS), "segments")
 
 
 def read_segments(segments: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
     sizes = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     place = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("n").over(place), F.lit(0)).alias("base"))
-    rows = segments.select("part", "start_in_part", "payload").mapInArrow(decode, DOCS)
+    rows = segments.select("part", "start_in_part", "payload").mapInArrow(lean(decode), DOCS)
     return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, read, scratch
+from .common import arrow_limits, lean, read, scratch
 
 CALL, RESULT, TOOLS = (re.compile(rf"<{t}>(.*?)</{t}>", re.S) for t in ("tool_call", "tool_result", "tools"))
 
@@ -231,7 +231,7 @@ def parsed(messages: DataFrame) -> DataFrame:
 
     arrow_limits(messages.sparkSession)
     rows = messages.select(F.monotonically_increasing_id().alias("row_key"), F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return scratch(rows.mapInArrow(parse, PARSED), "messages")
+    return scratch(rows.mapInArrow(lean(parse), PARSED), "messages")
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def link(messages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role")), *(pa.array(x, pa.int64()) for x in (counts, n_linked, n_valid)), batch.column("n_orphans"), batch.column("n_bad"), pa.array(out, pa.string())], ["conv_id", "turn", "role", "n_calls", "n_linked", "n_valid", "n_orphans", "n_bad", "json"])
 
     whole = rows.join(mine, "row_key", "left").join(orphans, "row_key", "left").withColumn("n_orphans", F.coalesce("n_orphans", F.lit(0)))
-    return whole.select("conv_id", "turn", "role", "content", "linked", "results", "n_orphans", "n_bad").mapInArrow(write, "conv_id long, turn long, role string, n_calls long, n_linked long, n_valid long, n_orphans long, n_bad long, json string")
+    return whole.select("conv_id", "turn", "role", "content", "linked", "results", "n_orphans", "n_bad").mapInArrow(lean(write), "conv_id long, turn long, role string, n_calls long, n_linked long, n_valid long, n_orphans long, n_bad long, json string")
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, crc_mod, read, with_key
+from .common import arrow_limits, crc_mod, lean, read, with_key
 
 #: Labelled rows that the machine is fitted on, at most; buckets of hashed terms; buckets that it uses; factors.
 SAMPLE_ROWS, BUCKETS, USED, FACTORS = 20_000, 1 << 20, 4096, 8
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, rows: int = SAMPLE_R
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "buckets"])
 
     picked = with_key(docs).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
-    got = picked.mapInArrow(terms, "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.max(F.struct("toxic", "buckets")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
+    got = picked.mapInArrow(lean(terms), "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.max(F.struct("toxic", "buckets")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
     rows = [np.frombuffer(b.as_buffer(), np.int32) for b in got.column("buckets")]  # views, no copies
     return fit(rows, got.column("toxic").to_numpy())
 
@@ -140,7 +140,7 @@ def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
             scores = [machine.score(buckets_of(t, terms)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(scores, pa.float64())], ["row_key", "doc_id", "score"])
 
-    return with_key(docs).mapInArrow(score, "row_key long, doc_id long, score double")
+    return with_key(docs).mapInArrow(lean(score), "row_key long, doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
@@ -154,7 +154,7 @@ def without_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([machine.score(buckets_of(t or "", terms)) < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lean(clean), docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,13 +102,33 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
-def test_directory_doubles_and_splits():
-    d = exact_dedup.Directory()
-    a, b = d.split(0)
-    c, e = d.split(b)
-    assert d.depth == 2 and d.slots.tolist() == [a, a, c, e]
-    d.split(a)
-    assert d.depth == 2 and len(set(d.slots.tolist())) == 4
+def test_hot_text_among_others(spark):
+    rows = ["Hot"] * 150 + ["hot", "cold", "cold", None]
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(table(spark, rows)).collect()}
+    assert len(got) == len(rows) and {got[i].keep_id for i in range(151)} == {150} and got[150].kept and got[7].group_size == 151
+    assert got[151].keep_id == 152 and got[153].kept
+    docs = table(spark, rows).withColumnRenamed("row_key", "row_place").repartition(3)
+    kept = exact_dedup.without_copies(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [150, 152, 153] and kept.columns == docs.columns
+
+
+def test_directory_doubles_and_splits(spark):
+    d = exact_dedup.Directory(bits=4)
+    b = d.split(0)
+    c = d.split(b)
+    assert d.depth == 2 and d.table()[0].tolist() == [0, 8, 12] and d.table()[1].tolist() == [0, b, c]
+    a = d.split(0)
+    assert d.depth == 2 and d.table()[0].tolist() == [0, 4, 8, 12] and d.table()[1].tolist() == [0, a, b, c]
+    rng = random.Random(2)
+    keys = [rng.getrandbits(10) for _ in range(400)] + [513] * 30
+    weights = spark.createDataFrame([(k, 3) for k in keys], "key long, bytes long")
+    d = exact_dedup.grow_directory(weights, 10, 60)
+    find = exact_dedup.finder(d, 4)
+    buckets, owners = find(np.array(keys))
+    size = np.bincount(buckets, minlength=len(d.local)) * 3
+    assert size.tolist() == d.size and all(n <= 60 or d.local[k] == 10 for k, n in enumerate(size.tolist()))
+    assert all(k >> 10 - d.local[n] == d.prefix[n] for k, n in zip(keys, buckets.tolist(), strict=True))
+    assert (np.diff(owners[np.argsort(keys)]) >= 0).all() and set(owners.tolist()) == {0, 1, 2, 3}
 
 
 def test_toxicity(spark):
