@@ -14,12 +14,11 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, buffers, lean, ragged, read, slices, with_key, worker_cache
+from .common import arrow_limits, buffers, forget, lean, ragged, read, slices, with_key, worker_cache
 from .pretokens import PieceIds, boundaries
 
 CHUNK, OVERLAP = 32_768, 1_024
@@ -121,7 +120,25 @@ def digests(ids: np.ndarray, counts: np.ndarray, table: list[bytes], decimal: np
     return coded, raw
 
 
+def id_rows(keys: pa.Array, docs: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows of RESULT from the ids of some texts, one after another, and their numbers."""
+    where = np.concatenate([[0], np.cumsum(counts)]) * 4
+    coded = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+    return pa.RecordBatch.from_arrays([keys, docs, pa.array(counts), coded], ["row_key", "doc_id", "n_tokens", "ids"])
+
+
+def digest_rows(ranks: str):
+    """As id_rows(), with the digests of DIGESTS in place of the ids."""
+
+    def rows(keys: pa.Array, docs: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        coded, raw = digests(ids, counts, *id_tables(ranks))
+        return pa.RecordBatch.from_arrays([docs, pa.array(counts), pa.array(coded), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows
+
+
 RESULT = "row_key long, doc_id long, n_tokens long, ids binary"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 PARTS = "row_key long, doc_id long, chunk int, begin long, final boolean, data binary"
 CODED = PARTS + ", begins binary, ids binary, counts binary"
 
@@ -132,6 +149,15 @@ def bpe_encode(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = O
     Rows that repeat a doc_id, or have none, each get a row. A text of one chunk at most is encoded where it is read;
     the windows of longer ones are dealt out over the cluster, then gathered per text for stitching.
     """
+    return _encoded(docs, ranks, chunk, overlap, id_rows, RESULT)
+
+
+def bpe_digests(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of bpe_encode(), whose ids are decoded again, without keeping ids."""
+    return _encoded(docs, ranks, chunk, overlap, digest_rows(ranks), DIGESTS)
+
+
+def _encoded(docs: DataFrame, ranks: str, chunk: int, overlap: int, rows_of, kind: str) -> DataFrame:
     arrow_limits(docs.sparkSession)
     keyed = with_key(docs)
     long = F.octet_length("text") > chunk
@@ -143,9 +169,7 @@ def bpe_encode(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = O
                 begins, first = boundaries(data, off)
                 ids, lengths = coder(data, begins)
                 counts = np.diff(np.concatenate([[0], np.cumsum(lengths)])[first])
-                where = np.concatenate([[0], np.cumsum(counts)]) * 4
-                coded = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
-                yield pa.RecordBatch.from_arrays([batch.column("row_key").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), pa.array(counts), coded], ["row_key", "doc_id", "n_tokens", "ids"])
+                yield rows_of(batch.column("row_key").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), ids, counts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,29 +197,18 @@ def bpe_encode(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = O
                 counts.append(np.diff(w.before).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.binary()) for x in (begins, ids, counts))], [*batch.schema.names, "begins", "ids", "counts"])
 
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        coder = rank_coder(ranks)
-        rows = rows.sort_values("chunk")
-        parts = [Window(int(r.begin), np.frombuffer(r.data, np.uint8), bool(r.final), np.frombuffer(r.begins, "<i8"), np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<i8")) for r in rows.itertuples()]
-        ids = stitch(parts, coder)
-        return pd.DataFrame({"row_key": rows["row_key"].iloc[:1], "doc_id": rows["doc_id"].iloc[:1], "n_tokens": [len(ids)], "ids": [ids.astype("<u4").tobytes()]})
+    def join(rows: pa.Table) -> pa.Table:
+        forget(("bpe coders", "bpe tables"))
+        rows = rows.sort_by("chunk")
+        begin, final = rows.column("begin").to_pylist(), rows.column("final").to_pylist()
+        raw = [[np.frombuffer(x.as_buffer(), t) for x in rows.column(c)] for c, t in (("data", np.uint8), ("begins", "<i8"), ("ids", "<u4"), ("counts", "<i8"))]
+        ids = stitch([Window(*x) for x in zip(begin, raw[0], final, *raw[1:], strict=True)], rank_coder(ranks))
+        one = [rows.column(c).slice(0, 1).combine_chunks() for c in ("row_key", "doc_id")]
+        return pa.Table.from_batches([rows_of(*one, ids, np.array([len(ids)]))])
 
-    one = keyed.where(~long).mapInArrow(lean(short, "bpe coders"), RESULT)
+    one = keyed.where(~long).mapInArrow(lean(short, "bpe coders", "bpe tables"), kind)
     parts = keyed.where(long).mapInArrow(lean(cut), PARTS).repartition("row_key", "chunk").mapInArrow(lean(encode, "bpe coders"), CODED)
-    return one.unionByName(parts.groupBy("row_key").applyInPandas(join, RESULT))
-
-
-def bpe_digests(encoded: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded texts."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, decimal = id_tables(ranks)
-        for batch in batches:
-            for lo, hi, off, data in slices(batch.column("ids")):
-                coded, raw = digests(np.frombuffer(data.tobytes(), "<u4"), np.diff(off) // 4, table, decimal)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("n_tokens").slice(lo, hi - lo), pa.array(coded), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(lean(digest, "bpe tables"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return one.unionByName(parts.groupBy("row_key").applyInArrow(join, kind))
 
 
 def bpe_decode(encoded: DataFrame, ranks: str) -> DataFrame:
@@ -214,4 +227,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe_digests(bpe_encode(read(spark, sf_dir, "documents"), ranks), ranks)
+    return bpe_digests(read(spark, sf_dir, "documents"), ranks)

@@ -204,7 +204,7 @@ def exact_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     of the smaller one's. Hashes that are common in a part of the rows come last in the order, so what many texts share
     makes no block of candidates, unless it is most of each. A block whose rows are all connected is left out, and in
     others the rows outside of the block's largest cluster are paired with the rest, so that a large group of copies
-    isn't paired with itself.
+    isn't paired with itself. Rows that had the hash before in common, too, met in that one's block.
     """
     spark = rows.sparkSession
     part = max(1, rows.count() // COMMON_ROWS)
@@ -216,6 +216,7 @@ def exact_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
         common = sent.value
         for batch in batches:
             keys: list[np.ndarray] = []
+            previous: list[np.ndarray] = []
             places: list[np.ndarray] = []
             early: list[np.ndarray] = []
             sizes, lengths = [], []
@@ -227,17 +228,18 @@ def exact_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
                 last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(n, bool)
                 h = h[np.argsort(last, kind="stable")][:take]  # hashes are sorted
                 keys.append(h ^ (np.array([p]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+                previous.append(np.concatenate([keys[-1][:1], keys[-1][:-1]]))
                 places.append(np.arange(take, dtype=np.int32))
                 early.append(np.arange(take) <= n - ceil(2 * least / (1 + least) * n - 1e-9))
                 sizes.append(n)
                 lengths.append(take)
             if sizes:
                 each = [np.repeat(batch.column(c).to_numpy(), lengths) for c in ("row_key", "cluster")]
-                out = [np.concatenate(keys), *each, np.repeat(np.array(sizes, np.int32), lengths), np.concatenate(places), np.concatenate(early)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "row", "cluster", "n", "place", "early"])
+                out = [np.concatenate(keys), np.concatenate(previous), *each, np.repeat(np.array(sizes, np.int32), lengths), np.concatenate(places), np.concatenate(early)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "previous", "row", "cluster", "n", "place", "early"])
 
     clustered = rows.join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").select("part", "row_key", F.coalesce("root", "row_key").alias("cluster"), "hashes")
-    starts = scratch(clustered.mapInArrow(lean(prefix), "key long, row long, cluster long, n int, place int, early boolean"), "near-prefixes")
+    starts = scratch(clustered.mapInArrow(lean(prefix), "key long, previous long, row long, cluster long, n int, place int, early boolean"), "near-prefixes")
     mixed = starts.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.bool_or("early").alias("any")).where("lo <> hi AND any").select("key")
     starts = scratch(starts.join(mixed, "key", "left_semi"), "near-blocks")
     most = starts.groupBy("key", "cluster").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("cluster", F.struct("k", "cluster")).alias("most"))
@@ -246,7 +248,8 @@ def exact_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(least / (1 + least)) - 1e-9)
     smaller_early = F.when(F.struct("a.n", "a.row") > F.struct("b.n", "b.row"), F.col("b.early")).otherwise(F.col("a.early"))
     reach = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.cluster") != F.col("b.cluster")) & smaller_early & (reach >= needed)
+    again = (F.col("a.place") > 0) & (F.col("b.place") > 0) & (F.col("a.previous") == F.col("b.previous"))
+    near = (F.col("a.key") == F.col("b.key")) & ~again & (F.col("a.cluster") != F.col("b.cluster")) & smaller_early & (reach >= needed)
     pairs = scratch(a.join(b, near).select(F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b")).distinct(), "near-pairs")
     one = rows.select(F.col("row_key").alias("a"), F.col("part").alias("part_a"), F.col("hashes").alias("own"))
     two = rows.select(F.col("row_key").alias("b"), F.col("part").alias("part_b"), F.col("hashes").alias("other"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, crc_mod, lean, read, with_key
+from .common import arrow_limits, crc_mod, lean, read, trim, with_key
 
 #: Labelled rows that the machine is fitted on, at most; buckets of hashed terms; buckets that it uses; factors.
 SAMPLE_ROWS, BUCKETS, USED, FACTORS = 20_000, 1 << 20, 4096, 8
@@ -124,9 +124,14 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, rows: int = SAMPLE_R
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "buckets"])
 
     picked = with_key(docs).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
-    got = picked.mapInArrow(lean(terms), "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.max(F.struct("toxic", "buckets")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
-    rows = [np.frombuffer(b.as_buffer(), np.int32) for b in got.column("buckets")]  # views, no copies
-    return fit(rows, got.column("toxic").to_numpy())
+    got = picked.mapInArrow(lean(terms), "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.max(F.struct("toxic", "buckets")).alias("x")).select("doc_id", "x.*").toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    buckets, toxic = got.column("buckets").combine_chunks(), got.column("toxic").to_numpy()[order]
+    del got
+    machine = fit([np.frombuffer(buckets[k].as_buffer(), np.int32) for k in order.tolist()], toxic)  # views, no copies
+    del buckets
+    trim()
+    return machine
 
 
 def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -427,7 +427,7 @@ def test_sharding(spark):
 def test_bpe(spark, chunk, overlap):
     rows = [*ODD, "a" * 700, ("don't  stop 12\n\n" * 40) + "é" * 90 + " end"]
     coded = bpe.bpe_encode(table(spark, rows), RANKS, chunk, overlap)
-    got = {r.doc_id: r for r in bpe.bpe_digests(coded, RANKS).collect()}
+    got = {r.doc_id: r for r in bpe.bpe_digests(table(spark, rows), RANKS, chunk, overlap).collect()}
     assert len(got) == len(rows)
     for i, t in enumerate(rows):
         ids = tiktoken_ids(t or "")
