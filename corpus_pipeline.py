@@ -33,7 +33,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the bytes decoded from them."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.bpe_digests(bpe.bpe_encode(docs, ranks), ranks)
+    return bpe.bpe_digests(docs, ranks)
 
 
 STAGES = [
