@@ -1,43 +1,42 @@
 """Operator 8: language-model scores by prediction by partial matching (PPM) with a pretrained byte-context trie.
 
-The trie is counted over all training documents: every run of up to ORDER + 1 bytes, summed in Spark. A run is kept in
-the trie where its count is at least a given part of all bytes, so the trie has at most ORDER + 1 times 1 / part edges
-whatever the corpus; what is left out counts as escapes of its context. In a context c with T kept occurrences, q
-different symbols and u occurrences left out, a symbol seen n times has the probability n / (T + q + u), and the escape
-(q + u) / (T + q + u). After an escape the next shorter context leaves out the symbols that the longer one has (symbol
-exclusion); as these are a subset of its own, each context needs the sums over its suffix's symbols only once. Below
-order 0 the symbols left share the rest evenly. All this is worked out per context and symbol when the model is built;
-a text's code length is then a sum of table entries along a walk over states, many texts' pieces in step.
+The trie holds every run of up to ORDER + 1 bytes of all training documents; nothing is left out of it, so it grows with
+the corpus. It is a set of tables, one for each context length, that are summed and joined in Spark and never meet in
+one place. In a context c with T occurrences and q different symbols, a symbol seen n times has the probability
+n / (T + q), and the escape q / (T + q). After an escape the next shorter context leaves out the symbols that the longer
+one has (symbol exclusion); as these are a subset of its own, each context needs only one sum over its suffix's counts.
+Below order 0 the symbols left share the rest evenly. From the shortest context on, a join with the table before gives
+each run's code length, whether as the first context's symbol or after escapes.
+
+Documents are scored a slice (a partition of the scan) at a time: a slice lists its different windows of ORDER + 1
+bytes, whose code lengths are joined and come back to it together with its texts. So a task holds a table of its own
+slice's windows, as large as its texts at most, however large the trie is.
 
 A text is modelled as its tokens joined by one space, A-Z lower-cased, and an end sign.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from math import log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, buffers, crc_mod, read, scratch, with_key
+from .common import arrow_limits, buffers, crc_mod, lean, read, scratch, settled, with_key
 
 ORDER = 5
-#: A run of bytes is kept in the trie where it makes up one in so many of all runs, at least.
-RESOLUTION = 1 << 20
-#: Bytes of a model's tables, at most; runs count at a coarser resolution where they would need more.
-TABLE_BYTES = 192 << 20
 #: Tokens looked up in each task's memory; all others are joined. Longer tokens aren't among these.
 FREQUENT, FREQUENT_BYTES = 1 << 16, 64
 
-END, PAD = 0xFF, 0xFE  # bytes that UTF-8 never has
+END, PAD = 0xFF, 0xFE  # bytes that UTF-8 never has; PAD stands before a text's first byte
+SYMBOLS = 257
 END_TOKEN = "\n"  # no word has white space
 
-STEP_BYTES, HELD = 2 << 20, 3_000_000
+STEP_BYTES = 2 << 20
 
 
 def runs(tokens: list[bytes]) -> bytes:
@@ -57,177 +56,96 @@ def run_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(counts, first)
 
 
-def windows(stream: bytes, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of order + 1 bytes that start at each byte which isn't padding, as numbers, and their counts."""
-    data = np.frombuffer(stream + bytes([PAD]) * order, np.uint8)
-    n = len(stream)
+def windows(texts: list[bytes], order: int) -> np.ndarray:
+    """For each byte of the texts and each end, that byte and the order bytes before it, as one number."""
+    front = bytes([PAD]) * order
+    data = np.frombuffer(b"".join(x for t in texts for x in (front, t, bytes([END]))), np.uint8)
+    n = max(0, len(data) - order)
     keys = np.zeros(n, np.uint64)
     for k in range(order + 1):
         keys = (keys << np.uint64(8)) | data[k : k + n]
-    return np.unique(keys[data[:n] != PAD], return_counts=True)
+    return keys[data[order:] != PAD]
 
 
-def count_runs(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """size, run (as a number) and n: the counts of all runs of 1 to order + 1 bytes within the documents."""
+def slice_windows(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """slice, window and n: each slice's different windows, and how often they are in its documents to learn from.
+
+    docs has row_key, text and learn. A slice is the part of the table that one task scans.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def emit(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for length in range(order + 1, 0, -1):
-                inside = (keys & np.uint64(0xFF)) != PAD
-                k, c = keys[inside], counts[inside]
-                for i in range(0, len(k), 200_000):
-                    part = k[i : i + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), length, np.int32)), pa.array(part.view(np.int64)), pa.array(c[i : i + 200_000])], ["size", "run", "n"])
-                keys, counts = run_sums(keys >> np.uint64(8), counts)
-
-        parts, part_size = [], 0
+        parts: tuple[list[bytes], list[bytes]] = [], []
+        size, number = 0, 0
 
         def step() -> None:
-            nonlocal parts, part_size, held, size
-            k, c = windows(b"".join(parts), order)
-            held.append((k, c.astype(np.int64)))
-            size += len(k)
-            parts, part_size = [], 0
-            if size > HELD and len(held) > 1:
+            nonlocal parts, size, held
+            for learnt, texts in enumerate(parts):
+                keys, n = np.unique(windows(texts, order), return_counts=True)
+                held.append((keys, n.astype(np.int64) * learnt))
+            if len(held) > 8:
                 held = [sums(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                size = len(held[0][0])
+            parts, size = ([], []), 0
 
-        tail = bytes([END]) + bytes([PAD]) * order
         for batch in batches:
             off, data = buffers(batch.column("text"))
             raw, off = data.tobytes(), off.tolist()
-            for a, b in zip(off, off[1:], strict=False):
+            for a, b, learn in zip(off, off[1:], batch.column("learn").to_pylist(), strict=False):
                 text = runs(raw[a:b].lower().split())
-                parts += [text, tail]
-                part_size += len(text) + len(tail)
-                if part_size > STEP_BYTES:
+                parts[bool(learn)].append(text)
+                size += len(text) + order + 1
+                if size > STEP_BYTES:
                     step()
-                    if size > HELD:  # merging didn't help: send, as Spark sums up anyway
-                        yield from emit(*sums(*(np.concatenate(x) for x in zip(*held, strict=True))))
-                        held, size = [], 0
-        if parts:
-            step()
-        if held:
-            yield from emit(*sums(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            if batch.num_rows:
+                number = batch.column("row_key")[0].as_py() >> 33
+        step()
+        keys, n = sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for i in range(0, len(keys), 100_000):
+            part = keys[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number, np.int32)), pa.array(part.view(np.int64)), pa.array(n[i : i + 100_000])], ["slice", "window", "n"])
+
+    return docs.select("row_key", "text", "learn").mapInArrow(lean(count), "slice int, window long, n long")
 
-    arrow_limits(docs.sparkSession)
-    each = docs.select("text").mapInArrow(count, "size int, run long, n long")
-    return each.groupBy("size", "run").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Tables of log10 probabilities and next states, by state (context) and symbol column."""
-
-    def __init__(self, edges: dict[int, tuple[np.ndarray, np.ndarray]], total: int, order: int = ORDER):
-        """edges: for each run length, sorted runs (uint64) and counts."""
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        first, first_n = edges.get(1, none)
-        if END not in first:
-            first, first_n = np.append(first, np.uint64(END)), np.append(first_n, 1)
-            total = max(total, int(first_n.sum()))
-        edges = {**edges, 1: (first, first_n)}
-        self.width = width = len(first) + 1
-        self.column = np.full(256, width - 1, np.int32)  # the last column: bytes that aren't in the trie
-        self.column[first.astype(np.int64)] = np.arange(width - 1)
-        left = 257 - len(first)
-
-        def of(edge: np.ndarray) -> np.ndarray:
-            return self.column[(edge & np.uint64(0xFF)).astype(np.int64)]
-
-        contexts = [np.zeros(1, np.uint64)]
-        for j in range(1, order + 1):
-            contexts.append(np.unique(edges.get(j + 1, none)[0] >> np.uint64(8)))
-        bases = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-        logs, following, before = [], [], None
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for j, context in enumerate(contexts):
-                runs_, n = edges.get(j + 1, none)
-                row = np.searchsorted(context, runs_ >> np.uint64(8)) if j else np.zeros(len(runs_), np.int64)
-                seen = np.zeros((len(context), width))
-                seen[row, of(runs_)] = n
-                kept, kinds = seen.sum(1), (seen > 0).sum(1)
-                if j:
-                    upper, upper_n = edges.get(j, none)
-                    whole = upper_n[np.searchsorted(upper, context)]
-                    suffix = np.searchsorted(contexts[j - 1], context & np.uint64((1 << 8 * (j - 1)) - 1)) if j > 1 else np.zeros(len(context), np.int64)
-                else:
-                    whole = np.array([total])
-                escapes = np.maximum(whole - kept, 0) + kinds
-                if not j:
-                    rest = np.full((1, width), -log10(left) if left else 0.0)
-                    nexts = np.zeros((1, width), np.int32)
-                else:
-                    p_seen, p_kept, p_escapes, p_rest, p_next = before
-                    below = p_seen[suffix]
-                    shut = np.where(seen > 0, below, 0).sum(1)
-                    out = np.maximum(p_escapes[suffix] - kinds, 0)
-                    whole_rest = p_kept[suffix] - shut + out
-                    rest = np.where(below > 0, np.log10(below / whole_rest[:, None]), np.log10(out / whole_rest)[:, None] + p_rest[suffix])
-                    dead = whole_rest <= 0
-                    rest[dead] = p_rest[suffix][dead]
-                    nexts = p_next[suffix]
-                if j < order and len(contexts[j + 1]):
-                    child = contexts[j + 1]
-                    parent = np.searchsorted(context, child >> np.uint64(8)) if j else np.zeros(len(child), np.int64)
-                    nexts[parent, of(child)] = bases[j + 1] + np.arange(len(child))
-                everything = (kept + escapes)[:, None]
-                logs.append(np.where(seen > 0, np.log10(seen / everything), np.log10(escapes[:, None] / everything) + rest).astype(np.float32))
-                following.append(nexts)
-                before = seen, kept, escapes, rest.astype(np.float32), nexts
-        self.logs, self.next = np.concatenate(logs).ravel(), np.concatenate(following).ravel().astype(np.int32)
-        self.order = order
-
-    def code(self, stream: np.ndarray, piece: int = 1024) -> np.ndarray:
-        """log10 probability of each byte of texts that each end in END; pieces of the stream go in step."""
-        n, order, width = len(stream), self.order, self.width
-        end = self.column[END]
-        symbols = self.column[stream]
-        pieces = -(-n // piece)
-        padded = np.concatenate([np.full(order, end, np.int32), symbols, np.full(pieces * piece - n, end, np.int32)])
-        step = padded.strides[0]
-        rows = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (piece + order, pieces), (step, piece * step)))
-        out = np.empty((piece, pieces), np.float32)
-        state = np.zeros(pieces, np.int32)
-        for t in range(piece + order):  # the last order bytes before a piece give its first state
-            at = state * width + rows[t]
-            if t >= order:
-                out[t - order] = self.logs[at]
-            state = self.next[at]
-        return out.T.ravel()[:n]
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        if not texts:
-            return np.zeros(0)
-        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        stream = np.frombuffer((bytes([END])).join(texts) + bytes([END]), np.uint8)
-        return np.add.reduceat(self.code(stream).astype(np.float64), np.cumsum(sizes) - sizes)
-
-
-def kept_edges(counts: DataFrame, resolution: int = RESOLUTION, table_bytes: int = TABLE_BYTES) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int]:
-    """The trie's edges by length, and the number of all bytes. At most resolution edges a length are collected."""
-    table = scratch(counts.where("n >= 2 OR size = 1"), "runs")
-    total = table.where("size = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(2, -(-total // resolution))
-    got = table.where(F.col("n") >= least).toArrow()
-    size, run, n = (got.column(c).to_numpy() for c in ("size", "run", "n"))
-    edges = {}
-    for length in np.unique(size).tolist():
-        mine = size == length
-        keys = run[mine].view(np.uint64)
-        order = np.argsort(keys)
-        edges[length] = keys[order], n[mine][order].astype(np.int64)
-    while states(edges) * (len(edges.get(1, ((),))[0]) + 2) * 8 > table_bytes:
-        least *= 2
-        edges = {k: (run[n >= least], n[n >= least]) for k, (run, n) in edges.items()}
-    return edges, int(total)
-
-
-def states(edges: dict[int, tuple[np.ndarray, np.ndarray]]) -> int:
-    return 1 + sum(len(np.unique(run >> np.uint64(8))) for size, (run, _) in edges.items() if size > 1)
+
+def code_lengths(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """window and logp (log10 of the symbol's probability after its context) of each window of counted (window, n)."""
+    whole = scratch(counted.groupBy("window").agg(F.sum("n").alias("n")), "windows")
+
+    def byte(k: int):
+        return F.shiftright("window", 8 * k).bitwiseAND(0xFF)
+
+    def last(column: str, size: int):
+        return F.col(column).bitwiseAND((1 << 8 * size) - 1)
+
+    levels = {order: whole.where(byte(order) != PAD).select(F.col("window").alias("run"), "n", F.lit(False).alias("short"))}
+    for k in range(order - 1, -1, -1):
+        short = whole.where((byte(k) != PAD) & (byte(k + 1) == PAD)).select(last("window", k + 1).alias("run"), "n", F.lit(True).alias("short"))
+        both = levels[k + 1].select(last("run", k + 1).alias("run"), "n", F.lit(False).alias("short")).unionByName(short)
+        levels[k] = scratch(both.groupBy("run").agg(F.sum("n").alias("n"), F.bool_or("short").alias("short")), "runs")
+    out, before = None, None
+    for k in range(order + 1):
+        now = levels[k]
+        if before is None:
+            now = now.withColumns({"p_n": F.lit(0), "p_total": F.lit(0), "p_kinds": F.lit(SYMBOLS), "p_logp": F.lit(-log10(SYMBOLS)), "p_rest": F.lit(0.0)})
+        else:
+            upper = before.select(F.col("run").alias("suffix"), F.col("n").alias("p_n"), F.col("total").alias("p_total"), F.col("kinds").alias("p_kinds"), F.col("logp").alias("p_logp"), F.col("rest").alias("p_rest"))
+            now = now.join(upper, last("run", k) == F.col("suffix")).drop("suffix")
+        of = Window.partitionBy(F.shiftright("run", 8))  # 257 rows at most
+        now = now.withColumns({"total": F.sum("n").over(of), "kinds": F.count_if(F.col("n") > 0).over(of), "shut": F.sum(F.when(F.col("n") > 0, F.col("p_n")).otherwise(0)).over(of)})
+        if before is None:  # below order 0: an even share of the symbols left
+            rest = -F.log10(SYMBOLS - F.col("kinds"))
+        else:
+            left = F.col("p_kinds") - F.col("kinds")  # symbols of the suffix that aren't this context's
+            everything = F.col("p_total") - F.col("shut") + left
+            rest = F.when(F.col("p_n") > 0, F.log10(F.try_divide("p_n", everything))).otherwise(F.when(left > 0, F.log10(F.try_divide(left, everything))).otherwise(0.0) + F.col("p_rest"))
+        now = now.withColumn("rest", F.when((F.col("n") == 0) & (F.col("total") > 0), rest))
+        sum_ = F.col("total") + F.col("kinds")
+        logp = F.when(F.col("total") == 0, F.col("p_logp")).when(F.col("n") > 0, F.log10(F.try_divide("n", sum_))).otherwise(F.log10(F.try_divide("kinds", sum_)) + F.col("rest"))
+        before = scratch(now.withColumn("logp", logp).select("run", "n", "short", "total", "kinds", "logp", "rest"), "lengths")
+        front = sum(PAD << 8 * i for i in range(k + 1, order + 1))
+        mine = (before if k == order else before.where("short")).select(F.col("run").bitwiseOR(F.lit(front)).alias("window"), F.col("logp").cast("float").alias("logp"))
+        out = mine if out is None else out.unionByName(mine)
+    return out
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -256,44 +174,50 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         yield emit()
 
     arrow_limits(docs.sparkSession)
-    return docs.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-
+    return docs.select("text").mapInArrow(lean(count), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
-#: The model that a worker has built last, with the tokens' logarithms, by name.
-_models: dict[str, tuple[Model, dict[bytes, float]]] = {}
 
 SCORED = "row_key long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<struct<token:string,n:int>>"
 
 
-def lm_scores(docs: DataFrame, training, order: int = ORDER, resolution: int = RESOLUTION, frequent: int = FREQUENT) -> DataFrame:
+def lm_scores(docs: DataFrame, training, order: int = ORDER, frequent: int = FREQUENT) -> DataFrame:
     """row_key, doc_id, n_tokens, n_known, train_tokens, base_score and score of every whole text.
 
     training is a condition on the columns of texts() that picks the documents to learn from. Null is an empty text,
     which has its end token only. With nothing to learn from, all counts are 0. Rows that repeat a doc_id each count.
+    A very long text is scored in one piece. An empty table gives no row. Other columns may have any names.
     """
+    docs = settled(docs)
     spark = docs.sparkSession
+    arrow_limits(spark)
     keyed = with_key(docs)
     learn = keyed.where(training)
-    edges, total = kept_edges(count_runs(learn, order), resolution)
     vocabulary = scratch(count_tokens(learn), "vocabulary")
     distinct, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     denominator = tokens + distinct + 1
     known = vocabulary.where((F.octet_length("token") <= FREQUENT_BYTES) & (F.col("token") != END_TOKEN)).orderBy(F.desc("n"), "token").limit(frequent).collect()
     ends = vocabulary.where(F.col("token") == END_TOKEN).first()
-    name = uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast((edges, total, {r["token"].encode(): r["n"] for r in known}, ends["n"] if ends else 0))
+    sent = spark.sparkContext.broadcast(({r["token"].encode(): log10((r["n"] + 1) / denominator) for r in known}, ends["n"] if ends else 0))
+    counted = scratch(slice_windows(keyed.withColumn("learn", F.coalesce(F.expr(training) if isinstance(training, str) else training, F.lit(False))), order), "slice-windows")
+    lengths = counted.select("slice", "window").join(code_lengths(counted.select("window", "n"), order), "window")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, total, counts, end = sent.value
-        if name not in _models:
-            _models.clear()
-            _models[name] = Model(edges, total, order), {t: log10((n + 1) / denominator) for t, n in counts.items()}
-        model, logs = _models[name]
+        logs, end = sent.value
         end_log = log10((end + 1) / denominator)
-        for batch in batches:
+        now, table = None, []  # the slice, and its windows and code lengths
+        keys, values = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+
+        def code(texts: list[bytes]) -> np.ndarray:
+            w = windows(texts, order)
+            at = np.minimum(np.searchsorted(keys, w), max(len(keys) - 1, 0))
+            if not len(keys) or (keys[at] != w).any():
+                raise RuntimeError("a slice's rows have changed between two jobs")
+            sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+            return np.add.reduceat(values[at].astype(np.float64), np.cumsum(sizes) - sizes)
+
+        def scored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             off, data = buffers(batch.column("text"))
             raw, off = data.tobytes(), off.tolist()
-            keys, ids = batch.column("row_key"), batch.column("doc_id")
             rows, texts, size, done = [], [], 0, 0
             for i, (a, b) in enumerate(zip(off, off[1:], strict=False)):
                 w = raw[a:b].lower().split()
@@ -304,15 +228,37 @@ def lm_scores(docs: DataFrame, training, order: int = ORDER, resolution: int = R
                 texts.append(runs(w))
                 size += len(texts[-1])
                 if size > STEP_BYTES or i == len(off) - 2:
-                    values = model.score(texts)
                     n = len(texts)
                     yield pa.RecordBatch.from_arrays(
-                        [keys.slice(done, n), ids.slice(done, n), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows]), pa.array(values), pa.array([r[3] for r in rows], pa.list_(pa.struct([("token", pa.string()), ("n", pa.int32())])))],
+                        [batch.column("row_key").slice(done, n), batch.column("doc_id").slice(done, n), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows]), pa.array(code(texts)), pa.array([r[3] for r in rows], pa.list_(pa.struct([("token", pa.string()), ("n", pa.int32())])))],
                         ["row_key", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
                     )
                     rows, texts, size, done = [], [], 0, i + 1
 
-    scored = scratch(keyed.mapInArrow(score, SCORED), "scored")
+        for batch in batches:  # sorted by slice; a slice's windows come before its texts
+            slices, texts = batch.column("slice").to_numpy(), batch.column("kind").to_numpy()
+            edges = np.flatnonzero((np.diff(slices) != 0) | (np.diff(texts) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(slices)], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if slices[a] != now:
+                    now, table = slices[a], []
+                if texts[a] == 0:
+                    table.append((part.column("window").to_numpy().view(np.uint64), part.column("logp").to_numpy()))
+                    continue
+                if table:
+                    keys, values = (np.concatenate(x) for x in zip(*table, strict=True))
+                    order_ = np.argsort(keys)
+                    keys, values, table = keys[order_], values[order_], []
+                yield from scored(part)
+
+    none = F.lit(None)
+    rows = lengths.select("slice", F.lit(0).alias("kind"), "window", "logp", none.cast("long").alias("row_key"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"))
+    rows = rows.unionByName(keyed.select(F.shiftright("row_key", 33).cast("int").alias("slice"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("window"), F.lit(0).cast("float").alias("logp"), "row_key", "doc_id", "text"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionById(tasks, F.pmod("slice", F.lit(tasks))).sortWithinPartitions("slice", "kind")
+    scored = scratch(dealt.mapInArrow(lean(score), SCORED), "scored")
     rare = scored.select("row_key", F.explode("rare").alias("x")).select("row_key", F.col("x.token").alias("token"), F.col("x.n").alias("k"))
     seen = F.coalesce("n", F.lit(0))
     joined = rare.join(vocabulary, "token", "left").groupBy("row_key").agg(F.sum(F.col("k") * F.log10((seen + 1) / F.lit(float(denominator)))).alias("more_score"), F.sum(F.when(seen > 0, F.col("k")).otherwise(0)).alias("more_known"))

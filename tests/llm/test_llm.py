@@ -361,9 +361,7 @@ def ppm_by_hand(counts, order, history, symbol, total):
     return p / (257 - len(shut))
 
 
-def test_ppm_matches_a_trie_walk():
-    learn = [b"abracadabra", b"abcabc", b"bra bra", b""]
-    order = 3
+def ppm_counts(learn, order):
     counts = {}
     for t in learn:
         t = t + bytes([ppm.END])
@@ -371,23 +369,33 @@ def test_ppm_matches_a_trie_walk():
             for j in range(min(order, i) + 1):
                 counts.setdefault(t[i - j : i], {}).setdefault(t[i], 0)
                 counts[t[i - j : i]][t[i]] += 1
-    stream = b"".join(t + bytes([ppm.END]) + bytes([ppm.PAD]) * order for t in learn)
-    keys, n = ppm.windows(stream, order)
-    edges, n = {}, n.astype(np.int64)
-    for size in range(order + 1, 0, -1):
-        inside = (keys & np.uint64(255)) != ppm.PAD
-        edges[size] = keys[inside], n[inside]
-        keys, n = ppm.run_sums(keys >> np.uint64(8), n)
-    model = ppm.Model(edges, int(edges[1][1].sum()), order)
-    for text in (b"abra", b"", b"zzz", b"cab bra", b"abracadabra" * 200):
-        whole, want = text + bytes([ppm.END]), 0.0
-        for i in range(len(whole)):
-            want += np.log10(ppm_by_hand(counts, order, whole[max(0, i - order) : i], whole[i], 0))
-        assert model.score([b"x", text])[1] == pytest.approx(want, rel=1e-4)
-    # in each state the probabilities of all 257 symbols sum to one
-    logs = model.logs.reshape(-1, model.width).astype(float)
-    rest = 257 - (model.width - 1)
-    assert np.allclose((10 ** logs[:, :-1]).sum(1) + rest * 10 ** logs[:, -1], 1, atol=1e-4)
+    return counts
+
+
+def ppm_score(counts, order, text):
+    whole = text + bytes([ppm.END])
+    return sum(np.log10(ppm_by_hand(counts, order, whole[max(0, i - order) : i], whole[i], 0)) for i in range(len(whole)))
+
+
+@pytest.mark.parametrize("order", [5, 2])
+def test_ppm_matches_a_trie_walk(spark, order):
+    rng = random.Random(order)
+    rows = ["Abracadabra", "abcabc", "bra bra", None, *("".join(rng.choices("abcé ", k=rng.randint(0, 60))) for _ in range(30)), "zzz", "cab  bra", "", "abracadabra " * 2000]
+    clean = [" ".join((t or "").lower().split()).encode() for t in rows]
+    docs = table(spark, rows).withColumnRenamed("n_words", "slice").withColumnRenamed("bytes", "window").repartition(3)
+    for learnt in (20, 0):
+        counts = ppm_counts(clean[:learnt], order)
+        got = {r.doc_id: r.score for r in ppm.lm_scores(docs, f"doc_id < {learnt}", order).collect()}
+        assert len(got) == len(rows)
+        for i, t in enumerate(clean[:-1] if not learnt else clean):
+            assert got[i] == pytest.approx(ppm_score(counts, order, t), rel=1e-5)
+
+
+def test_ppm_probabilities_sum_to_one(spark):
+    order = 2
+    counts = ppm_counts([b"abracadabra", b"cab"], order)
+    for history in (b"", b"a", b"ab", b"br", b"zz"):
+        assert sum(ppm_by_hand(counts, order, history, s, 0) for s in range(ppm.SYMBOLS)) == pytest.approx(1)
 
 
 def test_lm_scores(spark):
