@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, buffers, crc_mod, lean, read, scratch, settled, with_key
 
 ORDER = 5
-#: Tokens looked up in each task's memory; all others are joined. Longer tokens aren't among these.
-FREQUENT, FREQUENT_BYTES = 1 << 16, 64
+#: Tokens that make up one in so many (so no more than that) are looked up in each task's memory; all others, and all
+#: of more bytes, are joined.
+FREQUENT, FREQUENT_BYTES = 1 << 20, 64
 
 END, PAD = 0xFF, 0xFE  # bytes that UTF-8 never has; PAD stands before a text's first byte
 SYMBOLS = 257
@@ -195,7 +196,7 @@ def lm_scores(docs: DataFrame, training, order: int = ORDER, frequent: int = FRE
     vocabulary = scratch(count_tokens(learn), "vocabulary")
     distinct, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     denominator = tokens + distinct + 1
-    known = vocabulary.where((F.octet_length("token") <= FREQUENT_BYTES) & (F.col("token") != END_TOKEN)).orderBy(F.desc("n"), "token").limit(frequent).collect()
+    known = vocabulary.where((F.octet_length("token") <= FREQUENT_BYTES) & (F.col("token") != END_TOKEN) & (F.col("n") * frequent >= tokens)).collect()
     ends = vocabulary.where(F.col("token") == END_TOKEN).first()
     sent = spark.sparkContext.broadcast(({r["token"].encode(): log10((r["n"] + 1) / denominator) for r in known}, ends["n"] if ends else 0))
     counted = scratch(slice_windows(keyed.withColumn("learn", F.coalesce(F.expr(training) if isinstance(training, str) else training, F.lit(False))), order), "slice-windows")
