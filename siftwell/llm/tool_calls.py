@@ -22,18 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, lean, read, scratch
+from .common import arrow_limits, lean, read, scratch, settled
 
 CALL, RESULT, TOOLS = (re.compile(rf"<{t}>(.*?)</{t}>", re.S) for t in ("tool_call", "tool_result", "tools"))
 
+HALVES = re.compile("[\ud800-\udfff]")
+
 PARSED = (
     "row_key long, conv_id long, turn long, role string, content string, "
-    "calls array<struct<no:int,id:string,name:string,arguments:string,deps:array<string>>>, results array<struct<no:int,id:string,content:string>>, tools array<struct<no:int,name:string,schema:string>>, n_bad long"
+    "calls array<struct<no:int,id:string,name:string,arguments:string,deps:array<string>>>, results array<struct<no:int,id:string,content:string>>, tools array<struct<no:int,name:string,schema:string,entry:string>>, bad array<string>"
 )
 
 
 def canonical(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    """Letters stand as they are, but for halves of surrogate pairs, which UTF-8 doesn't have: these stay escapes."""
+    text = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return HALVES.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def references(value) -> set[str]:
@@ -44,34 +48,55 @@ def references(value) -> set[str]:
 
 
 def load(text: str):
-    """A JSON value; numbers that JSON doesn't have (NaN) are errors."""
+    """A JSON value; numbers that JSON doesn't have (NaN), or that are too large for a float, are errors."""
 
     def refuse(name: str):
         raise ValueError(name)
 
-    return json.loads(text, parse_constant=refuse)
+    def finite(digits: str) -> float:
+        x = float(digits)
+        return x if abs(x) < float("inf") else refuse(digits)
+
+    return json.loads(text, parse_constant=refuse, parse_float=finite)
+
 
+def name_of(value) -> str:
+    out = value if isinstance(value, str) else canonical(value)
+    if HALVES.search(out):
+        raise ValueError("half of a surrogate pair in a name")
+    return out
 
-def parse_message(text: str) -> tuple[str, list[dict], list[dict], list[dict], int]:
-    """The text without markup, its calls, results and tools, and the number of blocks that can't be read."""
-    calls, results, tools, bad = [], [], [], 0
+
+def parse_message(text: str) -> tuple[str, list[dict], list[dict], list[dict], list[str]]:
+    """The text without markup, its calls, results and tools, and the blocks, or tools of a block, that can't be read.
+
+    no is a block's place in the text.
+    """
+    calls, results, tools, bad = [], [], [], []
+    readable = (ValueError, KeyError, TypeError, AttributeError, RecursionError)
     for pattern, out in ((CALL, calls), (RESULT, results), (TOOLS, tools)):
-        for no, block in enumerate(pattern.findall(text)):
+        for found in pattern.finditer(text):
+            no = found.start()
             try:
-                value = load(block)
-                if out is tools:
-                    out += [{"no": no * 10_000 + k, "name": str(t["name"]), "schema": canonical(t.get("parameters", {}))} for k, t in enumerate(value)]
-                elif out is calls:
+                value = load(found[1])
+                if out is calls:
                     arguments = value.get("arguments", {})
-                    deps = {str(d) for d in value.get("depends_on") or []} | references(arguments)
-                    out.append({"no": no, "id": str(value["id"]), "name": str(value["name"]), "arguments": canonical(arguments), "deps": sorted(deps - {str(value["id"])})})
+                    deps = {name_of(d) for d in value.get("depends_on") or []} | {name_of(d) for d in references(arguments)}
+                    name = name_of(value["id"])
+                    out.append({"no": no, "id": name, "name": name_of(value["name"]), "arguments": canonical(arguments), "deps": sorted(deps - {name})})
+                elif out is results:
+                    out.append({"no": no, "id": name_of(value["id"]), "content": canonical(value.get("content"))})
                 else:
-                    out.append({"no": no, "id": str(value["id"]), "content": canonical(value.get("content"))})
-            except (ValueError, KeyError, TypeError, AttributeError, RecursionError):
-                bad += 1
+                    for k, t in enumerate(value if isinstance(value, list) else [value]):
+                        try:
+                            out.append({"no": no + k, "name": name_of(t["name"]), "schema": canonical(t.get("parameters", {})), "entry": canonical(t)})
+                        except readable:
+                            bad.append(canonical(t))
+            except readable:
+                bad.append(found[0])
     for pattern in (CALL, RESULT, TOOLS):
         text = pattern.sub("", text)
-    return text.strip(), calls, results, tools, bad
+    return text, calls, results, tools, bad
 
 
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -141,7 +166,7 @@ def judge(value, schema, root) -> bool | None:
     kinds = schema.get("type")
     if kinds is not None:
         for kind in kinds if isinstance(kinds, list) else [kinds]:
-            if kind == "number" and number or kind == "integer" and number and value == int(value) or kind in TYPES and isinstance(value, TYPES[kind]):
+            if kind == "number" and number or kind == "integer" and number and value == value // 1 or kind in TYPES and isinstance(value, TYPES[kind]):
                 break
         else:
             return False
@@ -223,12 +248,13 @@ def parsed(messages: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = pa.list_(pa.struct([("no", pa.int32()), ("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("deps", pa.list_(pa.string()))]))
         result = pa.list_(pa.struct([("no", pa.int32()), ("id", pa.string()), ("content", pa.string())]))
-        tool = pa.list_(pa.struct([("no", pa.int32()), ("name", pa.string()), ("schema", pa.string())]))
+        tool = pa.list_(pa.struct([("no", pa.int32()), ("name", pa.string()), ("schema", pa.string()), ("entry", pa.string())]))
         for batch in batches:
             rows = [parse_message(t) for t in batch.column("text").to_pylist()]
-            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), call, result, tool, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_key", "conv_id", "turn", "role")), *made], ["row_key", "conv_id", "turn", "role", "content", "calls", "results", "tools", "n_bad"])
+            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), call, result, tool, pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_key", "conv_id", "turn", "role")), *made], ["row_key", "conv_id", "turn", "role", "content", "calls", "results", "tools", "bad"])
 
+    messages = settled(messages)
     arrow_limits(messages.sparkSession)
     rows = messages.select(F.monotonically_increasing_id().alias("row_key"), F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return scratch(rows.mapInArrow(lean(parse), PARSED), "messages")
@@ -258,7 +284,8 @@ def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, n_calls, n_linked, n_valid, n_orphans, n_bad and json of every message.
 
     Within a conversation the first call of an identifier holds it, by turn, row and place; later ones are duplicates,
-    linked to nothing. Of several results the first holds. A call without a schema counts as valid; one whose
+    linked to nothing. Of several results the first after the call holds; one before its call, or without one, is an orphan.
+    Blocks that can't be read stay in the JSON, under unreadable. A call without a schema counts as valid; one whose
     schema can't be judged in full doesn't, and is null under valid in the JSON. A call's status in
     the JSON is linked, pending (no result), duplicate or cycle. Null texts and roles are empty; messages with a null
     conv_id form a conversation of their own each, so nothing in them is linked. Rows that repeat are all kept.
@@ -267,20 +294,22 @@ def link(messages: DataFrame) -> DataFrame:
     place = F.struct("turn", "row_key", "x.no")
     calls = rows.select("row_key", "conv_id", "turn", F.explode("calls").alias("x")).select("row_key", "conv_id", "x.*", place.alias("place"))
     first = calls.where("conv_id IS NOT NULL").groupBy("conv_id", "id").agg(F.min("place").alias("place"), F.min_by("deps", "place").alias("deps"))
-    results = rows.where("conv_id IS NOT NULL").select("row_key", "conv_id", "turn", F.explode("results").alias("x")).groupBy("conv_id", F.col("x.id").alias("id")).agg(F.min_by("x.content", place).alias("result"))
+    answers = rows.select("row_key", "conv_id", "turn", F.explode("results").alias("x")).select("row_key", "conv_id", F.col("x.id").alias("id"), F.col("x.content").alias("content"), place.alias("at"))
+    answers = answers.join(first.select("conv_id", "id", "place"), ["conv_id", "id"], "left")
+    after = F.col("place").isNotNull() & (F.col("at") > F.col("place"))
+    results = answers.where(after).groupBy("conv_id", "id").agg(F.min_by("content", "at").alias("result"))
     schemas = rows.where("conv_id IS NOT NULL").select("row_key", "conv_id", "turn", F.explode("tools").alias("x")).groupBy("conv_id", F.col("x.name").alias("name")).agg(F.min_by("x.schema", place).alias("schema"))
     found = calls.join(first.select("conv_id", "id", "place", F.lit(True).alias("holds")), ["conv_id", "id", "place"], "left")
     found = found.join(levels(first), ["conv_id", "id"], "left").join(results, ["conv_id", "id"], "left").join(schemas, ["conv_id", "name"], "left")
     status = F.when(F.col("conv_id").isNotNull() & F.col("holds").isNull(), "duplicate").when(F.col("conv_id").isNotNull() & F.col("level").isNull(), "cycle").when(F.col("result").isNotNull(), "linked").otherwise("pending")
     found = found.withColumn("status", status)
     mine = found.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("level", F.lit(1 << 30)).alias("level"), "no", "id", "name", "arguments", "deps", "status", F.when(F.col("status") == "linked", F.col("result")).alias("result"), "schema"))).alias("linked"))
-    answered = rows.select("row_key", "conv_id", F.explode("results").alias("x")).select("row_key", "conv_id", F.col("x.id").alias("id"))
-    orphans = answered.join(first.select("conv_id", "id"), ["conv_id", "id"], "left_anti").groupBy("row_key").agg(F.count("*").alias("n_orphans"))
+    orphans = answers.where(~F.coalesce(after, F.lit(False))).groupBy("row_key").agg(F.count("*").alias("n_orphans"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, n_valid, n_linked = [], [], []
-            for role, content, linked, results in zip(*(batch.column(c).to_pylist() for c in ("role", "content", "linked", "results")), strict=True):
+            for role, content, linked, results, tools, bad in zip(*(batch.column(c).to_pylist() for c in ("role", "content", "linked", "results", "tools", "bad")), strict=True):
                 message: dict = {"role": role, "content": content}
                 good = 0
                 for c in linked or []:
@@ -293,14 +322,18 @@ def link(messages: DataFrame) -> DataFrame:
                     message.setdefault("tool_calls", []).append(entry)
                 for r in results or []:
                     message.setdefault("tool_results", []).append({"id": r["id"], "content": load(r["content"])})
+                for t in tools or []:
+                    message.setdefault("tools", []).append(load(t["entry"]))
+                if bad:
+                    message["unreadable"] = bad
                 out.append(canonical(message))
                 n_valid.append(good)
                 n_linked.append(sum(c["status"] == "linked" for c in linked or []))
             counts = [len(c or []) for c in batch.column("linked").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role")), *(pa.array(x, pa.int64()) for x in (counts, n_linked, n_valid)), batch.column("n_orphans"), batch.column("n_bad"), pa.array(out, pa.string())], ["conv_id", "turn", "role", "n_calls", "n_linked", "n_valid", "n_orphans", "n_bad", "json"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role")), *(pa.array(x, pa.int64()) for x in (counts, n_linked, n_valid)), batch.column("n_orphans"), pa.array([len(x or []) for x in batch.column("bad").to_pylist()], pa.int64()), pa.array(out, pa.string())], ["conv_id", "turn", "role", "n_calls", "n_linked", "n_valid", "n_orphans", "n_bad", "json"])
 
     whole = rows.join(mine, "row_key", "left").join(orphans, "row_key", "left").withColumn("n_orphans", F.coalesce("n_orphans", F.lit(0)))
-    return whole.select("conv_id", "turn", "role", "content", "linked", "results", "n_orphans", "n_bad").mapInArrow(lean(write), "conv_id long, turn long, role string, n_calls long, n_linked long, n_valid long, n_orphans long, n_bad long, json string")
+    return whole.select("conv_id", "turn", "role", "content", "linked", "results", "tools", "bad", "n_orphans").mapInArrow(lean(write), "conv_id long, turn long, role string, n_calls long, n_linked long, n_valid long, n_orphans long, n_bad long, json string")
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,21 @@ def test_unchecked_calls_are_not_valid(spark):
     df = spark.createDataFrame([(1, 0, "system", tools), (1, 1, "assistant", call("c", arguments={"a": "x"}))], "conv_id long, turn long, role string, text string")
     r = tool_calls.link(df).where("turn = 1").first()
     assert r.n_calls == 1 and r.n_valid == 0 and json.loads(r.json)["tool_calls"][0]["valid"] is None
+
+
+def test_odd_blocks_stay(spark):
+    odd = '<tool_call>{"id": "a", "name": "f", "arguments": {"x": 1e999}}</tool_call>'
+    half = '<tool_call>{"id": "b", "name": "f", "arguments": {"x": "\\ud800", "y": 12345678901234567890123}}</tool_call>'
+    tools = '<tools>[{"name": "f", "parameters": {"minimum": "x"}}, {"parameters": 1}, {"name": "g", "parameters": {"type": {"a": 1}}}]</tools>'
+    deep = "<tool_result>" + "[" * 100_000 + "</tool_result>"
+    rows = [(1, 0, "system", tools), (1, 1, "assistant", " early " + result("b", 0) + odd + half), (1, 2, "tool", result("b", 7)), (1, 3, "tool", deep + "y" * 300_000), (1, 4, "tool", "<tool_result>{}</tool_result>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in tool_calls.link(df).collect()}
+    r = json.loads(got[1].json)
+    assert got[1].n_bad == 1 and r["unreadable"] == [odd] and got[1].n_orphans == 1 and r["content"] == " early "
+    assert r["tool_calls"][0]["arguments"] == {"x": "\ud800", "y": 12345678901234567890123} and r["tool_calls"][0]["result"] == 7
+    assert [t["name"] for t in json.loads(got[0].json)["tools"]] == ["f", "g"] and json.loads(got[0].json)["unreadable"] == ['{"parameters":1}']
+    assert got[3].n_bad == 1 and len(json.loads(got[3].json)["content"]) == 300_000 and got[4].n_bad == 1
+    for schema in ({"minimum": "x"}, {"type": {"a": 1}}, {"required": 5}, {"multipleOf": 0}):
+        assert valid(1, schema) is not True or schema == {"required": 5}
+    assert valid(1e308, {"type": "integer"}) is True
