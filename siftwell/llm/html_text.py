@@ -1,11 +1,12 @@
 """Operator 7: main text of web pages by site template removal.
 
 Every element's subtree (tags and text) is hashed. Spark counts on how many different pages of a host each hash occurs;
-block-level subtrees that recur across a good part of the host's pages are its template and go. Pages that are copies of each other count
-once. Within an article (or main) element subtrees are counted among the host's pages that have one, apart from those
-outside; the element itself and what holds it are never template. Of what is left, elements whose
-tag, class, id or role marks them as menu, header, footer, sidebar, notice, advert, form or comments go as well; where
-the page has an article, the text is taken from it, else from the body.
+block-level subtrees that recur across a good part of the host's pages are its template and go. Pages that are copies
+of each other count once. Within an article (or main) element subtrees are counted among the host's pages that have one,
+apart from those outside; the element itself and what holds it are never template. Of what is left, elements whose tag,
+class, id or role marks them as menu, header, footer, sidebar, notice, advert, form or comments go as well; within an
+article only what no article's own parts are called. The main text is what the articles keep, if that is a third of all
+that the page keeps, or else all of it: a teaser in an article element doesn't stand for the story beside it.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, lean, read, scratch
+from .common import arrow_limits, lean, read, scratch, settled
 
 #: A subtree is template from so many different pages of a host on, and from such a part of them.
 LEAST_PAGES, LEAST_PART = 5, 0.3
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Quotes count after an equals sign only; nothing is tried twice.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,9 +35,13 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: Only these can be template: not inline elements, headings, or pieces of lists and tables, whose container may go.
 UNITS = (BLOCK | frozenset(("script", "style", "noscript", "iframe", "template"))) - frozenset("h1 h2 h3 h4 h5 h6 li dt dd caption figcaption summary tbody thead tfoot tr html body".split())
 CLOSES_P = BLOCK - {"html", "body", "caption", "tbody", "thead", "tfoot", "tr"}
-DROP = frozenset("head nav footer aside form script style noscript template iframe svg canvas button select textarea object embed dialog menu".split())
+DROP = frozenset("head nav footer form script style noscript template iframe svg canvas button select textarea object embed dialog menu".split())
 ARTICLE = frozenset(("article", "main"))
 HINTS = frozenset("nav navbar navigation menu sidebar footer header masthead cookie cookies consent gdpr banner notice ad ads adv advert adverts advertisement sponsored promo comment comments disqus share sharing social related newsletter subscribe popup modal breadcrumb breadcrumbs widget toolbar pagination skip".split())
+#: Of these, those that mark a part of an article, too.
+INNER_HINTS = HINTS - frozenset("header footer masthead banner notice comment promo related widget toolbar modal popup skip".split())
+#: What the articles keep counts as the main text from such a part of what the page keeps.
+ARTICLE_PART = 1 / 3
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
 
@@ -104,10 +110,15 @@ def subtrees(root: Node) -> list[tuple[int, bytes]]:
 
     The last bit of an element's hash tells whether it is in an article.
     """
+    nodes, stack = [], [(root, False)]
+    while stack:  # parents before their parts
+        node, inside = stack.pop()
+        nodes.append((node, inside))
+        inside = inside or node.tag in ARTICLE
+        stack += [(p, inside) for p in node.parts if not isinstance(p, str)]
+    done: dict[int, tuple[bytes, bool]] = {}  # hash, and whether the subtree has an article
     out: list[tuple[int, bytes]] = []
-
-    def hashed(node: Node, inside: bool) -> tuple[bytes, bool]:
-        """The hash, and whether the subtree has an article."""
+    for node, inside in reversed(nodes):
         h = hashlib.blake2b(node.tag.encode(), digest_size=8)
         has = node.tag in ARTICLE
         for p in node.parts:
@@ -116,66 +127,63 @@ def subtrees(root: Node) -> list[tuple[int, bytes]]:
                 if words:
                     h.update(b"\x01" + words.encode())
             else:
-                own, article = hashed(p, inside or node.tag in ARTICLE)
+                own, article = done.pop(p.number)
                 h.update(b"\x02" + own)
                 has = has or article
         digest = h.digest()
+        done[node.number] = digest, has
         if node.tag in UNITS and not has:
             out.append((node.number, digest[:-1] + bytes([digest[-1] & 0xFE | inside])))
-        return digest, has
-
-    whole, _ = hashed(root, False)
-    return [(0, whole), *out]
+    return [(0, done[0][0]), *out]
 
 
 def marked(node: Node, inside: bool) -> bool:
-    """Whether tag, class, id or role tell that it isn't main text. An article's own header is part of it."""
-    if node.tag in DROP or node.tag == "header" and not inside:
+    """Whether tag, class, id or role tell that it isn't main text. An article's own header and asides are part of it."""
+    if node.tag in DROP or node.tag in ("header", "aside") and not inside:
         return True
-    if node.attrs and node.tag not in ("html", "body"):
+    if node.attrs and node.tag not in ("html", "body") and node.tag not in ARTICLE:
+        hints = INNER_HINTS if inside else HINTS
         for name, a, b, c in ATTRIBUTE.findall(node.attrs):
             words = re.split(r"[\s_\-:]+", (a or b or c).lower())
-            if name.lower() == "role" and ROLES.intersection(words) or name.lower() != "role" and node.tag not in ARTICLE and HINTS.intersection(words):
+            if (ROLES if name.lower() == "role" else hints).intersection(words):
                 return True
     return False
 
 
 def main_text(root: Node, template: frozenset[int]) -> str:
     """Blocks joined by a line break, without template and marked elements."""
-    blocks: list[str] = []
+    blocks: list[tuple[bool, str]] = []
     run: list[str] = []
 
-    def close() -> None:
+    def close(inside: bool) -> None:
         text = " ".join(html.unescape("".join(run)).split())
         run.clear()
         if text:
-            blocks.append(text)
+            blocks.append((inside, text))
 
-    def walk(node: Node, inside: bool, on: bool) -> None:
-        for p in node.parts:
+    stack = [(root, iter(root.parts), False)]
+    while stack:
+        node, parts, inside = stack[-1]
+        for p in parts:
             if isinstance(p, str):
-                if on:
-                    run.append(p)
+                run.append(p)
                 continue
             if p.number in template or marked(p, inside):
                 continue
-            article = p.tag in ARTICLE
-            block = p.tag in BLOCK
-            if block:
-                close()
+            if p.tag in BLOCK:
+                close(inside)
             elif p.tag in ("br", "td", "th"):
                 run.append(" ")
-            walk(p, inside or article, on or article)
-            if block:
-                close()
-
-    walk(root, False, not has_article(root, template))
-    close()
-    return "\n".join(blocks)
-
-
-def has_article(node: Node, template: frozenset[int]) -> bool:
-    return any(not isinstance(p, str) and p.number not in template and not marked(p, False) and (p.tag in ARTICLE or has_article(p, template)) for p in node.parts)
+            stack.append((p, iter(p.parts), inside or p.tag in ARTICLE))
+            break
+        else:
+            if node.tag in BLOCK:
+                close(inside)
+            stack.pop()
+    close(False)
+    own = sum(len(text) for inside, text in blocks if inside)
+    only = own and own >= ARTICLE_PART * sum(len(text) for _, text in blocks)
+    return "\n".join(text for inside, text in blocks if inside or not only)
 
 
 def host_of(url):
@@ -186,8 +194,10 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_part: float
     """page_id, url and text of every row. Null html is empty; pages without a host, or with a null url, share one.
 
     Rows that repeat a page_id each get a row. Only hashes are shuffled for counting, summed per task first, so that
-    a host with many pages doesn't meet in one task; the pages themselves are shuffled once, by row.
+    a host with many pages doesn't meet in one task; the pages themselves are shuffled once, by row. An empty table gives
+    no row; other columns may have any names, and elements may be nested to any depth.
     """
+    pages = settled(pages)
     arrow_limits(pages.sparkSession)
     keyed = pages.select(F.monotonically_increasing_id().alias("row_key"), "page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
 

@@ -333,6 +333,58 @@ def test_html_template_within_articles(spark):
     assert got[9] == "Own 9\nAbout the author\nMore\nRead on"
 
 
+def test_html_odd_markup():
+    def text(page):
+        return html_text.main_text(html_text.parse(page), frozenset())
+
+    assert text('<article><div class="entry-header"><h1>My Title</h1></div><p>Body</p><aside>Pull quote</aside><p class="notice">Mind</p></article>') == "My Title\nBody\nPull quote\nMind"
+    assert text("<article><p>See <a href=/it's>this</a> and <a title='a>b' href=\"x>y\">that</a></p><p>it's</p></article>") == "See this and that\nit's"
+    story = "A long story that is told outside. " * 5
+    assert text(f"<body><p>{story}</p><article>Teaser</article></body>") == story.strip() + "\nTeaser"
+    assert text("<article><p>One</p><div class='ads'>Buy</div><form>f</form></article><div>Side</div>") == "One"
+    for tag in ("div", "b"):
+        page = f"<{tag}>" * 5000 + "deep" + f"</{tag}>" * 5000 + "<p>after</p>"
+        assert text(page) == "deep\nafter" and len(html_text.subtrees(html_text.parse(page))) >= 2
+    assert text("<p>cut " + '<a href="x" ' * 3000) == 'cut <a href="x" ' + '<a href="x" ' * 2998 + '<a href="x"'
+    assert text("") == text("<!-- never ends") == text("<script>x") == ""
+    assert text("<p>" + "word " * 200_000) == ("word " * 200_000).strip()
+
+
+def test_html_counts_by_brute_force(spark):
+    rng = random.Random(4)
+    shared = [f"<div><p>Line {k}</p></div>" for k in range(6)]
+    pages = []
+    for i in range(60):
+        host = "a" if i % 3 else "b"
+        parts = [f"<p>Own {i % 50}</p>", *(x for k, x in enumerate(shared) if rng.random() < (0.1, 0.25, 0.35, 0.5, 0.8, 1)[k])]
+        rng.shuffle(parts)
+        body = "".join(parts)
+        pages.append((i, f"http://{host}.example/{i}", f"<body><div>{body}</div></body>" if i % 2 else f"<body><article>{body}</article></body>"))
+    df = spark.createDataFrame([(*p, i, i) for i, p in enumerate(pages)], "page_id long, url string, html string, row_key int, nodes int")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    on, sizes = {}, {}
+    for host in "ab":
+        seen = set()
+        for i, url, page in pages:
+            whole, *rest = html_text.subtrees(html_text.parse(page))
+            if url[7] != host or whole in seen:
+                continue
+            seen.add(whole)
+            sizes[host] = sizes.get(host, 0) + 1
+            if any(h[-1] & 1 for _, h in rest):
+                sizes[host + "+"] = sizes.get(host + "+", 0) + 1
+            for h in {h for _, h in rest}:
+                on[host, h] = on.get((host, h), 0) + 1
+    changed = 0
+    for i, url, page in pages:
+        root = html_text.parse(page)
+        template = {n for n, h in html_text.subtrees(root)[1:] if on[url[7], h] >= max(5, 0.3 * sizes[url[7] + "+" * (h[-1] & 1)])}
+        want = html_text.main_text(root, frozenset(template))
+        assert got[i] == want
+        changed += want != html_text.main_text(root, frozenset())
+    assert changed > 40
+
+
 def test_html_keeps_what_few_pages_share(spark):
     few = "<h2>Introduction</h2><p>To be quoted</p><table><tr><td>0</td></tr></table>"
     page = "<body><div>Menu</div><p>Own %d <b>Note</b></p>%s</body>"
