@@ -23,10 +23,12 @@ from .simhash import SEED, bucket_links, components, covering
 PRINT_WORDS, PRINTS, RADIUS = 2, 5, 5
 #: Two texts are copies if their shingles of so many words have this Jaccard similarity.
 CONFIRM_WORDS, CONFIRM_LEAST = 5, 0.8
-#: Groups by a least shingle whose rows are compared with the group's first row, before the exact join; salting of these.
-CONFIRM_ROUNDS, FIRST_ROWS = 3, 512
-#: Tables linked at once. After the first few sets what they connect is one node, so a large group makes few links.
-TABLE_SETS, MOST_TABLES = (4, 28), 96
+#: Before the exact join rows are compared with one row each of some groups, in so many rounds of so many groups a row; a
+#: row compared with more than FIRST_ROWS others is dealt out.
+CONFIRM_ROUNDS, CONFIRM_GROUPS, FIRST_ROWS = 3, 4, 512
+#: Tables linked at once. After each of the first sets what it connects is one node, so that a large group makes few
+#: links: most of it is connected by equal fingerprints and one table, whose links are stars.
+TABLE_SETS, MOST_TABLES = (1, 31), 96
 #: Rows, about, in which shingles are counted to put common ones last, and from how many rows on one is common.
 COMMON_ROWS, COMMON_LEAST = 20_000, 8
 
@@ -142,9 +144,10 @@ def candidate_components(rows: DataFrame, prints: int = PRINTS, radius: int = RA
     for n in [*TABLE_SETS, *[MOST_TABLES] * (len(tables) // MOST_TABLES + 1)]:
         sets.append(tables[at : at + n])
         at += n
-    sets = [s for s in sets if s]
+    sets = [s for k, s in enumerate(sets) if s or not k]
     for k, now in enumerate(sets):
-        edges.append(bucket_links(state, now, radius))
+        if now:
+            edges.append(bucket_links(state, now, radius))
         if k < len(TABLE_SETS) or k == len(sets) - 1:
             union = edges[0]
             for e in edges[1:]:
@@ -177,19 +180,28 @@ def alike(a: str, b: str, least: float):
     return both >= (F.size(a) + F.size(b) - both) * least
 
 
-def first_links(rows: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of rows (part, doc_id, row_key, sigs, hashes) that are alike, each with the first row of a group.
+def clustered(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with the cluster of each: its root in roots (node, root), or itself."""
+    return rows.join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").withColumn("cluster", F.coalesce("root", "row_key")).drop("root")
 
-    A group is a part's rows with one number at a place of sigs. Groups are made of slim rows; the first row's hashes
-    are dealt out FIRST_ROWS rows at a time, so those of a large group don't meet in one task.
+
+def first_links(rows: DataFrame, roots: DataFrame, places: list[int], least: float) -> DataFrame:
+    """Links (a, b) of rows (part, row_key, sigs, hashes) that are alike, each with one row of a group; only of rows
+    that roots (node, root) doesn't connect.
+
+    A group is a part's rows with one number at one of the places of sigs; its row is the first one of its largest
+    cluster. Groups are made of slim rows; a row's hashes are dealt out FIRST_ROWS comparisons at a time, so those of a
+    large group don't meet in one task.
     """
-    sigs = rows.select("part", "row_key", "doc_id", F.posexplode("sigs").alias("k", "sig"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    groups = sigs.groupBy("part", "k", "sig").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("part", "k", "sig", F.col("first.row_key").alias("b"), "n")
-    groups = scratch(groups, "near-firsts")
+    slim = clustered(rows.select("part", "row_key", F.array(*(F.get("sigs", F.lit(k)) for k in places)).alias("sigs")), roots)
+    sigs = scratch(slim.select("part", "row_key", "cluster", F.posexplode("sigs").alias("k", "sig")), "near-sigs")
+    by = ["part", "k", "sig"]
+    each = sigs.groupBy(*by, "cluster").agg(F.min("row_key").alias("b"), F.count("*").alias("n"))
+    groups = each.groupBy(*by).agg(F.max_by(F.struct("b", "cluster"), F.struct("n", -F.col("b"))).alias("x"), F.sum("n").alias("n"), F.count("*").alias("clusters"))
+    groups = scratch(groups.where("clusters > 1").select(*by, F.col("x.b").alias("b"), F.col("x.cluster").alias("other_cluster"), "n"), "near-firsts")
     shares = groups.groupBy("b").agg(F.ceil(F.max("n") / FIRST_ROWS).cast("int").alias("shares"))
-    dealt = groups.join(shares, "b").select("part", "k", "sig", "b", "shares", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("s"))
-    pairs = sigs.withColumn("s", F.pmod(F.xxhash64("row_key"), F.lit(16)).cast("int")).join(dealt, ["part", "k", "sig", "s"]).where("row_key <> b")
+    dealt = groups.join(shares, "b").select(*by, "b", "other_cluster", "shares", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("s"))
+    pairs = sigs.withColumn("s", F.pmod(F.xxhash64("row_key"), F.lit(16)).cast("int")).join(dealt, [*by, "s"]).where("cluster <> other_cluster")
     pairs = pairs.select(F.col("row_key").alias("a"), "b", F.pmod(F.xxhash64("row_key"), F.col("shares")).cast("int").alias("share")).distinct()
     others = rows.select(F.col("row_key").alias("b"), F.col("hashes").alias("other")).join(shares, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "other")
     mine = rows.select(F.col("row_key").alias("a"), F.col("hashes").alias("own"))
@@ -238,8 +250,8 @@ def exact_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
                 out = [np.concatenate(keys), np.concatenate(previous), *each, np.repeat(np.array(sizes, np.int32), lengths), np.concatenate(places), np.concatenate(early)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "previous", "row", "cluster", "n", "place", "early"])
 
-    clustered = rows.join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").select("part", "row_key", F.coalesce("root", "row_key").alias("cluster"), "hashes")
-    starts = scratch(clustered.mapInArrow(lean(prefix), "key long, previous long, row long, cluster long, n int, place int, early boolean"), "near-prefixes")
+    own = clustered(rows, roots).select("part", "row_key", "cluster", "hashes")
+    starts = scratch(own.mapInArrow(lean(prefix), "key long, previous long, row long, cluster long, n int, place int, early boolean"), "near-prefixes")
     mixed = starts.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.bool_or("early").alias("any")).where("lo <> hi AND any").select("key")
     starts = scratch(starts.join(mixed, "key", "left_semi"), "near-blocks")
     most = starts.groupBy("key", "cluster").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("cluster", F.struct("k", "cluster")).alias("most"))
@@ -261,8 +273,9 @@ def confirmed_copies(docs: DataFrame, members: DataFrame, shingle: int = CONFIRM
     similarity of word shingles of least or more within a part of members (row_key, part). The row with the least doc_id
     stays (the first place in the table, for equal ones; a null one is largest). Two texts without words are alike.
 
-    Comparisons with the first rows of some groups connect most rows cheaply; then exact_pairs compares all rows of a
-    part that aren't connected yet. docs is settled() and has the places that members names.
+    Comparisons with one row each of some groups (all of a part, then those with a least shingle in common, by several
+    orders) connect most rows cheaply, round by round; then exact_pairs compares all rows of a part that aren't
+    connected yet. docs is settled() and has the places that members names.
     """
     arrow_limits(docs.sparkSession)
 
@@ -271,12 +284,15 @@ def confirmed_copies(docs: DataFrame, members: DataFrame, shingle: int = CONFIRM
             off, data = buffers(batch.column("text"))
             raw, off = data.tobytes(), off.tolist()
             found = [shingle_hashes(raw[a:b], shingle) for a, b in zip(off, off[1:], strict=False)]
-            sigs = [[0] + [least_hash(h, k) for k in range(1, rounds)] for h in found]
+            sigs = [[0] + [least_hash(h, k) for k in range(1, rounds * CONFIRM_GROUPS)] for h in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "row_key")), pa.array(sigs, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["part", "doc_id", "row_key", "sigs", "hashes"])
 
     kind = "part long, doc_id long, row_key long, sigs array<long>, hashes array<long>"
     rows = scratch(with_key(docs).join(members, "row_key").select("part", "doc_id", "row_key", "text").mapInArrow(lean(hashes), kind), "near-shingles")
-    roots = components(first_links(rows, least))
+    roots = members.select(F.col("row_key").alias("node"), F.col("row_key").alias("root")).where("false")
+    for k in range(rounds):
+        found = first_links(rows, roots, list(range(k * CONFIRM_GROUPS, (k + 1) * CONFIRM_GROUPS)), least)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
     more = exact_pairs(rows.select("part", "row_key", "hashes"), roots, least)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
