@@ -59,6 +59,15 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark deletes the shuffle files and broadcasts of jobs that are over.
+
+    In a step of many jobs they, and the classes generated for their plans, would else stay until the heap is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The same rows as a table in which each keeps its place, job after job: a plain scan as it is, all else written."""
     fix_splits(df.sparkSession)

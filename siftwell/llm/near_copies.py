@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, buffers, lean, scratch, settled, with_key, without_rows
+from .common import arrow_limits, buffers, clean_up, lean, scratch, settled, with_key, without_rows
 from .simhash import SEED, bucket_links, components, covering
 
 PRINT_WORDS, PRINTS, RADIUS = 2, 5, 5
@@ -25,10 +25,10 @@ PRINT_WORDS, PRINTS, RADIUS = 2, 5, 5
 CONFIRM_WORDS, CONFIRM_LEAST = 5, 0.8
 #: Before the exact join rows are compared with one row each of some groups, in so many rounds of so many groups a row; a
 #: row compared with more than FIRST_ROWS others is dealt out.
-CONFIRM_ROUNDS, CONFIRM_GROUPS, FIRST_ROWS = 3, 4, 512
+CONFIRM_ROUNDS, CONFIRM_GROUPS, FIRST_ROWS = 2, 6, 512
 #: Tables linked at once. After each of the first sets what it connects is one node, so that a large group makes few
-#: links: most of it is connected by equal fingerprints and one table, whose links are stars.
-TABLE_SETS, MOST_TABLES = (1, 31), 96
+#: links: most of it is connected by equal fingerprints and a few tables, whose links are stars.
+TABLE_SETS, MOST_TABLES = (4,), 96
 #: Rows, about, in which shingles are counted to put common ones last, and from how many rows on one is common.
 COMMON_ROWS, COMMON_LEAST = 20_000, 8
 
@@ -154,6 +154,7 @@ def candidate_components(rows: DataFrame, prints: int = PRINTS, radius: int = RA
                 union = union.unionByName(e)
             roots = components(union)
             own, edges = relabelled(own, roots, "near-roots"), []
+            clean_up(rows.sparkSession)
             if k < len(sets) - 1:
                 state = relabelled(state, roots, "near-prints")
     parts = rows.join(nodes, names).join(own, "node").select("row_key", "root")
@@ -293,7 +294,9 @@ def confirmed_copies(docs: DataFrame, members: DataFrame, shingle: int = CONFIRM
     for k in range(rounds):
         found = first_links(rows, roots, list(range(k * CONFIRM_GROUPS, (k + 1) * CONFIRM_GROUPS)), least)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        clean_up(docs.sparkSession)
     more = exact_pairs(rows.select("part", "row_key", "hashes"), roots, least)
+    clean_up(docs.sparkSession)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
