@@ -29,6 +29,11 @@ CONFIRM_ROUNDS, CONFIRM_GROUPS, FIRST_ROWS = 2, 6, 512
 #: Tables linked at once. After each of the first sets what it connects is one node, so that a large group makes few
 #: links: most of it is connected by equal fingerprints and a few tables, whose links are stars.
 TABLE_SETS, MOST_TABLES = (4,), 96
+#: The exact join takes one in so many blocks, at last all: a large group of copies is connected before all its pairs are made.
+BLOCK_SHARES = (4, 2, 1)
+#: 256 bits a row, each the parity of the number of its hashes with some last bits: two rows differ in no more of these
+#: bits than in hashes.
+SKETCH = ("p0", "p1", "p2", "p3")
 #: Rows, about, in which shingles are counted to put common ones last, and from how many rows on one is common.
 COMMON_ROWS, COMMON_LEAST = 20_000, 8
 
@@ -209,7 +214,7 @@ def first_links(rows: DataFrame, roots: DataFrame, places: list[int], least: flo
     return scratch(scratch(pairs, "near-compared").join(mine, "a").join(others, ["b", "share"]).where(alike("own", "other", least)).select("a", "b"), "near-judged")
 
 
-def exact_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+def exact_pairs(rows: DataFrame, roots: DataFrame, least: float, share: int = 1) -> DataFrame:
     """Links (a, b) between rows (part, row_key, hashes) of one part, but for those that roots (node, root) connects.
 
     An exact join by prefixes. With the hashes of all rows in one order, two rows that are alike have a hash in common
@@ -217,7 +222,9 @@ def exact_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     of the smaller one's. Hashes that are common in a part of the rows come last in the order, so what many texts share
     makes no block of candidates, unless it is most of each. A block whose rows are all connected is left out, and in
     others the rows outside of the block's largest cluster are paired with the rest, so that a large group of copies
-    isn't paired with itself. Rows that had the hash before in common, too, met in that one's block.
+    isn't paired with itself. Rows that had the hash before in common, too, met in that one's block. With a share of more
+    than 1 only one in so many blocks is taken: what these connect needs no pairs when all blocks are. Pairs whose parity
+    bits (SKETCH) differ in more places than their hashes may are left out before any hashes are joined.
     """
     spark = rows.sparkSession
     part = max(1, rows.count() // COMMON_ROWS)
@@ -232,7 +239,7 @@ def exact_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
             previous: list[np.ndarray] = []
             places: list[np.ndarray] = []
             early: list[np.ndarray] = []
-            sizes, lengths = [], []
+            sizes, lengths, sketches = [], [], []
             off = batch.column("hashes").offsets.to_numpy()
             flat = batch.column("hashes").values.to_numpy()
             for p, a, b in zip(batch.column("part").to_numpy(), off, off[1:], strict=False):
@@ -246,13 +253,15 @@ def exact_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
                 early.append(np.arange(take) <= n - ceil(2 * least / (1 + least) * n - 1e-9))
                 sizes.append(n)
                 lengths.append(take)
+                sketches.append(np.packbits(np.bincount(flat[a:b] & 255, minlength=256) & 1).view(np.int64))
             if sizes:
                 each = [np.repeat(batch.column(c).to_numpy(), lengths) for c in ("row_key", "cluster")]
                 out = [np.concatenate(keys), np.concatenate(previous), *each, np.repeat(np.array(sizes, np.int32), lengths), np.concatenate(places), np.concatenate(early)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "previous", "row", "cluster", "n", "place", "early"])
+                out += [np.repeat(x, lengths) for x in np.stack(sketches, axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "previous", "row", "cluster", "n", "place", "early", *SKETCH])
 
     own = clustered(rows, roots).select("part", "row_key", "cluster", "hashes")
-    starts = scratch(own.mapInArrow(lean(prefix), "key long, previous long, row long, cluster long, n int, place int, early boolean"), "near-prefixes")
+    starts = scratch(own.mapInArrow(lean(prefix), "key long, previous long, row long, cluster long, n int, place int, early boolean, " + ", ".join(f"{c} long" for c in SKETCH)), "near-prefixes").where(F.pmod("key", F.lit(share)) == 0)
     mixed = starts.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.bool_or("early").alias("any")).where("lo <> hi AND any").select("key")
     starts = scratch(starts.join(mixed, "key", "left_semi"), "near-blocks")
     most = starts.groupBy("key", "cluster").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("cluster", F.struct("k", "cluster")).alias("most"))
@@ -261,8 +270,10 @@ def exact_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(least / (1 + least)) - 1e-9)
     smaller_early = F.when(F.struct("a.n", "a.row") > F.struct("b.n", "b.row"), F.col("b.early")).otherwise(F.col("a.early"))
     reach = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    again = (F.col("a.place") > 0) & (F.col("b.place") > 0) & (F.col("a.previous") == F.col("b.previous"))
+    again = (F.col("a.place") > 0) & (F.col("b.place") > 0) & (F.col("a.previous") == F.col("b.previous")) & (F.pmod("a.previous", F.lit(share)) == 0)
     near = (F.col("a.key") == F.col("b.key")) & ~again & (F.col("a.cluster") != F.col("b.cluster")) & smaller_early & (reach >= needed)
+    apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SKETCH), F.lit(0))
+    near = near & (apart <= F.floor((F.col("a.n") + F.col("b.n")) * F.lit((1 - least) / (1 + least)) + 1e-9))
     pairs = scratch(a.join(b, near).select(F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b")).distinct(), "near-pairs")
     one = rows.select(F.col("row_key").alias("a"), F.col("part").alias("part_a"), F.col("hashes").alias("own"))
     two = rows.select(F.col("row_key").alias("b"), F.col("part").alias("part_b"), F.col("hashes").alias("other"))
@@ -295,10 +306,11 @@ def confirmed_copies(docs: DataFrame, members: DataFrame, shingle: int = CONFIRM
         found = first_links(rows, roots, list(range(k * CONFIRM_GROUPS, (k + 1) * CONFIRM_GROUPS)), least)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
         clean_up(docs.sparkSession)
-    more = exact_pairs(rows.select("part", "row_key", "hashes"), roots, least)
-    clean_up(docs.sparkSession)
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    for share in BLOCK_SHARES:
+        more = exact_pairs(rows.select("part", "row_key", "hashes"), roots, least, share)
+        clean_up(docs.sparkSession)
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     nodes = scratch(rows.select("row_key", "doc_id").join(roots, F.col("row_key") == F.col("node")).select("root", "doc_id", "row_key"), "near-groups")
