@@ -1,16 +1,45 @@
-"""Command line: python -m siftwell.cli hybrid|dense|feedback --docs D --queries Q --output O."""
+"""Command line: python -m siftwell.cli hybrid|dense|feedback|merge --docs D --queries Q --output O, or evaluate
+--annotation A --result R."""
 
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import evaluation
 from .plans import pipelines
 from .sources.json_files import write_json
 
 
+def file_names(df: DataFrame) -> DataFrame:
+    """Columns named as in evaluation files: MRR, MAP@10, scored_hits@10 and so on."""
+    measures = {c: c.replace("mrr", "MRR").replace("map_", "MAP@").replace("ndcg_", "NDCG@").replace("scored_hits_", "scored_hits@").replace("scored_docs_", "scored_docs@") for c in df.columns}
+    return df.withColumnsRenamed(measures)
+
+
+def evaluate(argv: list[str]) -> None:
+    """Write OUTPUT/per_query and OUTPUT/aggregate as JSON lines."""
+    p = argparse.ArgumentParser(prog="evaluate")
+    p.add_argument("--annotation", required=True)
+    p.add_argument("--result", required=True)
+    p.add_argument("--result_field", default="both", choices=["both", *pipelines.RESULT_FIELDS])
+    p.add_argument("--output", help="by default beside the result")
+    p.add_argument("--binary_relevance_threshold", type=int, default=evaluation.THRESHOLD, choices=[1, 2])
+    a = p.parse_args(argv)
+    spark = SparkSession.builder.appName("siftwell").getOrCreate()
+    fields = pipelines.RESULT_FIELDS if a.result_field == "both" else (a.result_field,)
+    per_query, means = pipelines.evaluate_file(spark, a.annotation, a.result, fields, a.binary_relevance_threshold)
+    output = a.output or a.result.removesuffix(".json") + ".evaluation"
+    write_json(file_names(per_query), f"{output}/per_query")
+    write_json(file_names(means), f"{output}/aggregate")
+
+
 def main(argv: list[str] | None = None) -> None:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["evaluate"]:
+        return evaluate(argv[1:])
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("pipeline", choices=["hybrid", "dense", "feedback", "merge"])
     p.add_argument("--docs", required=True, help="Parquet with doc_index, text, vector")

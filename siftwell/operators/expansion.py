@@ -44,7 +44,10 @@ def first_of_each(df: DataFrame, key: str, pos: str) -> DataFrame:
 
 
 def segment(keywords: DataFrame, segmenter: Callable[[str], list[str]]) -> DataFrame:
-    """Split long Han phrases by a segmenter; useful parts stay, and some second parts join the first, up to 8 signs."""
+    """Split long Han phrases by a segmenter; useful parts stay, and some second parts join the first, up to 8 signs.
+
+    Of parts with one canonical form the first stays.
+    """
     ship_package(keywords.sparkSession)
     long = F.col("keyword").rlike(HAN) & ((F.length("keyword") >= 8) | F.col("keyword").rlike("[，。；？！、]|以及|而且|並且|或者|或是|和|與|或|但"))
 
@@ -55,11 +58,17 @@ def segment(keywords: DataFrame, segmenter: Callable[[str], list[str]]) -> DataF
     kinds = ", ".join(f"`{n}` {t}" for n, t in keywords.dtypes)
     cut = keywords.where(long).mapInPandas(split, f"{kinds}, parts array<string>")
     useful = F.filter(F.transform("parts", lambda p: normalize_text(p)), is_useful_token)
-    joined = F.aggregate(
-        useful,
-        F.array().cast("array<string>"),
-        lambda acc, p: F.when((F.size(acc) > 0) & p.isin(MERGE_AFTER) & ~F.element_at(acc, -1).rlike("(" + "|".join(MERGE_AFTER) + ")$") & (F.length(F.element_at(acc, -1)) + F.length(p) <= 8), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), p)))).otherwise(F.concat(acc, F.array(p))),
-    )
-    parts = F.array_distinct(joined)
+    none = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
+
+    def join(acc, p):
+        """Left to right; what a part was joined to takes no other one."""
+        last = F.try_element_at(acc["out"], F.lit(-1))
+        fits = acc["open"] & p.isin(*MERGE_AFTER) & (F.length(last) + F.length(p) <= 8)
+        merged = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.concat(last, p)))
+        return F.struct(F.when(fits, merged).otherwise(F.concat(acc["out"], F.array(p))).alias("out"), (~fits).alias("open"))
+
+    joined = F.aggregate(useful, none, join, lambda acc: acc["out"])
+    forms = F.transform(joined, canonical_keyword)
+    parts = F.filter(joined, lambda p, i: F.array_position(forms, canonical_keyword(p)) == i + 1)
     cut = cut.withColumn("keyword", F.explode(F.when(F.size(parts) > 0, parts).otherwise(F.array("keyword")))).drop("parts")
     return keywords.where(~long).unionByName(cut)

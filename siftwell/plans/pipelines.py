@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bm25, dense, expansion, feedback, fusion, ranking
+from ..operators import bm25, dense, evaluation, expansion, feedback, fusion, ranking
+from ..sources import json_files
 
 
 @dataclass(frozen=True)
@@ -96,3 +97,15 @@ def envelope(results: DataFrame, queries: DataFrame, fields: list[str], rank: st
     nested = results.groupBy("query_id").agg(F.count("*").alias("result_count"), F.sort_array(F.collect_list(entry)).alias("results"))
     out = queries.select("query_id", F.col("text").alias("query")).join(nested, "query_id", "left")
     return out.select("*", *(F.lit(v).alias(k) for k, v in constants.items()))
+
+
+RESULT_FIELDS = ("dense_results", "rerank_results")
+
+
+def evaluate_file(spark: SparkSession, annotation: str, result: str, fields: tuple[str, ...] = RESULT_FIELDS, threshold: int = evaluation.THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Metrics of each result field of a result file: by query, and their means (no row for a field without queries)."""
+    labels, out = json_files.load_annotations(spark, annotation), None
+    for field in fields:
+        one = evaluation.evaluate(json_files.load_results(spark, result, field), labels, threshold=threshold).withColumn("result_field", F.lit(field))
+        out = one if out is None else out.unionByName(one)
+    return out, evaluation.aggregate(out, "result_field")

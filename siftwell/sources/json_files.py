@@ -45,18 +45,25 @@ def load_sub_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, doc_id, relevance; the last duplicate holds, of queries and of documents."""
+    """query_id, doc_id, relevance; the last duplicate holds, of queries and of documents. A query without answers is a
+    row without doc_id."""
     rows = json_array(spark, path, "struct<id:string,question:string,answers:array<struct<id:string,final_answer:int>>>")
     last = rows.groupBy("item.id").agg(F.max_by("item", "pos").alias("item"))
-    each = last.select(F.col("item.id").alias("query_id"), F.posexplode("item.answers").alias("pos", "a"))
-    return each.groupBy("query_id", F.col("a.id").alias("doc_id")).agg(F.max_by("a.final_answer", "pos").alias("relevance"))
+    each = last.select(F.col("item.id").alias("query_id"), F.posexplode_outer("item.answers").alias("pos", "a"))
+    return each.groupBy("query_id", F.when(F.col("pos").isNotNull(), F.coalesce("a.id", F.lit("None"))).alias("doc_id")).agg(F.max_by("a.final_answer", "pos").alias("relevance"))
 
 
 def load_results(spark: SparkSession, path: str, field: str) -> DataFrame:
-    """query_id, doc_id, rank of one result field of a result file; a missing field is an error."""
-    rows = json_array(spark, path, f"struct<query_id:string,{field}:array<struct<doc_id:string,rank:bigint>>>")
-    items = F.coalesce(F.col(f"item.{field}"), F.raise_error(F.lit(f"a result lacks {field}")).cast("array<struct<doc_id:string,rank:bigint>>"))
-    return rows.select(F.col("item.query_id").alias("query_id"), F.posexplode(items).alias("place", "r")).select("query_id", "r.doc_id", F.coalesce("r.rank", F.col("place") + 1).alias("rank"))
+    """query_id, doc_id, rank of one result field of a result file; a missing field is an error.
+
+    The rank is the place in the list, from 1. An empty list is a row without doc_id and rank.
+    """
+    kind = "array<struct<doc_id:string>>"
+    rows = json_array(spark, path, f"struct<query_id:string,{field}:{kind}>")
+    items = F.coalesce(F.col(f"item.{field}"), F.raise_error(F.lit(f"a result lacks {field}")).cast(kind))
+    each = rows.select(F.col("item.query_id").alias("query_id"), F.posexplode_outer(items).alias("place", "r"))
+    doc = F.when(F.col("place").isNotNull(), F.coalesce("r.doc_id", F.lit("None")))
+    return each.select("query_id", doc.alias("doc_id"), (F.col("place") + 1).cast("bigint").alias("rank"))
 
 
 def submission(results: DataFrame, rank: str = "rank", k: int = RESULT_DOCS) -> DataFrame:

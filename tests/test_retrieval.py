@@ -120,6 +120,59 @@ def test_evaluation_masks(spark):
         evaluation.check_queries(results.withColumn("query_id", F.lit(5).cast("bigint")), labels)
 
 
+def write(path, value):
+    path.write_text(json.dumps(value), encoding="utf-8")
+    return str(path)
+
+
+def test_evaluation_of_files(spark, tmp_path):
+    """Empty lists count with 0, the place in the list is the rank, and a query without labels is an error."""
+    from siftwell import cli
+    from siftwell.plans import pipelines
+
+    labels = [{"id": q, "question": "", "answers": [{"id": "a", "final_answer": 2}, {"id": "b", "final_answer": 0}]} for q in ("1", "2")]
+    labels.append({"id": "3", "question": "", "answers": []})
+    docs = [{"doc_id": "x", "rank": 9}, {"doc_id": "a", "rank": 1}]
+    result = [{"query_id": 1, "dense_results": docs, "rerank_results": docs[1:]}, {"query_id": 2, "dense_results": [], "rerank_results": []}]
+    result.append({"query_id": 3, "dense_results": docs, "rerank_results": docs})
+    annotation, path = write(tmp_path / "labels.json", labels), write(tmp_path / "r.json", result)
+    per, means = pipelines.evaluate_file(spark, annotation, path)
+    rows = {(r.result_field, r.query_id): r for r in per.collect()}
+    assert len(rows) == 6
+    first, empty, bare = (rows["dense_results", q] for q in "123")
+    assert (first.first_scored_doc_original_rank, first.retrieved_doc_count, first.scored_doc_count, first.mrr) == (2, 2, 1, 1.0)
+    assert (empty.first_scored_doc_original_rank, empty.retrieved_doc_count, empty.scored_doc_count, empty.mrr, empty.map_10) == (None, 0, 0, 0.0, 0.0)
+    assert (bare.annotated_doc_count, bare.annotated_relevant_doc_count, bare.retrieved_doc_count, bare.ndcg_30) == (0, 0, 2, 0.0)
+    assert {r.result_field: r.mrr for r in means.collect()} == {"dense_results": pytest.approx(1 / 3), "rerank_results": pytest.approx(1 / 3)}
+    cli.main(["evaluate", "--annotation", annotation, "--result", path, "--result_field", "dense_results"])
+    assert spark.read.json(str(tmp_path / "r.evaluation/aggregate")).first()["MRR"] == pytest.approx(1 / 3)
+    assert spark.read.json(str(tmp_path / "r.evaluation/per_query")).count() == 3
+    stray = write(tmp_path / "s.json", [{"query_id": "9", "dense_results": docs}])
+    for df in pipelines.evaluate_file(spark, annotation, stray, ("dense_results",)):
+        with pytest.raises(Exception, match="no annotations for query 9"):
+            df.collect()
+
+
+def test_evaluation_with_labels_of_every_query(spark):
+    """Labels without a query give what the same labels for each query give; no query gives means of 0."""
+    results = spark.createDataFrame([(q, d, r) for q in (1, 2) for r, d in enumerate((5, 3, 4, 7), q)], "query_id long, doc_id long, rank long")
+    labels = spark.createDataFrame([(3, 2), (4, 1), (7, 0), (8, 2)], "doc_id long, relevance int")
+    each = results.select("query_id").distinct().crossJoin(labels)
+    for ideal in ("retrieved", "all"):
+        shared = evaluation.evaluate(results, labels, ideal=ideal)
+        assert sorted(shared.collect()) == sorted(evaluation.evaluate(results, each, ideal=ideal).collect())
+    none = evaluation.evaluate(results.where("false"), labels)
+    assert set(evaluation.aggregate(none).first()) == {0.0}
+
+
+def test_segments_join_in_pairs(spark):
+    """A part joins the one before it unless that was joined itself; repeats go by canonical form."""
+    cases = {"頭痛檢查治療與照護": ["檢查", "治療"], "感冒藥治療以及其他": ["感冒藥", "治療"], "疼痛治療治療以及照護": ["疼痛", "治療", "治療"], "MRI以及mri檢查影像": ["MRI", "mri", "影像"]}
+    rows = spark.createDataFrame([(k,) for k in cases], "keyword string")
+    got = [r.keyword for r in expansion.segment(rows.coalesce(1), cases.__getitem__).collect()]
+    assert got == ["檢查治療", "感冒藥治療", "疼痛治療", "治療", "MRI", "影像"]
+
+
 def test_keywords(spark):
     q = spark.createDataFrame([(1, "頭痛 Fever")], "query_id long, text string")
     k = spark.createDataFrame([(1, 1, 1, "頭"), (1, 2, 1, "頭痛藥"), (1, 3, 2, "頭痛藥."), (1, 4, 2, "fever"), (1, 5, 2, "Rest")], "query_id long, pos long, passage long, keyword string")
