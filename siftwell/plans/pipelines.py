@@ -29,8 +29,10 @@ class HybridConfig:
 
 
 def with_texts(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidates with both texts, dealt out by pair: scoring is spread evenly, whatever files the texts come from and
+    however many queries share a document. Only candidates' texts are shuffled."""
     q = queries.select("query_id", F.col("text").alias("query_text"))
-    return candidates.join(q, "query_id").join(docs.select("doc_index", F.col("text").alias("doc_text")), "doc_index")
+    return candidates.join(q, "query_id").join(docs.select("doc_index", F.col("text").alias("doc_text")), "doc_index").repartition("query_id", "doc_index")
 
 
 def hybrid(queries: DataFrame, docs: DataFrame, config: HybridConfig = HybridConfig(), sub_queries: DataFrame | None = None, risk_model=None, scorer=ranking.coverage_scorer, index: bm25.Index | None = None) -> DataFrame:
