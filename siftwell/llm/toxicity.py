@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, crc_mod, lean, read, trim, with_key
+from .common import arrow_limits, clean_up, crc_mod, lean, read, scratch, trim, with_key
 
 #: Labelled rows that the machine is fitted on, at most; buckets of hashed terms; buckets that it uses; factors.
 SAMPLE_ROWS, BUCKETS, USED, FACTORS = 20_000, 1 << 20, 4096, 8
@@ -62,25 +62,17 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """By Adam over mini-batches on the log loss. Without both classes the score is the labels' share, or 0 if none."""
+def fit(inputs: list[np.ndarray], labels: np.ndarray, used: np.ndarray, epochs: int = 12, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine:
+    """By Adam over mini-batches on the log loss; inputs holds each row's places in used, the machine's buckets.
+
+    Without both classes the score is the labels' share, or 0 if none.
+    """
     labels = labels.astype(np.float64)
     positive = labels.sum()
+    negative = len(labels) - positive
     if not 0 < positive < len(labels):
         share = float(labels.mean()) if len(labels) else 0.0
         return Machine(np.zeros(0, np.int64), 30.0 if share == 1 else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    n0, n1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r, label in zip(rows, labels, strict=True):  # a row has no bucket twice
-        (n1 if label else n0)[r] += 1
-    negative = len(labels) - positive
-    odds = np.log((n1 + 0.5) / (positive - n1 + 0.5)) - np.log((n0 + 0.5) / (negative - n0 + 0.5))
-    z = np.abs(odds) / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
-    z[n1 + n0 == 0] = 0
-    used = np.argsort(-z, kind="stable")[:USED]
-    used = np.sort(used[z[used] > 2])
-    place = np.full(BUCKETS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    inputs = [p[p >= 0] for p in (place[r] for r in rows)]
     rng = np.random.default_rng(seed)
     state = {"b": np.array([np.log(positive / negative)]), "w": np.zeros(len(used)), "v": rng.normal(0, 0.01, (len(used), FACTORS))}
     first, second = ({k: np.zeros_like(x) for k, x in state.items()} for _ in range(2))
@@ -124,16 +116,52 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, rows: int = SAMPLE_R
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "buckets"])
 
     picked = with_key(docs).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
-    got = picked.mapInArrow(lean(terms), "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.max(F.struct("toxic", "buckets")).alias("x")).select("doc_id", "x.*").toArrow()
+    found = picked.mapInArrow(lean(terms), "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.max(F.struct("toxic", "buckets")).alias("x"))
+    sample = scratch(found.select("doc_id", "x.*"), "toxicity-sample")
+    used = telling_buckets(sample)
+    sent = docs.sparkSession.sparkContext.broadcast(used)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = sent.value
+        for batch in batches:
+            each = [np.frombuffer(b.as_buffer(), np.int32) for b in batch.column("buckets")]
+            own = [np.searchsorted(used, r[np.isin(r, used, assume_unique=True)]).astype(np.int16).tobytes() for r in each]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.binary())], ["doc_id", "toxic", "places"])
+
+    clean_up(docs.sparkSession)
+    got = sample.mapInArrow(lean(places), "doc_id long, toxic int, places binary").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    buckets, toxic = got.column("buckets").combine_chunks(), got.column("toxic").to_numpy()[order]
+    own, toxic = got.column("places").combine_chunks(), got.column("toxic").to_numpy()[order]
     del got
-    machine = fit([np.frombuffer(buckets[k].as_buffer(), np.int32) for k in order.tolist()], toxic)  # views, no copies
-    del buckets
+    machine = fit([np.frombuffer(own[k].as_buffer(), np.int16) for k in order.tolist()], toxic, used)  # views, no copies
+    del own
     trim()
     return machine
 
 
+def telling_buckets(sample: DataFrame, most: int = USED) -> np.ndarray:
+    """The buckets, sorted, that tell the classes of sample (toxic, buckets) apart best: those whose log odds ratio is
+    more than twice its standard error, most of them at most, the least buckets of equal ones.
+
+    They are counted and chosen where the rows are, so that the driver gets no more than most numbers.
+    """
+    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("positive")).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, BUCKETS), np.int32)
+        for batch in batches:
+            for label, b in zip(batch.column("toxic").to_pylist(), batch.column("buckets"), strict=True):
+                seen[int(label != 0), np.frombuffer(b.as_buffer(), np.int32)] += 1  # a row has no bucket twice
+        at = np.flatnonzero(seen.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(n[at].astype(np.int64)) for n in seen)], ["bucket", "n0", "n1"])
+
+    counts = sample.select("toxic", "buckets").mapInArrow(lean(count), "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    n0, n1 = F.col("n0") + 0.5, F.col("n1") + 0.5
+    odds = F.log(n1 / (total.positive - F.col("n1") + 0.5)) - F.log(n0 / (total.n - total.positive - F.col("n0") + 0.5))
+    z = F.abs(odds) / F.sqrt(1 / n1 + 1 / n0)
+    return np.sort(counts.select("bucket", z.alias("z")).where("z > 2").orderBy(F.desc("z"), "bucket").limit(most).select("bucket").toArrow().column("bucket").to_numpy())
+
+
 def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """row_key, doc_id and score (0 to 1) of every whole text; null is an empty text."""
     arrow_limits(docs.sparkSession)
