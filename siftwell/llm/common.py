@@ -45,7 +45,19 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later jobs don't depend on lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read again, so that a step of many tables doesn't keep them all on disk."""
+    for table in tables:
+        path = table.__dict__.pop("scratch_path", None)
+        if path:
+            jvm = table.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, buffers, lean, read, scratch, settled, with_key
+from .common import arrow_limits, buffers, drop, lean, read, scratch, settled, with_key
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
 #: A bucket of more fingerprints is dealt out again by a second covering of the bits that its key leaves out.
@@ -196,13 +196,16 @@ def bucket_links(prints: DataFrame, tables: list[tuple[int, int]], radius: int,
     key = F.col("fp").bitwiseAND(F.get(constants, F.col("t")))
     found = scratch(link_sorted(dealt, key, radius, bucket), "bucket-links")
     small, large = found.where("NOT large").select("a", "b"), found.where("large").select(F.col("a").cast("int").alias("t"), F.col("b").alias("key"))
+    small.scratch_path = found.scratch_path
     if large.isEmpty():
         return small
     second = [(t, s, signed(m2)) for t, (_, m) in enumerate(tables) for s, m2 in enumerate(covering(radius, [b for b in range(64) if not m >> b & 1]))]
     again = spark.createDataFrame(second, "t int, s int, m long")
     hot = dealt.withColumn("key", key).join(large, ["t", "key"], "left_semi")
     hot = hot.join(F.broadcast(again), "t").select("t", "key", "s", F.col("fp").bitwiseAND(F.col("m")).alias("key2"), "fp", "root")
-    return small.unionByName(link_groups(hot, radius, ["t", "key", "s", "key2"]))
+    out = small.unionByName(link_groups(hot, radius, ["t", "key", "s", "key2"]))
+    out.scratch_path = found.scratch_path
+    return out
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -229,11 +232,14 @@ def components(edges: DataFrame) -> DataFrame:
         big = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = big.groupBy("a").agg(F.min("b").alias("m"))  # here b < a throughout
         small = big.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = scratch(small, "links")
+        done, edges = edges, scratch(small, "links")
+        drop(done)
         before, now = now, state(edges)
         if before == now:
             break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out.scratch_path = edges.scratch_path
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:

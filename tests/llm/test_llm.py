@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
@@ -259,6 +260,39 @@ def test_exact_pairs_miss_none(spark):
     assert left == set(label) and 1 < len(left) < len(texts)
 
 
+def test_pairs_of_a_large_group_are_few(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(500):
+        t = list(base)
+        for i in rng.sample(range(150), rng.randint(1, 5)):
+            t[i] = f"e{k}.{i}"
+        texts.append(t)
+    docs = table(spark, [" ".join(t) for t in texts])
+    hashes = [set(near_copies.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for k in range(i):
+            if label[i] != label[k] and len(hashes[i] & hashes[k]) >= 0.8 * len(hashes[i] | hashes[k]):
+                a, b = label[i], label[k]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    members, made, paths = one_component(docs), {}, []
+
+    def counted(df, name, write=near_copies.scratch):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        paths.append(out.inputFiles()[0].rpartition("/")[0].removeprefix("file:"))
+        return out
+
+    monkeypatch.setattr(near_copies, "scratch", counted)
+    gone = {r.row_key for r in near_copies.confirmed_copies(docs, members).collect()}
+    left = {r.doc_id for r in simhash.with_key(docs).collect() if r.row_key not in gone}
+    assert left == set(label) and 1 < len(left) < 400
+    assert made["near-compared"] + made["near-pairs"] < 10 * len(texts)
+    assert sum(map(os.path.exists, paths)) <= 1  # the others are deleted: they would fill the disk
+
+
 def test_fingerprint_by_votes():
     import xxhash
 
