@@ -177,6 +177,24 @@ def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return only_rows(docs, keys, "left_anti")
 
 
+#: A key is looked up apart where one in so many rows, or more, have it; so there are no more such keys than that.
+HOT_SHARE = 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Rows left-joined with table, which has each key once, when some keys may have any share of the rows.
+
+    rows is a written table, as it is read more than once. Keys of a HOT_SHARE-th of its rows or more come with their
+    values as a broadcast of HOT_SHARE rows at most; all others are joined by key. Null keys find nothing.
+    """
+    least = rows.count() / HOT_SHARE
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(key)
+    hot = scratch(hot.join(table, key, "left").limit(HOT_SHARE), "hot")
+    apart = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key, "left")
+    return apart.unionByName(rest)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64, first one 0) and bytes of a string or binary column; nulls are empty."""
     if column.null_count:

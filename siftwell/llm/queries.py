@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, html_text, ppm, sharding, simhash, token_output, tool_calls, toxicity
+from . import bpe, decontamination, exact_dedup, html_text, ppm, sharding, simhash, token_output, tool_calls, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_lm_scoring": ppm.op8_lm_scoring,
     "op9_sharding": sharding.op9_sharding,
     "op10_bpe": bpe.op10_bpe,
+    "op12_warc": warc.op12_warc,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontamination.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op12_warc": warc.ORACLE,
 }
