@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, html_text, ppm, sharding, simhash, token_output, tool_calls, toxicity, warc
+from . import alignment, bpe, decontamination, exact_dedup, html_text, ppm, sharding, simhash, token_output, tool_calls, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_bpe": bpe.op10_bpe,
     "op12_warc": warc.op12_warc,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE_SQL = {
