@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, decontamination, exact_dedup, html_text, ppm, sharding, simhash, token_output, tool_calls, toxicity, warc
+from . import alignment, bpe, collocations, decontamination, exact_dedup, html_text, ppm, sharding, simhash, token_output, tool_calls, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lm_scoring": ppm.op8_lm_scoring,
     "op9_sharding": sharding.op9_sharding,
     "op10_bpe": bpe.op10_bpe,
+    "op11_collocations": collocations.op11_collocations,
     "op12_warc": warc.op12_warc,
     "op13_alignment": alignment.op13_alignment,
 }
@@ -22,5 +23,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_decontamination": decontamination.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op12_warc": warc.ORACLE,
 }
