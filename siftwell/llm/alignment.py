@@ -14,6 +14,7 @@ Texts longer than CHUNK_BYTES are joined in pieces, cut where both tokenizers ha
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -50,12 +51,7 @@ SELECT doc, a, b, count(*) AS times FROM linked ASOF JOIN docs ON place >= docs.
 """
 
 GROUPS = """
-WITH ends AS (SELECT a.hi AS place FROM a JOIN b ON a.hi = b.hi),
-numbered AS (
-  SELECT 0 AS side, id, lo, sum(CASE WHEN place IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY lo ROWS UNBOUNDED PRECEDING) AS part FROM a LEFT JOIN ends ON lo = place
-  UNION ALL
-  SELECT 1, id, lo, sum(CASE WHEN place IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY lo ROWS UNBOUNDED PRECEDING) FROM b LEFT JOIN ends ON lo = place)
-SELECT part::INT AS part, side::INT AS side, id, lo FROM numbered ORDER BY part, side, lo
+SELECT id, lo, coalesce(sum(CASE WHEN hi IN (SELECT hi FROM {other}) THEN 1 ELSE 0 END) OVER (ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS part FROM {side}
 """
 
 PARTIAL = "SELECT a, b, count(*) AS docs FROM whole GROUP BY a, b ORDER BY a, b"
@@ -127,7 +123,7 @@ def piece_coder(path: str) -> PieceIds:
 
         def encode(parts: list[bytes]) -> list[bytes]:
             found = sp.encode([p[1:].decode() for p in parts], num_threads=1)
-            return [lone if len(p) == 1 else np.array(ids, "<u4").tobytes() for p, ids in zip(parts, found, strict=True)]
+            return [lone if len(p) == 1 else array("I", ids).tobytes() for p, ids in zip(parts, found, strict=True)]
 
         _coders[path] = PieceIds(encode)
     return _coders[path]
@@ -187,9 +183,33 @@ def spelt(part: np.ndarray, side: np.ndarray, ids: np.ndarray, last: np.ndarray,
     return ragged(flat, starts[which], lengths[which]), np.cumsum(lengths[which])
 
 
+def numbered_groups(con, side: str, other: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, id and place of a side's tokens in order: a group's number is the common ends before its tokens."""
+    found = con.execute(GROUPS.format(side=side, other=other)).fetchnumpy()
+    part, ids, place = (np.asarray(found[c]) for c in ("part", "id", "lo"))
+    if (place[1:] < place[:-1]).any():
+        order = np.argsort(place)
+        part, ids, place = part[order], ids[order], place[order]
+    return part, ids, place
+
+
+def merged(a: tuple, b: tuple) -> list[np.ndarray]:
+    """part, id, place and side of both sides' tokens, by group, first a's."""
+    at_a = np.arange(len(a[0])) + np.searchsorted(b[0], a[0], "left")
+    at_b = np.arange(len(b[0])) + np.searchsorted(a[0], b[0], "right")
+    out = []
+    for x, y in [*zip(a, b, strict=True), (np.int8(0), np.int8(1))]:
+        column = np.empty(len(at_a) + len(at_b), x.dtype)
+        column[at_a], column[at_b] = x, y
+        out.append(column)
+    return out
+
+
 def cuts(a_hi: np.ndarray, b_hi: np.ndarray, chunk: int) -> list[int]:
     """Places to cut at, chunk bytes apart or more: ends that both have, the last one among them."""
-    common = np.intersect1d(a_hi, b_hi, assume_unique=True)
+    ends = np.zeros(int(a_hi[-1]) + 1 if len(a_hi) else 1, bool)
+    ends[a_hi] = True
+    common = b_hi[ends[b_hi]]
     out, at = [], 0
     while at < len(common):
         at = min(max(int(np.searchsorted(common, (out[-1] if out else 0) + chunk)), at), len(common) - 1)
@@ -214,13 +234,12 @@ def aligned(con, a: tuple, b: tuple, doc_ends: np.ndarray, size: int, chunk: int
         con.register("b", sides[1])
         con.register("docs", pa.table({"doc": np.arange(first, end, dtype=np.int32), "lo": starts[first:end]}))
         links.append(con.sql(LINKS).to_arrow_table())
-        found = con.execute(GROUPS).fetchnumpy()
-        part, place = np.asarray(found["part"]), np.asarray(found["lo"])
+        part, ids, place, side = merged(numbered_groups(con, "a", "b"), numbered_groups(con, "b", "a"))
         doc = np.searchsorted(doc_ends, place, "right")
         new = np.concatenate([[True], part[1:] != part[:-1]])
         groups += np.bincount(doc[new], minlength=n)
         last = np.concatenate([doc[1:] != doc[:-1], [hi == doc_ends[doc[-1]]]])
-        text, ends = spelt(part, np.asarray(found["side"]), np.asarray(found["id"]), last, size)
+        text, ends = spelt(part, side, ids, last, size)
         raw, at = memoryview(text), 0
         for k in np.flatnonzero(np.concatenate([doc[1:] != doc[:-1], [True]])).tolist():
             hashes[doc[k]].update(raw[at : ends[k]])
