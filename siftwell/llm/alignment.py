@@ -30,7 +30,7 @@ from .token_output import library_coder
 #: Bytes of text in a slice; a slice's different pairs are counted together.
 SLICE_TEXT = 2 << 20
 #: Bytes that one round of joins covers, where the tokens' ends allow a cut.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
 
 SLICED = (
     "slice long, row_key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -44,18 +44,20 @@ _tables: dict[str, tuple[np.ndarray, np.ndarray]] = worker_cache("token bytes")
 
 LINKS = """
 WITH linked AS (
-  SELECT a.id AS a, a.lo AS place, b.id AS b FROM a ASOF JOIN b ON a.lo >= b.lo
+  SELECT a.doc AS doc, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.lo >= b.lo
   UNION ALL
-  SELECT a.id, b.lo, b.id FROM b ASOF JOIN a ON b.lo > a.lo WHERE b.lo < a.hi)
-SELECT doc, a, b, count(*) AS times FROM linked ASOF JOIN docs ON place >= docs.lo GROUP BY doc, a, b
+  SELECT a.doc, a.id, b.id FROM b ASOF JOIN a ON b.lo > a.lo WHERE b.lo < a.hi)
+SELECT doc, a, b, count(*) AS times FROM linked GROUP BY doc, a, b
 """
 
+# a group's number: the common ends before it, summed up over the tokens in order
 GROUPS = """
-SELECT id, lo, coalesce(sum(CASE WHEN hi IN (SELECT hi FROM {other}) THEN 1 ELSE 0 END) OVER (ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS part FROM {side}
+SELECT id, lo, (count(CASE WHEN common THEN 1 END) OVER ({order} ROWS UNBOUNDED PRECEDING) - common::INT)::INT AS part
+FROM (SELECT *, hi IN (SELECT hi FROM {other}) AS common FROM {side})
 """
 
-PARTIAL = "SELECT a, b, count(*) AS docs FROM whole GROUP BY a, b ORDER BY a, b"
-WHOLE = "SELECT doc, a, b, sum(times)::BIGINT AS times FROM links GROUP BY doc, a, b ORDER BY doc, a, b"
+PARTIAL = "SELECT a, b, count(*) AS docs FROM links GROUP BY a, b ORDER BY a, b"
+WHOLE = "SELECT doc, a, b, sum(times)::BIGINT AS times FROM links GROUP BY doc, a, b"
 
 
 def table_of(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,12 +187,13 @@ def spelt(part: np.ndarray, side: np.ndarray, ids: np.ndarray, last: np.ndarray,
 
 def numbered_groups(con, side: str, other: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group, id and place of a side's tokens in order: a group's number is the common ends before its tokens."""
-    found = con.execute(GROUPS.format(side=side, other=other)).fetchnumpy()
-    part, ids, place = (np.asarray(found[c]) for c in ("part", "id", "lo"))
-    if (place[1:] < place[:-1]).any():
-        order = np.argsort(place)
-        part, ids, place = part[order], ids[order], place[order]
-    return part, ids, place
+    for order in ("", "ORDER BY lo"):  # the table is in order, and windows without one keep it; if not, it is sorted
+        found = con.execute(GROUPS.format(side=side, other=other, order=order)).fetchnumpy()
+        part, ids, place = (np.asarray(found[c]) for c in ("part", "id", "lo"))
+        if (place[1:] > place[:-1]).all():
+            return part, ids, place
+    order = np.argsort(place)
+    return part[order], ids[order], place[order]
 
 
 def merged(a: tuple, b: tuple) -> list[np.ndarray]:
@@ -205,49 +208,53 @@ def merged(a: tuple, b: tuple) -> list[np.ndarray]:
     return out
 
 
-def cuts(a_hi: np.ndarray, b_hi: np.ndarray, chunk: int) -> list[int]:
-    """Places to cut at, chunk bytes apart or more: ends that both have, the last one among them."""
-    ends = np.zeros(int(a_hi[-1]) + 1 if len(a_hi) else 1, bool)
+def cuts(a_hi: np.ndarray, b_hi: np.ndarray, doc_ends: np.ndarray, chunk: int) -> list[int]:
+    """Places to cut at, chunk bytes apart or more: ends of documents, or in long ones ends that both have; the last end
+    among them."""
+    if not len(doc_ends):
+        return []
+    ends = np.zeros(int(a_hi[-1]) + 1, bool)
     ends[a_hi] = True
     common = b_hi[ends[b_hi]]
-    out, at = [], 0
-    while at < len(common):
-        at = min(max(int(np.searchsorted(common, (out[-1] if out else 0) + chunk)), at), len(common) - 1)
-        out.append(int(common[at]))
-        at += 1
-    return out
+    out = [0]
+    while out[-1] < doc_ends[-1]:
+        least = min(out[-1] + chunk, int(doc_ends[-1]))
+        doc, any_ = int(doc_ends[np.searchsorted(doc_ends, least)]), int(common[np.searchsorted(common, least)])
+        out.append(doc if doc < least + chunk else any_)
+    return out[1:]
 
 
 def aligned(con, a: tuple, b: tuple, doc_ends: np.ndarray, size: int, chunk: int = CHUNK_BYTES) -> tuple[dict, np.ndarray, list[str]]:
     """Links (doc, a, b, times) of documents that lie one after another, their numbers of groups and their digests."""
     n = len(doc_ends)
-    starts = np.concatenate([[0], doc_ends[:-1]]).astype(np.int32)
     groups, hashes = np.zeros(n, np.int64), [hashlib.sha256() for _ in range(n)]
-    links, lo = [], 0
-    for hi in cuts(a[2], b[2], chunk):
+    links, lo, split = [], 0, False
+    for hi in cuts(a[2], b[2], doc_ends, chunk):
         sides = []
         for ids, los, his in (a, b):
             k, m = np.searchsorted(los, [lo, hi])
-            sides.append(pa.table({"id": ids[k:m], "lo": los[k:m], "hi": his[k:m]}))
-        first, end = int(np.searchsorted(doc_ends, lo, "right")), int(np.searchsorted(starts, hi))
-        con.register("a", sides[0])
-        con.register("b", sides[1])
-        con.register("docs", pa.table({"doc": np.arange(first, end, dtype=np.int32), "lo": starts[first:end]}))
+            sides.append({"id": ids[k:m], "lo": los[k:m], "hi": his[k:m]})
+        con.register("a", pa.table(sides[0] | {"doc": np.searchsorted(doc_ends, sides[0]["lo"], "right").astype(np.int32)}))
+        con.register("b", pa.table(sides[1]))
         links.append(con.sql(LINKS).to_arrow_table())
         part, ids, place, side = merged(numbered_groups(con, "a", "b"), numbered_groups(con, "b", "a"))
         doc = np.searchsorted(doc_ends, place, "right")
         new = np.concatenate([[True], part[1:] != part[:-1]])
         groups += np.bincount(doc[new], minlength=n)
-        last = np.concatenate([doc[1:] != doc[:-1], [hi == doc_ends[doc[-1]]]])
-        text, ends = spelt(part, side, ids, last, size)
+        whole = hi == doc_ends[doc[-1]]
+        split |= not whole
+        text, ends = spelt(part, side, ids, np.concatenate([doc[1:] != doc[:-1], [whole]]), size)
         raw, at = memoryview(text), 0
         for k in np.flatnonzero(np.concatenate([doc[1:] != doc[:-1], [True]])).tolist():
             hashes[doc[k]].update(raw[at : ends[k]])
             at = int(ends[k])
         lo = hi
     con.register("links", pa.concat_tables(links) if links else pa.table({c: np.zeros(0, np.int64) for c in ("doc", "a", "b", "times")}))
-    con.register("whole", con.sql(WHOLE).to_arrow_table())
-    return {"whole": con.execute("FROM whole").fetchnumpy(), "partial": con.execute(PARTIAL).fetchnumpy()}, groups, [h.hexdigest() for h in hashes]
+    if split:  # a document's pairs of two chunks are one
+        con.register("links", con.sql(WHOLE).to_arrow_table())
+    found = con.execute("FROM links").fetchnumpy()
+    order = np.argsort(found["doc"], kind="stable")
+    return {"whole": {c: np.asarray(v)[order] for c, v in found.items()}, "partial": con.execute(PARTIAL).fetchnumpy()}, groups, [h.hexdigest() for h in hashes]
 
 
 def sliced(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
