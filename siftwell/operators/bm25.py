@@ -10,34 +10,53 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 K1, B = 1.5, 0.75
+OKAPI_EPSILON = 0.25
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_index, tf, dl), terms(term, df, idf), corpus(n, avgdl)."""
+    """postings(term, doc_index, tf, dl), terms(term, df, idf), corpus(n, avgdl). repeats: a query's repeated terms count."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    repeats: bool = False
+
+    def scored(self, queries: DataFrame, k: int, k1: float, b: float, text: str = "text") -> DataFrame:
+        return scores(queries, self, k1, b, text)
 
 
 def tokenized(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_index", tokens(F.col(text)).alias("tokens"))
 
 
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_index, dl, term and tf: a row per document and term of it, and one with a null term per document."""
+    t = tokenized(docs, text).select("doc_index", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+    return t.groupBy("term", "doc_index", "dl").agg(F.count("*").alias("tf"))
+
+
 def build_index(docs: DataFrame, text: str = "text", idf: str = "plus_one") -> Index:
-    """docs has doc_index and the text column. idf: plus_one (always positive) or robertson (the classic form)."""
+    """docs has doc_index and the text column. idf: plus_one (always positive), robertson (the classic form), or okapi:
+    the classic form, of which negative values become a quarter of the mean; a query's repeated terms count there."""
+    if idf not in ("plus_one", "robertson", "okapi"):
+        raise ValueError(f"unknown idf: {idf}")
     t = tokenized(docs, text)
     corpus = t.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"))
     postings = t.select("doc_index", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "doc_index", "dl").agg(F.count("*").alias("tf"))
     odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     weight = F.log1p(odds) if idf == "plus_one" else F.log(odds)
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus)).select("term", "df", weight.alias("idf"))
-    return Index(postings, terms, corpus)
+    if idf == "okapi":
+        mean = terms.agg(F.avg("idf").alias("mean"))
+        terms = terms.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, OKAPI_EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    return Index(postings, terms, corpus, repeats=idf == "okapi")
 
 
-def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct terms: how often a query repeats one doesn't count."""
+def query_terms(queries: DataFrame, text: str = "text", repeats: bool = False) -> DataFrame:
+    """Distinct terms: how often a query repeats one counts only with repeats."""
+    if repeats:
+        return queries.select("query_id", F.explode(tokens(F.col(text))).alias("term"))
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
@@ -45,7 +64,7 @@ def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B, text:
     """query_id, doc_index, bm25_score of every document that shares a term with a query."""
     length = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / length))
-    joined = query_terms(queries, text).join(index.terms, "term").join(index.postings, "term").crossJoin(F.broadcast(index.corpus))
+    joined = query_terms(queries, text, index.repeats).join(index.terms, "term").join(index.postings, "term").crossJoin(F.broadcast(index.corpus))
     return joined.groupBy("query_id", "doc_index").agg(F.sum(part).alias("bm25_score"))
 
 
@@ -61,13 +80,13 @@ def top_k(scored: DataFrame, score: str, k: int, rank: str, *ties: Column) -> Da
     return keyed.withColumn(rank, F.col("__rank").cast("bigint")).drop("__key", "__rank")
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, index: Index, k: int, pad: bool = True, k1: float = K1, b: float = B, text: str = "text") -> DataFrame:
-    """query_id, doc_index, bm25_score, bm25_rank.
+def bm25_top_k(queries: DataFrame, docs: DataFrame, index, k: int, pad: bool = True, k1: float = K1, b: float = B, text: str = "text") -> DataFrame:
+    """query_id, doc_index, bm25_score, bm25_rank, from an Index or a stored one (postings.StoredIndex).
 
     pad: where fewer than k documents match, those with the least doc_index follow with score 0. Fewer than k match
     then, so k of the first 2k documents are free, and no more are paired with queries.
     """
-    found = top_k(scores(queries, index, k1, b, text), "bm25_score", k, "bm25_rank")
+    found = top_k(index.scored(queries, k, k1, b, text), "bm25_score", k, "bm25_rank")
     if not pad:
         return found
     first = docs.select("doc_index").orderBy("doc_index").limit(2 * k)

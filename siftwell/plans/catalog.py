@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.risk import with_parsed_risk
 from ..functions.vectors import norm
-from ..operators import bm25, dense, evaluation, expansion, feedback, fusion, ranking
+from ..operators import bm25, dense, evaluation, expansion, feedback, fusion, postings, ranking
+from ..sources import cache
 from . import pipelines
 
 K_BM25, K_DENSE = 100, 50
@@ -76,12 +77,12 @@ def doc_length_stats(spark, d):
 
 def bm25_topk(spark, d):
     q, x = queries(spark, d), docs(spark, d)
-    return bm25.bm25_top_k(q, x, bm25.build_index(x), K_BM25, pad=False).select("query_id", "doc_index", _r("bm25_score"), "bm25_rank")
+    return bm25.bm25_top_k(q, x, postings.open_index(x), K_BM25, pad=False).select("query_id", "doc_index", _r("bm25_score"), "bm25_rank")
 
 
 def bm25_topk_padded(spark, d):
     q, x = queries(spark, d), docs(spark, d)
-    return bm25.bm25_top_k(q, x, bm25.build_index(x), K_BM25).select("query_id", "doc_index", _r("bm25_score"), "bm25_rank")
+    return bm25.bm25_top_k(q, x, postings.open_index(x), K_BM25).select("query_id", "doc_index", _r("bm25_score"), "bm25_rank")
 
 
 def qa_pairs(spark, d):
@@ -99,10 +100,10 @@ def vector_norms(spark, d):
 def _two_lists(spark, d):
     """BM25's list, and the list by term coverage in the place of a dense one, whose corpus has no texts here."""
     q, x = queries(spark, d), docs(spark, d)
-    index = bm25.build_index(x)
+    index = postings.open_index(x)
     lexical = bm25.bm25_top_k(q, x, index, K_BM25, pad=False)
-    hits = bm25.query_terms(q).join(index.postings, "term").groupBy("query_id", "doc_index").agg(F.count("*").cast("double").alias("dense_score"))
-    return lexical, bm25.top_k(hits, "dense_score", K_BM25, "dense_rank")
+    hits = postings.query_postings(q, index).groupBy("query_id", "doc_index").agg(F.count("*").cast("double").alias("dense_score"))
+    return cache.written(lexical), cache.written(bm25.top_k(hits, "dense_score", K_BM25, "dense_rank"))
 
 
 _FUSED = ["query_id", "doc_index", "bm25_rank", "dense_rank"]
@@ -121,8 +122,10 @@ def fuse_legacy_merge(spark, d):
 
 
 def _reranked(spark, d, k=50):
+    """Ranks and scores alone: the terms that a candidate shares with its query are counted in the index."""
+    q, x = queries(spark, d), docs(spark, d)
     fused = fusion.fuse_rrf(*_two_lists(spark, d))
-    return ranking.rerank(pipelines.with_texts(fused, queries(spark, d), docs(spark, d)), ranking.coverage_scorer, k)
+    return ranking.rerank(fused, postings.coverage_scorer(q, postings.open_index(x)), k)
 
 
 def rerank_topk(spark, d):
@@ -131,7 +134,7 @@ def rerank_topk(spark, d):
 
 def risk_penalty_rank(spark, d):
     """A deterministic risk output stands in for the model: its topic risk falls with the share of terms covered."""
-    best = _reranked(spark, d).withColumn("sub_queries", F.array("query_text")).withColumn("risk_raw", F.concat(F.lit('<think>a {draft}</think>{"topic_mismatch_risk": "'), F.round(1 - F.col("rerank_score"), 4).cast("string"), F.lit('", "shallow_answer_risk": '), (F.col("fusion_rank") % 7).cast("string"), F.lit("}")))
+    best = _reranked(spark, d).join(queries(spark, d).withColumnRenamed("text", "query_text"), "query_id").withColumn("sub_queries", F.array("query_text")).withColumn("risk_raw", F.concat(F.lit('<think>a {draft}</think>{"topic_mismatch_risk": "'), F.round(1 - F.col("rerank_score"), 4).cast("string"), F.lit('", "shallow_answer_risk": '), (F.col("fusion_rank") % 7).cast("string"), F.lit("}")))
     return ranking.final_order(ranking.apply_risk(best), 30).select("query_id", "doc_index", _r("risk"), "risk_parse_ok", _r("final_score"), "final_rank")
 
 
@@ -224,7 +227,8 @@ def output_envelope(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid candidates by reciprocal ranks, reranked, with their texts' lengths."""
-    return _reranked(spark, d, 30).select("query_id", "doc_index", "rerank_position", _r("rerank_score"), _r("rrf_score", 9), F.length("doc_text").alias("n_chars"))
+    best = _reranked(spark, d, 30).join(docs(spark, d), "doc_index")
+    return best.select("query_id", "doc_index", "rerank_position", _r("rerank_score"), _r("rrf_score", 9), F.length("text").alias("n_chars"))
 
 
 QUERIES = {
