@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,22 @@ META_STRONG = ["thinking process", "analyze the request", "identify key informat
 META_PROMPT = ["input:", "task:", "source:", "constraint", "<question>", "<passage>", "<keywords>"]
 BAD_STARTS_LOWER = ["passage:", "question:", "keyword:", "keywords:", "task:", "input:", "source:"]
 BAD_STARTS = ["問題：", "段落：", "關鍵詞：", "回答段落：", "回答："]
-STOP_WORDS = "什麼 是否 需要 可能 進一步 出現 反覆 長期 目前 相關 有關 這些 這種 這個 那個 問題 原因 結果 正常 以及 或者 或是 如果 因此 可以 應該 怎麼 如何 哪裡 什麼樣".split()
-MERGE_AFTER = "檢查 治療 就醫 手術 藥物 藥 疾病 風險 病變 感染 功能 內科 外科 門診".split()
+STOP_WORDS = ["什麼", "是否", "需要", "可能", "進一步", "出現", "反覆", "長期", "目前", "相關", "有關", "這些", "這種", "這個", "那個", "問題", "原因", "結果", "正常", "以及", "或者", "或是", "如果", "因此", "可以", "應該", "怎麼", "如何", "哪裡", "什麼樣"]
+MERGE_AFTER = ["檢查", "治療", "就醫", "手術", "藥物", "藥", "疾病", "風險", "病變", "感染", "功能", "內科", "外科", "門診"]
+KEYWORD_SPLIT = r"[\n,;|]+"
+KEYWORD_PREFIX = r"(?i)^(keywords?|key phrases?|terms?)\s*:\s*"
+LEADING_BULLET = r"^\s*(?:[-*•]|\d+[.)])\s*"
+CONNECTOR = r"[，。；？！、]|以及|而且|並且|或者|或是|以及|以及|和|與|或|但"
+D2K_LINES = [
+    "請根據問題與段落內容，從段落中抽取最多 {keyword_count} 個適合檢索的短關鍵詞或短片語。",
+    "請優先使用繁體中文關鍵詞；英文專有名詞或縮寫可保留原文。",
+    "關鍵詞必須直接來自段落內容，且要和問題主題高度相關。",
+    "請優先抽取問題中未直接出現、但對檢索有幫助的補充資訊詞，例如就醫科別、急診處置、送醫時機、安全措施、自傷或傷人風險、病史紀錄、藥物治療、心理輔導、家庭支持。",
+    "除非段落中沒有其他更合適的資訊，否則不要優先輸出只是重複問題症狀的詞。",
+    "請盡量保留疾病名稱、檢查、治療、藥物、器官、部位、風險因子與具體處置等資訊詞，避免過於籠統的詞。",
+    "不要輸出解釋、推理過程、標題、條列符號、句子或其他額外文字。",
+    "只輸出一行，以半形逗號分隔的關鍵詞列表。",
+]
 Q2D_LINES = [
     "請根據問題生成一段簡短且具體的回答段落。",
     "請使用繁體中文作答。",
@@ -72,7 +88,8 @@ def expand_run(t: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Lower-case runs of a-z0-9, Han runs expanded, and single other letters and numbers."""
     found = F.regexp_extract_all(F.lower(normalize_text(F.coalesce(c, F.lit("")))), F.lit(TOKEN), F.lit(0))
-    return F.flatten(F.transform(found, expand_run))
+    # expanding is interpreted sign by sign, so texts without Han are spared it
+    return F.when(F.coalesce(c, F.lit("")).rlike(HAN), F.flatten(F.transform(found, expand_run))).otherwise(found)
 
 
 def with_instruction(query: Column, instruction: str | None) -> Column:
@@ -92,46 +109,61 @@ def q2d_prompt(query: Column, hint: Column | None = None) -> Column:
     return F.trim(F.concat_ws("\n", *lines, F.concat(F.lit("問題："), query), F.lit("回答段落：")))
 
 
+def d2k_prompt(query: Column, passage: Column, keyword_count: int) -> Column:
+    lines = [F.lit(x.replace("{keyword_count}", str(keyword_count))) for x in D2K_LINES]
+    return F.trim(F.concat_ws("\n", *lines, F.concat(F.lit("問題："), query), F.concat(F.lit("段落："), passage), F.lit("關鍵詞：")))
+
+
 def q2d_focus(round_: Column, passage: Column) -> Column:
     """The focus of a round's passage, both counted from 1."""
     return F.element_at(F.array(*map(F.lit, Q2D_FOCUS)), (((round_ - 1) * 10 + (passage - 1)) % len(Q2D_FOCUS) + 1).cast("int"))
 
 
+@cache
+def folded_signs() -> dict[str, str]:
+    """The lower-case signs that case folding changes further, and what to; none lies beyond the second plane."""
+    signs = (chr(i) for i in range(0x80, 0x20000) if not 0xD800 <= i < 0xE000)
+    return {c: c.casefold() for c in signs if c.lower() == c and c.casefold() != c}
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding: lower case, and what remains to be folded sign by sign, in texts that have such signs."""
+    low, signs = F.lower(c), folded_signs()
+    table = F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in signs.items())), F.lit("\x01"), F.lit("\x02"))
+    folded = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(low.rlike("[" + "".join(signs) + "]"), folded).otherwise(low)
+
+
 def canonical_keyword(c: Column) -> Column:
-    return F.lower(F.regexp_replace(normalize_text(c), "^[.,!?;:]+|[.,!?;:]+$", ""))
+    return casefold(F.regexp_replace(normalize_text(c), "^[.,!?;:]+|[.,!?;:]+$", ""))
 
 
 def sanitize_generated(c: Column) -> Column:
     """Peel label prefixes, in their order, whatever their case."""
-    out = normalize_text(c)
-    for p in LABEL_PREFIXES:
-        out = normalize_text(F.when(F.lower(F.substring(out, 1, len(p))) == p.lower(), F.substring(out, len(p) + 1, 1 << 30)).otherwise(out))
-    return out
+    def peel(out: Column, p: Column) -> Column:
+        return F.when(F.startswith(casefold(out), p), normalize_text(F.substring(out, F.length(p) + 1, F.length(out)))).otherwise(out)
+
+    return F.aggregate(F.array(*(F.lit(p.casefold()) for p in LABEL_PREFIXES)), normalize_text(c), peel)
 
 
 def meta_hits(c: Column) -> Column:
-    low = F.lower(c)
-    return sum((F.when(F.contains(low, F.lit(m)), 1).otherwise(0) for m in META_PROMPT), F.lit(0))
+    low = casefold(c)
+    return F.size(F.filter(F.array(*map(F.lit, META_PROMPT)), lambda m: F.contains(low, m)))
 
 
 def is_meta_text(c: Column) -> Column:
     t = normalize_text(c)
-    low, hits = F.lower(t), meta_hits(t)
+    low, hits = casefold(t), meta_hits(t)
     stars = F.length(t) - F.length(F.replace(t, F.lit("*"), F.lit("")))
-    strong = F.lit(False)
-    for m in META_STRONG:
-        strong = strong | F.contains(low, F.lit(m))
+    strong = F.exists(F.array(*map(F.lit, META_STRONG)), lambda m: F.contains(low, m))
     return strong | (hits >= 2) | ((stars >= 4) & (hits >= 1))
 
 
 def is_invalid_keyword(c: Column) -> Column:
     t = normalize_text(c)
-    low = F.lower(t)
-    bad = t == ""
-    for p in BAD_STARTS_LOWER:
-        bad = bad | low.startswith(p)
-    for p in BAD_STARTS:
-        bad = bad | t.startswith(p)
+    low = casefold(t)
+    begins = lambda text, starts: F.exists(F.array(*map(F.lit, starts)), lambda p: F.startswith(text, p))
+    bad = (t == "") | begins(low, BAD_STARTS_LOWER) | begins(t, BAD_STARTS)
     blanks = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
     return bad | is_meta_text(t) | (~t.rlike(HAN) & ((F.length(t) >= 80) | (blanks >= 6)))
 
@@ -141,13 +173,13 @@ def is_useful_token(c: Column) -> Column:
     return ~c.rlike(r"(?U)^[\W_]+$") & F.when(han, ~c.isin(STOP_WORDS) & (F.length(c) >= 2)).otherwise(c.rlike("[A-Za-z0-9]") & (F.length(c) >= 2))
 
 
-def parse_keywords(c: Column, limit: int) -> Column:
+def parse_keywords(c: Column, limit: int | None = None) -> Column:
     """Keywords of a generated list, invalid ones left out, up to limit.
 
-    Long Han phrases stay whole, as no segmenter is at hand; expansion.segment() takes one as a parameter.
+    Long Han phrases stay whole here; expansion.parsed_keywords() splits them by a segmenter before it counts.
     """
     text = F.replace(sanitize_generated(c), F.lit("<KEYWORDS>:"), F.lit(""))
-    text = F.regexp_replace(text, r"(?i)^(keywords?|key phrases?|terms?)\s*:\s*", "")
-    parts = F.transform(F.split(text, r"[\n,;|]+"), lambda s: normalize_text(F.regexp_replace(F.regexp_replace(s, r"^\s*(?:[-*•]|\d+[.)])\s*", ""), r"""^[ "'\[\](){}]+|[ "'\[\](){}]+$""", "")))
+    text = F.regexp_replace(text, KEYWORD_PREFIX, "")
+    parts = F.transform(F.split(text, KEYWORD_SPLIT), lambda s: normalize_text(F.regexp_replace(F.regexp_replace(s, LEADING_BULLET, ""), r"""^[ "'\[\](){}]+|[ "'\[\](){}]+$""", "")))
     good = F.filter(parts, lambda s: (s != "") & ~is_invalid_keyword(s))
-    return F.when((text == "") | is_meta_text(text), F.array().cast("array<string>")).otherwise(F.slice(good, 1, limit))
+    return F.when((text == "") | is_meta_text(text), F.array().cast("array<string>")).otherwise(good if limit is None else F.slice(good, 1, limit))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from ..functions.text import HAN, MERGE_AFTER, canonical_keyword, is_invalid_keyword, is_useful_token, normalize_text
+from ..functions.text import CONNECTOR, HAN, MERGE_AFTER, canonical_keyword, is_invalid_keyword, is_useful_token, normalize_text, parse_keywords
 
 TOP_KEYWORDS = 3
 
@@ -22,7 +22,7 @@ def keyword_frequency(keywords: DataFrame) -> DataFrame:
 
 def without_overlap(df: DataFrame, queries: DataFrame) -> DataFrame:
     """Drop keywords that are part of the query."""
-    q = queries.select("query_id", canonical_keyword(F.col("text")).alias("__q"))
+    q = queries.select("query_id", canonical_keyword(F.coalesce(F.col("text"), F.lit(""))).alias("__q"))
     return df.join(q, "query_id").where(~F.contains(F.col("__q"), F.col("canon"))).drop("__q")
 
 
@@ -37,19 +37,18 @@ def expand_queries(queries: DataFrame, selected: DataFrame) -> DataFrame:
     return queries.select("query_id", "text").join(ok, "query_id").select("query_id", "keyword_rank", "keyword", normalize_text(F.concat_ws(" ", "text", "keyword")).alias("expanded_query"))
 
 
-def first_of_each(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """The first row of each key per query."""
-    w = Window.partitionBy("query_id", key).orderBy(pos)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-
-
 def segment(keywords: DataFrame, segmenter: Callable[[str], list[str]]) -> DataFrame:
     """Split long Han phrases by a segmenter; useful parts stay, and some second parts join the first, up to 8 signs.
 
     Of parts with one canonical form the first stays.
     """
+    return segmented(keywords, segmenter).withColumn("keyword", F.explode("parts")).drop("parts")
+
+
+def segmented(keywords: DataFrame, segmenter: Callable[[str], list[str]]) -> DataFrame:
+    """keywords with parts: those of segment() in order, the keyword itself where it stays whole."""
     ship_package(keywords.sparkSession)
-    long = F.col("keyword").rlike(HAN) & ((F.length("keyword") >= 8) | F.col("keyword").rlike("[，。；？！、]|以及|而且|並且|或者|或是|和|與|或|但"))
+    long = F.col("keyword").rlike(HAN) & ((F.length("keyword") >= 8) | F.col("keyword").rlike(CONNECTOR))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -70,5 +69,24 @@ def segment(keywords: DataFrame, segmenter: Callable[[str], list[str]]) -> DataF
     joined = F.aggregate(useful, none, join, lambda acc: acc["out"])
     forms = F.transform(joined, canonical_keyword)
     parts = F.filter(joined, lambda p, i: F.array_position(forms, canonical_keyword(p)) == i + 1)
-    cut = cut.withColumn("keyword", F.explode(F.when(F.size(parts) > 0, parts).otherwise(F.array("keyword")))).drop("parts")
-    return keywords.where(~long).unionByName(cut)
+    cut = cut.withColumn("parts", F.when(F.size(parts) > 0, parts).otherwise(F.array("keyword")))
+    return keywords.where(~F.coalesce(long, F.lit(False))).withColumn("parts", F.array("keyword")).unionByName(cut)
+
+
+def parsed_keywords(texts: DataFrame, limit: int, segmenter: Callable[[str], list[str]], raw: str = "raw") -> DataFrame:
+    """Rows of texts with keyword and place (from 1): the first `limit` valid keywords of each generated list.
+
+    Long Han phrases count as the parts that segment() gives. A null or invalid list gives no rows. texts needs a column
+    text_id that is unique.
+    """
+    listed = texts.select("text_id", F.posexplode(parse_keywords(F.coalesce(F.col(raw), F.lit("")))).alias("__at", "keyword"))
+    parts = segmented(listed, segmenter).select("text_id", "__at", F.posexplode("parts").alias("__part", "keyword")).where(~is_invalid_keyword(F.col("keyword")))
+    order = Window.partitionBy("text_id").orderBy("__at", "__part")
+    kept = parts.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= limit).drop("__at", "__part")
+    return texts.join(kept, "text_id")
+
+
+def deduplicated(keywords: DataFrame) -> DataFrame:
+    """Of a list's keywords (text_id, place) with one canonical form the first; those without a form go."""
+    first = Window.partitionBy("text_id", canonical_keyword(F.col("keyword"))).orderBy("place")
+    return keywords.where(canonical_keyword(F.col("keyword")) != "").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
