@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import json_array as json_array_rows
+
 RESULT_DOCS = 30
 
 
 def json_array(spark: SparkSession, path: str, element: str = "map<string,string>") -> DataFrame:
-    """pos and item of each element of a JSON array file; anything but an array is an error."""
-    whole = spark.read.text(path, wholetext=True)
-    items = F.from_json("value", f"array<{element}>")
-    checked = F.when(F.ltrim("value").startswith("["), items)
-    return whole.select(F.posexplode(F.coalesce(checked, F.raise_error(F.lit("the file must hold a JSON array")).cast(f"array<{element}>"))).alias("pos", "item"))
+    """pos and item of each element of a JSON array file, read in parallel; anything but an array of objects is an error."""
+    return json_array_rows.read_array(spark, path, element)
 
 
 def _field(key: str):
@@ -84,9 +83,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def lines_to_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines, blank ones skipped."""
-    return spark.read.schema(schema).json(path)
+def write_json_array(df: DataFrame, path: str, order: list[str]) -> None:
+    """One indented array file, in the order of the given columns."""
+    json_array_rows.write_array(df, path, order)
+
+
+def lines_to_array(spark: SparkSession, path: str, target: str, schema: str) -> None:
+    """JSON lines, blank ones skipped, as one indented array in the lines' order."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("line"))
+    items = lines.where(F.trim("value") != "").select("file", "range", "line", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("item"))
+    json_array_rows.write_array(items, target, ["file", "range", "line"], "item.*")
 
 
 def array_to_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
