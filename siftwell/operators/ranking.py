@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.risk import with_parsed_risk
+from ..functions.risk import KEYS, with_parsed_risk
 from ..functions.text import tokens
 
 RISK_LAMBDA = 0.1
@@ -33,11 +33,12 @@ def coverage_scorer(candidates: DataFrame) -> DataFrame:
 def apply_risk(candidates: DataFrame, weight: float = RISK_LAMBDA, enabled: bool = True) -> DataFrame:
     """candidates has rerank_score and, if enabled, sub_queries and risk_raw (the risk model's output).
 
-    Without sub-queries a query's risk is 0 and risk_parse_ok null.
+    Without sub-queries a query's risks are 0 and risk_parse_ok null.
     """
     subs = F.size(F.coalesce(F.col("sub_queries"), F.array().cast("array<string>"))) > 0 if enabled else F.lit(False)
-    df = with_parsed_risk(candidates, "risk_raw") if enabled else candidates.withColumn("risk", F.lit(0.0)).withColumn("risk_parse_ok", F.lit(None).cast("boolean"))
-    df = df.withColumn("risk", F.when(subs, F.col("risk")).otherwise(0.0)).withColumn("risk_parse_ok", F.when(subs, F.col("risk_parse_ok")))
+    none = {k: F.lit(0.0) for k in ["risk", *KEYS]} | {"risk_parse_ok": F.lit(None).cast("boolean")}
+    df = with_parsed_risk(candidates, "risk_raw") if enabled else candidates.withColumns(none)
+    df = df.withColumns({k: F.when(subs, F.col(k)).otherwise(0.0) for k in ["risk", *KEYS]}).withColumn("risk_parse_ok", F.when(subs, F.col("risk_parse_ok")))
     return df.withColumn("rerank_score_norm", F.col("rerank_score")).withColumn("risk_lambda", F.lit(weight)).withColumn("final_score", F.col("rerank_score_norm") - F.lit(weight) * F.col("risk"))
 
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import bm25, dense, evaluation, expansion, feedback, fusion, ranking
-from ..sources import json_files
+from ..operators import bm25, dense, evaluation, expansion, feedback, fusion, postings, ranking
+from ..sources import cache, json_files
 
 
 @dataclass(frozen=True)
@@ -35,62 +35,145 @@ def with_texts(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> Da
     return candidates.join(q, "query_id").join(docs.select("doc_index", F.col("text").alias("doc_text")), "doc_index").repartition("query_id", "doc_index")
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, config: HybridConfig = HybridConfig(), sub_queries: DataFrame | None = None, risk_model=None, scorer=ranking.coverage_scorer, index: bm25.Index | None = None) -> DataFrame:
-    """queries: query_id, text, vector; docs: doc_index, text, vector. The risk step runs only with both sub_queries and
-    a risk_model, which adds risk_raw."""
-    index = index or bm25.build_index(docs)
+# The fields of the result formats, in their order.
+DOCUMENT_FIELDS = ["doc_id", "question", "answer"]
+HYBRID_FIELDS = [
+    "rank", "doc_index", "doc_id", "question", "answer", "fusion_method", "fusion_rank", "fusion_score", "candidate_sources", "union_rank", "union_seed_rank", "bm25_score", "bm25_rank", "dense_score", "dense_rank", "rrf_score",
+    "rerank_score_norm", "rerank_score", "rerank_rank", "risk_lambda", "risk", "risk_parse_ok", "topic_mismatch_risk", "missing_subquery_risk", "keyword_only_risk", "shallow_answer_risk", "final_score", "final_rank",
+]
+DENSE_FIELDS = ["rank", "doc_index", "doc_id", "question", "answer", "dense_score"]
+RERANK_FIELDS = ["rank", "doc_index", "doc_id", "question", "answer", "dense_rank", "dense_score", "rerank_score"]
+FEEDBACK_FIELDS = ["rank", "doc_index", "doc_id", "question", "answer", "first_dense_score", "first_dense_rank", "rerank_feedback_score", "first_rerank_rank", "refit_dense_score", "refit_rank"]
+FUSED_FEEDBACK_FIELDS = [
+    "rank", "doc_index", "doc_id", "question", "answer", "first_dense_score", "first_dense_rank", "first_original_rerank_score", "first_original_rerank_rank", "first_gff_fused_score", "first_gff_fused_rank",
+    "refit_dense_score", "refit_dense_rank",
+]
+OLDER_FIELDS = ["rank", "doc_index", "doc_id", "question", "answer", "rerank_score", "bm25_rank", "bm25_score", "dense_rank", "dense_score", "sources"]
+
+
+def project(results: DataFrame, docs: DataFrame, fields: list[str]) -> DataFrame:
+    """query_id and the fields; what a document says comes from docs, where it has such columns (null where it hasn't)."""
+    wanted = [c for c in DOCUMENT_FIELDS if c in fields]
+    known = docs.select("doc_index", *((F.col(c) if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in wanted))
+    return results.drop(*wanted).join(known, "doc_index").select("query_id", *fields)
+
+
+def hybrid(queries: DataFrame, docs: DataFrame, config: HybridConfig = HybridConfig(), sub_queries: DataFrame | None = None, risk_model=None, scorer=ranking.coverage_scorer, index=None) -> DataFrame:
+    """query_id and HYBRID_FIELDS. queries: query_id, text, vector; docs: doc_index, text, vector, and doc_id, question,
+    answer where they are to come out. The risk step runs only with both sub_queries (query_id, sub_queries) and a
+    risk_model, which adds risk_raw; index: a stored one, built where none is given."""
+    index = index or postings.open_index(docs, k1=config.k1, b=config.b)
     lexical = bm25.bm25_top_k(queries, docs, index, config.bm25_top_k, k1=config.k1, b=config.b)
     near = dense.dense_top_k(queries, docs, config.dense_top_k)
-    fused = fusion.fuse_rrf(lexical, near, config.rrf_k) if config.rrf else fusion.fuse_union(lexical, near)
+    fused = fusion.fuse_rrf(lexical, near, config.rrf_k) if config.rrf else fusion.fuse_union(lexical, near).withColumn("rrf_score", F.lit(None).cast("double"))
+    fused = fused.withColumn("fusion_method", F.lit("rrf" if config.rrf else "union")).withColumn("fusion_score", F.col("rrf_score")).withColumn("union_rank", F.col("fusion_rank")).withColumn("union_seed_rank", F.col("seed_rank"))
     risky = sub_queries is not None and risk_model is not None
     best = ranking.rerank(with_texts(fused, queries, docs), scorer, ranking.rerank_depth(config.risk_top_k, config.final_top_k, risky))
     if risky:
         best = risk_model(best.join(sub_queries, "query_id", "left"))
     scored = ranking.apply_risk(best, config.risk_lambda, risky)
-    return ranking.final_order(scored, config.final_top_k).withColumn("rank", F.col("final_rank"))
+    return project(ranking.final_order(scored, config.final_top_k).withColumn("rank", F.col("final_rank")), docs, HYBRID_FIELDS)
+
+
+def hybrid_output(results: DataFrame, queries: DataFrame, config: HybridConfig = HybridConfig(), sub_queries: DataFrame | None = None, risk: bool = False, **constants) -> DataFrame:
+    """The result file's row per query: its text, sub-queries, the run's settings, and the results by rank."""
+    named = envelope(results, queries, HYBRID_FIELDS[1:], "rank").withColumn("results", F.coalesce("results", F.array()))
+    subs = sub_queries if sub_queries is not None else queries.select("query_id", F.array().cast("array<string>").alias("sub_queries"))
+    named = named.join(subs, "query_id", "left").withColumn("sub_queries", F.coalesce("sub_queries", F.array().cast("array<string>")))
+    settings = {
+        "fusion_method": "rrf" if config.rrf else "union", "rrf_k": config.rrf_k if config.rrf else None, "bm25_top_k": config.bm25_top_k, "dense_top_k": config.dense_top_k, "risk_penalty_enabled": risk,
+        "risk_lambda": config.risk_lambda if risk else None, "risk_top_k": config.risk_top_k if risk else None, "document_text_mode": "Question + Answer", **constants,
+    }
+    counts = [F.size("sub_queries").alias("sub_query_count"), F.coalesce("result_count", F.lit(0)).alias("final_top_k")]
+    bm25_settings = F.struct(F.lit(config.k1).alias("k1"), F.lit(config.b).alias("b")).alias("bm25")
+    typed = [(F.lit(None).cast("string") if v is None else F.lit(v)).alias(k) for k, v in settings.items()]
+    return named.select("query_id", "query", "sub_queries", *counts, *typed, bm25_settings, "results")
 
 
 def dense_rerank(queries: DataFrame, docs: DataFrame, dense_k: int = 100, rerank_k: int = 30, scorer=ranking.coverage_scorer) -> tuple[DataFrame, DataFrame]:
-    """Both result lists: dense, and reranked."""
+    """Both result lists: query_id and DENSE_FIELDS, query_id and RERANK_FIELDS."""
     near = dense.dense_top_k(queries, docs, dense_k)
     best = ranking.rerank(with_texts(near, queries, docs), scorer, rerank_k, incoming="dense_rank")
-    return near.withColumn("rank", F.col("dense_rank")), best.withColumn("rank", F.col("rerank_position"))
+    return project(near.withColumn("rank", F.col("dense_rank")), docs, DENSE_FIELDS), project(best.withColumn("rank", F.col("rerank_position")), docs, RERANK_FIELDS)
+
+
+def second_search(queries: DataFrame, docs: DataFrame, first: DataFrame, scores: DataFrame, final_k: int, config: feedback.Config) -> DataFrame:
+    """query_id, doc_index, refit_score and refit_rank by the query vectors that the scores of the first list move."""
+    moved = feedback.refit(queries, first.join(scores.select("query_id", "doc_index", "score"), ["query_id", "doc_index"]), docs, config)
+    return dense.dense_top_k(moved, docs, final_k).select("query_id", "doc_index", F.col("dense_score").alias("refit_score"), F.col("dense_rank").alias("refit_rank"))
 
 
 def feedback_retrieval(queries: DataFrame, docs: DataFrame, scores: DataFrame | None = None, feedback_k: int = 100, final_k: int = 30, config: feedback.Config = feedback.Config(), scorer=ranking.coverage_scorer) -> DataFrame:
     """Dense top-k, teacher scores (query_id, doc_index, score; by default the scorer's), query update, dense again.
 
-    first_dense_rank, first_dense_score and first_rerank_score are null for documents that the first search lacks.
+    first_dense_rank, first_dense_score, first_rerank_score and first_rerank_rank are null for documents that the first
+    search lacks.
     """
     first = dense.dense_top_k(queries, docs, feedback_k)
     if scores is None:
         scores = scorer(with_texts(first, queries, docs)).select("query_id", "doc_index", F.col("rerank_score").alias("score"))
-    moved = feedback.refit(queries, first.join(scores, ["query_id", "doc_index"]), docs, config)
-    second = dense.dense_top_k(moved, docs, final_k).select("query_id", "doc_index", F.col("dense_score").alias("refit_score"), F.col("dense_rank").alias("refit_rank"))
+    second = second_search(queries, docs, first, scores, final_k, config)
     facts = first.join(scores, ["query_id", "doc_index"], "left").select("query_id", "doc_index", F.col("dense_rank").alias("first_dense_rank"), F.col("dense_score").alias("first_dense_score"), F.col("score").alias("first_rerank_score"))
-    return second.join(facts, ["query_id", "doc_index"], "left")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round("first_rerank_score", 8)), "first_dense_rank")
+    return second.join(facts.withColumn("first_rerank_rank", F.row_number().over(order).cast("bigint")), ["query_id", "doc_index"], "left")
 
 
-def fused_feedback(queries: DataFrame, docs: DataFrame, keywords: DataFrame, feedback_k: int = 100, final_k: int = 30, top_keywords: int = 3, config: feedback.Config = feedback.Config(), scorer=ranking.coverage_scorer) -> DataFrame:
-    """As feedback_retrieval, taught by the fusion of the lists that the query and its expansions give."""
-    first = dense.dense_top_k(queries, docs, feedback_k)
+def feedback_results(queries: DataFrame, docs: DataFrame, **how) -> DataFrame:
+    """query_id and FEEDBACK_FIELDS of feedback_retrieval()."""
+    out = feedback_retrieval(queries, docs, **how).withColumn("rank", F.col("refit_rank"))
+    return project(out.withColumnsRenamed({"first_rerank_score": "rerank_feedback_score", "refit_score": "refit_dense_score"}), docs, FEEDBACK_FIELDS)
+
+
+def query_variants(queries: DataFrame, keywords: DataFrame, top_keywords: int) -> DataFrame:
+    """query_id, list_label and query_text: the query itself (`original`) and one per chosen keyword (`keyword 1` ...)."""
     chosen = expansion.select_keywords(expansion.keyword_frequency(keywords), queries, top_keywords)
-    variants = expansion.expand_queries(queries, chosen).select("query_id", F.concat(F.lit("keyword "), "keyword_rank").alias("list_label"), F.col("expanded_query").alias("text"))
-    variants = variants.unionByName(queries.select("query_id", F.lit(fusion.ORIGINAL).alias("list_label"), "text"))
-    pairs = first.withColumnRenamed("dense_rank", "in_rank").join(variants, "query_id").withColumnRenamed("text", "query_text").join(docs.select("doc_index", F.col("text").alias("doc_text")), "doc_index")
-    from pyspark.sql import Window
+    variants = expansion.expand_queries(queries, chosen).select("query_id", F.concat(F.lit("keyword "), "keyword_rank").alias("list_label"), F.col("expanded_query").alias("query_text"))
+    return variants.unionByName(queries.select("query_id", F.lit(fusion.ORIGINAL).alias("list_label"), F.col("text").alias("query_text")))
+
+
+def variant_lists(first: DataFrame, variants: DataFrame, docs: DataFrame, scorer=ranking.coverage_scorer) -> DataFrame:
+    """query_id, list_label, doc_index, score and rank: the candidates of first(query_id, doc_index, dense_rank), scored
+    for all variants in one pass over their texts; ties keep the first order."""
+    pairs = first.select("query_id", "doc_index", "dense_rank").join(docs.select("doc_index", F.col("text").alias("doc_text")), "doc_index").join(variants, "query_id")
+    order = Window.partitionBy("query_id", "list_label").orderBy(F.desc(F.round("rerank_score", 8)), "dense_rank")
+    scored = scorer(pairs.repartition("query_id", "list_label", "doc_index"))
+    return scored.select("query_id", "list_label", "doc_index", F.col("rerank_score").alias("score"), F.row_number().over(order).cast("bigint").alias("rank"))
+
 
-    w = Window.partitionBy("query_id", "list_label").orderBy(F.desc(F.round("rerank_score", 8)), "in_rank")
-    lists = scorer(pairs).withColumn("rank", F.row_number().over(w).cast("bigint")).select("query_id", "list_label", "doc_index", "rank")
-    fused = fusion.gff_fuse(lists).select("query_id", "doc_index", F.col("gff_score").alias("score"))
-    return feedback_retrieval(queries, docs, fused, feedback_k, final_k, config)
+def fused_first_stage(first: DataFrame, lists: DataFrame) -> DataFrame:
+    """A row per candidate: its first dense score and rank, original score and rank, fused score and rank, and its rank in
+    each list (list_ranks, a map)."""
+    own = F.col("list_label") == fusion.ORIGINAL
+    by_list = lists.groupBy("query_id", "doc_index").agg(
+        F.max(F.when(own, F.col("score"))).alias("first_original_rerank_score"),
+        F.max(F.when(own, F.col("rank"))).alias("first_original_rerank_rank"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("list_label", "rank")))).alias("list_ranks"),
+    )
+    fused = fusion.gff_fuse(lists.select("query_id", "list_label", "doc_index", "rank")).select("query_id", "doc_index", F.col("gff_score").alias("first_gff_fused_score"), F.col("gff_rank").alias("first_gff_fused_rank"))
+    facts = first.select("query_id", "doc_index", F.col("dense_score").alias("first_dense_score"), F.col("dense_rank").alias("first_dense_rank"))
+    return facts.join(by_list, ["query_id", "doc_index"]).join(fused, ["query_id", "doc_index"])
+
+
+def fused_feedback(queries: DataFrame, docs: DataFrame, keywords: DataFrame, feedback_k: int = 100, final_k: int = 30, top_keywords: int = 3, config: feedback.Config = feedback.Config(), scorer=ranking.coverage_scorer) -> DataFrame:
+    """query_id and FUSED_FEEDBACK_FIELDS: as feedback_results, taught by the fusion of the lists that the query and its
+    expansions by keywords(query_id, pos, passage, keyword) give. The first stage is written once."""
+    first = cache.written(dense.dense_top_k(queries, docs, feedback_k))
+    lists = cache.written(variant_lists(first, query_variants(queries, keywords, top_keywords), docs, scorer))
+    stage = cache.written(fused_first_stage(first, lists).drop("list_ranks"))
+    second = second_search(queries, docs, first, stage.withColumnRenamed("first_gff_fused_score", "score"), final_k, config)
+    out = second.join(stage, ["query_id", "doc_index"], "left").withColumn("rank", F.col("refit_rank"))
+    return project(out.withColumnsRenamed({"refit_score": "refit_dense_score", "refit_rank": "refit_dense_rank"}), docs, FUSED_FEEDBACK_FIELDS)
 
 
 def older_merge(queries: DataFrame, docs: DataFrame, bm25_k: int = 50, dense_k: int = 50, rerank_k: int = 30, scorer=ranking.coverage_scorer) -> DataFrame:
-    """Question-only BM25 of the classic form and dense search, merged in order of arrival, reranked."""
-    index = bm25.build_index(docs, idf="robertson")
-    merged = fusion.legacy_merge(bm25.bm25_top_k(queries, docs, index, bm25_k), dense.dense_top_k(queries, docs, dense_k))
-    return ranking.rerank(with_texts(merged, queries, docs), scorer, rerank_k, incoming="merge_rank")
+    """query_id and OLDER_FIELDS: BM25 of the Okapi form over questions (texts where docs has none) and dense search,
+    merged in order of arrival, reranked."""
+    text = "question" if "question" in docs.columns else "text"
+    asked = queries.select("query_id", F.col("text").alias(text))
+    lexical = bm25.bm25_top_k(asked, docs, bm25.build_index(docs, text, idf="okapi"), bm25_k, text=text)
+    merged = fusion.legacy_merge(lexical, dense.dense_top_k(queries, docs, dense_k))
+    best = ranking.rerank(with_texts(merged, queries, docs), scorer, rerank_k, incoming="merge_rank")
+    return project(best.withColumn("rank", F.col("rerank_position")).withColumnRenamed("candidate_sources", "sources"), docs, OLDER_FIELDS)
 
 
 def envelope(results: DataFrame, queries: DataFrame, fields: list[str], rank: str, **constants) -> DataFrame:
