@@ -87,7 +87,8 @@ def expand_run(t: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of a-z0-9, Han runs expanded, and single other letters and numbers."""
-    found = F.regexp_extract_all(F.lower(normalize_text(F.coalesce(c, F.lit("")))), F.lit(TOKEN), F.lit(0))
+    # white space is in no token, so it needs no normalising
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
     # expanding is interpreted sign by sign, so texts without Han are spared it
     return F.when(F.coalesce(c, F.lit("")).rlike(HAN), F.flatten(F.transform(found, expand_run))).otherwise(found)
 

@@ -2,14 +2,15 @@
 
 A posting's impact is what its term adds to a document's score before the term's idf. Each term's postings are dealt to
 parts of at most about PART documents (by the document's hash, so that a term which all documents have is spread), sorted
-by impact and cut into blocks of BLOCK; a block knows its greatest impact, a term its greatest and least block, and its
-CHAMPIONS best postings.
+by impact and cut into blocks of BLOCK; a block knows its greatest impact, a term its greatest and least block.
 
 A query's top k is found in steps, all of them joins of small tables with what is needed of the index:
-1. The champions of its terms, summed up by document, give a lower bound of the k-th best score.
+1. The first HEAD blocks of its terms (of their first parts), summed up by document, give a lower bound of the k-th best
+   score.
 2. Terms whose greatest contributions together stay under the bound can't bring a document in. Of all other terms those
    blocks are read whose greatest contribution, with the most that the query's other terms can add, reaches the bound.
-3. Of the documents in them those go on whose known part, with the most that the terms not known yet can add, reaches it.
+3. Of the documents in them those go on whose known part, with the most that the terms not known yet can add, reaches it,
+   and the k-th best of the known parts.
 4. What isn't known yet of these is looked up by term and document.
 Bounds are compared with a margin of EPSILON, which is more than scores are rounded by, so pruning changes no result.
 """
@@ -24,15 +25,15 @@ from pyspark.sql import functions as F
 from ..sources import cache
 from . import bm25
 
-BLOCK, PART, CHAMPIONS = 128, 65_536, 256
+BLOCK, PART, HEAD = 128, 65_536, 2
 EPSILON = 1e-6
 #: Layout of the tables; another number makes a new index.
-LAYOUT = 1
+LAYOUT = 2
 
 
 @dataclass(frozen=True)
 class StoredIndex:
-    """terms(term, df, idf, top, low, champions), blocks(term, block, top, docs, impacts), corpus(n, avgdl)."""
+    """terms(term, df, idf, top, low), blocks(term, block, top, docs, impacts), corpus(n, avgdl)."""
 
     terms: DataFrame
     blocks: DataFrame
@@ -69,12 +70,9 @@ def tables(docs: DataFrame, text: str = "text", k1: float = bm25.K1, b: float =
     blocks = placed.groupBy("term", "part", F.floor(F.col("place") / BLOCK).alias("seq")).agg(F.array_sort(entry).alias("e"))
     blocks = blocks.select("term", F.struct("part", "seq").alias("block"), F.element_at("e", 1)["i"].alias("top"), F.transform("e", lambda x: x["doc_index"]).alias("docs"), F.transform("e", lambda x: -x["i"]).alias("impacts"))
     blocks = cache.written(blocks.withColumn("top", -F.col("top")))
-    heads = blocks.where(F.col("block.seq") < CHAMPIONS // BLOCK).select("term", F.explode(F.arrays_zip("docs", "impacts")).alias("p")).select("term", F.col("p.docs").alias("doc_index"), F.col("p.impacts").alias("impact"))
-    best = heads.withColumn("o", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "doc_index"))).where(F.col("o") <= CHAMPIONS)
-    champions = best.groupBy("term").agg(F.collect_list(F.struct("doc_index", "impact")).alias("champions"))
     bounds = blocks.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.max("top").alias("top"), F.min("top").alias("low"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = bounds.join(champions, "term").crossJoin(F.broadcast(corpus)).select("term", "df", idf.alias("idf"), "top", "low", "champions")
+    terms = bounds.crossJoin(F.broadcast(corpus)).select("term", "df", idf.alias("idf"), "top", "low")
     return {"terms": terms.sortWithinPartitions("term"), "blocks": blocks, "corpus": corpus}
 
 
@@ -89,7 +87,7 @@ def open_index(docs: DataFrame, root: str | None = None, text: str = "text", k1:
 
 def exploded(blocks: DataFrame, *columns: str) -> DataFrame:
     """Columns of the blocks, doc_index and impact, a row for each posting."""
-    return blocks.select(*columns, F.explode(F.arrays_zip("docs", "impacts")).alias("p")).select(*columns, F.col("p.docs").alias("doc_index"), F.col("p.impacts").alias("impact"))
+    return blocks.select(*columns, F.inline(F.arrays_zip(F.col("docs").alias("doc_index"), F.col("impacts").alias("impact"))))
 
 
 def coverage_scorer(queries: DataFrame, index: StoredIndex, text: str = "text"):
@@ -120,7 +118,8 @@ def plan_terms(queries: DataFrame, index: StoredIndex, k: int, text: str = "text
     terms that aren't don't reach it. whole: all blocks of a needed term are.
     """
     terms = bm25.query_terms(queries, text).join(index.terms, "term")
-    sums = terms.select("query_id", "idf", F.explode("champions").alias("c")).groupBy("query_id", F.col("c.doc_index").alias("doc_index")).agg(F.sum(F.col("idf") * F.col("c.impact")).alias("s"))
+    heads = index.blocks.where((F.col("block.part") == 0) & (F.col("block.seq") < HEAD)).select("term", "docs", "impacts")
+    sums = exploded(terms.select("query_id", "term", "idf").join(heads, "term"), "query_id", "idf").groupBy("query_id", "doc_index").agg(F.sum(F.col("idf") * F.col("impact")).alias("s"))
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "doc_index")
     bound = sums.withColumn("o", F.row_number().over(order)).where(F.col("o") <= max(k, 1)).where(F.col("o") == max(k, 1)).select("query_id", F.col("s").alias("bound"))
     if not prune:
@@ -147,6 +146,10 @@ def scores(queries: DataFrame, index: StoredIndex, k: int, text: str = "text", p
     # of terms that aren't needed
     known = found.groupBy("query_id", "doc_index").agg(F.sum(F.when(F.col("whole"), F.col("idf") * F.col("impact")).otherwise(0.0)).alias("known"))
     rest = plan.groupBy("query_id").agg(F.sum(F.when(~F.col("whole"), F.col("ub")).otherwise(0.0)).alias("open"), F.first("bound").alias("bound"))
+    if prune:  # what is known of the k-th best document is another lower bound, and a better one
+        order = Window.partitionBy("query_id").orderBy(F.desc("known"), "doc_index")
+        best = known.withColumn("o", F.row_number().over(order)).where(F.col("o") <= max(k, 1)).where(F.col("o") == max(k, 1))
+        rest = rest.join(best.select("query_id", F.col("known").alias("better")), "query_id", "left").withColumn("bound", F.greatest("bound", "better"))
     known = known.join(rest, "query_id").where(reaches(F.col("known") + F.col("open"))).select("query_id", "doc_index", "known")
     partial = plan.where("NOT whole").select("query_id", "term", "idf")
     held = index.blocks.join(partial.select("term").distinct(), "term", "left_semi")

@@ -23,10 +23,9 @@ def results(df):
 
 @pytest.fixture
 def small(monkeypatch):
-    """Small blocks, parts and champion lists, so that a small corpus has many of each."""
+    """Small blocks and parts, so that a small corpus has many of each."""
     monkeypatch.setattr(postings, "BLOCK", 4)
     monkeypatch.setattr(postings, "PART", 64)
-    monkeypatch.setattr(postings, "CHAMPIONS", 12)
 
 
 @pytest.mark.parametrize("k,k1,b", [(1, 1.5, 0.75), (10, 1.5, 0.75), (50, 0.0, 0.0), (7, 2.0, 1.0), (10_000, 1.5, 0.75)])
@@ -58,7 +57,6 @@ def test_index_is_dealt_out(spark, small, tmp_path):
     assert max(len(b.docs) for b in blocks) <= 4 and len({b.block.part for b in blocks}) > 3
     assert all(b.top == max(b.impacts) and list(b.impacts) == sorted(b.impacts, reverse=True) for b in blocks)
     assert sum(len(b.docs) for b in blocks) == stored.terms.where("term = 'common'").first().df
-    assert max(len(r.champions) for r in stored.terms.collect()) == 12
 
 
 def test_index_is_kept_and_found(spark, tmp_path):
