@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bm25, dense, evaluation, expansion, feedback, fusion, postings, ranking
@@ -27,6 +27,10 @@ class HybridConfig:
     b: float = 0.75
     risk_lambda: float = 0.1
 
+    @property
+    def method(self) -> str:
+        return "rrf" if self.rrf else "union"
+
 
 def with_texts(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidates with both texts, dealt out by pair: scoring is spread evenly, whatever files the texts come from and
@@ -58,36 +62,53 @@ def project(results: DataFrame, docs: DataFrame, fields: list[str]) -> DataFrame
     return results.drop(*wanted).join(known, "doc_index").select("query_id", *fields)
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, config: HybridConfig = HybridConfig(), sub_queries: DataFrame | None = None, risk_model=None, scorer=ranking.coverage_scorer, index=None) -> DataFrame:
-    """query_id and HYBRID_FIELDS. queries: query_id, text, vector; docs: doc_index, text, vector, and doc_id, question,
-    answer where they are to come out. The risk step runs only with both sub_queries (query_id, sub_queries) and a
-    risk_model, which adds risk_raw; index: a stored one, built where none is given."""
+def hybrid_stages(queries: DataFrame, docs: DataFrame, config: HybridConfig = HybridConfig(), sub_queries: DataFrame | None = None, risk_model=None, scorer=ranking.coverage_scorer, index=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All fused candidates, those kept after reranking, and the results (see hybrid)."""
     index = index or postings.open_index(docs, k1=config.k1, b=config.b)
     lexical = bm25.bm25_top_k(queries, docs, index, config.bm25_top_k, k1=config.k1, b=config.b)
     near = dense.dense_top_k(queries, docs, config.dense_top_k)
     fused = fusion.fuse_rrf(lexical, near, config.rrf_k) if config.rrf else fusion.fuse_union(lexical, near).withColumn("rrf_score", F.lit(None).cast("double"))
-    fused = fused.withColumn("fusion_method", F.lit("rrf" if config.rrf else "union")).withColumn("fusion_score", F.col("rrf_score")).withColumn("union_rank", F.col("fusion_rank")).withColumn("union_seed_rank", F.col("seed_rank"))
+    fused = fused.withColumn("fusion_method", F.lit(config.method)).withColumn("fusion_score", F.col("rrf_score")).withColumn("union_rank", F.col("fusion_rank")).withColumn("union_seed_rank", F.col("seed_rank"))
     risky = sub_queries is not None and risk_model is not None
     best = ranking.rerank(with_texts(fused, queries, docs), scorer, ranking.rerank_depth(config.risk_top_k, config.final_top_k, risky))
-    if risky:
-        best = risk_model(best.join(sub_queries, "query_id", "left"))
-    scored = ranking.apply_risk(best, config.risk_lambda, risky)
-    return project(ranking.final_order(scored, config.final_top_k).withColumn("rank", F.col("final_rank")), docs, HYBRID_FIELDS)
-
-
-def hybrid_output(results: DataFrame, queries: DataFrame, config: HybridConfig = HybridConfig(), sub_queries: DataFrame | None = None, risk: bool = False, **constants) -> DataFrame:
-    """The result file's row per query: its text, sub-queries, the run's settings, and the results by rank."""
-    named = envelope(results, queries, HYBRID_FIELDS[1:], "rank").withColumn("results", F.coalesce("results", F.array()))
-    subs = sub_queries if sub_queries is not None else queries.select("query_id", F.array().cast("array<string>").alias("sub_queries"))
-    named = named.join(subs, "query_id", "left").withColumn("sub_queries", F.coalesce("sub_queries", F.array().cast("array<string>")))
-    settings = {
-        "fusion_method": "rrf" if config.rrf else "union", "rrf_k": config.rrf_k if config.rrf else None, "bm25_top_k": config.bm25_top_k, "dense_top_k": config.dense_top_k, "risk_penalty_enabled": risk,
-        "risk_lambda": config.risk_lambda if risk else None, "risk_top_k": config.risk_top_k if risk else None, "document_text_mode": "Question + Answer", **constants,
-    }
-    counts = [F.size("sub_queries").alias("sub_query_count"), F.coalesce("result_count", F.lit(0)).alias("final_top_k")]
-    bm25_settings = F.struct(F.lit(config.k1).alias("k1"), F.lit(config.b).alias("b")).alias("bm25")
-    typed = [(F.lit(None).cast("string") if v is None else F.lit(v)).alias(k) for k, v in settings.items()]
-    return named.select("query_id", "query", "sub_queries", *counts, *typed, bm25_settings, "results")
+    judged = risk_model(best.join(sub_queries, "query_id", "left")) if risky else best
+    scored = ranking.apply_risk(judged, config.risk_lambda, risky)
+    return fused, best, project(ranking.final_order(scored, config.final_top_k).withColumn("rank", F.col("final_rank")), docs, HYBRID_FIELDS)
+
+
+def hybrid(queries: DataFrame, docs: DataFrame, config: HybridConfig = HybridConfig(), sub_queries: DataFrame | None = None, risk_model=None, scorer=ranking.coverage_scorer, index=None) -> DataFrame:
+    """query_id and HYBRID_FIELDS. queries: query_id, text, vector; docs: doc_index, text, vector, and doc_id, question,
+    answer where they are to come out. The risk step runs only with both sub_queries (query_id, sub_queries) and a
+    risk_model, which adds risk_raw; index: a stored one, built where none is given."""
+    return hybrid_stages(queries, docs, config, sub_queries, risk_model, scorer, index)[2]
+
+
+def sizes(**lists: DataFrame) -> DataFrame:
+    """query_id and the number of rows that it has in each of the named tables."""
+    out = None
+    for name, rows in lists.items():
+        counted = rows.groupBy("query_id").agg(F.count("*").cast("int").alias(name))
+        out = counted if out is None else out.join(counted, "query_id", "full_outer")
+    return out
+
+
+def result_rows(queries: DataFrame, lists: dict[str, tuple[DataFrame, list[str]]], counts: dict[str, Column], beside: list[DataFrame], **constants) -> DataFrame:
+    """A result file's row per query of queries(query_index, query_id, text): its text, what is beside it by query_id, counts,
+    the run's constants, and each named list of results (query_id and fields) by rank; empty where there are none.
+
+    Nulls among the constants are columns of null; a result list is a top-k.
+    """
+    out = queries.select("query_index", "query_id", F.col("text").alias("query"))
+    for table in beside:
+        out = out.join(table, "query_id", "left")
+    for name, (rows, fields) in lists.items():
+        entry = F.struct(*fields)
+        nested = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias(name))
+        out = out.join(nested, "query_id", "left")
+        out = out.withColumn(name, F.coalesce(F.col(name), F.array().cast(dict(out.dtypes)[name])))
+    extra = [c for table in beside for c in table.columns if c not in ("query_id", *counts)]
+    typed = [(v if isinstance(v, Column) else F.lit(None).cast("string") if v is None else F.lit(v)).alias(k) for k, v in constants.items()]
+    return out.select("query_index", "query_id", "query", *extra, *(c.alias(k) for k, c in counts.items()), *typed, *lists)
 
 
 def dense_rerank(queries: DataFrame, docs: DataFrame, dense_k: int = 100, rerank_k: int = 30, scorer=ranking.coverage_scorer) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +161,7 @@ def variant_lists(first: DataFrame, variants: DataFrame, docs: DataFrame, scorer
     return scored.select("query_id", "list_label", "doc_index", F.col("rerank_score").alias("score"), F.row_number().over(order).cast("bigint").alias("rank"))
 
 
-def fused_first_stage(first: DataFrame, lists: DataFrame) -> DataFrame:
+def fused_first_stage(first: DataFrame, lists: DataFrame, k: int = fusion.GFF_K, original_weight: float = fusion.ORIGINAL_WEIGHT) -> DataFrame:
     """A row per candidate: its first dense score and rank, original score and rank, fused score and rank, and its rank in
     each list (list_ranks, a map)."""
     own = F.col("list_label") == fusion.ORIGINAL
@@ -149,7 +170,7 @@ def fused_first_stage(first: DataFrame, lists: DataFrame) -> DataFrame:
         F.max(F.when(own, F.col("rank"))).alias("first_original_rerank_rank"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("list_label", "rank")))).alias("list_ranks"),
     )
-    fused = fusion.gff_fuse(lists.select("query_id", "list_label", "doc_index", "rank")).select("query_id", "doc_index", F.col("gff_score").alias("first_gff_fused_score"), F.col("gff_rank").alias("first_gff_fused_rank"))
+    fused = fusion.gff_fuse(lists.select("query_id", "list_label", "doc_index", "rank"), k, original_weight).select("query_id", "doc_index", F.col("gff_score").alias("first_gff_fused_score"), F.col("gff_rank").alias("first_gff_fused_rank"))
     facts = first.select("query_id", "doc_index", F.col("dense_score").alias("first_dense_score"), F.col("dense_rank").alias("first_dense_rank"))
     return facts.join(by_list, ["query_id", "doc_index"]).join(fused, ["query_id", "doc_index"])
 

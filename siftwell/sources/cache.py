@@ -73,10 +73,15 @@ def read_manifest(spark: SparkSession, path: str) -> dict | None:
 
 
 def write_manifest(spark: SparkSession, path: str, content: dict) -> None:
-    fs, p = _file(spark, f"{path}/{MANIFEST}")
+    write_text(spark, f"{path}/{MANIFEST}", json.dumps(content, sort_keys=True))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file."""
+    fs, p = _file(spark, path)
     stream = fs.create(p, True)
     try:
-        stream.write(bytearray(json.dumps(content, sort_keys=True).encode()))
+        stream.write(bytearray(text.encode()))
     finally:
         stream.close()
 

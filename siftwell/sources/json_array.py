@@ -83,23 +83,23 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     bad = F.raise_error(F.lit(NO_ARRAY)).cast("string")
     # a bracket or comma that isn't there leaves the text as it was, so its length tells
     good = (F.col("file") == F.col("last")) & F.when(F.col("whole"), body.startswith("{") & (F.length(body) <= F.length("t"))).otherwise(F.regexp_like("t", after))
-    checked = texts.withColumn("t", text).select(F.col("element").alias("pos"), "whole", F.when(F.coalesce(good, F.lit(False)), body).otherwise(bad).alias("value"))
-    # the rest is checked, too, and gives no row
-    return checked.where(F.col("whole") | F.col("value").isNull()).select("pos", "value")
+    checked = texts.withColumn("t", text).select(F.col("element").alias("pos"), "whole", F.when(F.coalesce(good, F.lit(False)), F.when(F.col("whole"), body)).otherwise(bad).alias("value"))
+    # what follows the last element is checked, too, and gives no row
+    return checked.where(F.col("whole") | F.col("value").isNotNull()).select("pos", "value")
 
 
 def read_array(spark: SparkSession, path: str, element: str) -> DataFrame:
     """pos and item of each element, as read by the element's type; an element that isn't valid JSON is an error."""
     item = F.from_json("value", element)
     bad = F.raise_error(F.lit("an element isn't valid JSON")).cast(element)
-    return elements(spark, path).select("pos", F.when(F.try_parse_json("value").isNotNull(), item).otherwise(bad).alias("item"))
+    return elements(spark, path).select("pos", F.when(F.col("value").isNull() | F.try_parse_json("value").isNotNull(), item).otherwise(bad).alias("item"))
 
 
-def indented(rows: DataFrame, order: list[str], fields: str = "*", out: str = "text") -> DataFrame:
+def indented(rows: DataFrame, order: list[str], fields: str | list[str] = "*", out: str = "text") -> DataFrame:
     """Each row as an element of an indented array: two spaces a level, letters of any script as they are, null fields
     kept, in the order of the columns that fields names; with the columns of order, renamed o0, o1 and so on."""
     ship_package(rows.sparkSession)
-    packed = rows.select(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), F.to_json(F.struct(fields), {"ignoreNullFields": "false"}).alias(out))
+    packed = rows.select(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), F.to_json(F.struct(*([fields] if isinstance(fields, str) else fields)), {"ignoreNullFields": "false"}).alias(out))
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -110,7 +110,7 @@ def indented(rows: DataFrame, order: list[str], fields: str = "*", out: str = "t
     return packed.mapInPandas(spell, kinds)
 
 
-def write_array(rows: DataFrame, path: str, order: list[str], fields: str = "*") -> None:
+def write_array(rows: DataFrame, path: str, order: list[str], fields: str | list[str] = "*") -> None:
     """One file with an indented JSON array of the rows in the order of the given columns, and a line break at its end.
 
     Tasks spell and sort the rows and write fragments; these are then put one after another by a stream of small pieces
