@@ -27,7 +27,8 @@ LEAST_PAGES, LEAST_PART = 5, 0.3
 
 #: Quotes count after an equals sign only; nothing is tried twice.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: An attribute's name, and its value in any of its three forms; what stands in one value is no attribute.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -37,9 +38,13 @@ UNITS = (BLOCK | frozenset(("script", "style", "noscript", "iframe", "template")
 CLOSES_P = BLOCK - {"html", "body", "caption", "tbody", "thead", "tfoot", "tr"}
 DROP = frozenset("head nav footer form script style noscript template iframe svg canvas button select textarea object embed dialog menu".split())
 ARTICLE = frozenset(("article", "main"))
-HINTS = frozenset("nav navbar navigation menu sidebar footer header masthead cookie cookies consent gdpr banner notice ad ads adv advert adverts advertisement sponsored promo comment comments disqus share sharing social related newsletter subscribe popup modal breadcrumb breadcrumbs widget toolbar pagination skip".split())
-#: Of these, those that mark a part of an article, too.
-INNER_HINTS = HINTS - frozenset("header footer masthead banner notice comment promo related widget toolbar modal popup skip".split())
+HINTS = frozenset("nav navbar navigation menu sidebar footer header masthead cookie cookies consent gdpr banner notice notices ad ads adv advert adverts advertisement sponsored promo comment comments commentlist disqus share sharing social related newsletter subscribe popup modal breadcrumb breadcrumbs widget toolbar pagination skip".split())
+#: Of these, those that mark a part of an article, too; it may have a header of its own.
+INNER_HINTS = HINTS - frozenset(("header", "masthead"))
+#: Of these, those that mark a paragraph of an article; one that is called a notice or comment may be its own.
+PARAGRAPH_HINTS = INNER_HINTS - frozenset("footer banner notice notices comment promo related widget toolbar modal popup skip".split())
+#: What is a container can be judged by class and id; headings have ids made from their words, and are text in any case.
+CONTAINERS = BLOCK - frozenset("h1 h2 h3 h4 h5 h6 p hgroup pre caption figcaption dt dd html body".split()) - ARTICLE
 #: What the articles keep counts as the main text from such a part of what the page keeps.
 ARTICLE_PART = 1 / 3
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
@@ -137,17 +142,31 @@ def subtrees(root: Node) -> list[tuple[int, bytes]]:
     return [(0, done[0][0]), *out]
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Attributes by lower-case name, of two with one name the first; those without a value are empty."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(attrs):
+        out.setdefault(name.lower(), a or b or c)
+    return out
+
+
 def marked(node: Node, inside: bool) -> bool:
-    """Whether tag, class, id or role tell that it isn't main text. An article's own header and asides are part of it."""
+    """Whether tag, role, class or id tell that it isn't main text. An article's own header and asides are part of it.
+
+    Class and id count on containers, word by word; on a paragraph a class counts that is such a word as a whole. On
+    headings and inline elements they count for nothing.
+    """
     if node.tag in DROP or node.tag in ("header", "aside") and not inside:
         return True
-    if node.attrs and node.tag not in ("html", "body") and node.tag not in ARTICLE:
-        hints = INNER_HINTS if inside else HINTS
-        for name, a, b, c in ATTRIBUTE.findall(node.attrs):
-            words = re.split(r"[\s_\-:]+", (a or b or c).lower())
-            if (ROLES if name.lower() == "role" else hints).intersection(words):
-                return True
-    return False
+    if not node.attrs or node.tag in ("html", "body") or node.tag in ARTICLE:
+        return False
+    hints, known = INNER_HINTS if inside else HINTS, attributes(node.attrs)
+    if not ROLES.isdisjoint(known.get("role", "").lower().split()):
+        return True
+    names = known.get("class", "").lower()
+    if node.tag == "p":
+        return not (PARAGRAPH_HINTS if inside else hints).isdisjoint(names.split())
+    return node.tag in CONTAINERS and not hints.isdisjoint(re.split(r"[\s_\-:]+", f"{names} {known.get('id', '').lower()}"))
 
 
 def main_text(root: Node, template: frozenset[int]) -> str:
@@ -195,7 +214,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_part: float
 
     Rows that repeat a page_id each get a row. Only hashes are shuffled for counting, summed per task first, so that
     a host with many pages doesn't meet in one task; the pages themselves are shuffled once, by row. An empty table gives
-    no row; other columns may have any names, and elements may be nested to any depth.
+    no row, very long pages take memory in proportion; other columns may have any names, and elements may be nested to any depth.
     """
     pages = settled(pages)
     arrow_limits(pages.sparkSession)

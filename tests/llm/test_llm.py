@@ -384,6 +384,38 @@ def test_html_odd_markup():
     assert text("<p>" + "word " * 200_000) == ("word " * 200_000).strip()
 
 
+@pytest.mark.parametrize(
+    "part,kept",
+    [
+        ('<h2 id="sharing">Sharing data</h2>', "Sharing data"),
+        ('<h2 id="cookies">Cookies</h2>', "Cookies"),
+        ('<p class="social-policy">Policy</p>', "Policy"),
+        ('<p data-id="newsletter">Letter</p>', "Letter"),
+        ('<p title="a class=ad b">Title</p>', "Title"),
+        ("<div data-x='class=\"ad\"' class=plain>Plain</div>", "Plain"),
+        ('<p>Some <span class="comment">code</span></p>', "Some code"),
+        ('<header class="header"><h1>Head</h1></header>', "Head"),
+        ('<ol class="comment-list"><li class="comment">Reader says</li></ol>', ""),
+        ('<div class="notice">Note</div>', ""),
+        ('<div class="promo">Buy</div>', ""),
+        ('<div id="commentlist">Reader</div>', ""),
+        ('<p class="ad">Buy</p>', ""),
+        ('<DIV CLASS = "x  AD">Buy</DIV>', ""),
+        ('<div class="a" class="ad" role=Banner>Buy</div>', ""),
+    ],
+)
+def test_html_attributes(part, kept):
+    page = f"<html><body><nav>Menu</nav><article><p>Story of the day.</p>{part}<p>It ends.</p></article></body></html>"
+    want = ["Story of the day.", *([kept] if kept else []), "It ends."]
+    assert html_text.main_text(html_text.parse(page), frozenset()) == "\n".join(want)
+
+
+def test_html_very_long_page(spark):
+    page = "<html><body><main>" + "<p>word " * 200_000 + "x" * 1_000_000 + "</main></body></html>"
+    (row,) = html_text.extract(spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string")).collect()
+    assert len(row.text) == 199_999 * 5 + 4 + 1 + 1_000_000
+
+
 def test_html_counts_by_brute_force(spark):
     rng = random.Random(4)
     shared = [f"<div><p>Line {k}</p></div>" for k in range(6)]
