@@ -52,7 +52,9 @@ def clamp(v: Column) -> Column:
 
 def with_parsed_risk(df: DataFrame, raw: str) -> DataFrame:
     """Add the four risks, risk (their weighted sum) and risk_parse_ok. Any failure gives zeros."""
-    df = with_json_block(df, raw, "__json").withColumn("__map", F.from_json("__json", "map<string,string>"))
+    df = with_json_block(df, raw, "__json")
+    # NaN and infinities are numbers of the format that is read, though JSON has none
+    df = df.withColumn("__json", F.regexp_replace("__json", r'(:\s*)(NaN|-?Infinity)(?=\s*[,}])', '$1"$2"')).withColumn("__map", F.from_json("__json", "map<string,string>"))
     whole = F.col("__json").startswith("{") & F.col("__json").endswith("}")
     df = df.withColumn("risk_parse_ok", F.coalesce(whole & F.col("__map").isNotNull() & F.get_json_object("__json", "$").isNotNull(), F.lit(False)))
     for k in KEYS:

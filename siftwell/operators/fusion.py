@@ -56,7 +56,20 @@ def gff_fuse(lists: DataFrame, k: int = GFF_K, original_weight: float = ORIGINAL
     return _ranked(summed, "gff_rank", F.desc(F.round("gff_score", 12)), F.asc_nulls_last("original_rank"), F.asc("doc_index"))
 
 
-def ranked_list(scored: DataFrame, label: str, score: str = "score") -> DataFrame:
-    """A long-form list from scores: query_id, list_label, doc_index, rank; ties by the incoming rank."""
-    df = scored.withColumn("list_label", F.lit(label))
-    return _ranked(df, "rank", F.desc(F.round(score, 8)), F.asc("in_rank")).select("query_id", "list_label", "doc_index", "rank")
+def fusion_record(lists: DataFrame, variants: DataFrame, doc_ids: DataFrame, k: int = GFF_K, original_weight: float = ORIGINAL_WEIGHT) -> DataFrame:
+    """query_id and fusion: anchor_doc_index, ranked_doc_indices, and each list's label, query_text, list_weight,
+    anchor_doc_rank and anchor_doc_id, expansions first. variants: query_id, list_label, query_text; doc_ids: doc_index,
+    doc_id. A query's lists are of bounded size."""
+    rank_of_anchor = F.col("list_label") == ORIGINAL
+    anchor = lists.where(rank_of_anchor & (F.col("rank") == 1)).select("query_id", F.col("doc_index").alias("anchor"))
+    at = lists.join(anchor, "query_id").where("doc_index = anchor").select("query_id", "list_label", "anchor", F.col("rank").alias("anchor_rank"))
+    named = at.join(variants, ["query_id", "list_label"]).join(doc_ids.select(F.col("doc_index").alias("anchor"), F.col("doc_id").cast("string").alias("anchor_doc_id")), "anchor")
+    own = F.col("list_label") == ORIGINAL
+    weight = F.when(own, F.lit(max(original_weight, 0.0))).otherwise(1.0 / (F.lit(float(max(k, 1))) + F.col("anchor_rank")))
+    label = F.when(own, F.lit("original_query")).otherwise(F.translate("list_label", " ", "_"))
+    entry = F.struct(own.alias("last"), F.col("list_label").alias("by"), label.alias("label"), "query_text", weight.alias("list_weight"), F.col("anchor_rank").alias("anchor_doc_rank"), "anchor_doc_id")
+    parts = named.groupBy("query_id", "anchor").agg(F.array_sort(F.collect_list(entry)).alias("c"))
+    fields = ("label", "query_text", "list_weight", "anchor_doc_rank", "anchor_doc_id")
+    contributions = F.transform("c", lambda x: F.struct(*(x[f].alias(f) for f in fields)))
+    order = gff_fuse(lists, k, original_weight).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("gff_rank", "doc_index"))), lambda x: x["doc_index"]).alias("ranked"))
+    return parts.join(order, "query_id").select("query_id", F.struct(F.col("anchor").alias("anchor_doc_index"), F.col("ranked").alias("ranked_doc_indices"), contributions.alias("contributions")).alias("fusion"))

@@ -60,3 +60,26 @@ def generate_keywords(queries: DataFrame, generator: Callable[[DataFrame], DataF
         keywords = found if keywords is None else keywords.unionByName(found)
     canon = keywords.withColumn("canon", expansion.canonical_keyword(F.col("keyword")))
     return passages, expansion.without_overlap(canon, queries).drop("canon")
+
+
+def expansion_record(queries: DataFrame, passages: DataFrame, keywords: DataFrame, selected: DataFrame, config: Rounds = Rounds()) -> DataFrame:
+    """query_id and expansion: query, selected_keywords by rank, keyword_frequencies (each keyword's first spelling),
+    candidate_keywords in order of appearance, and generated_passages with their keywords. All queries have a row."""
+    in_order = lambda rows, key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    number = (F.col("round") - 1) * config.passages + F.col("passage")
+    found = keywords.groupBy("query_id", F.col("passage").alias("number")).agg(in_order(keywords, "pos", "keyword").alias("keywords"))
+    none = F.array().cast("array<string>")
+    each = passages.withColumn("number", number).join(found, ["query_id", "number"], "left")
+    each = each.select("query_id", F.struct(F.col("round").alias("round_index"), F.col("passage").alias("passage_index"), F.col("text").alias("passage"), F.coalesce("keywords", none).alias("keywords")).alias("p"))
+    parts = [
+        each.groupBy("query_id").agg(F.array_sort(F.collect_list("p")).alias("generated_passages")),
+        keywords.groupBy("query_id").agg(in_order(keywords, "pos", "keyword").alias("candidate_keywords")),
+        expansion.keyword_frequency(keywords).groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("keyword", "frequency")))).alias("keyword_frequencies")),
+        selected.groupBy("query_id").agg(in_order(selected, "keyword_rank", "keyword").alias("selected_keywords")),
+    ]
+    out = queries.select("query_id", normalize_text(F.coalesce(F.col("text"), F.lit(""))).alias("query"))
+    for part in parts:
+        out = out.join(part, "query_id", "left")
+    lists = [F.coalesce(c, none).alias(c) for c in ("selected_keywords",)]
+    counted = F.coalesce("keyword_frequencies", F.create_map().cast("map<string,bigint>")).alias("keyword_frequencies")
+    return out.select("query_id", F.struct("query", *lists, counted, F.coalesce("candidate_keywords", none).alias("candidate_keywords"), "generated_passages").alias("expansion"))

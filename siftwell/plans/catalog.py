@@ -143,6 +143,19 @@ def risk_parse(spark, d):
     return with_parsed_risk(_read(spark, d, "documents"), "text").select("doc_id", "risk", "risk_parse_ok")
 
 
+def risk_shapes(spark, d):
+    """Outputs of a risk model in the shapes that occur, written from each document's number and length."""
+    x = (F.col("n_chars") % 150 / 100).cast("string")
+    fields = lambda v: F.concat(F.lit('"topic_mismatch_risk": '), v, F.lit(', "missing_subquery_risk": 0.5, "keyword_only_risk": 0.25, "shallow_answer_risk": 1}'))
+    whole = lambda v: F.concat(F.lit("{"), fields(v))
+    shapes = [
+        whole(x), F.concat(F.lit("```json\n"), whole(x), F.lit("\n```")), F.concat(F.lit("<think>a {draft}</think>\n"), whole(x)), fields(x), whole(F.concat(F.lit('"'), x, F.lit('"'))), whole(F.lit("true")),
+        whole(F.concat(F.lit("-"), x)), F.concat(F.lit("no output "), x), F.lit("[]"), F.lit("null"), whole(F.lit("NaN")),
+    ]
+    raw = F.get(F.array(*shapes), (F.col("doc_id") % len(shapes)).cast("int"))
+    return with_parsed_risk(_read(spark, d, "documents").select("doc_id", raw.alias("raw")), "raw").select("doc_id", _r("topic_mismatch_risk"), _r("missing_subquery_risk"), _r("risk"), "risk_parse_ok")
+
+
 def minmax_softmax(spark, d):
     near = dense.dense_top_k(vector_queries(spark, d), vectors(spark, d), K_DENSE)
     return dense.min_max_softmax(near, "dense_score", "p", 2.0).select("query_id", "doc_index", _r("p", 9))
@@ -235,7 +248,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, tokenize_terms, term_df_idf, term_df_idf_classic, doc_length_stats, bm25_topk, bm25_topk_padded, qa_pairs, dense_topk, vector_norms, fuse_union, fuse_rrf, fuse_legacy_merge, rerank_topk,
-        risk_parse, risk_penalty_rank, minmax_softmax, refit_results, refit_debug, gff_fuse, gff_contributions, keyword_frequency, keyword_select, expand_queries, eval_masked_ranks, eval_per_query, eval_aggregate, output_envelope,
+        risk_parse, risk_shapes, risk_penalty_rank, minmax_softmax, refit_results, refit_debug, gff_fuse, gff_contributions, keyword_frequency, keyword_select, expand_queries, eval_masked_ranks, eval_per_query, eval_aggregate, output_envelope,
     )
 }
 
@@ -320,6 +333,9 @@ ORACLE_SQL = {
     "fuse_legacy_merge": f"WITH {_PAIR} SELECT query_id, doc_index, bm25_rank, dense_rank, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(bm25_rank, 1000000000), dense_rank) AS merge_rank FROM two",
     "rerank_topk": f"WITH {_RERANK} SELECT query_id, doc_index, round(cover, 6) AS rerank_score, fusion_rank AS rerank_rank, pos AS rerank_position FROM best",
     "risk_parse": "SELECT doc_id, 0.0::DOUBLE AS risk, false AS risk_parse_ok FROM documents",
+    "risk_shapes": """WITH x AS (SELECT doc_id, doc_id % 11 AS shape, (n_chars % 150) / 100.0::DOUBLE AS x FROM documents),
+ok AS (SELECT *, shape NOT IN (7, 8, 9) AS ok, CASE WHEN shape IN (5, 10) THEN 1 WHEN shape = 6 THEN 0 ELSE least(1, x) END AS topic FROM x)
+SELECT doc_id, CASE WHEN ok THEN round(topic, 6) ELSE 0 END AS topic_mismatch_risk, CASE WHEN ok THEN 0.5::DOUBLE ELSE 0 END AS missing_subquery_risk, CASE WHEN ok THEN round(0.35::DOUBLE * 0.5 + 0.3::DOUBLE * topic + 0.2::DOUBLE * 0.25 + 0.15::DOUBLE, 6) ELSE 0 END AS risk, ok AS risk_parse_ok FROM ok""",
     "risk_penalty_rank": f"WITH {_RERANK}, risked AS (SELECT *, 0.3::DOUBLE * round(1 - cover, 4) + 0.15::DOUBLE * least(1, fusion_rank % 7) AS risk FROM best), fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cover - 0.1::DOUBLE * risk, 8) DESC, round(cover, 8) DESC, fusion_rank, doc_index) AS final_rank FROM risked) SELECT query_id, doc_index, round(risk, 6) AS risk, true AS risk_parse_ok, round(cover - 0.1::DOUBLE * risk, 6) AS final_score, final_rank FROM fin WHERE final_rank <= 30",
     "minmax_softmax": f"WITH {_DENSE}, z AS (SELECT *, exp((s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) / 2.0) AS e FROM near WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_index, round(e / sum(e) OVER (PARTITION BY query_id), 9) AS p FROM z",
     "gff_fuse": f"WITH {_GFF}, s AS (SELECT query_id, doc_index, sum(c) AS g, min(CASE WHEN list_label = 'original' THEN rank END) AS o FROM con GROUP BY ALL) SELECT query_id, doc_index, round(g, 9) AS gff_score, row_number() OVER (PARTITION BY query_id ORDER BY round(g, 12) DESC, coalesce(o, 1000000000), doc_index) AS gff_rank FROM s",

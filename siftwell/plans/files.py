@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.risk import risk_prompt
-from ..operators import dense, evaluation, expansion, feedback, generation, postings, ranking, segmenter
+from ..operators import dense, evaluation, expansion, feedback, fusion, generation, postings, ranking, segmenter
 from ..shipping import ship_package
 from ..sources import cache, json_files
 from . import pipelines
@@ -173,10 +173,10 @@ def run_fused(spark: SparkSession, a: Namespace) -> None:
         cutter = segmenter.segmenter(segmenter.learn(docs.select("text")))
         passages, keywords = generation.generate_keywords(queries, model("generator", a.generator_model), f"{root}/generated", cutter.cut, rounds)
         chosen = expansion.select_keywords(expansion.keyword_frequency(keywords), queries, a.gff_top_keywords)
-        beside["selected"] = chosen.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("keyword_rank", "keyword"))), lambda x: x["keyword"]).alias("selected_keywords"))
-        beside["passages"] = passages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("round", "passage", "text"))).alias("generated_passages"))
-        lists = cache.written(pipelines.variant_lists(first, pipelines.query_variants(queries, keywords, a.gff_top_keywords), docs, model("reranker", a.reranker_model)))
-        beside["weights"] = expansion_weights(lists, a.gff_rrf_k, a.gff_original_query_weight)
+        variants = cache.written(pipelines.query_variants(queries, keywords, a.gff_top_keywords))
+        lists = cache.written(pipelines.variant_lists(first, variants, docs, model("reranker", a.reranker_model)))
+        beside["expansion"] = generation.expansion_record(queries, passages, keywords, chosen, rounds)
+        beside["fusion"] = fusion.fusion_record(lists.select("query_id", "list_label", "doc_index", "rank"), variants, docs, a.gff_rrf_k, a.gff_original_query_weight)
         return pipelines.fused_first_stage(first, lists, a.gff_rrf_k, a.gff_original_query_weight).drop("list_ranks"), "first_gff_fused_score"
 
     docs, queries, first, shift, second = _taught(spark, a, teach)
@@ -185,17 +185,9 @@ def run_fused(spark: SparkSession, a: Namespace) -> None:
     counts = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("feedback_top_k", "final_top_k")}
     settings = _refit_settings(a) | {"generator_model_name_or_path": a.generator_model}
     parts = {"rounds": rounds.rounds, "passages_per_round": rounds.passages, "keywords_per_passage": rounds.keywords, "top_keywords": a.gff_top_keywords, "rrf_k": a.gff_rrf_k, "original_query_weight": a.gff_original_query_weight}
-    gff = F.struct(*(F.lit(v).alias(k) for k, v in parts.items()), F.struct("selected_keywords", "generated_passages").alias("query_expansion"), F.struct("contributions").alias("first_stage_fusion"))
+    gff = F.struct(*(F.lit(v).alias(k) for k, v in parts.items()), F.col("expansion").alias("query_expansion"), F.col("fusion").alias("first_stage_fusion"))
     out = pipelines.result_rows(queries, {"refit_results": (results, pipelines.FUSED_FEEDBACK_FIELDS)}, counts, [shift, *beside.values(), pipelines.sizes(feedback_top_k=first, final_top_k=results)], **settings, gff=gff)
-    write(out.drop("selected_keywords", "generated_passages", "contributions"), a.output)
-
-
-def expansion_weights(lists: DataFrame, k: int, original_weight: float) -> DataFrame:
-    """query_id and contributions: each list's label and weight in the fusion."""
-    from ..operators import fusion
-
-    weights = fusion.gff_contributions(lists.select("query_id", "list_label", "doc_index", "rank"), k, original_weight).groupBy("query_id", "list_label").agg(F.first("weight").alias("weight"))
-    return weights.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("list_label", "weight"))).alias("contributions"))
+    write(out.drop("expansion", "fusion"), a.output)
 
 
 def run_merge(spark: SparkSession, a: Namespace) -> None:

@@ -70,9 +70,14 @@ def test_feedback(spark, folder):
 def test_fused(spark, folder):
     rows = run(spark, folder, "fused", "--feedback_top_k", "4", "--final_top_k", "3", "--refit_updates", "2", "--gff_rounds", "2", "--gff_passages_per_round", "1")
     assert [*rows[0]["refit_results"][0]] == pipelines.FUSED_FEEDBACK_FIELDS and rows[0]["gff"]["rounds"] == 2
-    assert [p["round"] for p in rows[0]["gff"]["query_expansion"]["generated_passages"]] == [1, 2]
-    weights = {w["list_label"]: w["weight"] for w in rows[0]["gff"]["first_stage_fusion"]["contributions"]}
-    assert weights["original"] == 0.3
+    grown = rows[0]["gff"]["query_expansion"]
+    assert [*grown] == ["query", "selected_keywords", "keyword_frequencies", "candidate_keywords", "generated_passages"]
+    assert [(p["round_index"], p["passage_index"]) for p in grown["generated_passages"]] == [(1, 1), (2, 1)] and grown["query"] == "how to sleep"
+    assert sum(grown["keyword_frequencies"].values()) == len(grown["candidate_keywords"]) == sum(len(p["keywords"]) for p in grown["generated_passages"])
+    fused = rows[0]["gff"]["first_stage_fusion"]
+    assert [*fused] == ["anchor_doc_index", "ranked_doc_indices", "contributions"] and len(fused["ranked_doc_indices"]) == 4
+    own = fused["contributions"][-1]
+    assert own == {"label": "original_query", "query_text": "how to sleep", "list_weight": 0.3, "anchor_doc_rank": 1, "anchor_doc_id": f"d{fused['anchor_doc_index']}"}
     assert run(spark, folder, "fused", "--feedback_top_k", "4", "--final_top_k", "3", "--refit_updates", "2", "--gff_rounds", "2", "--gff_passages_per_round", "1") == rows
 
 

@@ -66,6 +66,7 @@ RAW = [
     ('```json\n{"topic_mismatch_risk": "0.5"}\n```', True, 0.15),
     ('<think>{"x": 1}</think>{"topic_mismatch_risk": true}', True, 0.3),
     ('"topic_mismatch_risk": 0.1}', True, 0.03),
+    ('{"topic_mismatch_risk": NaN, "missing_subquery_risk": -Infinity, "shallow_answer_risk":Infinity}', True, 0.3 + 0.15),
     ("garbage", False, 0.0),
     ("null", False, 0.0),
     ("[]", False, 0.0),
