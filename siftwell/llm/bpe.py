@@ -153,7 +153,11 @@ def bpe_encode(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = O
 
 
 def bpe_digests(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of bpe_encode(), whose ids are decoded again, without keeping ids."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of bpe_encode(), whose ids are decoded again, without keeping ids.
+
+    Null texts are empty and have no ids; rows that repeat an id or a whole row have a row each; an empty table gives no
+    row; other columns play no part.
+    """
     return _encoded(docs, ranks, chunk, overlap, digest_rows(ranks), DIGESTS)
 
 

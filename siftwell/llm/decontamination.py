@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import UPPER, arrow_limits, lean, read, with_key
 
 WINDOW_WORDS = 10
-#: Search tables are built, and sent to the tasks, for so many bytes of benchmark words at a time.
-BLOCK_BYTES = 16 << 20
+#: Search tables are built, and sent to the tasks, for so many bytes of benchmark words at a time; they take about 125
+#: times as much memory on the driver, and in each worker.
+BLOCK_BYTES = 4 << 20
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -172,7 +173,11 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, bl
 
 
 def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, in which no benchmark window occurs; block by block, without a shuffle."""
+    """The rows of docs, all columns, in which no benchmark window occurs; block by block, without a shuffle.
+
+    Null and empty texts have no words and stay, each repeated row stays or goes like the first, an empty table or
+    benchmark changes nothing, other columns may have any names.
+    """
     arrow_limits(docs.sparkSession)
     for block in blocks(benchmark, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(Patterns(block, window)))

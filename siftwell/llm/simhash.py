@@ -247,6 +247,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int =
 
     Texts with one fingerprint are linked, so the empty ones are, too; beyond that only distinct fingerprints are
     compared. The kept row is the one with the least doc_id (a null one comes last), or the first of the table of those.
+    Null texts are empty; an empty table gives no row; texts may have any length, other columns any names.
     """
     rows = scratch(fingerprints(settled(docs), shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))

@@ -81,7 +81,8 @@ def encode_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segme
     Null text is an empty text, whose only id is end_id. Rows with null doc_id come first; rows that repeat a doc_id
     are all kept, next to each other, in the order of their text's hash and text, so that equal rows are interchangeable
     and any other tie has one order. The range partitioning splits by the hash as well, so that one repeated doc_id
-    doesn't fill a partition with different texts.
+    doesn't fill a partition with different texts. An empty table gives no segment; other columns play no part. A long
+    text makes a long segment, which one task holds.
     """
     arrow_limits(docs.sparkSession)
 

@@ -163,7 +163,11 @@ def telling_buckets(sample: DataFrame, most: int = USED) -> np.ndarray:
 
 
 def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
-    """row_key, doc_id and score (0 to 1) of every whole text; null is an empty text."""
+    """row_key, doc_id and score (0 to 1) of every whole text; null is an empty text, which has the bias for its score.
+
+    Every row has a score, whatever ids or rows repeat; an empty table gives no row, other columns may have any names. A
+    text of any length is scored by the set of its words' buckets.
+    """
     arrow_limits(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -177,7 +181,10 @@ def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose score is less than threshold."""
+    """The rows of docs, all columns, whose score is less than threshold; a row stays or goes by its own text alone.
+
+    Null and empty texts, repeated rows, empty tables and other columns are as in toxicity().
+    """
     arrow_limits(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 

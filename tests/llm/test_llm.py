@@ -169,6 +169,28 @@ def brute_components(fps, radius):
     return label
 
 
+def test_machine_sums_all_pairs():
+    rng = np.random.default_rng(6)
+    used = np.sort(rng.choice(toxicity.BUCKETS, 50, replace=False))
+    machine = toxicity.Machine(used, 0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
+    for n in (0, 1, 2, 9):
+        places = np.sort(rng.choice(50, n, replace=False))
+        z = 0.3 + sum(machine.weights[i] for i in places) + sum(float(machine.factors[i] @ machine.factors[k]) for i in places for k in places if i < k)
+        unknown = np.setdiff1d(rng.choice(toxicity.BUCKETS, 5), used)
+        assert machine.score(np.concatenate([used[places], unknown])) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_machine_learns_what_only_a_pair_tells():
+    """Toxic where both of two words or neither are: no weight of one word can tell."""
+    rng = np.random.default_rng(2)
+    used = np.arange(12)
+    rows = [np.flatnonzero(rng.random(12) < 0.5) for _ in range(1500)]
+    labels = np.array([(0 in r) == (1 in r) for r in rows], float)
+    machine = toxicity.fit(rows, labels, used, epochs=60)
+    right = sum((machine.score(used[r]) > 0.5) == bool(y) for r, y in zip(rows, labels, strict=True))
+    assert right > 0.9 * len(rows)
+
+
 def test_covering_misses_no_pair():
     rng = random.Random(6)
     for radius in (1, 2, 3, 6):
