@@ -1,4 +1,8 @@
-"""The corpus pipeline: five filtering and coding stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five filtering and coding stages, each written as Parquet and read again by the next.
+
+A stage decides by row: null texts count as empty, rows that repeat an id are rows of their own, ties are settled as the
+stage says, an empty table passes through all stages, and columns beside doc_id and text come out as they went in.
+"""
 
 from __future__ import annotations
 
