@@ -7,10 +7,14 @@ three nearest documents are the generated keywords, and a risk output is written
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import norm
 from ..operators import dense, feedback, postings
+from ..sources import cache, json_array, json_files
 from . import catalog, pipelines
 
 K_DENSE, K_OLDER = 50, 50
@@ -108,7 +112,33 @@ def refit_one_update(spark, d):
     return moved.select("query_id", F.posexplode("vector").alias("entry", "value")).select("query_id", "entry", F.round("value", 7).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_union, hybrid_rrf, dense_rerank, older_merge, fused_first_stage, fused_feedback, feedback_run, refit_one_update)}
+def _own_path(spark: SparkSession, name: str) -> str:
+    return f"{cache.shared_dir(spark)}/siftwell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def json_documents(spark, d):
+    """documents written as one JSON array and read back from its byte ranges."""
+    path = _own_path(spark, "documents") + ".json"
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("doc_id").cast("string").alias("ID"), F.col("text").alias("Question"), F.col("lang").alias("Answer"))
+    json_array.write_array(rows, path, ["doc_id"], ["ID", "Question", "Answer"])
+    return json_files.load_documents(spark, path).select("doc_index", "ID", F.sha2("Question", 256).alias("question_sha256"), "Answer")
+
+
+def vector_store(spark, d):
+    """Each document's vector, kept by ranges in a store and read back; the encoder looks the vectors up."""
+    vectors = catalog.vectors(spark, d)
+    kept = cache.vector_store(vectors.select("doc_index"), lambda rows: rows.join(vectors, "doc_index"), _own_path(spark, "store"), "vectors", rows=1000)
+    return kept.select("doc_index", F.size("vector").alias("width"), F.round(norm(F.col("vector")), 6).alias("norm"))
+
+
+def pair_scores(spark, d):
+    """Dense scores of given pairs: each query with the document after its own."""
+    q = catalog.vector_queries(spark, d)
+    pairs = q.select("query_id", (F.col("query_id") + 1).alias("doc_index"))
+    return dense.pair_scores(q, pairs, catalog.vectors(spark, d)).select("query_id", "doc_index", _r("dense_score"))
+
+
+QUERIES = {f.__name__: f for f in (json_documents, vector_store, pair_scores, hybrid_union, hybrid_rrf, dense_rerank, older_merge, fused_first_stage, fused_feedback, feedback_run, refit_one_update)}
 
 _RUN = f"""{catalog._BM25},
 rq AS (SELECT item_id AS query_id, text, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
@@ -178,6 +208,9 @@ st AS (SELECT query_id, i AS entry, q[i + 1] - 0.5::DOUBLE * g AS x FROM gr JOIN
 SELECT query_id, entry, round(x / sqrt(sum(x * x) OVER (PARTITION BY query_id)), 7) AS value FROM st"""
 
 ORACLE_SQL = {
+    "json_documents": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_index, doc_id::VARCHAR AS ID, sha256(coalesce(text, 'None')) AS question_sha256, coalesce(lang, 'None') AS Answer FROM documents",
+    "vector_store": "SELECT vec_id AS doc_index, len(embedding) AS width, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
+    "pair_scores": "SELECT a.vec_id AS query_id, b.vec_id AS doc_index, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dense_score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0",
     "hybrid_union": f"WITH {_fused(False)}",
     "hybrid_rrf": f"WITH {_fused(True)}",
     "dense_rerank": f"""WITH {_RUN}, cov AS (SELECT f.*, coalesce(len(list_intersect(q, list_distinct(w)))::DOUBLE / len(q), 0) AS cover FROM nr f LEFT JOIN qset USING (query_id) JOIN tok USING (doc_index)),
