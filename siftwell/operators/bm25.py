@@ -26,8 +26,13 @@ class Index:
         return scores(queries, self, k1, b, text)
 
 
+def terms_of(df: DataFrame, text: str = "text") -> Column:
+    """A table's column `tokens`, as segmenter.with_terms() adds it; the text's tokens where it has none."""
+    return F.coalesce(F.col("tokens"), F.array().cast("array<string>")) if "tokens" in df.columns else tokens(F.col(text))
+
+
 def tokenized(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select("doc_index", tokens(F.col(text)).alias("tokens"))
+    return docs.select("doc_index", terms_of(docs, text).alias("tokens"))
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -37,7 +42,7 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_index(docs: DataFrame, text: str = "text", idf: str = "plus_one") -> Index:
-    """docs has doc_index and the text column. idf: plus_one (always positive), robertson (the classic form), or okapi:
+    """docs has doc_index and the text column, or a column tokens. idf: plus_one (always positive), robertson (the classic form), or okapi:
     the classic form, of which negative values become a quarter of the mean; a query's repeated terms count there."""
     if idf not in ("plus_one", "robertson", "okapi"):
         raise ValueError(f"unknown idf: {idf}")
@@ -56,8 +61,8 @@ def build_index(docs: DataFrame, text: str = "text", idf: str = "plus_one") -> I
 def query_terms(queries: DataFrame, text: str = "text", repeats: bool = False) -> DataFrame:
     """Distinct terms: how often a query repeats one counts only with repeats."""
     if repeats:
-        return queries.select("query_id", F.explode(tokens(F.col(text))).alias("term"))
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+        return queries.select("query_id", F.explode(terms_of(queries, text)).alias("term"))
+    return queries.select("query_id", F.explode(F.array_distinct(terms_of(queries, text))).alias("term"))
 
 
 def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B, text: str = "text") -> DataFrame:

@@ -49,7 +49,7 @@ class StoredIndex:
 
 
 def tables(docs: DataFrame, text: str = "text", k1: float = bm25.K1, b: float = bm25.B) -> dict[str, DataFrame]:
-    """The index's tables from docs(doc_index, text). Null texts have no terms, but count as documents."""
+    """The index's tables from docs(doc_index, text), or from a column tokens where docs has one. Null texts have no terms, but count as documents."""
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 must not be negative, b lie within 0 and 1")
     counted = cache.written(bm25.counted(docs, text))
@@ -78,11 +78,19 @@ def tables(docs: DataFrame, text: str = "text", k1: float = bm25.K1, b: float =
 
 
 
-def open_index(docs: DataFrame, root: str | None = None, text: str = "text", k1: float = bm25.K1, b: float = bm25.B) -> StoredIndex:
-    """The stored index of docs, found by what they contain and the settings; built where it isn't there yet."""
+def open_index(docs: DataFrame, root: str | None = None, text: str = "text", k1: float = bm25.K1, b: float = bm25.B, key: str | None = None) -> StoredIndex:
+    """The stored index of docs; built where it isn't there yet.
+
+    It is found by what the documents contain and the settings, which takes a pass over them, or by a key that the caller
+    vouches for; the settings are part of its name in either case.
+    """
     spark = docs.sparkSession
-    key = cache.fingerprint(docs.select("doc_index", F.col(text).alias("text")), ["text"], kind="bm25", layout=LAYOUT, k1=k1, b=b)
-    return StoredIndex(**cache.stored(spark, root or f"{cache.shared_dir(spark)}/siftwell/index", key, lambda: tables(docs, text, k1, b)), k1=k1, b=b)
+    settings = {"kind": "bm25", "layout": LAYOUT, "k1": k1, "b": b}
+    if key is None:
+        name = cache.fingerprint(docs.select("doc_index", bm25.terms_of(docs, text).alias("terms") if "tokens" in docs.columns else F.col(text).alias("terms")), ["terms"], **settings)
+    else:
+        name = f"{key}-" + "-".join(str(v) for v in settings.values())
+    return StoredIndex(**cache.stored(spark, root or f"{cache.shared_dir(spark)}/siftwell/index", name, lambda: tables(docs, text, k1, b)), k1=k1, b=b)
 
 
 def exploded(blocks: DataFrame, *columns: str) -> DataFrame:

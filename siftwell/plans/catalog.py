@@ -97,10 +97,10 @@ def vector_norms(spark, d):
     return vectors(spark, d).select("doc_index", F.round(norm(F.col("vector")), 6).alias("norm"))
 
 
-def _two_lists(spark, d):
+def _two_lists(spark, d, index=None):
     """BM25's list, and the list by term coverage in the place of a dense one, whose corpus has no texts here."""
     q, x = queries(spark, d), docs(spark, d)
-    index = postings.open_index(x)
+    index = index or postings.open_index(x)
     lexical = bm25.bm25_top_k(q, x, index, K_BM25, pad=False)
     hits = postings.query_postings(q, index).groupBy("query_id", "doc_index").agg(F.count("*").cast("double").alias("dense_score"))
     return cache.written(lexical), cache.written(bm25.top_k(hits, "dense_score", K_BM25, "dense_rank"))
@@ -123,9 +123,9 @@ def fuse_legacy_merge(spark, d):
 
 def _reranked(spark, d, k=50):
     """Ranks and scores alone: the terms that a candidate shares with its query are counted in the index."""
-    q, x = queries(spark, d), docs(spark, d)
-    fused = fusion.fuse_rrf(*_two_lists(spark, d))
-    return ranking.rerank(fused, postings.coverage_scorer(q, postings.open_index(x)), k)
+    index = postings.open_index(docs(spark, d))
+    fused = fusion.fuse_rrf(*_two_lists(spark, d, index))
+    return ranking.rerank(fused, postings.coverage_scorer(queries(spark, d), index), k)
 
 
 def rerank_topk(spark, d):

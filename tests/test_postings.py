@@ -64,6 +64,9 @@ def test_index_is_kept_and_found(spark, tmp_path):
     first = postings.open_index(docs, str(tmp_path))
     again = postings.open_index(docs, str(tmp_path))
     assert first.blocks.inputFiles() == again.blocks.inputFiles()
+    named = postings.open_index(docs, str(tmp_path), key="mine")
+    assert postings.open_index(docs.where("doc_index < 0"), str(tmp_path), key="mine").blocks.inputFiles() == named.blocks.inputFiles()
+    assert postings.open_index(docs, str(tmp_path), key="mine", b=0.5).blocks.inputFiles() != named.blocks.inputFiles()
     assert postings.open_index(docs, str(tmp_path), k1=1.2).blocks.inputFiles() != first.blocks.inputFiles()
     with pytest.raises(ValueError):
         bm25.bm25_top_k(queries, docs, first, 5, k1=1.2)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
-from siftwell.operators import expansion, segmenter
+from siftwell.operators import bm25, expansion, postings, segmenter
 
 WORDS = ["頭痛", "醫師", "檢查", "高血壓", "的", "我", "治療", "門診部"]
 
@@ -90,6 +90,21 @@ def test_terms_of_both_profiles(spark):
     assert words == [["R", "é", "aution", "頭痛", "藥", "MCV", "3.14"], ["高血壓", "的"], [], []]
 
 
+def test_retrieval_by_words(spark, tmp_path):
+    """Pairs across words match in plain tokens, and don't in those of a segmenter; the stored index agrees."""
+    cutter = segmenter.Segmenter({"頭痛": 9, "醫師": 9, "高血壓": 8})
+    docs = spark.createDataFrame([(0, "頭痛醫師"), (1, "痛醫"), (2, "高血壓"), (3, None)], "doc_index long, text string")
+    queries = spark.createDataFrame([(1, "痛醫"), (2, "血壓")], "query_id long, text string")
+    cut_docs, cut_queries = segmenter.with_terms(docs, cutter), segmenter.with_terms(queries, cutter)
+    plain = bm25.build_index(docs).terms.select("term").collect()
+    cut = bm25.build_index(cut_docs)
+    assert ("痛醫",) in plain and ("痛醫",) not in cut.terms.select("term").collect()
+    stored = postings.open_index(cut_docs, str(tmp_path))
+    rows = lambda index: [(r.query_id, r.doc_index, round(r.bm25_score, 9)) for r in bm25.bm25_top_k(cut_queries, cut_docs, index, 5, pad=False).orderBy("query_id", "bm25_rank").collect()]
+    assert rows(cut) == rows(stored) and [r[:2] for r in rows(cut)][:1] == [(1, 1)] and (2, 2) in [r[:2] for r in rows(cut)]
+    assert postings.open_index(docs, str(tmp_path)).blocks.inputFiles() != stored.blocks.inputFiles()
+
+
 def test_keywords_by_a_segmenter(spark):
     cutter = segmenter.Segmenter({w: 9 for w in ("頭痛", "醫師", "檢查", "高血壓", "治療", "門診", "神經", "建議")})
     raw = ["Keywords: MRI, 1. 高血壓門診頭痛治療的檢查建議, x", "thinking process: a, b", None, "關鍵詞：頭痛和檢查; 頭痛; MRI"]
