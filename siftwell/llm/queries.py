@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_tool_calls": tool_calls.op6_tool_calls,
+    "tool_calls_derived": tool_calls.tool_calls_derived,
     "op7_html_text": html_text.op7_html_text,
     "op8_lm_scoring": ppm.op8_lm_scoring,
     "op9_sharding": sharding.op9_sharding,
@@ -23,6 +24,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_decontamination": decontamination.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "tool_calls_derived": tool_calls.DERIVED_ORACLE,
     "op11_collocations": collocations.ORACLE,
     "op12_warc": warc.ORACLE,
 }

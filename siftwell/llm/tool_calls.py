@@ -338,3 +338,36 @@ def link(messages: DataFrame) -> DataFrame:
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(read(spark, sf_dir, "conversations"))
+
+
+#: The derived calls' tool takes numbers up to this.
+DERIVED_MOST = 1000
+
+
+def derived_messages(messages: DataFrame) -> DataFrame:
+    """Messages with calls made from a table that has none: each assistant turn calls a tool with its text's length, and
+    depends on the call two turns before; each user turn gives the result of the turn before; each conversation has a
+    system turn -1 with the tool's schema."""
+    turn = F.col("turn").cast("string")
+    arguments = F.struct(F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    call = F.to_json(F.struct(F.concat(F.lit("c"), turn).alias("id"), F.lit("measure").alias("name"), arguments.alias("arguments"), F.array(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string"))).alias("depends_on")))
+    result = F.to_json(F.struct(F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("id"), F.col("turn").alias("content")))
+    text = F.when(F.col("role") == "assistant", F.concat(F.lit("<tool_call>"), call, F.lit("</tool_call>"))).when(F.col("role") == "user", F.concat(F.lit("<tool_result>"), result, F.lit("</tool_result>"))).otherwise(F.col("text"))
+    schema = {"type": "object", "properties": {"n": {"type": "integer", "maximum": DERIVED_MOST}}, "required": ["n"]}
+    tools = f"<tools>{json.dumps([{'name': 'measure', 'parameters': schema}])}</tools>"
+    system = messages.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("bigint").alias("turn"), F.lit("system").alias("role"), F.lit(tools).alias("text"))
+    return messages.select("conv_id", "turn", "role", text.alias("text")).unionByName(system)
+
+
+def tool_calls_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linking over calls that are made from conversations, whose own texts hold none."""
+    linked = link(derived_messages(read(spark, sf_dir, "conversations")))
+    return linked.select("conv_id", "turn", "role", "n_calls", "n_linked", "n_valid", "n_orphans")
+
+
+DERIVED_ORACLE = f"""
+WITH m AS (SELECT conv_id, turn, role, coalesce(length(text), 0) AS n FROM conversations)
+SELECT m.conv_id, m.turn, m.role, (m.role = 'assistant')::BIGINT AS n_calls, (m.role = 'assistant' AND u.turn IS NOT NULL)::BIGINT AS n_linked, (m.role = 'assistant' AND m.n <= {DERIVED_MOST})::BIGINT AS n_valid, (m.role = 'user' AND a.turn IS NULL)::BIGINT AS n_orphans
+FROM m LEFT JOIN m u ON u.conv_id = m.conv_id AND u.turn = m.turn + 1 AND u.role = 'user' LEFT JOIN m a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1 AND a.role = 'assistant'
+UNION ALL SELECT DISTINCT conv_id, -1, 'system', 0, 0, 0, 0 FROM m
+"""
