@@ -155,7 +155,7 @@ def judge(value, schema, root) -> bool | None:
     if isinstance(schema, bool):
         return schema
     if not isinstance(schema, dict):
-        return False
+        return None
     if isinstance(value, dict) and set(value) == {"$ref"}:
         return True  # another call's result, known only when it ran
 
@@ -170,9 +170,10 @@ def judge(value, schema, root) -> bool | None:
                 break
         else:
             return False
-    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]) or "const" in schema and canonical(value) != canonical(schema["const"]):
+    listed = schema.get("enum", [value])
+    if isinstance(listed, list) and same(value) not in map(same, listed) or "const" in schema and same(value) != same(schema["const"]):
         return False
-    out: list[bool | None] = [None] if UNCHECKED.intersection(schema) else []
+    out: list[bool | None] = [None] if UNCHECKED.intersection(schema) or not isinstance(listed, list) else []
     if "$ref" in schema:
         found, there = target(root, schema["$ref"])
         out.append(at(value, there) if found else None)
@@ -217,7 +218,7 @@ def judge(value, schema, root) -> bool | None:
         known, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
         out.append(schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)))
         required = schema.get("required", [])
-        out += [k in value for k in (required if isinstance(required, list) else [])]
+        out += [k in value for k in required] if isinstance(required, list) else [None]
         for k, v in value.items():
             hits = {p: matches(p, k) for p in patterns}
             out += [at(v, known[k])] if k in known else []

@@ -85,3 +85,14 @@ def test_odd_blocks_stay(spark):
     for schema in ({"minimum": "x"}, {"type": {"a": 1}}, {"required": 5}, {"multipleOf": 0}):
         assert valid(1, schema) is not True or schema == {"required": 5}
     assert valid(1e308, {"type": "integer"}) is True
+
+
+def test_malformed_keywords_are_unchecked():
+    assert valid({"a": 1}, {"required": "a"}) is None and valid({"a": 1}, {"properties": {"a": 5}}) is None
+    assert valid(1, 5) is None and valid(1, {"enum": 1}) is None and valid([1], {"items": "x"}) is None
+    assert valid({"a": 1}, {"required": "a", "properties": {"a": {"type": "string"}}}) is False
+
+
+def test_numbers_are_equal_by_value():
+    assert valid(1, {"enum": [1.0]}) is True and valid([{"a": 2.0}], {"const": [{"a": 2}]}) is True
+    assert valid(1, {"enum": ["1", True]}) is False and valid(1.5, {"enum": [1]}) is False
