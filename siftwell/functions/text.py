@@ -135,8 +135,8 @@ def casefold(c: Column) -> Column:
     return F.when(low.rlike("[" + "".join(signs) + "]"), folded).otherwise(low)
 
 
-def canonical_keyword(c: Column) -> Column:
-    return casefold(F.regexp_replace(normalize_text(c), "^[.,!?;:]+|[.,!?;:]+$", ""))
+def canonical_keyword(c: Column, fold=casefold) -> Column:
+    return fold(F.regexp_replace(normalize_text(c), "^[.,!?;:]+|[.,!?;:]+$", ""))
 
 
 def sanitize_generated(c: Column) -> Column:

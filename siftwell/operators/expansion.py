@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from ..functions.text import CONNECTOR, HAN, MERGE_AFTER, canonical_keyword, is_invalid_keyword, is_useful_token, normalize_text, parse_keywords
+from ..functions.text import CONNECTOR, HAN, MERGE_AFTER, canonical_keyword, casefold, is_invalid_keyword, is_useful_token, normalize_text, parse_keywords
 
 TOP_KEYWORDS = 3
 
@@ -20,15 +20,15 @@ def keyword_frequency(keywords: DataFrame) -> DataFrame:
     return k.groupBy("query_id", "canon").agg(F.countDistinct("passage").alias("frequency"), F.min_by("keyword", "pos").alias("keyword"))
 
 
-def without_overlap(df: DataFrame, queries: DataFrame) -> DataFrame:
-    """Drop keywords that are part of the query."""
-    q = queries.select("query_id", canonical_keyword(F.coalesce(F.col("text"), F.lit(""))).alias("__q"))
+def without_overlap(df: DataFrame, queries: DataFrame, fold=casefold) -> DataFrame:
+    """Drop keywords that are part of the query, both folded; fold is casefold, or lower for SQL's plain lower case."""
+    q = queries.select("query_id", canonical_keyword(F.coalesce(F.col("text"), F.lit("")), fold).alias("__q"))
     return df.join(q, "query_id").where(~F.contains(F.col("__q"), F.col("canon"))).drop("__q")
 
 
-def select_keywords(frequencies: DataFrame, queries: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:
+def select_keywords(frequencies: DataFrame, queries: DataFrame, k: int = TOP_KEYWORDS, fold=casefold) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("frequency"), F.asc("keyword"))
-    return without_overlap(frequencies, queries).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).withColumn("keyword_rank", F.col("__n").cast("bigint")).drop("__n")
+    return without_overlap(frequencies, queries, fold).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).withColumn("keyword_rank", F.col("__n").cast("bigint")).drop("__n")
 
 
 def expand_queries(queries: DataFrame, selected: DataFrame) -> DataFrame:
