@@ -35,12 +35,6 @@ def tokenized(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_index", terms_of(docs, text).alias("tokens"))
 
 
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_index, dl, term and tf: a row per document and term of it, and one with a null term per document."""
-    t = tokenized(docs, text).select("doc_index", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
-    return t.groupBy("term", "doc_index", "dl").agg(F.count("*").alias("tf"))
-
-
 def build_index(docs: DataFrame, text: str = "text", idf: str = "plus_one") -> Index:
     """docs has doc_index and the text column, or a column tokens. idf: plus_one (always positive), robertson (the classic form), or okapi:
     the classic form, of which negative values become a quarter of the mean; a query's repeated terms count there."""
@@ -53,11 +47,17 @@ def build_index(docs: DataFrame, text: str = "text", idf: str = "plus_one") -> I
     weight = F.log1p(odds) if idf == "plus_one" else F.log(odds)
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus)).select("term", "df", weight.alias("idf"))
     if idf == "okapi":
-        mean = terms.agg(F.avg("idf").alias("mean"))
-        terms = terms.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, OKAPI_EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+        terms = okapi_terms(terms, corpus)
     return Index(postings, terms, corpus, repeats=idf == "okapi")
 
 
+def okapi_terms(terms: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The classic form of idf in the place of the terms' own; negative values become a quarter of the mean."""
+    classic = terms.crossJoin(F.broadcast(corpus.select("n"))).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("n")
+    mean = classic.agg(F.avg("idf").alias("mean"))
+    return classic.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, OKAPI_EPSILON * F.col("mean")).otherwise(F.col("idf"))).drop("mean")
+
+
 def query_terms(queries: DataFrame, text: str = "text", repeats: bool = False) -> DataFrame:
     """Distinct terms: how often a query repeats one counts only with repeats."""
     if repeats:
@@ -95,5 +95,7 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, index, k: int, pad: bool = T
     if not pad:
         return found
     first = docs.select("doc_index").orderBy("doc_index").limit(2 * k)
-    filler = queries.select("query_id").crossJoin(F.broadcast(first)).join(found.select("query_id", "doc_index"), ["query_id", "doc_index"], "left_anti").withColumn("bm25_score", F.lit(0.0))
-    return top_k(found.drop("bm25_rank").unionByName(filler), "bm25_score", k, "bm25_rank")
+    filler = queries.select("query_id").crossJoin(F.broadcast(first)).select("query_id", "doc_index", F.lit(0.0).alias("bm25_score"), F.lit(0).alias("__m"))
+    # what was found is read once: of a found document and its filler the found row counts
+    both = found.select("query_id", "doc_index", "bm25_score", F.lit(1).alias("__m")).unionByName(filler)
+    return top_k(both.groupBy("query_id", "doc_index").agg(F.max_by("bm25_score", "__m").alias("bm25_score")), "bm25_score", k, "bm25_rank")

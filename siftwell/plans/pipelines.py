@@ -191,7 +191,7 @@ def older_merge(queries: DataFrame, docs: DataFrame, bm25_k: int = 50, dense_k:
     merged in order of arrival, reranked."""
     text = "question" if "question" in docs.columns else "text"
     asked = queries.select("query_id", F.col("text").alias(text))
-    lexical = bm25.bm25_top_k(asked, docs, bm25.build_index(docs, text, idf="okapi"), bm25_k, text=text)
+    lexical = bm25.bm25_top_k(asked, docs, postings.open_index(docs.select("doc_index", text), text=text, okapi=True), bm25_k, text=text)
     merged = fusion.legacy_merge(lexical, dense.dense_top_k(queries, docs, dense_k))
     best = ranking.rerank(with_texts(merged, queries, docs), scorer, rerank_k, incoming="merge_rank")
     return project(best.withColumn("rank", F.col("rerank_position")).withColumnRenamed("candidate_sources", "sources"), docs, OLDER_FIELDS)

@@ -91,23 +91,27 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def stored(spark: SparkSession, root: str, key: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+def stored(spark: SparkSession, root: str, key: str, build: Callable[[], dict]) -> dict[str, DataFrame]:
     """The tables kept under root/key by name; built and written where no manifest names them.
 
-    Each build writes to a folder of its own, so two at once don't disturb each other: the later manifest counts.
+    Each build writes to a folder of its own, so two at once don't disturb each other: the later manifest counts. A table
+    may be a function of the tables before it, which it gets as they were written.
     """
+    read = lambda name, schema, folder: spark.read.schema(schema).parquet(f"{path}/{folder}/{name}")
     path = f"{root}/{key}"
     manifest = read_manifest(spark, path)
     if not manifest or manifest.get("key") != key:
         folder = f"build-{uuid.uuid4().hex}"
-        tables = build()
-        for name, table in tables.items():
+        tables: dict[str, DataFrame] = {}
+        for name, table in build().items():
+            table = table if isinstance(table, DataFrame) else table(tables)
             table.write.parquet(f"{path}/{folder}/{name}")
+            tables[name] = read(name, table.schema, folder)
         manifest = {"key": key, "folder": folder, "tables": {name: table.schema.json() for name, table in tables.items()}}
         write_manifest(spark, path, manifest)
     from pyspark.sql.types import StructType
 
-    return {name: spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{path}/{manifest['folder']}/{name}") for name, schema in manifest["tables"].items()}
+    return {name: read(name, StructType.fromJson(json.loads(schema)), manifest["folder"]) for name, schema in manifest["tables"].items()}
 
 
 def cached(build: Callable[[], DataFrame], root: str, key: str) -> DataFrame:
