@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 MANIFEST = "manifest.json"
 #: Rows of doc_index that one committed range of a vector store covers.
 RANGE = 1_000_000
+#: Passes over the documents in which a vector store's missing ranges are encoded, at most.
+PASSES = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -133,12 +135,14 @@ def resume(docs: DataFrame, encode, path: str) -> DataFrame:
 def vector_store(docs: DataFrame, encode: Callable[[DataFrame], DataFrame], path: str, key: str, rows: int = RANGE) -> DataFrame:
     """doc_index and vector of all docs, encoded range by range and kept at path.
 
-    A range has the documents whose doc_index divided by rows gives its number. It is written to a folder of its own,
-    counted and measured there, and only then named by the manifest; a run that stops in between begins with the first
-    range that isn't named. encode takes rows of docs and gives doc_index and vector, one each.
+    A range has the documents whose doc_index divided by rows gives its number. The missing ranges are encoded in PASSES
+    passes at most, one range or more each, so that the work is in proportion to the documents whatever their ranges. A
+    pass writes to a folder of its own, where its ranges are counted and measured, and only then named by the manifest;
+    a run that stops in between begins with the first range that isn't named. encode takes rows of docs and gives
+    doc_index and vector, one each.
 
     Another key (see fingerprint) or rows gives a new store in the same place. A vector that is null, missing, or of
-    another width than the store's is an error, and its range isn't committed; so are two documents of one doc_index.
+    another width than the store's is an error, and its pass isn't committed; so are two documents of one doc_index.
     No documents give an empty table. The driver holds the ranges' numbers: one for each `rows` documents.
     """
     spark = docs.sparkSession
@@ -148,19 +152,23 @@ def vector_store(docs: DataFrame, encode: Callable[[DataFrame], DataFrame], path
     if not manifest or manifest.get("key") != key or manifest.get("rows") != rows:
         manifest = {"key": key, "rows": rows, "width": None, "texts": sum(counts.values()), "ranges": {}}
         write_manifest(spark, path, manifest)
-    for name, n in counts.items():
-        if name in manifest["ranges"]:
-            continue
-        folder = f"range-{name}-{uuid.uuid4().hex}"
-        out = encode(docs.where(number == int(name))).select(F.col("doc_index").cast("long").alias("doc_index"), F.col("vector").cast("array<float>").alias("vector"))
+    missing = [name for name in counts if name not in manifest["ranges"]]
+    step = max(1, -(-len(missing) // PASSES))
+    for at in range(0, len(missing), step):
+        names = missing[at : at + step]
+        folder = f"range-{names[0]}-{uuid.uuid4().hex}"
+        out = encode(docs.where(number.isin([int(name) for name in names]))).select(F.col("doc_index").cast("long").alias("doc_index"), F.col("vector").cast("array<float>").alias("vector"))
         out.write.parquet(f"{path}/{folder}")
         size = F.coalesce(F.size("vector"), F.lit(-1))
-        got = spark.read.parquet(f"{path}/{folder}").agg(F.count("*"), F.countDistinct("doc_index"), F.min(size), F.max(size), F.sum(F.exists("vector", lambda x: x.isNull()).cast("int"))).first()
-        width = manifest["width"] or got[2]
-        if tuple(got) != (n, n, width, width, 0) or width < 1:
+        found = spark.read.schema("doc_index long, vector array<float>").parquet(f"{path}/{folder}").groupBy(number.alias("number")).agg(F.count("*"), F.countDistinct("doc_index"), F.min(size), F.max(size), F.sum(F.exists("vector", lambda x: x.isNull()).cast("int")))
+        got = {str(r[0]): tuple(r[1:]) for r in found.collect()}
+        width = manifest["width"] or got.get(names[0], (0, 0, 0))[2]
+        wrong = {name: got.get(name) for name in dict.fromkeys([*names, *got]) if got.get(name) != (counts.get(name), counts.get(name), width, width, 0) or name not in names or width < 1}
+        if wrong:
             delete(spark, f"{path}/{folder}")
-            raise ValueError(f"range {name}: {n} documents of width {manifest['width']} wanted; rows, different documents, least and most width, vectors with gaps: {tuple(got)}")
-        manifest = manifest | {"width": width, "ranges": manifest["ranges"] | {name: folder}}
+            name, values = next(iter(wrong.items()))
+            raise ValueError(f"range {name}: {counts.get(name, 0)} documents of width {manifest['width']} wanted; rows, different documents, least and most width, vectors with gaps: {values}")
+        manifest = manifest | {"width": width, "ranges": manifest["ranges"] | dict.fromkeys(names, folder)}
         write_manifest(spark, path, manifest)
     return read_store(spark, path)
 
@@ -170,6 +178,6 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     manifest = read_manifest(spark, path)
     if not manifest:
         raise ValueError(f"no vector store at {path}")
-    folders = [f"{path}/{f}" for f in manifest["ranges"].values()]
+    folders = [f"{path}/{f}" for f in dict.fromkeys(manifest["ranges"].values())]
     schema = "doc_index long, vector array<float>"
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
