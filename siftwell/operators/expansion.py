@@ -67,7 +67,7 @@ def segmented(keywords: DataFrame, segmenter: Callable[[str], list[str]]) -> Dat
         return F.struct(F.when(fits, merged).otherwise(F.concat(acc["out"], F.array(p))).alias("out"), (~fits).alias("open"))
 
     joined = F.aggregate(useful, none, join, lambda acc: acc["out"])
-    forms = F.transform(joined, canonical_keyword)
+    forms = F.transform(joined, lambda p: canonical_keyword(p))
     parts = F.filter(joined, lambda p, i: F.array_position(forms, canonical_keyword(p)) == i + 1)
     cut = cut.withColumn("parts", F.when(F.size(parts) > 0, parts).otherwise(F.array("keyword")))
     return keywords.where(~F.coalesce(long, F.lit(False))).withColumn("parts", F.array("keyword")).unionByName(cut)
