@@ -29,8 +29,8 @@ from .token_output import library_coder
 
 #: Bytes of text in a slice; a slice's different pairs are counted together.
 SLICE_TEXT = 2 << 20
-#: Bytes that one round of joins covers, where the tokens' ends allow a cut.
-CHUNK_BYTES = 2 << 20
+#: Bytes that one round of joins covers, where the tokens' ends allow a cut; what is worked on is some 100 times as large.
+CHUNK_BYTES = 1 << 19
 
 SLICED = (
     "slice long, row_key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -52,8 +52,7 @@ SELECT doc, a, b, count(*) AS times FROM linked GROUP BY doc, a, b
 
 # a group's number: the common ends before it, summed up over the tokens in order
 GROUPS = """
-SELECT id, lo, (count(CASE WHEN common THEN 1 END) OVER ({order} ROWS UNBOUNDED PRECEDING) - common::INT)::INT AS part
-FROM (SELECT *, hi IN (SELECT hi FROM {other}) AS common FROM {side})
+SELECT id, lo, (count(CASE WHEN common THEN 1 END) OVER ({order} ROWS UNBOUNDED PRECEDING) - common::INT)::INT AS part FROM {side}
 """
 
 PARTIAL = "SELECT a, b, count(*) AS docs FROM links GROUP BY a, b ORDER BY a, b"
@@ -185,10 +184,10 @@ def spelt(part: np.ndarray, side: np.ndarray, ids: np.ndarray, last: np.ndarray,
     return ragged(flat, starts[which], lengths[which]), np.cumsum(lengths[which])
 
 
-def numbered_groups(con, side: str, other: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def numbered_groups(con, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group, id and place of a side's tokens in order: a group's number is the common ends before its tokens."""
     for order in ("", "ORDER BY lo"):  # the table is in order, and windows without one keep it; if not, it is sorted
-        found = con.execute(GROUPS.format(side=side, other=other, order=order)).fetchnumpy()
+        found = con.execute(GROUPS.format(side=side, order=order)).fetchnumpy()
         part, ids, place = (np.asarray(found[c]) for c in ("part", "id", "lo"))
         if (place[1:] > place[:-1]).all():
             return part, ids, place
@@ -208,14 +207,21 @@ def merged(a: tuple, b: tuple) -> list[np.ndarray]:
     return out
 
 
-def cuts(a_hi: np.ndarray, b_hi: np.ndarray, doc_ends: np.ndarray, chunk: int) -> list[int]:
+def common_ends(a_hi: np.ndarray, b_hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of each side end where one of the other side does."""
+    out = []
+    for mine, others in ((a_hi, b_hi), (b_hi, a_hi)):
+        ends = np.zeros(int(max(mine[-1], others[-1])) + 1 if len(mine) and len(others) else 1, bool)
+        ends[others] = True
+        out.append(ends[mine])
+    return out[0], out[1]
+
+
+def cuts(common: np.ndarray, doc_ends: np.ndarray, chunk: int) -> list[int]:
     """Places to cut at, chunk bytes apart or more: ends of documents, or in long ones ends that both have; the last end
     among them."""
     if not len(doc_ends):
         return []
-    ends = np.zeros(int(a_hi[-1]) + 1, bool)
-    ends[a_hi] = True
-    common = b_hi[ends[b_hi]]
     out = [0]
     while out[-1] < doc_ends[-1]:
         least = min(out[-1] + chunk, int(doc_ends[-1]))
@@ -229,15 +235,16 @@ def aligned(con, a: tuple, b: tuple, doc_ends: np.ndarray, size: int, chunk: int
     n = len(doc_ends)
     groups, hashes = np.zeros(n, np.int64), [hashlib.sha256() for _ in range(n)]
     links, lo, split = [], 0, False
-    for hi in cuts(a[2], b[2], doc_ends, chunk):
+    both = common_ends(a[2], b[2])
+    for hi in cuts(b[2][both[1]], doc_ends, chunk):
         sides = []
-        for ids, los, his in (a, b):
+        for (ids, los, his), common in zip((a, b), both, strict=True):
             k, m = np.searchsorted(los, [lo, hi])
-            sides.append({"id": ids[k:m], "lo": los[k:m], "hi": his[k:m]})
+            sides.append({"id": ids[k:m], "lo": los[k:m], "hi": his[k:m], "common": common[k:m]})
         con.register("a", pa.table(sides[0] | {"doc": np.searchsorted(doc_ends, sides[0]["lo"], "right").astype(np.int32)}))
         con.register("b", pa.table(sides[1]))
         links.append(con.sql(LINKS).to_arrow_table())
-        part, ids, place, side = merged(numbered_groups(con, "a", "b"), numbered_groups(con, "b", "a"))
+        part, ids, place, side = merged(numbered_groups(con, "a"), numbered_groups(con, "b"))
         doc = np.searchsorted(doc_ends, place, "right")
         new = np.concatenate([[True], part[1:] != part[:-1]])
         groups += np.bincount(doc[new], minlength=n)

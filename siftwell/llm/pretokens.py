@@ -89,13 +89,14 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class PieceIds:
-    """Ids of pre-tokens by a library's encoder; what was seen is kept, up to a bound of entries.
+    """Ids of pre-tokens by a library's encoder; what was seen is kept, up to a bound of entries: once half of them are
+    new, those not seen since are dropped.
 
     encode takes pre-tokens (bytes) and gives the ids of each as little-endian unsigned 32-bit numbers.
     """
 
     def __init__(self, encode, most: int = 300_000):
-        self.encode, self.most, self.known = encode, most, {}
+        self.encode, self.most, self.known, self.before = encode, most, {}, {}
 
     def __call__(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pre-tokens one after another, and the number of ids of each."""
@@ -105,10 +106,12 @@ class PieceIds:
         raw = pa.BinaryArray.from_buffers(pa.binary(), count, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = raw.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = [p for p in pieces if p not in known]
+        if len(self.known) > self.most // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        missing = [p for p in pieces if p not in known]
+        known.update((p, before[p]) for p in missing if p in before)
+        new = [p for p in missing if p not in known]
         if new:
             known.update(zip(new, self.encode(new), strict=True))
         found = [known[p] for p in pieces]
