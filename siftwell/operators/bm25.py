@@ -78,9 +78,9 @@ def rank_key(score: Column) -> Column:
     return F.round(score, 8)
 
 
-def top_k(scored: DataFrame, score: str, k: int, rank: str, *ties: Column) -> DataFrame:
-    """Per query_id the k best, ranked from 1; ties by the given columns, doc_index at last."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("__key"), *ties, "doc_index")
+def top_k(scored: DataFrame, score: str, k: int, rank: str, *ties: Column, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Per query_id (or by) the k best, ranked from 1; ties by the given columns, doc_index at last."""
+    order = Window.partitionBy(*by).orderBy(F.desc("__key"), *ties, "doc_index")
     keyed = scored.withColumn("__key", rank_key(F.col(score))).withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= max(k, 0))
     return keyed.withColumn(rank, F.col("__rank").cast("bigint")).drop("__key", "__rank")
 
