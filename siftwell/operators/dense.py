@@ -90,6 +90,24 @@ def nearest(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.take_along_axis(score, near, 1), np.take_along_axis(ids, near, 1)
 
 
+def kept_with(scores: np.ndarray, found: np.ndarray, new: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """nearest() of what is kept, as nearest() gave it, and new scores with an id for each column. Only those that reach a row's
+    last kept score are looked at further."""
+    if scores.shape[1] < k:
+        return nearest(np.concatenate([scores, new], 1), np.concatenate([found, np.broadcast_to(ids, new.shape)], 1), k)
+    # a score that rounds to the last one's value is less than 1e-8 below it, but for what large ones are inexact by
+    last = np.round(scores[:, -1], 8)
+    row, column = np.nonzero(new >= (last - 1e-8 - 1e-14 * np.abs(last))[:, None])
+    if not len(row):
+        return scores, found
+    rows, first, counts = np.unique(row, return_index=True, return_counts=True)
+    at = (np.repeat(np.arange(len(rows)), counts), np.arange(len(row)) - np.repeat(first, counts))
+    more, names = np.full((len(rows), counts.max()), -np.inf), np.zeros((len(rows), counts.max()), found.dtype)
+    more[at], names[at] = new[row, column], ids[column]
+    scores[rows], found[rows] = nearest(np.concatenate([scores[rows], more], 1), np.concatenate([found[rows], names], 1), k)
+    return scores, found
+
+
 def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, columns: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, doc_index, dense_score, dense_rank over queries(query_id, vector) and docs(doc_index, vector).
 
@@ -116,14 +134,14 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, columns: int | None
                 block, width = batch.column("block")[i].as_py(), batch.column("width")[i].as_py()
                 q, d = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, width) for c in ("q", "d"))
                 score = q @ d.T
-                ids = np.broadcast_to(batch.column("ids")[i].values.to_numpy(), score.shape)
-                score, ids = nearest(score, ids, k)
+                ids = batch.column("ids")[i].values.to_numpy()
                 if block != current:
                     if current is not None:
                         yield rows()
-                    current, names, scores, found = block, batch.column("names")[i].values, score, ids
+                    current, names = block, batch.column("names")[i].values
+                    scores, found = nearest(score, np.broadcast_to(ids, score.shape), k)
                 else:
-                    scores, found = nearest(np.concatenate([scores, score], 1), np.concatenate([found, ids], 1), k)
+                    scores, found = kept_with(scores, found, score, ids, k)
         if current is not None:
             yield rows()
 
