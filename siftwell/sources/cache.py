@@ -35,11 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The table, written to the application's folder and read back, so that what uses it often computes it once."""
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """The table, written to the application's folder and read back, so that what uses it often computes it once.
+    options: of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftwell/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
