@@ -26,44 +26,43 @@ STEP_BYTES = 4 << 20
 _coders: dict[str, PieceIds] = worker_cache("token coders")
 
 
-#: Pre-tokens that one call of the library encodes at a time, joined.
-JOINED = 256
+#: Pre-tokens that the library encodes as the words of one text.
+JOINED = 1024
+#: Pre-tokens that a worker keeps with their ids.
+KEPT = 500_000
 
 
-def library_coder(path: str) -> PieceIds:
+def library_coder(path: str, most: int = 300_000) -> PieceIds:
     """The tokenizers library's encoder for pre-tokens; special tokens' strings in a text are ordinary text.
 
-    A call costs more than a word. Pre-tokens that begin with a space keep their limits when put one after another, so
-    the library gets many at once; as ids never cross the limits, the bytes of each id tell where a pre-token ends.
+    A call costs more than a word, so the library gets many pre-tokens at once, as a text that is cut into words already,
+    and doesn't look for their limits again. As ids never cross the limits, the bytes of each id tell where a pre-token ends.
+    A worker keeps one coder, that of the last path and bound.
     """
-    if path not in _coders:
+    key = f"{path} {most}"
+    if key not in _coders:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
+        t.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         sizes = np.zeros(t.get_vocab_size(), np.int64)
         for token, k in t.get_vocab().items():
             sizes[k] = len(token)  # a character of a byte-level token stands for a byte
 
         def encode(pieces: list[bytes]) -> list[bytes]:
             words = [p.decode() for p in pieces]
-            out: list[bytes] = [b""] * len(pieces)
-            led = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace()]
-            groups = [led[i : i + JOINED] for i in range(0, len(led), JOINED)]
-            for group, e in zip(groups, t.encode_batch_fast(["".join(words[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                ends = np.cumsum([len(pieces[i]) for i in group])
-                after = np.searchsorted(np.cumsum(sizes[ids]), ends) + 1
-                raw, last = ids.tobytes(), 0
-                for i, k in zip(group, (4 * after).tolist(), strict=True):
-                    out[i], last = raw[last:k], k
-            rest = sorted(set(range(len(pieces))).difference(led))
-            for i, e in zip(rest, t.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, "<u4").tobytes()
-            return out
-
-        _coders[path] = PieceIds(encode)
-    return _coders[path]
+            groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+            coded = t.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in coded])
+            after = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(p) for p in pieces])) + 1
+            raw, ends = ids.tobytes(), (4 * after).tolist()
+            return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+        _coders.clear()
+        _coders[key] = PieceIds(encode, most)
+    return _coders[key]
 
 
 def encode_batch(coder: PieceIds, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -89,7 +88,7 @@ def encode_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segme
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, part = library_coder(tokenizer), TaskContext.get().partitionId()
+        coder, part = library_coder(tokenizer, KEPT), TaskContext.get().partitionId()
         segment, start = 0, 0
         named, lengths, held, size = [], [], [], 0
 

@@ -3,9 +3,10 @@
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from siftwell.llm import common
+from siftwell.llm import common, token_output
 from siftwell.llm.pretokens import PieceIds
 
 
@@ -39,3 +40,29 @@ def test_what_recurs_is_encoded_once():
         assert ids.tolist() == [len(w) for w in words] and lengths.tolist() == [1] * 6
         assert len(coder.known) + len(coder.before) <= 20 + 2 * 6
     assert asked.count(b"often") == 1 and len(asked) == 151
+
+
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_what_recurs_after_400_000_others_is_encoded_once_by_token_output(monkeypatch):
+    monkeypatch.setattr(token_output, "_coders", {})
+    coder = token_output.library_coder(JSON, token_output.KEPT)
+    asked = []
+    coder.encode = lambda pieces: asked.append(len(pieces)) or [b"\0\0\0\0"] * len(pieces)
+    for first in (0, 200_000, 400_000, 0):
+        data = np.frombuffer(b"".join(b"%06d" % k for k in range(first, first + 200_000)), np.uint8)
+        coder(data, np.arange(0, len(data) + 1, 6))
+    assert asked == [200_000] * 3
+
+
+def test_pretokens_of_all_kinds_are_encoded_as_by_the_library_alone(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "_coders", {})
+    monkeypatch.setattr(token_output, "JOINED", 3)
+    alone = Tokenizer.from_file(JSON)
+    pieces = [" word", "word", "'s", "   ", "\n\n", " ", " 1234567", "99", " ß日本語", "日本", " \U0001f600!?", "<|", "endoftext", "|>", "\u00a0", " unbelievablyantidisestablishment", "\u0000"]
+    coder = token_output.library_coder(JSON)
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode([p.encode() for p in pieces])]
+    assert got == [alone.encode(p, add_special_tokens=False).ids for p in pieces]
